@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -263,19 +263,19 @@ def gather(pool, starts, sizes):
 
 
 def _encode_column(codec):
-    def encode(batches):
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([ids.tobytes() for block in chunks(texts) for ids in codec.value.encode(block)], dtype=object)
 
-    return F.pandas_udf(encode, "binary", F.PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(encode, "binary")
 
 
 def _decode_column(codec):
-    def decode(batches):
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for packed in batches:
             yield pd.Series([None if x is None else codec.value.decode(np.frombuffer(x, "<u4")) for x in packed], dtype=object)
 
-    return F.pandas_udf(decode, "string", F.PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(decode, "string")
 
 
 def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "token_ids", count_col: str = "n_tokens") -> DataFrame:

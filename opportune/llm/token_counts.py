@@ -11,7 +11,7 @@ Pre-tokens among those pieces count one each by a table look-up; only the rest a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -116,8 +116,8 @@ def token_counts(df: DataFrame, model_path: str, text_col: str = "text", out_col
     """
     counter = df.sparkSession.sparkContext.broadcast(PieceCounter(model_path))
 
-    def count(batches):
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([n for block in chunks(texts) for n in counter.value.count(block)], dtype="int64")
 
-    return df.withColumn(out_col, F.pandas_udf(count, "bigint", F.PandasUDFType.SCALAR_ITER)(F.col(text_col).cast("string")))
+    return df.withColumn(out_col, F.pandas_udf(count, "bigint")(F.col(text_col).cast("string")))
