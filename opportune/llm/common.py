@@ -13,6 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_CHARS = 1_000_000
 
 
+#: Bytes of one Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have the session send texts to Python workers in batches bounded by bytes, not only by rows, as rows have any length."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name)).rstrip("bB")  # the default is in bytes
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a folder of our own only where none is set (tests, local mode)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_counts
+from . import bpe, simhash, token_counts, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -39,8 +39,28 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op3_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of near-duplicates of every document."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def toxicity_lexicon(docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:
+    """The lexicon learned from labels that aren't held out."""
+    return toxicity.learn(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a lexicon learned from the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity_lexicon(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    score = F.col("toxicity.score")
+    return out.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.col("toxicity.matches").alias("matches"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op6_token_counts)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op3_simhash_duplicates, op6_token_counts, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
