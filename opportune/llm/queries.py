@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, token_counts, toxicity
+from . import bpe, licenses, simhash, token_counts, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -59,9 +59,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.col("toxicity.matches").alias("matches"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_simhash_duplicates, op6_token_counts, op7_toxicity)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op3_simhash_duplicates, op6_token_counts, op7_toxicity, op8_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_license_scan": licenses.duckdb_sql()}
