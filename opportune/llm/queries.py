@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, simhash, token_counts, toxicity
+from . import bpe, decontaminate, langid, licenses, pii, simhash, token_counts, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -26,12 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of their decoded text."""
-    path = tokenizer_file("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs, path), path)
+    out = bpe.encode(docs, tokenizer_file("word_bpe_49k.json"), decoded_col="decoded")
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that copy benchmark items, with the items and alignment scores."""
+    docs, items = (table(spark, sf_dir, n) for n in ("documents", "benchmark"))
+    return decontaminate.leaks(docs.select("doc_id", "text"), items.select("item_id", "text")).select("doc_id", "item_id", "score", "first_word", "last_word")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it exceeds 4096 tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -64,8 +69,29 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def pii_key() -> bytes:
+    """The surrogates' key, from OPPORTUNE_PII_KEY; a public one for tests where it is unset."""
+    return os.environ.get("OPPORTUNE_PII_KEY", "public test key").encode()
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data, and what was replaced."""
+    out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key())
+    return out.select("doc_id", "pii.text", F.size("pii.entities").alias("n_entities"), "pii.entities")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a model of the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.train(docs.where(~held_out))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_simhash_duplicates, op6_token_counts, op7_toxicity, op8_license_scan)}
+    every = (op1_bpe_round_trip, op3_simhash_duplicates, op5_decontamination, op6_token_counts, op7_toxicity, op8_license_scan, op9_pii_surrogates, op10_language)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
