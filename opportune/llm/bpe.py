@@ -20,11 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import bounded_batches, chunks
 from .merging import NONE, PairTable, merge_words
 
 #: Entries of a worker's word table; it is emptied beyond this.
-WORD_TABLE = 400_000
+WORD_TABLE = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -246,8 +246,12 @@ class BpeCodec:
         return text.split()
 
     def decode(self, ids: np.ndarray) -> str:
-        """The tokens' strings, joined by single spaces (the vocabulary file has no decoder of its own)."""
-        return " ".join(map(self.strings.__getitem__, ids.tolist()))
+        return join_tokens(self.strings, ids)
+
+
+def join_tokens(strings: list[str], ids: np.ndarray) -> str:
+    """The tokens' strings, joined by single spaces (the vocabulary file has no decoder of its own)."""
+    return " ".join(map(strings.__getitem__, ids.tolist()))
 
 
 def gather(pool, starts, sizes):
@@ -262,34 +266,45 @@ def gather(pool, starts, sizes):
     return pool[np.cumsum(step)] if total else pool[:0], sizes
 
 
-def _encode_column(codec):
+def _encode_column(codec, decoded: bool):
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([ids.tobytes() for block in chunks(texts) for ids in codec.value.encode(block)], dtype=object)
 
-    return F.pandas_udf(encode, "binary")
+    def round_trip(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            ids = [x.tobytes() for block in chunks(texts) for x in codec.value.encode(block)]
+            yield pd.DataFrame({"ids": ids, "decoded": [codec.value.decode(np.frombuffer(x, "<u4")) for x in ids]}, dtype=object)
 
+    return F.pandas_udf(round_trip, "ids binary, decoded string") if decoded else F.pandas_udf(encode, "binary")
 
-def _decode_column(codec):
+
+def _decode_column(strings):
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for packed in batches:
-            yield pd.Series([None if x is None else codec.value.decode(np.frombuffer(x, "<u4")) for x in packed], dtype=object)
+            yield pd.Series([None if x is None else join_tokens(strings.value, np.frombuffer(x, "<u4")) for x in packed], dtype=object)
 
     return F.pandas_udf(decode, "string")
 
 
-def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "token_ids", count_col: str = "n_tokens") -> DataFrame:
+def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "token_ids", count_col: str = "n_tokens", decoded_col: str | None = None) -> DataFrame:
     """df with each text's token ids as packed little-endian unsigned 32-bit integers (binary) and their number (long).
 
+    decoded_col: also decode the packed ids, in the same Python pass (two passes would hold two workers for each task).
     The file is read on the driver; its tables, bounded by the vocabulary's size, are broadcast. No shuffle. A null or empty
     text has no tokens. Columns of df that have the output's names are replaced.
     """
+    bounded_batches(df.sparkSession)
     codec = df.sparkSession.sparkContext.broadcast(BpeCodec(vocab_path))
-    out = df.withColumn(ids_col, _encode_column(codec)(F.col(text_col).cast("string")))
+    column = _encode_column(codec, decoded_col is not None)(F.col(text_col).cast("string"))
+    out = df.withColumn(ids_col, column)
+    if decoded_col is not None:
+        out = out.withColumn(decoded_col, F.col(f"{ids_col}.decoded")).withColumn(ids_col, F.col(f"{ids_col}.ids"))
     return out.withColumn(count_col, F.expr(f"cast(octet_length(`{ids_col}`) div 4 as bigint)"))
 
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """df with the decoded text of packed token ids; special tokens are kept, null ids give null."""
-    codec = df.sparkSession.sparkContext.broadcast(BpeCodec(vocab_path))
-    return df.withColumn(out_col, _decode_column(codec)(F.col(ids_col)))
+    bounded_batches(df.sparkSession)
+    strings = df.sparkSession.sparkContext.broadcast(BpeCodec(vocab_path).strings)
+    return df.withColumn(out_col, _decode_column(strings)(F.col(ids_col)))
