@@ -30,7 +30,9 @@ SAMPLE = 8_000
 #: Most candidate terms, terms and exception phrases of a lexicon.
 CANDIDATES, TERMS, EXCEPTIONS = 20_000, 512, 512
 #: Lengths of word beginnings that may become terms.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
+#: How much more frequent a term must be in toxic documents.
+RATIO = 4
 THRESHOLD = 0.7
 
 # Look-alike letters and the Latin letters that they imitate.
@@ -266,19 +268,26 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 
 def _choose(in_toxic: dict, in_clean: dict, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Terms at least eight times as frequent in toxic documents, strongest first; a term that a shorter one covers is left out."""
+    """Terms at least RATIO times as frequent in toxic documents, strongest first.
+
+    Among terms that say the same (a word, its beginnings) the longest stays: a term is left out if one that it begins with was
+    chosen, or one that begins with it and has four fifths of its documents.
+    """
     rated = []
     for term, a in in_toxic.items():
         b = in_clean.get(term, 0)
         # both rates at the careful end of their ranges
         low, high = (a - math.sqrt(a)) / n_toxic, (b + 0.5 + math.sqrt(b)) / n_clean
-        if low > 0 and math.log(low / high) >= math.log(8):
-            rated.append((a * math.log(low / high), term, math.log((a + 0.5) / n_toxic / ((b + 0.5) / n_clean))))
+        if low > 0 and low >= RATIO * high:
+            rated.append((round(a * math.log(low / high), 6), term, math.log((a + 0.5) / n_toxic / ((b + 0.5) / n_clean))))
     out: dict[str, float] = {}
-    for _, term, weight in sorted(rated, key=lambda r: (-r[0], r[1])):
-        covered = any((s := term[:k]) != term and s in out for k in range(2, len(term)))
-        if not covered and len(out) < TERMS:
+    best_longer: dict[str, int] = {}  # beginnings of chosen terms to the most documents of such a term
+    for _, term, weight in sorted(rated, key=lambda r: (-r[0], -len(r[1]), r[1])):
+        covered = any(term[:k] in out for k in range(2, len(term)))
+        if not covered and best_longer.get(term, 0) < 0.8 * in_toxic[term] and len(out) < TERMS:
             out[term] = weight
+            for k in range(2, len(term)):
+                best_longer[term[:k]] = max(best_longer.get(term[:k], 0), in_toxic[term])
     return out
 
 
