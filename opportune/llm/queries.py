@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, pii, simhash, token_counts, toxicity
+from . import ann, bpe, decontaminate, langid, licenses, packing, pii, simhash, token_counts, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -31,6 +31,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, packed in matrices."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that copy benchmark items, with the items and alignment scores."""
     docs, items = (table(spark, sf_dir, n) for n in ("documents", "benchmark"))
@@ -44,6 +49,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id % 20 = 0", k=20)
+
+
 def op3_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of near-duplicates of every document."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -90,7 +100,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_bpe_round_trip, op3_simhash_duplicates, op5_decontamination, op6_token_counts, op7_toxicity, op8_license_scan, op9_pii_surrogates, op10_language)
+    every = (op1_bpe_round_trip, op2_nearest_vectors, op3_simhash_duplicates, op4_packed_ids, op5_decontamination, op6_token_counts, op7_toxicity, op8_license_scan, op9_pii_surrogates, op10_language)
     return {f.__name__: f for f in every}
 
 
