@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, written
+from .common import prepare, written
 
 SAMPLE = 65_536
 LIST, MOST_LISTS = 256, 16_384
@@ -33,7 +33,9 @@ BLOCK, CHUNK = 2_048, 512
 
 @dataclass
 class Index:
-    """centroids (lists, dim); books (parts, codes, width): code books of the residuals' parts."""
+    """centroids (lists, dim); books (parts, codes, width): code books of the residuals' parts, taken across the centroid's direction and at length 1. A
+    residual's part along that direction and its length are kept beside the codes: a dense group is coded as finely as a wide
+    one, and what most moves an inner product is exact."""
 
     centroids: np.ndarray
     books: np.ndarray
@@ -48,11 +50,25 @@ class Index:
         wide[:, : x.shape[1]] = x
         return wide.reshape(len(x), self.books.shape[0], self.width)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """List and codes of each vector."""
+    def residuals(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List of each vector; its residual's part along the centroid; length and unit vector of the rest."""
         which = nearest(x, self.centroids)
-        rest = self.parts(x - self.centroids[which])
-        return which, np.stack([nearest(rest[:, p], book) for p, book in enumerate(self.books)], 1).astype(np.uint8)
+        rest, axis = x - self.centroids[which], unit(self.centroids)[0][which]
+        along = (rest * axis).sum(1)
+        rest, length = unit(rest - along[:, None] * axis)
+        return which, along, length, rest
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List, part along the centroid, length of the rest and its codes."""
+        which, along, length, rest = self.residuals(x)
+        rest = self.parts(rest)
+        return which, along, length, np.stack([nearest(rest[:, p], book) for p, book in enumerate(self.books)], 1).astype(np.uint8)
+
+
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows at length 1 (zero rows as they are), and their lengths."""
+    length = np.sqrt((x * x).sum(1))
+    return x / np.where(length > 0, length, 1.0)[:, None], length
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -105,18 +121,18 @@ def fit(vectors: DataFrame, sample: int = SAMPLE) -> Index | None:
     centroids = k_means(x, int(np.clip(round(n / LIST), 1, min(MOST_LISTS, len(x)))))
     width = -(-x.shape[1] // PARTS)
     parts = -(-x.shape[1] // width)
-    empty = Index(centroids, np.zeros((parts, 1, width)))
-    rest = empty.parts(x - centroids[nearest(x, centroids)])
-    books = [k_means(rest[:, p], CODES, rounds=8) for p in range(parts)]
-    return Index(centroids, np.stack(books))
+    index = Index(centroids, np.zeros((parts, 1, width)))
+    rest = index.parts(index.residuals(x)[3])
+    index.books = np.stack([k_means(rest[:, p], CODES, rounds=8) for p in range(parts)])
+    return index
 
 
 def _packed(index):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-            which, codes = index.value.encode(x)
-            yield pd.DataFrame({"list": which.astype("int32"), "salt": batch["salt"], "ids": [np.asarray(i, np.int64).tobytes() for i in batch["ids"]], "codes": [c.tobytes() for c in codes], "vector": [v.tobytes() for v in x]})
+            which, along, length, codes = index.value.encode(x)
+            yield pd.DataFrame({"list": which.astype("int32"), "salt": batch["salt"], "ids": [np.asarray(i, np.int64).tobytes() for i in batch["ids"]], "along": along, "length": length, "codes": [c.tobytes() for c in codes], "vector": [v.tobytes() for v in x]})
 
     return pack
 
@@ -155,10 +171,14 @@ def _search(index, k: int, rerank: int):
                 flat, at = np.concatenate(ids), np.cumsum(sizes) - sizes
                 query_ids = np.array([e["query_id"] for e in queries])
                 q = np.frombuffer(b"".join(e["query"] for e in queries)).reshape(len(queries), dim)
-                tables = np.einsum("qpw,pcw->qpc", model.parts(q), model.books)
-                near = np.repeat((q @ model.centroids[number])[:, None], len(block), 1)
+                center = model.centroids[number : number + 1]
+                axis = unit(center)[0]
+                # codes tell residuals across the centroid's direction, so the tables leave out the query's part along it
+                tables = np.einsum("qpw,pcw->qpc", model.parts(q - (q @ axis.T) * axis), model.books)
+                near = np.zeros((len(q), len(block)))
                 for p in range(codes.shape[1]):
                     near += tables[:, p, codes[:, p]]
+                near = near * np.array([e["length"] for e in block]) + q @ center.T + (q @ axis.T) * np.array([e["along"] for e in block])
                 top = min(rerank, len(block))
                 best = np.argpartition(-near, top - 1, axis=1)[:, :top]
                 exact = inner_products(q[:, None, :], x[best])
@@ -186,7 +206,7 @@ def search(df: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", ve
     once. Fewer rows than k: all of them. No rows: no result. Other columns are ignored.
     """
     spark = df.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     rows = written(usable(df, id_col, vector_col), "vectors")
     stored = written(entries(rows, k), "entries")
     index = fit(stored, sample)
@@ -194,10 +214,10 @@ def search(df: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", ve
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     sent = spark.sparkContext.broadcast(index)
     salted = stored.select("vector", "ids", F.pmod(F.xxhash64("vector"), F.lit(1 << 20)).cast("int").alias("salt"))
-    lists = written(salted.mapInPandas(_packed(sent), "list int, salt int, ids binary, codes binary, vector binary"), "lists")
+    lists = written(salted.mapInPandas(_packed(sent), "list int, salt int, ids binary, along double, length double, codes binary, vector binary"), "lists")
     blocks_of = lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = lists.join(F.broadcast(blocks_of), "list").withColumn("part", F.col("salt") % F.col("blocks"))  # MOST_LISTS rows at most
-    blocks = dealt.groupBy("list", "part").agg(F.collect_list(F.struct("ids", "codes", "vector")).alias("block"))
+    blocks = dealt.groupBy("list", "part").agg(F.collect_list(F.struct("ids", "along", "length", "codes", "vector")).alias("block"))
     asked = rows.where(is_query).mapInPandas(_probes(sent, probes), "list int, query_id bigint, query binary")
     asked = written(asked, "probes")
     chunks_of = asked.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))

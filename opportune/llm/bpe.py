@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks
+from .common import prepare, chunks
 from .merging import NONE, PairTable, merge_words
 
 #: Entries of a worker's word table; it is emptied beyond this.
@@ -294,7 +294,7 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str
     The file is read on the driver; its tables, bounded by the vocabulary's size, are broadcast. No shuffle. A null or empty
     text has no tokens. Columns of df that have the output's names are replaced.
     """
-    bounded_batches(df.sparkSession)
+    prepare(df.sparkSession)
     codec = df.sparkSession.sparkContext.broadcast(BpeCodec(vocab_path))
     column = _encode_column(codec, decoded_col is not None)(F.col(text_col).cast("string"))
     out = df.withColumn(ids_col, column)
@@ -305,6 +305,6 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """df with the decoded text of packed token ids; special tokens are kept, null ids give null."""
-    bounded_batches(df.sparkSession)
+    prepare(df.sparkSession)
     strings = df.sparkSession.sparkContext.broadcast(BpeCodec(vocab_path).strings)
     return df.withColumn(out_col, _decode_column(strings)(F.col(ids_col)))

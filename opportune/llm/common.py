@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,14 +19,31 @@ CHUNK_CHARS = 1_000_000
 BATCH_BYTES = 4 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Have the session send texts to Python workers in batches bounded by bytes, not only by rows, as rows have any length."""
+def prepare(spark: SparkSession) -> None:
+    """Ready the session's Python workers: they have this package, and batches bounded by bytes, not only by rows, as rows have any length."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = str(spark.conf.get(name)).rstrip("bB")  # the default is in bytes
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, so that no executor needs it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp()) / f"{top.name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        context.addPyFile(str(path))
+        _shipped.add(context.applicationId)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a folder of our own only where none is set (tests, local mode)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

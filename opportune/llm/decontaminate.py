@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import prepare, written
 
 SEED = 4
 #: Most seeds of the items that are searched for in one scan.
@@ -146,7 +146,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     no seeds and take no part; items with equal or null ids are searched for one by one. No documents or items give no rows.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     source = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = written(items.mapInPandas(_items, "item_id bigint, words array<string>, seeds array<bigint>").where("size(seeds) > 0"), "items")

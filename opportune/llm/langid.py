@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, written
+from .common import prepare, written
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -140,7 +140,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Rows with a null text or language, or without letters, don't count. One language only: it is always predicted; none: `und`.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     counted = rows.select("text").mapInPandas(_document_frequencies, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     frequency = {r["bucket"]: r["n"] for r in counted.collect()}  # at most BUCKETS + 1 rows
@@ -185,7 +185,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
     The model (BUCKETS weights for each language) is broadcast. A column of df that has the output's name is replaced.
     """
-    bounded_batches(df.sparkSession)
+    prepare(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def column(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BpeCodec
-from .common import bounded_batches, chunks
+from .common import prepare, chunks
 
 LENGTH = 2048
 #: Tokens that are packed together; bounds the memory of a task.
@@ -144,7 +144,7 @@ def pack(df: DataFrame, vocab_path: str, length: int = LENGTH, window: int = WIN
     A null or empty text has no tokens and so no segment. Repeated rows and null ids are packed like others; an empty table
     gives no rows; other columns are ignored.
     """
-    bounded_batches(df.sparkSession)
+    prepare(df.sparkSession)
     codec = BpeCodec(vocab_path)
     pad = len(codec.strings) - 1
     sent = df.sparkSession.sparkContext.broadcast(codec)

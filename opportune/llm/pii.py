@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import prepare
 
 # Common given names by script and gender.
 GIVEN_NAMES = {
@@ -289,7 +289,7 @@ def pseudonymise(df: DataFrame, key: bytes, text_col: str = "text", out_col: str
     Offsets count characters of the original text. A null text stays null with no entities. A column of df that has the
     output's name is replaced; no other column is read.
     """
-    bounded_batches(df.sparkSession)
+    prepare(df.sparkSession)
     surrogates = Surrogates(key)
 
     def column(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

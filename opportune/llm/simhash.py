@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, written
+from .common import prepare, chunks, written
 from .components import components
 
 RADIUS = 2
@@ -63,7 +63,7 @@ def add_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "finge
         for texts in batches:
             yield pd.Series([x for block in chunks(texts) for x in fingerprints(block).view(np.int64).tolist()], dtype="int64")
 
-    bounded_batches(df.sparkSession)
+    prepare(df.sparkSession)
     return df.withColumn(out_col, F.pandas_udf(column, "bigint")(F.col(text_col).cast("string")))
 
 

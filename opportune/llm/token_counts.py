@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks
+from .common import prepare, chunks
 from .merging import PairTable, merge_words
 
 MARK = "▁"
@@ -114,7 +114,7 @@ def token_counts(df: DataFrame, model_path: str, text_col: str = "text", out_col
     The tables, bounded by the vocabulary, are compiled on the driver and broadcast. No shuffle. A column of df that has the
     output's name is replaced.
     """
-    bounded_batches(df.sparkSession)
+    prepare(df.sparkSession)
     counter = df.sparkSession.sparkContext.broadcast(PieceCounter(model_path))
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

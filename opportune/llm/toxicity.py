@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, written
+from .common import prepare, chunks, written
 
 #: Most labelled documents of each class that the lexicon is learned from.
 SAMPLE = 8_000
@@ -233,7 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     of both classes the lexicon is empty and scores 0.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     known = labels.where("toxic in (0, 1)").select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     size = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if size.keys() != {0, 1}:
@@ -296,7 +296,7 @@ def score(df: DataFrame, lexicon: Lexicon, text_col: str = "text", out_col: str
 
     The lexicon (at most TERMS terms and EXCEPTIONS phrases) is broadcast. A column of df that has the output's name is replaced.
     """
-    bounded_batches(df.sparkSession)
+    prepare(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def column(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
