@@ -24,7 +24,7 @@ from .common import prepare, chunks
 from .merging import NONE, PairTable, merge_words
 
 #: Entries of a worker's word table; it is emptied beyond this.
-WORD_TABLE = 200_000
+WORD_TABLE = 600_000
 
 
 def byte_letters() -> list[str]:
@@ -178,30 +178,46 @@ class BpeCodec:
         out[is_exact] = exact
         return out, out_sizes
 
+    def _parts(self, run: str) -> list[str]:
+        """Pre-tokens of a run; the usual ones, letters with or without one more character, need no pattern."""
+        if run.isalpha():
+            return [run]
+        if run[:-1].isalpha():
+            return [run[:-1], run[-1]]
+        return self._find(run)
+
     def _learn(self, fresh: list[str]):
-        """Add runs of non-space characters to the word table."""
-        if len(self.words) + len(fresh) > WORD_TABLE:
-            self._reset()
-        parts = [self._find(w) for w in fresh]
-        distinct = list(dict.fromkeys(p for ps in parts for p in ps))
-        raw = [p.encode() for p in distinct]
-        lens = np.fromiter(map(len, raw), np.int64, len(raw))
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        ends = np.zeros(len(data), np.int64)
-        ends[np.cumsum(lens) - 1] = 1
-        tokens, sizes = self.encode_symbols(self.byte_token[data, ends], lens)
-        at, number = np.cumsum(sizes) - sizes, {p: i for i, p in enumerate(distinct)}
-        index = np.fromiter((number[p] for ps in parts for p in ps), np.int64)
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        pool, part_sizes = gather(tokens, at[index], sizes[index])
-        done = np.concatenate([[0], np.cumsum(part_sizes)])
-        stop = np.cumsum(counts)
-        word_sizes = done[stop] - done[stop - counts]
-        base = len(self.words)
-        self.words.update(zip(fresh, range(base, base + len(fresh))))
-        self.starts = np.concatenate([self.starts, len(self.pool) + done[stop - counts]])
-        self.sizes = np.concatenate([self.sizes, word_sizes])
-        self.pool = np.concatenate([self.pool, pool])
+        """Add runs of non-space characters, and the pre-tokens that they consist of, to the word table."""
+        alone, joined = [], []
+        for run in fresh:
+            parts = self._parts(run)
+            if len(parts) == 1 and len(parts[0]) == len(run):
+                alone.append(run)
+            else:
+                joined.append((run, parts))
+        known = self.words
+        alone += {p for _, parts in joined for p in parts if p not in known}.difference(alone)
+        if alone:
+            raw = [p.encode() for p in alone]
+            lens = np.fromiter(map(len, raw), np.int64, len(raw))
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            ends = np.zeros(len(data), np.int64)
+            ends[np.cumsum(lens) - 1] = 1
+            self._add(alone, *self.encode_symbols(self.byte_token[data, ends], lens))
+        if joined:
+            counts = np.fromiter((len(parts) for _, parts in joined), np.int64, len(joined))
+            index = np.fromiter((known[p] for _, parts in joined for p in parts), np.int64)
+            pool, sizes = gather(self.pool, self.starts[index], self.sizes[index])
+            done, stop = np.concatenate([[0], np.cumsum(sizes)]), np.cumsum(counts)
+            self._add([run for run, _ in joined], pool, done[stop] - done[stop - counts])
+
+    def _add(self, runs: list[str], tokens: np.ndarray, sizes: np.ndarray):
+        """Entries of the word table from their ragged tokens."""
+        base = len(self.starts)
+        self.words.update(zip(runs, range(base, base + len(runs))))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.pool = np.concatenate([self.pool, tokens])
 
     # ---- texts
 
@@ -221,13 +237,10 @@ class BpeCodec:
         if len(self.words) + len(missing) > WORD_TABLE:
             self._reset()
             missing = list({*runs})
-        special = [w for w in missing if w in self.special]
         if missing:
             self._learn([w for w in missing if w not in self.special])
-        for w in special:
-            self.words[w] = len(self.starts)
-            self.starts, self.sizes = np.append(self.starts, len(self.pool)), np.append(self.sizes, 1)
-            self.pool = np.append(self.pool, np.int32(self.special[w]))
+            special = [w for w in missing if w in self.special]
+            self._add(special, np.array([self.special[w] for w in special], np.int32), np.ones(len(special), np.int64))
         index = np.fromiter(map(self.words.__getitem__, runs), np.int64, len(runs))
         sizes = self.sizes[index]
         flat, _ = gather(self.pool, self.starts[index], sizes)
