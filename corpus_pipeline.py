@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opportune.llm import bpe, decontaminate, pii, simhash, toxicity
-from opportune.llm.common import written
+from opportune.llm.common import unused, written
 from opportune.llm.queries import pii_key, table, tokenizer_file, toxicity_lexicon
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the lexicon, learned from docs and the labels that aren't held out, scores as toxic."""
     lexicon = toxicity_lexicon(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, lexicon, out_col="__toxicity")
-    return scored.where(F.col("__toxicity.score") < toxicity.THRESHOLD).select(docs.columns)
+    column = unused(docs, "__toxicity")
+    scored = toxicity.score(docs, lexicon, out_col=column)
+    return scored.where(F.col(column)["score"] < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with surrogates for personal data; n_chars follows the text."""
-    out = pii.pseudonymise(docs, pii_key(), out_col="__pii").withColumn("text", F.col("__pii.text"))
+    column = unused(docs, "__pii")
+    out = pii.pseudonymise(docs, pii_key(), out_col=column).withColumn("text", F.col(column)["text"])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -11,12 +11,12 @@ A word's encoding doesn't depend on its neighbours, so words are encoded once a
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +27,30 @@ from .merging import NONE, PairTable, merge_words
 WORD_TABLE = 600_000
 
 
+# Letters and numbers of Unicode 16 that Python's tables don't have yet, and their lower case.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+# White space of the vocabulary's pattern (Python's also has four control characters).
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Below this, Python knows all letters.
+FIRST_NEW = chr(NEW_LETTERS[0][0])
+
+
+def char_class(major: str, newer: list[tuple[int, int]]) -> str:
+    """Ranges of a pattern's character class: all code points of a major category."""
+    ranges: list[list[int]] = []
+    for c in sorted([*(c for c in range(0x110000) if unicodedata.category(chr(c))[0] == major), *(c for a, b in newer for c in range(a, b + 1))]):
+        if ranges and c <= ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
 def byte_letters() -> list[str]:
     """The printable letter that byte-level vocabularies write for each byte."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -51,7 +75,10 @@ class BpeCodec:
         vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.word_pattern = split["pattern"]["Regex"]
+        letters, numbers = char_class("L", NEW_LETTERS), char_class("N", NEW_NUMBERS)
+        self.word_pattern = split["pattern"]["Regex"].replace("[\\p{L}]", f"[{letters}]").replace("[\\p{N}]", f"[{numbers}]").replace("\\p{L}", letters).replace("\\p{N}", numbers).replace("\\s", SPACE)
+        if "\\p" in self.word_pattern:
+            raise ValueError(f"{path}: another word pattern")
         size = 1 + max([*vocab.values(), *self.special.values()])
         self.strings = [""] * size
         for token, i in [*vocab.items(), *self.special.items()]:
@@ -105,8 +132,8 @@ class BpeCodec:
         self._reset()
 
     def _reset(self):
-        self._find = regex.compile(self.word_pattern).findall
-        self._specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self._find = re.compile(self.word_pattern).findall
+        self._specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.words: dict[str, int] = {}
         self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -182,16 +209,16 @@ class BpeCodec:
         """Pre-tokens of a run; the usual ones, letters with or without one more character, need no pattern."""
         if run.isalpha():
             return [run]
-        if run[:-1].isalpha():
+        if run[:-1].isalpha() and run[-1] < FIRST_NEW:
             return [run[:-1], run[-1]]
-        return self._find(run)
+        return self._find(run.translate(NEW_LOWER) if max(run) >= FIRST_NEW else run)
 
     def _learn(self, fresh: list[str]):
         """Add runs of non-space characters, and the pre-tokens that they consist of, to the word table."""
         alone, joined = [], []
         for run in fresh:
             parts = self._parts(run)
-            if len(parts) == 1 and len(parts[0]) == len(run):
+            if len(parts) == 1 and parts[0] == run:
                 alone.append(run)
             else:
                 joined.append((run, parts))
@@ -255,7 +282,7 @@ class BpeCodec:
         text = text.lower()
         # str.split also cuts at these four controls, which aren't white space to the vocabulary's pattern
         if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return regex.findall(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", text)
+            return re.findall(f"[^{SPACE}]+", text)
         return text.split()
 
     def decode(self, ids: np.ndarray) -> str:

@@ -44,6 +44,14 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a folder of our own only where none is set (tests, local mode)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import prepare, unused, written
 
 SEED = 4
 #: Most seeds of the items that are searched for in one scan.
@@ -188,5 +188,6 @@ def _leaks_of(source: DataFrame, items: DataFrame, longest: int) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that copy an item of the benchmark; see `leaks`."""
-    found = leaks(docs, benchmark, id_col, text_col, threshold).select(F.col("key").alias("__key")).distinct()
-    return docs.join(found, F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("__key"), "left_anti")
+    key = unused(docs, "__key")
+    found = leaks(docs, benchmark, id_col, text_col, threshold).select(F.col("key").alias(key)).distinct()
+    return docs.join(found, F.xxhash64(F.col(id_col), F.col(text_col)) == F.col(key), "left_anti")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, chunks, written
+from .common import chunks, prepare, unused, written
 from .components import components
 
 RADIUS = 2
@@ -178,11 +178,12 @@ def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Only the ids that go, and ids that occur more than once, are joined with df; rows of other ids pass as they are. Of several
     rows with the id that stays one remains; rows with a null id stay (they can't be named by a component), one for each text.
     """
-    named = written(near_duplicates(df, id_col, text_col).select(F.col(id_col).alias("__id"), "component_id"), "components")
-    verdict = named.where("__id is not null").groupBy("__id").agg(F.count("*").alias("__rows"), F.max(F.col("__id") == F.col("component_id")).alias("__stays"))
-    verdict = verdict.where("__rows > 1 or not __stays")
-    marked = df.join(verdict, F.col(id_col) == F.col("__id"), "left")
-    single = marked.where(F.col("__id").isNull() & F.col(id_col).isNotNull()).select(df.columns)
-    repeated = marked.where("__stays").select(df.columns).dropDuplicates([id_col])
+    which, rows, stays = (unused(df, c) for c in ("__id", "__rows", "__stays"))
+    named = written(near_duplicates(df, id_col, text_col).select(F.col(id_col).alias(which), "component_id"), "components")
+    verdict = named.where(F.col(which).isNotNull()).groupBy(which).agg(F.count("*").alias(rows), F.max(F.col(which) == F.col("component_id")).alias(stays))
+    verdict = verdict.where((F.col(rows) > 1) | ~F.col(stays))
+    marked = df.join(verdict, F.col(id_col) == F.col(which), "left")
+    single = marked.where(F.col(which).isNull() & F.col(id_col).isNotNull()).select(df.columns)
+    repeated = marked.where(F.col(stays)).select(df.columns).dropDuplicates([id_col])
     unnamed = df.where(F.col(id_col).isNull()).dropDuplicates([text_col])
     return single.unionByName(repeated).unionByName(unnamed)
