@@ -189,5 +189,5 @@ def _leaks_of(source: DataFrame, items: DataFrame, longest: int) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that copy an item of the benchmark; see `leaks`."""
     key = unused(docs, "__key")
-    found = leaks(docs, benchmark, id_col, text_col, threshold).select(F.col("key").alias(key)).distinct()
+    found = written(leaks(docs, benchmark, id_col, text_col, threshold).select(F.col("key").alias(key)).distinct(), "leaks")  # of known size: broadcast if small
     return docs.join(found, F.xxhash64(F.col(id_col), F.col(text_col)) == F.col(key), "left_anti")

@@ -144,7 +144,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     counted = rows.select("text").mapInPandas(_document_frequencies, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     frequency = {r["bucket"]: r["n"] for r in counted.collect()}  # at most BUCKETS + 1 rows
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = sorted(r["lang"] for r in sizes.collect())
     if not languages or -1 not in frequency:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     df = np.zeros(BUCKETS)
@@ -152,9 +153,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         if k >= 0:
             df[k] = n
     idf = np.log((1 + frequency[-1]) / (1 + df)) + 1
+    most = max(1, sample // len(languages))
     first = Window.partitionBy("lang").orderBy("hash", "id")
-    ids = rows.select("id", "lang", F.xxhash64(F.col("id").cast("string")).alias("hash")).withColumn("place", F.row_number().over(first))
-    ids = written(ids.where(F.col("place") <= max(1, sample // len(languages))).select("id", F.col("lang").alias("l"), "place"), "language-sample")
+    # hashes below twice the wanted share come first in any case; only they are sorted
+    ids = rows.select("id", "lang", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40)).alias("hash")).join(sizes, "lang")
+    ids = ids.where(F.col("hash") < 2.0 * (1 << 40) * (most + 50) / F.col("n")).withColumn("place", F.row_number().over(first))
+    ids = written(ids.where(F.col("place") <= most).select("id", F.col("lang").alias("l"), "place"), "language-sample")
     chosen = rows.join(F.broadcast(ids), (rows["id"] == ids["id"]) & (rows["lang"] == ids["l"])).select("lang", "place", "text")
     got = chosen.mapInPandas(_sparse, "lang string, place int, at binary, share binary").toPandas().sort_values(["place", "lang"], kind="stable")
     data = []

@@ -181,9 +181,11 @@ def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     which, rows, stays = (unused(df, c) for c in ("__id", "__rows", "__stays"))
     named = written(near_duplicates(df, id_col, text_col).select(F.col(id_col).alias(which), "component_id"), "components")
     verdict = named.where(F.col(which).isNotNull()).groupBy(which).agg(F.count("*").alias(rows), F.max(F.col(which) == F.col("component_id")).alias(stays))
-    verdict = verdict.where((F.col(rows) > 1) | ~F.col(stays))
+    verdict = written(verdict.where((F.col(rows) > 1) | ~F.col(stays)), "verdict")  # of known size: broadcast if small, else shuffled
     marked = df.join(verdict, F.col(id_col) == F.col(which), "left")
-    single = marked.where(F.col(which).isNull() & F.col(id_col).isNotNull()).select(df.columns)
-    repeated = marked.where(F.col(stays)).select(df.columns).dropDuplicates([id_col])
-    unnamed = df.where(F.col(id_col).isNull()).dropDuplicates([text_col])
-    return single.unionByName(repeated).unionByName(unnamed)
+    out = marked.where(F.col(which).isNull() & F.col(id_col).isNotNull()).select(df.columns)
+    if not verdict.where(F.col(stays)).isEmpty():
+        out = out.unionByName(marked.where(F.col(stays)).select(df.columns).dropDuplicates([id_col]))
+    if not named.where(F.col(which).isNull()).isEmpty():
+        out = out.unionByName(df.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    return out
