@@ -271,7 +271,8 @@ def _choose(in_toxic: dict, in_clean: dict, n_toxic: int, n_clean: int) -> dict[
     """Terms at least RATIO times as frequent in toxic documents, strongest first.
 
     Among terms that say the same (a word, its beginnings) the longest stays: a term is left out if one that it begins with was
-    chosen, or one that begins with it and has four fifths of its documents.
+    chosen, or one that begins with it and has four fifths of its documents. Terms under twice RATIO come after the others, and
+    any chosen longer term rules them out.
     """
     rated = []
     for term, a in in_toxic.items():
@@ -279,12 +280,12 @@ def _choose(in_toxic: dict, in_clean: dict, n_toxic: int, n_clean: int) -> dict[
         # both rates at the careful end of their ranges
         low, high = (a - math.sqrt(a)) / n_toxic, (b + 0.5 + math.sqrt(b)) / n_clean
         if low > 0 and low >= RATIO * high:
-            rated.append((round(a * math.log(low / high), 6), term, math.log((a + 0.5) / n_toxic / ((b + 0.5) / n_clean))))
+            rated.append((low < 2 * RATIO * high, round(a * math.log(low / high), 6), term, math.log((a + 0.5) / n_toxic / ((b + 0.5) / n_clean))))
     out: dict[str, float] = {}
     best_longer: dict[str, int] = {}  # beginnings of chosen terms to the most documents of such a term
-    for _, term, weight in sorted(rated, key=lambda r: (-r[0], -len(r[1]), r[1])):
+    for weak, _, term, weight in sorted(rated, key=lambda r: (r[0], -r[1], -len(r[2]), r[2])):
         covered = any(term[:k] in out for k in range(2, len(term)))
-        if not covered and best_longer.get(term, 0) < 0.8 * in_toxic[term] and len(out) < TERMS:
+        if not covered and best_longer.get(term, 0) < (1 if weak else 0.8 * in_toxic[term]) and len(out) < TERMS:
             out[term] = weight
             for k in range(2, len(term)):
                 best_longer[term[:k]] = max(best_longer.get(term[:k], 0), in_toxic[term])
