@@ -167,3 +167,12 @@ def test_scopes_and_severity(spark):
     assert got == {"a": 2, "unknown": 1, "all_sites": 3}
     worst = {r.e: (r.worst, r.in_conflict) for r in descriptive.most_severe(df, ["e"], "o", ["R", "A", "N"]).collect()}
     assert worst == {1: ("R", True), 2: ("N", False)}
+
+
+def test_operators_run_on_micro_batches(spark, tmp_path):
+    from opportune.streaming import run_on_batches
+
+    spark.createDataFrame([(1, "R"), (1, "R"), (2, "R"), (2, "S")], "k int, o string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, o string").parquet(str(tmp_path / "in"))
+    run_on_batches(stream, lambda b: cleaning.resolved(b, ["k"], "o"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert [r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
