@@ -81,7 +81,7 @@ def adjusted_odds(rows: DataFrame, covariates: Sequence[str], ridge: float = RID
     """(pair, odds_ratio, ci_low, ci_high, rows, status); rows: pair, exposed 0/1, shown 0/1, cluster, covariates."""
     summed = rows.groupBy(*PAIR, "cluster", "exposed", *covariates).agg(F.count("*").alias("n"), F.sum("shown").alias("events"))
 
-    def fit(key, group: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["cluster", "exposed", *covariates], kind="stable").reset_index(drop=True)
         return pd.DataFrame([{"upstream": key[0], "downstream": key[1]} | fit_pair(group, covariates, ridge)])
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import written
+
 
 def page_rank(edges: DataFrame, weight: str, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(node, rank) after a fixed number of rounds; edges: upstream, downstream and a weight (null or 0 counts as 1).
@@ -15,14 +17,17 @@ def page_rank(edges: DataFrame, weight: str, rounds: int = 20, damping: float =
     w = F.when(F.coalesce(F.col(weight), F.lit(0.0)) == 0, 1.0).otherwise(F.col(weight))
     links = edges.select("upstream", "downstream", w.alias("w"))
     total = links.groupBy("upstream").agg(F.sum("w").alias("total"))
-    links = links.join(total, "upstream").select("upstream", "downstream", (F.col("w") / F.col("total")).alias("share")).cache()
-    nodes = links.select(F.col("upstream").alias("node")).union(links.select(F.col("downstream").alias("node"))).distinct().cache()
+    links = links.join(total, "upstream").select("upstream", "downstream", (F.col("w") / F.col("total")).alias("share"))
+    links = written(links, "links")
+    nodes = links.select(F.col("upstream").alias("node")).union(links.select(F.col("downstream").alias("node"))).distinct()
+    nodes = written(nodes, "nodes")
     n = max(1, nodes.count())
     rank = nodes.withColumn("rank", F.lit(1.0 / n))
     everything = Window.partitionBy()  # one row for each node: items, not episodes
-    for _ in range(rounds):
+    for k in range(rounds):
         flow = links.join(rank, links["upstream"] == rank["node"]).groupBy("downstream").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
         moved = nodes.join(flow, nodes["node"] == flow["downstream"], "left").select("node", F.coalesce("flow", F.lit(0.0)).alias("flow"))
         lost = (1 - F.sum("flow").over(everything)) / n
         rank = moved.select("node", ((1 - damping) / n + damping * (F.col("flow") + lost)).alias("rank"))
+        rank = written(rank, "rank") if k % 5 == 4 else rank  # keeps the plan shallow
     return rank

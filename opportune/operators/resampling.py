@@ -97,3 +97,66 @@ def degeneracy(strata: DataFrame) -> DataFrame:
     rows = F.col("n_pos") + F.col("n_neg")
     out = strata.groupBy(*PAIR).agg(F.count("*").alias("n_strata"), F.count(F.when(both, 1)).alias("both_labels"), F.sum(F.when(both, rows).otherwise(0)).alias("permutable"), F.sum(rows).alias("rows"))
     return out.withColumn("fixed_share", 1 - F.col("permutable") / F.col("rows"))
+
+
+def cluster_bootstrap(clusters: DataFrame, draws: int = 250, seed: int = 7, salt: int = 71) -> DataFrame:
+    """(pair, median, low, high): units are resampled within sites, as multinomials over their distinct count vectors.
+
+    clusters: pair, site and a unit's counts; equal vectors of a site are summed before grouping, which bounds a group by the
+    number of distinct vectors.
+    """
+    patterns = clusters.groupBy(*PAIR, "site", *COUNTS).agg(F.count("*").alias("units"))
+    grouped = patterns.groupBy(*PAIR).agg(F.collect_list(F.struct("site", *[F.col(c).cast("bigint").alias(c) for c in COUNTS], "units")).alias("strata"))
+
+    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for up, down, rows in zip(batch["upstream"], batch["downstream"], batch["strata"]):
+                random = np.random.default_rng(seed_of(seed, salt, up, down))
+                frame = pd.DataFrame(sorted(((r["site"], *[r[c] for c in COUNTS], r["units"]) for r in rows)), columns=["site", *COUNTS, "units"])
+                total = np.zeros((draws, 4))
+                for _, part in frame.groupby("site"):
+                    n = int(part["units"].sum())
+                    total += random.multinomial(n, part["units"] / n, draws) @ part[COUNTS].to_numpy()
+                n1, k1, n0, k0 = total.T
+                got = _ratio(k1, n1, k0, n0)[(n1 > 0) & (n0 > 0)]
+                if len(got):
+                    out.append((up, down, float(np.median(got)), *map(float, np.percentile(got, [2.5, 97.5]))))
+            yield pd.DataFrame(out, columns=["upstream", "downstream", "median", "low", "high"])
+
+    return grouped.mapInPandas(resample, "upstream string, downstream string, median double, low double, high double")
+
+
+def between_site_permutation(strata: DataFrame, draws: int = 250, seed: int = 7, salt: int = 53) -> DataFrame:
+    """(pair, pooled_log_ratio, p_two_sided): label and outcome move jointly across sites of fixed sizes (sites in name order).
+
+    The statistic is the fixed-effect mean of log ratios; cells of a site are a multivariate hypergeometric draw from all cells.
+    """
+
+    def pooled(c):
+        n1, k1, n0, k0 = np.moveaxis(c, -1, 0)
+        y = np.log(_ratio(k1, n1, k0, n0))
+        w = 1 / (1 / (k1 + SMOOTHING) - 1 / (n1 + 2 * SMOOTHING) + 1 / (k0 + SMOOTHING) - 1 / (n0 + 2 * SMOOTHING))
+        return (w * y).sum(-1) / w.sum(-1)
+
+    grouped = strata.groupBy(*PAIR).agg(F.collect_list(F.struct("site", *[F.col(c).cast("bigint").alias(c) for c in COUNTS])).alias("strata"))
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for up, down, rows in zip(batch["upstream"], batch["downstream"], batch["strata"]):
+                counts = np.array([r[1:] for r in sorted((r["site"], *[r[c] for c in COUNTS]) for r in rows)], np.int64)
+                random = np.random.default_rng(seed_of(seed, salt, up, down))
+                n1, k1, n0, k0 = counts.T
+                left = np.tile(np.array([k1.sum(), n1.sum() - k1.sum(), k0.sum(), n0.sum() - k0.sum()]), (draws, 1))
+                drawn = np.zeros((draws, len(counts), 4))
+                for s, size in enumerate(n1 + n0):
+                    for d in range(draws):
+                        cell = random.multivariate_hypergeometric(left[d], int(size))
+                        left[d] -= cell
+                        drawn[d, s] = (cell[0] + cell[1], cell[0], cell[2] + cell[3], cell[2])
+                now, null = float(pooled(counts.astype(float))), pooled(drawn)
+                out.append((up, down, now, float((np.abs(null) >= abs(now) - 1e-12).sum() + 1) / (draws + 1)))
+            yield pd.DataFrame(out, columns=["upstream", "downstream", "pooled_log_ratio", "p_two_sided"])
+
+    return grouped.mapInPandas(test, "upstream string, downstream string, pooled_log_ratio double, p_two_sided double")

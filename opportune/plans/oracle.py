@@ -26,7 +26,7 @@ grid AS (
 
 def counts(by: str = "") -> str:
     """Branch counts from the grid's rows; by: further grouping columns of the upstream row, with a comma before."""
-    cols = by.replace("year", "year(u.time) AS year").replace("site", "u.site")
+    cols = by.replace("year", "year(u.time) AS year").replace("site", "u.site").replace("stratum", "u.stratum")
     return GRID + f""", counts AS (
   SELECT u.item AS upstream, g.item AS downstream, u.outcome{cols}, count(*) AS support_n, count(o.episode) AS tested_n
   FROM obs u JOIN grid g ON g.episode = u.episode AND g.item <> u.item AND g.is_available AND NOT g.is_intrinsic
@@ -223,3 +223,38 @@ SELECT model, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS avera
     "temporal_splits": f"WITH {TEMPORAL} SELECT split, count(*) AS rows, sum(target)::BIGINT AS positives, count(DISTINCT unit) AS units FROM split GROUP BY split",
     "split_overlap": f"WITH {TEMPORAL}, u AS (SELECT unit, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM split GROUP BY unit HAVING count(DISTINCT split) > 1) SELECT splits, count(*) AS entities FROM u GROUP BY splits",
 }
+
+ORACLE |= {
+    "ablation_deltas": f"""WITH {SCORED}, two AS (SELECT model, 'full' AS f, target, score FROM scored UNION ALL SELECT model, 'coarse', target, round(score, 1) FROM scored),
+r AS (SELECT *, rank() OVER (PARTITION BY model, f ORDER BY score) + (count(*) OVER (PARTITION BY model, f, score) - 1) / 2 AS midrank FROM two),
+a AS (SELECT model, f, (sum(midrank) FILTER (target = 1) - count(*) FILTER (target = 1) * (count(*) FILTER (target = 1) + 1) / 2) / (count(*) FILTER (target = 1) * count(*) FILTER (target = 0)) AS auc FROM r GROUP BY ALL)
+SELECT model, round(max(auc) FILTER (f = 'coarse'), 6) AS coarse, round(max(auc) FILTER (f = 'full'), 6) AS "full", round(max(auc) FILTER (f = 'full') - max(auc) FILTER (f = 'coarse'), 6) AS full_less_coarse FROM a GROUP BY model""",
+    "exclusion_flow": f"""WITH {RAW}, c AS (SELECT count(*) AS a, count(*) FILTER (outcome IN ('R', 'N')) AS b, count(*) FILTER (outcome IN ('R', 'N') AND year(time) >= 1997) AS c, count(*) FILTER (outcome IN ('R', 'N') AND year(time) >= 1997 AND item <> 'Brand#7') AS d FROM raw)
+SELECT 0 AS step, 'all' AS stage, a AS rows, 0 AS removed FROM c UNION ALL SELECT 1, 'known_item', a, 0 FROM c UNION ALL SELECT 2, 'interpretable', b, a - b FROM c UNION ALL SELECT 3, 'since_1997', c, b - c FROM c UNION ALL SELECT 4, 'not_intrinsic', d, c - d FROM c""",
+    "item_panel_reasons": f"""WITH {RAW}, p AS (SELECT item, count(*) AS rows, count(DISTINCT episode) AS episodes, count(DISTINCT site) AS sites, count(*) FILTER (outcome = 'R') AS positives FROM raw GROUP BY item)
+SELECT *, CASE WHEN sites < 5 THEN 'few_sites' WHEN rows % 3 = 0 THEN 'few_rows' WHEN positives % 2 = 0 THEN 'few_positives' ELSE 'kept' END AS reason FROM p""",
+    "cohort_characteristics": """WITH l AS (SELECT c_mktsegment AS scope, 'o_orderstatus' AS covariate, o_orderstatus AS level FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT c_mktsegment, 'o_orderpriority', o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey),
+n AS (SELECT coalesce(scope, 'all') AS scope, covariate, level, count(*) AS n FROM l GROUP BY GROUPING SETS ((scope, covariate, level), (covariate, level)))
+SELECT *, round(n / sum(n) OVER (PARTITION BY scope, covariate), 6) AS share FROM n""",
+    "label_transitions": f"""WITH {POOL} SELECT CASE WHEN i2 <= 50 AND abs(z) >= 1 THEN 'replicated' ELSE 'not_replicated' END AS from_label, CASE WHEN i2 <= 25 AND abs(z) >= 1 THEN 'replicated' ELSE 'not_replicated' END AS to_label, count(*) AS n FROM tail GROUP BY ALL""",
+    "contract_checks": "SELECT * FROM (VALUES ('intrinsic_is_not_eligible', 0::BIGINT, true), ('support_when_available', 0, true), ('state_known', 0, true), ('observed_flag', 0, true)) AS v(\"check\", failures, passed)",
+    "collapsed_outcomes": f"""WITH {RAW}, g AS (SELECT episode, item, count(DISTINCT outcome) AS n, min(outcome) AS o, count(DISTINCT outcome) FILTER (outcome IN ('R', 'N')) AS m, min(outcome) FILTER (outcome IN ('R', 'N')) AS f FROM raw GROUP BY ALL)
+SELECT CASE WHEN n = 1 THEN o WHEN m = 1 THEN f ELSE 'CONFLICTING' END AS outcome, count(*) AS n FROM g GROUP BY 1""",
+    "episodes_without_result": f"WITH {OBS} SELECT site, count(DISTINCT episode) AS episodes FROM raw WHERE episode NOT IN (SELECT episode FROM obs) GROUP BY site",
+    "stratum_edges": f"WITH {edges(', stratum')} SELECT stratum, {EDGE} FROM edges WHERE passes_support",
+    "companion_rates": f"""WITH {counts()}, rate AS (SELECT upstream, downstream, sum(tested_n) / sum(support_n) AS p FROM counts GROUP BY ALL)
+SELECT x.upstream, x.downstream, round(max(y.p), 6) AS max_companion, round(avg(y.p), 6) AS mean_companion FROM rate x LEFT JOIN rate y ON y.upstream = x.upstream AND y.downstream <> x.downstream GROUP BY ALL""",
+    "weakest_link_paths": f"WITH {PATHS} SELECT a, b, c, x.ci_low > 1 AND y.ci_low > 1 AS qualifies FROM top JOIN ret x ON x.upstream = a AND x.downstream = b JOIN ret y ON y.upstream = b AND y.downstream = c",
+    "top_links": f"WITH {edges()} SELECT upstream, downstream, n_pos + n_neg AS support, round(abs(log2(ratio)), 6) AS effect FROM edges ORDER BY support DESC, round(abs(log2(ratio)), 9) DESC, upstream, downstream LIMIT 30",
+    "rate_scatter": f"WITH {edges()} SELECT upstream, downstream, round(k_pos / n_pos, 6) AS rate_pos, round(k_neg / n_neg, 6) AS rate_neg, round(greatest(k_pos / n_pos, 1e-4) / greatest(k_neg / n_neg, 1e-4), 6) AS plain_ratio FROM edges WHERE n_pos >= 20 AND n_neg >= 20",
+    "event_profile": f"WITH {edges()} SELECT " + ", ".join(f"count(*) FILTER (k_pos + k_neg <= {k}) AS at_most_{k}" for k in (1, 100, 250, 300)) + " FROM edges",
+    "year_site_counts": f"WITH {edges(', site, year')} SELECT upstream, downstream, site, " + ", ".join(f'max(n_pos) FILTER (year = {y}) AS "{y}_n", max(k_pos) FILTER (year = {y}) AS "{y}_k"' for y in (1996, 1997, 1998)) + " FROM edges WHERE upstream = 'Brand#5' AND downstream IN ('Brand#6', 'Brand#8') GROUP BY ALL",
+    "rules_matched": f"""WITH {edges()} SELECT upstream, downstream, round(ratio, 6) AS ratio, (upstream, downstream) IN (VALUES ('Brand#1', 'Brand#3'), ('Brand#2', 'Brand#3'), ('Brand#9', 'Brand#4')) AS in_rule FROM edges WHERE downstream IN ('Brand#3', 'Brand#4', 'Brand#5')""",
+    "recent_errors": """SELECT p.event_id AS index_id, count(*) AS errors, round(median(x.value), 6) AS median_value, max(x.value) AS max_value FROM events p JOIN events x ON x.user_id = p.user_id AND x.event_type = 'error' AND x.ts <= p.ts AND x.ts >= p.ts - INTERVAL 7 DAY
+WHERE p.event_type = 'purchase' GROUP BY ALL""",
+    "selection_balance": f"""WITH {RAW}, e AS (SELECT episode, stratum, bool_or(item = 'Brand#5') AS g FROM raw GROUP BY ALL), c AS (SELECT stratum AS level, count(*) FILTER (g) AS a, count(*) FILTER (NOT g) AS b FROM e GROUP BY ALL), p AS (SELECT level, a / sum(a) OVER () AS p1, b / sum(b) OVER () AS p0 FROM c)
+SELECT 'stratum' AS covariate, level, round(p1, 6) AS p1, round(p0, 6) AS p0, round(abs(p1 - p0) / nullif(sqrt((p1 * (1 - p1) + p0 * (1 - p0)) / 2), 0), 6) AS difference FROM p""",
+    "stage_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in ("customer", "orders", "lineitem", "part")),
+    "identifiability_panel": f"""WITH {GRID} SELECT g.site, g.item, count(*) AS eligible, count(o.outcome) AS known, count(*) FILTER (o.outcome IN ('R', 'A')) AS positive
+FROM grid g LEFT JOIN obs o ON o.episode = g.episode AND o.item = g.item WHERE g.is_available AND NOT g.is_intrinsic GROUP BY ALL""",
+}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import effects as E
 from ..functions import labels as L
-from ..operators import adjusted, cleaning, descriptive, evaluation, history, network, opportunity, patterns, prevalence, replication, resampling
+from ..operators import adjusted, audit, cleaning, descriptive, evaluation, history, models, network, opportunity, patterns, prevalence, replication, resampling
 from ..operators.patterns import PAIR
 from ..sources import tables
 from .roles import MIN_SUPPORT, NEGATIVE, POSITIVE, categories, intrinsic, observations, resolved, table
@@ -266,14 +266,40 @@ def page_rank(s, d):
     return network.page_rank(edge_table(s, d).withColumn("w", F.abs(F.log("ratio"))), "w")
 
 
-@query
-def adjusted_odds(s, d):
+def exposed_rows(s, d):
+    """One item's results with whether each other item shows, for the adjusted models."""
     o = resolved(observations(s, d))
     up = o.where((F.col("item") == "Brand#5") & F.col("outcome").isin(POSITIVE, NEGATIVE)).select("episode", F.col("item").alias("upstream"), (F.col("outcome") == POSITIVE).cast("int").alias("exposed"), F.concat_ws("::", "site", "unit").alias("cluster"), "stratum", "site")
     items = o.where("item <> 'Brand#5'").select(F.col("item").alias("downstream")).distinct()
     down = o.select("episode", F.col("item").alias("downstream"), F.lit(1).alias("shown"))
-    rows = up.crossJoin(F.broadcast(items)).join(down, ["episode", "downstream"], "left").fillna(0, ["shown"])  # one item's episodes x items
-    return adjusted.adjusted_odds(rows, ["site", "stratum"])
+    return up.crossJoin(F.broadcast(items)).join(down, ["episode", "downstream"], "left").fillna(0, ["shown"])  # one item's episodes x items
+
+
+@query
+def adjusted_odds(s, d):
+    return adjusted.adjusted_odds(exposed_rows(s, d), ["site", "stratum"])
+
+
+@query
+def adjusted_ridge_refits(s, d):
+    return models.ridge_refits(exposed_rows(s, d), ["site", "stratum"])
+
+
+@query
+def adjusted_contributions(s, d):
+    return models.contributions(exposed_rows(s, d), ["site", "stratum"])
+
+
+@query
+def unit_bootstrap(s, d):
+    rows = exposed_rows(s, d).where("downstream in ('Brand#6', 'Brand#7', 'Brand#8')")
+    c = rows.groupBy(*PAIR, "site", "cluster").agg(*[F.sum(F.expr(e)).alias(n) for n, e in (("n_pos", "exposed"), ("k_pos", "exposed * shown"), ("n_neg", "1 - exposed"), ("k_neg", "(1 - exposed) * shown"))])
+    return resampling.cluster_bootstrap(c)
+
+
+@query
+def between_site_permutation(s, d):
+    return resampling.between_site_permutation(strata(s, d, ("site",)).where("downstream in ('Brand#6', 'Brand#7', 'Brand#8')"))
 
 
 # ---- cleaning and sources
@@ -526,3 +552,196 @@ def split_overlap(s, d):
 def grouped_folds(s, d):
     return evaluation.grouped_folds(scored(s, d), "unit", 5).groupBy("fold").agg(F.count("*").alias("rows"), F.countDistinct("unit").alias("units"))
 
+
+@query
+def fold_thresholds(s, d):
+    """For each fold the threshold chosen on the other folds, and its balanced accuracy on the fold."""
+    rows = evaluation.grouped_folds(scored(s, d), "unit", 5)
+    cuts = [k / 20 for k in range(1, 20)]
+    others = rows.crossJoin(F.broadcast(s.range(5).select(F.col("id").cast("int").alias("held")))).where("fold <> held")  # five copies
+    best = evaluation.best_threshold(evaluation.measures(others, "target", "score", cuts, ["held"]), ["held"]).select(F.col("held").alias("fold"), "threshold")
+    own = evaluation.measures(rows, "target", "score", cuts, ["fold"]).select("fold", "threshold", "balanced_accuracy")
+    return r6(best.join(own, ["fold", "threshold"]))
+
+
+@query
+def ablation_deltas(s, d):
+    a = evaluation.areas(scored(s, d), "target", "score", ["model"]).select("model", F.lit("full").alias("feature_set"), "roc_auc")
+    b = evaluation.areas(scored(s, d).withColumn("score", F.round(F.col("score"), 1)), "target", "score", ["model"]).select("model", F.lit("coarse").alias("feature_set"), "roc_auc")
+    return r6(evaluation.ablation(a.unionByName(b), ["coarse", "full"], "coarse", "roc_auc"))
+
+
+@query
+def trained_classifier(s, d):
+    """Areas by split of a logistic regression fitted on the early years."""
+    o = table(s, d, "orders").select(F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"), "o_orderdate", F.when(F.col("o_totalprice") + (F.col("o_orderkey") % 1000) * 300 > 400000, 1).otherwise(0).alias("target"))
+    return evaluation.areas(models.classifier(evaluation.temporal_split(o, "o_orderdate", 1997, 1999), "target", ["price"], ["priority"], "split"), "target", "score", ["split"])
+
+
+@query
+def modelled_tilt_curve(s, d):
+    return models.modelled_tilt(cells(s, d), ["site", "stratum", "era"], [-2.0, -1.0, 0.0, 1.0, 2.0])
+
+
+@query
+def masking_experiment(s, d):
+    """Prevalence of each item from four fifths of its results, standardised, against that of all of them."""
+    rows = observations(s, d)
+    o = models.masked(resolved(rows), 0.2)
+    part = lambda x: prevalence.summary(prevalence.item_cells(x, rows, MIN_SUPPORT, POSITIVE, intrinsic(s)), 1, 1).select("item", "standardised")
+    known = part(o.where("not is_hidden")).withColumnRenamed("standardised", "from_known")
+    return r6(part(o).withColumnRenamed("standardised", "from_all").join(known, "item").withColumn("error", F.col("from_known") - F.col("from_all")))
+
+
+# ---- flows, reasons, checks
+
+
+@query
+def exclusion_flow(s, d):
+    return audit.flow(observations(s, d), [("known_item", F.col("item").isNotNull()), ("interpretable", F.col("outcome").isin(POSITIVE, NEGATIVE)), ("since_1997", F.year("time") >= 1997), ("not_intrinsic", F.col("item") != "Brand#7")])
+
+
+@query
+def item_panel_reasons(s, d):
+    p = observations(s, d).groupBy("item").agg(F.count("*").alias("rows"), F.countDistinct("episode").alias("episodes"), F.countDistinct("site").alias("sites"), F.count(F.when(F.col("outcome") == POSITIVE, 1)).alias("positives"))
+    return audit.first_reason(p, [("few_sites", F.col("sites") < 5), ("few_rows", F.col("rows") % 3 == 0), ("few_positives", F.col("positives") % 2 == 0)])
+
+
+@query
+def cohort_characteristics(s, d):
+    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return r6(audit.characteristics(o, "c_mktsegment", ["o_orderstatus", "o_orderpriority"], "all"))
+
+
+@query
+def label_transitions(s, d):
+    p = replication.pooled_over_sites(edge_table(s, d, ("site",)))
+    rule = lambda i2: F.when((F.col("i2") <= i2) & (F.abs("z") >= 1.0), "replicated").otherwise("not_replicated")
+    return audit.transitions(p, rule(50), rule(25))
+
+
+@query
+def contract_checks(s, d):
+    rows = observations(s, d)
+    g = opportunity.grid(rows, MIN_SUPPORT, intrinsic(s))
+    return audit.checks(g, [("intrinsic_is_not_eligible", ~(F.col("is_intrinsic") & F.col("is_eligible"))), ("support_when_available", ~F.col("is_available") | (F.col("support") >= MIN_SUPPORT)), ("state_known", F.col("state").isNotNull()), ("observed_flag", F.col("is_observed").isin(0, 1))])
+
+
+@query
+def collapsed_outcomes(s, d):
+    return audit.collapsed(observations(s, d), ["episode", "item"], "outcome", [POSITIVE, NEGATIVE]).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query
+def sampled_customers(s, d):
+    c = table(s, d, "customer").select("c_custkey", "c_mktsegment")
+    return audit.sampled(c, "c_custkey", 0.05, "c_mktsegment", 25)
+
+
+@query
+def linked_orders_of_sample(s, d):
+    """Other tables follow the sampled keys: a semi join."""
+    keys = audit.sampled(table(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", 0.05, "c_mktsegment", 25)
+    return table(s, d, "orders").join(keys, F.col("o_custkey") == F.col("c_custkey"), "left_semi").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query
+def episodes_without_result(s, d):
+    rows = observations(s, d)
+    return rows.select("site", "episode").distinct().join(resolved(rows).select("episode").distinct(), "episode", "left_anti").groupBy("site").agg(F.count("*").alias("episodes"))
+
+
+@query
+def stratum_edges(s, d):
+    """The same patterns within each stratum, in one run."""
+    return r6(edge_table(s, d, ("stratum",)).where("passes_support"))
+
+
+@query
+def year_site_counts(s, d):
+    e = edge_table(s, d, ("site", "year")).where("upstream = 'Brand#5' and downstream in ('Brand#6', 'Brand#8')")
+    return e.groupBy(*PAIR, "site").pivot("year", [1996, 1997, 1998]).agg(F.first("n_pos").alias("n"), F.first("k_pos").alias("k"))
+
+
+@query
+def companion_rates(s, d):
+    """For each pair, the largest and mean rate at which the upstream item's episodes show other items."""
+    rate = counts(s, d).groupBy(*PAIR).agg((F.sum("tested_n") / F.sum("support_n")).alias("p"))
+    every = rate.groupBy("upstream").agg(F.sum("p").alias("total"), F.count("*").alias("n"), F.max("p").alias("top"), F.max_by("downstream", F.struct("p", "downstream")).alias("top_item"))
+    rest = rate.alias("r").join(every, "upstream")
+    second = rate.join(every.select("upstream", "top_item"), "upstream").where("downstream <> top_item").groupBy("upstream").agg(F.max("p").alias("second"))
+    out = rest.join(second, "upstream", "left").withColumn("max_companion", F.when(F.col("downstream") == F.col("top_item"), F.col("second")).otherwise(F.col("top")))
+    return r6(out.select(*PAIR, "max_companion", E.safe_divide(F.col("total") - F.col("p"), F.col("n") - 1).alias("mean_companion")))
+
+
+@query
+def weakest_link_paths(s, d):
+    """Paths whose every stage is significant."""
+    e = patterns.retained(edge_table(s, d))
+    ok = e.select(*PAIR, (F.col("ci_low") > 1).alias("ok"))
+    first, second = (ok.select(F.col("upstream").alias(a), F.col("downstream").alias(b), F.col("ok").alias(o)) for a, b, o in (("a", "b", "ok1"), ("b", "c", "ok2")))
+    p = patterns.top_paths(e, 50).join(first, ["a", "b"], "left").join(second, ["b", "c"], "left")
+    return p.select("a", "b", "c", (F.coalesce("ok1", F.lit(False)) & F.coalesce("ok2", F.lit(False))).alias("qualifies"))
+
+
+@query
+def top_links(s, d):
+    e = edge_table(s, d).withColumns({"support": F.col("n_pos") + F.col("n_neg"), "effect": F.abs(F.log2("ratio"))})
+    return r6(e.orderBy(F.desc("support"), F.desc(F.round("effect", 9)), "upstream", "downstream").limit(30).select(*PAIR, "support", "effect"))
+
+
+@query
+def rate_scatter(s, d):
+    e = edge_table(s, d).where("n_pos >= 20 and n_neg >= 20")
+    p, q = F.col("k_pos") / F.col("n_pos"), F.col("k_neg") / F.col("n_neg")
+    return r6(e.select(*PAIR, p.alias("rate_pos"), q.alias("rate_neg"), (F.greatest(p, F.lit(1e-4)) / F.greatest(q, F.lit(1e-4))).alias("plain_ratio")))
+
+
+@query
+def event_profile(s, d):
+    e = edge_table(s, d).withColumn("events", F.col("k_pos") + F.col("k_neg"))
+    return e.agg(*[F.count(F.when(F.col("events") <= k, 1)).alias(f"at_most_{k}") for k in (1, 100, 250, 300)])
+
+
+@query
+def rules_matched(s, d):
+    """Rule texts to their upstream items, joined to the edges."""
+    rules = s.createDataFrame([("Brand#3", "SAME AS Brand#1 AND Brand#2 IF TESTED"), ("Brand#4", "SAME AS Brand#9"), ("Brand#5", "NONE")], "downstream string, rule string")
+    named = F.regexp_extract("rule", r"^SAME AS (.+?)(?: IF .*)?$", 1)
+    parsed = rules.where(named != "").select("downstream", F.explode(F.split(named, " AND ")).alias("upstream"))
+    e = edge_table(s, d).select(*PAIR, "ratio")
+    return r6(e.join(parsed.withColumn("in_rule", F.lit(True)), PAIR, "left").join(rules.select("downstream", F.lit(True).alias("has_rule")), "downstream").select(*PAIR, "ratio", F.coalesce("in_rule", F.lit(False)).alias("in_rule")))
+
+
+@query
+def recent_errors(s, d):
+    """Purchases with the errors of the same user in the week before: an equi join with a time range."""
+    e = table(s, d, "events")
+    p = e.where("event_type = 'purchase'").select(F.col("event_id").alias("index_id"), "user_id", F.col("ts").alias("t"))
+    x = e.where("event_type = 'error'").select("user_id", "ts", "value")
+    hit = p.join(x, "user_id").where("ts <= t and ts >= t - interval 7 days")
+    return hit.groupBy("index_id").agg(F.count("*").alias("errors"), F.round(F.median("value"), 6).alias("median_value"), F.max("value").alias("max_value"))
+
+
+@query
+def selection_balance(s, d):
+    """Strata of episodes with an item against those without it."""
+    rows = observations(s, d)
+    e = rows.select("episode", "stratum").distinct().join(rows.where("item = 'Brand#5'").select("episode", F.lit(True).alias("g")).distinct(), "episode", "left").withColumn("g", F.coalesce("g", F.lit(False)))
+    return r6(descriptive.difference_by_level(e, "g", "stratum"))
+
+
+@query
+def stage_counts(s, d):
+    """Rows of each table, by name."""
+    names = ["customer", "orders", "lineitem", "part"]
+    return tables.union_all([table(s, d, n).agg(F.count("*").alias("rows")).withColumn("name", F.lit(n)) for n in names])
+
+
+@query
+def identifiability_panel(s, d):
+    """Eligible opportunities with their outcome as 1, 0 or unknown, counted by site and item."""
+    rows = observations(s, d)
+    o = resolved(rows).select("episode", "item", F.when(F.col("outcome").isin(POSITIVE, "A"), 1).otherwise(0).alias("y"))
+    g = opportunity.grid(rows, MIN_SUPPORT, intrinsic(s)).where("is_eligible").select("episode", "item", "site").join(o, ["episode", "item"], "left")
+    return g.groupBy("site", "item").agg(F.count("*").alias("eligible"), F.count("y").alias("known"), F.coalesce(F.sum("y"), F.lit(0)).alias("positive"))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +53,16 @@ def write_result(df: DataFrame, path: str, note: dict | None = None, partition_b
         spark.createDataFrame([(json.dumps(note, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path.rstrip("/") + "_note")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder in spark.checkpoint.dir (a folder of our own where that is unset) and read back: a cut in
+    its lineage that survives lost executors."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "opportune-checkpoints")
+    path = f"{root.rstrip('/')}/opportune/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_table_dir(spark: SparkSession, base: str, names: list[str], required: list[str] = ()) -> dict[str, DataFrame]:
     """The tables that exist under base; a missing required one raises."""
     out = {}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opportune.functions import effects as E
 from opportune.functions import labels as L
-from opportune.operators import adjusted, cleaning, descriptive, evaluation, history, network, patterns, prevalence, replication, resampling
+from opportune.operators import adjusted, audit, cleaning, descriptive, evaluation, history, models, network, patterns, prevalence, replication, resampling
 from opportune.sources import tables
 
 
@@ -176,3 +176,38 @@ def test_operators_run_on_micro_batches(spark, tmp_path):
     stream = spark.readStream.schema("k int, o string").parquet(str(tmp_path / "in"))
     run_on_batches(stream, lambda b: cleaning.resolved(b, ["k"], "o"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert [r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+
+
+def test_flow_reasons_and_checks(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "a"), (3, "b")], "v int, w string")
+    rules = [("v", F.col("v").isNotNull()), ("w", F.col("w") == "a")]
+    assert [(r.stage, r.rows, r.removed) for r in audit.flow(df, rules).orderBy("step").collect()] == [("all", 3, 0), ("v", 2, 1), ("w", 1, 1)]
+    assert [r.reason for r in audit.first_reason(df, [("big", F.col("v") > 2), ("a", F.col("w") == "a")]).collect()] == ["a", "a", "big"]
+    assert {r.check: (r.failures, r.passed) for r in audit.checks(df, [*rules, ("any", F.lit(True))]).collect()} == {"v": (1, False), "w": (1, False), "any": (0, True)}
+
+
+def test_collapsed_prefers_firm_outcomes(spark):
+    df = spark.createDataFrame([(1, "I"), (1, "R"), (2, "R"), (2, "S"), (3, None), (4, "I")], "k int, o string")
+    assert {r.k: r.o for r in audit.collapsed(df, ["k"], "o", ["R", "S"]).collect()} == {1: "R", 2: "CONFLICTING", 3: None, 4: "I"}
+
+
+def test_sample_keeps_a_floor_of_each_family(spark):
+    df = spark.createDataFrame([(k, "rare" if k < 5 else "usual") for k in range(500)], "k int, f string")
+    got = audit.sampled(df, "k", 0.02, "f", 4)
+    assert got.where("f = 'rare'").count() >= 4 and got.count() < 60 and sorted(map(tuple, got.collect())) == sorted(map(tuple, audit.sampled(df.orderBy(F.desc("k")), "k", 0.02, "f", 4).collect()))
+
+
+def test_tilt_falls_and_meets_the_data(spark):
+    cells = spark.createDataFrame([("i", "a", 100, 50, 10), ("i", "b", 100, 50, 30), ("j", "a", 10, 5, 0)], "item string, g string, eligible long, evaluable long, positive long")
+    got = {(r.item, r.tilt): r for r in models.modelled_tilt(cells, ["g"], [-1.0, 0.0, 1.0, 60.0]).collect()}
+    curve = [got["i", t].prevalence for t in (-1.0, 0.0, 1.0, 60.0)]
+    assert curve == sorted(curve, reverse=True) and curve[1] == pytest.approx(0.4, abs=0.01) and curve[3] == pytest.approx(40 / 200, abs=1e-6)
+    assert got["j", 0.0].status == "not_evaluable"
+
+
+def test_contributions_find_the_driver(spark):
+    rows = [("a", "b", f"c{k}", k % 2, int(k % 4 == 0 or k % 2 == 1), "xy"[k % 3 == 0]) for k in range(400)]
+    got = {r.domain: r.importance for r in models.contributions(spark.createDataFrame(rows, "upstream string, downstream string, cluster string, exposed int, shown int, g string"), ["g"]).collect()}
+    assert got["exposed"] > 5 * got["g"] >= 0
+    fits = models.ridge_refits(spark.createDataFrame(rows, "upstream string, downstream string, cluster string, exposed int, shown int, g string").where("cluster <> 'c3'").withColumn("shown", F.when(F.col("cluster").isin("c1", "c5", "c9", "c11"), 0).otherwise(F.col("shown"))), ["g"]).collect()
+    assert {f.penalty for f in fits} == {1.0, 10.0, 100.0}
