@@ -12,7 +12,7 @@ from ..functions import labels as L
 from ..operators import adjusted, audit, cleaning, descriptive, evaluation, history, models, network, opportunity, patterns, prevalence, replication, resampling
 from ..operators.patterns import PAIR
 from ..sources import tables
-from .roles import MIN_SUPPORT, NEGATIVE, POSITIVE, categories, intrinsic, observations, resolved, table
+from .roles import MIN_SUPPORT, NEGATIVE, POSITIVE, categories, intrinsic, known, observations, resolved, seen, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SITES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -29,8 +29,8 @@ def r6(df: DataFrame) -> DataFrame:
 
 
 def counts(s: SparkSession, d: str, by: tuple[str, ...] = (), min_support: int = MIN_SUPPORT) -> DataFrame:
-    rows = observations(s, d)
-    return patterns.branch_counts(resolved(rows), rows, min_support, intrinsic(s), by)
+    rows = seen(s, d)
+    return patterns.branch_counts(known(rows), rows, min_support, intrinsic(s), by)
 
 
 def edge_table(s: SparkSession, d: str, by: tuple[str, ...] = (), min_support: int = MIN_SUPPORT) -> DataFrame:
@@ -69,18 +69,18 @@ def outcome_conflicts(s, d):
 
 @query
 def availability(s, d):
-    return opportunity.availability(opportunity.with_era(observations(s, d)), MIN_SUPPORT, intrinsic(s))
+    return opportunity.availability(seen(s, d), MIN_SUPPORT, intrinsic(s))
 
 
 @query
 def opportunity_states(s, d):
-    rows = observations(s, d)
+    rows = seen(s, d)
     return opportunity.grid(rows, MIN_SUPPORT, intrinsic(s)).groupBy("site", "era", "state").agg(F.count("*").alias("n"), F.sum("is_observed").alias("observed"))
 
 
 @query
 def opportunity_summary(s, d):
-    return r6(opportunity.space_summary(observations(s, d), MIN_SUPPORT, intrinsic(s)))
+    return r6(opportunity.space_summary(seen(s, d), MIN_SUPPORT, intrinsic(s)))
 
 
 @query
@@ -127,8 +127,8 @@ def edge_threshold_grid(s, d):
 
 @query
 def bundled_pairs(s, d):
-    rows = observations(s, d)
-    return r6(patterns.co_observed(resolved(rows), rows, MIN_SUPPORT, share=0.15, floor=25))
+    rows = seen(s, d)
+    return r6(patterns.co_observed(known(rows), rows, MIN_SUPPORT, share=0.15, floor=25))
 
 
 @query
@@ -149,12 +149,12 @@ def node_degrees(s, d):
 
 @query
 def panel_sizes(s, d):
-    return r6(patterns.panel_size(resolved(observations(s, d))))
+    return r6(patterns.panel_size(known(seen(s, d))))
 
 
 @query
 def item_overlap(s, d):
-    return r6(patterns.overlap(resolved(observations(s, d))))
+    return r6(patterns.overlap(known(seen(s, d))))
 
 
 @query
@@ -217,7 +217,7 @@ def pooled_edges_fdr(s, d):
 
 @query
 def temporal_thirds(s, d):
-    o = resolved(observations(s, d))
+    o = known(seen(s, d))
     pairs = s.createDataFrame([("Brand#1", "Brand#2"), ("Brand#5", "Brand#6"), ("Brand#9", "Brand#4")], "upstream string, downstream string")
     return r6(replication.temporal_thirds(o, pairs, POSITIVE, NEGATIVE))
 
@@ -268,7 +268,7 @@ def page_rank(s, d):
 
 def exposed_rows(s, d):
     """One item's results with whether each other item shows, for the adjusted models."""
-    o = resolved(observations(s, d))
+    o = known(seen(s, d))
     up = o.where((F.col("item") == "Brand#5") & F.col("outcome").isin(POSITIVE, NEGATIVE)).select("episode", F.col("item").alias("upstream"), (F.col("outcome") == POSITIVE).cast("int").alias("exposed"), F.concat_ws("::", "site", "unit").alias("cluster"), "stratum", "site")
     items = o.where("item <> 'Brand#5'").select(F.col("item").alias("downstream")).distinct()
     down = o.select("episode", F.col("item").alias("downstream"), F.lit(1).alias("shown"))
@@ -387,7 +387,7 @@ def scope_counts(s, d):
 
 @query
 def availability_exposure(s, d):
-    return descriptive.availability_exposure(observations(s, d), 100)
+    return descriptive.availability_exposure(seen(s, d), 100)
 
 
 @query
@@ -397,8 +397,8 @@ def episodes_per_unit(s, d):
 
 @query
 def panel_breadth(s, d):
-    rows = observations(s, d)
-    return r6(descriptive.panel_breadth(resolved(rows), rows))
+    rows = seen(s, d)
+    return r6(descriptive.panel_breadth(known(rows), rows))
 
 
 @query
@@ -413,8 +413,8 @@ def first_episodes(s, d):
 
 @query
 def coverage_by_era(s, d):
-    rows = observations(s, d)
-    return r6(descriptive.coverage_by_era(resolved(rows), rows))
+    rows = seen(s, d)
+    return r6(descriptive.coverage_by_era(known(rows), rows))
 
 
 @query
@@ -486,8 +486,8 @@ def active_conditions(s, d):
 
 
 def cells(s, d):
-    rows = observations(s, d)
-    return prevalence.item_cells(resolved(rows), rows, MIN_SUPPORT, POSITIVE, intrinsic(s))
+    rows = seen(s, d)
+    return prevalence.item_cells(known(rows), rows, MIN_SUPPORT, POSITIVE, intrinsic(s))
 
 
 @query
@@ -512,7 +512,7 @@ def prevalence_tipping_points(s, d):
 
 @query
 def edge_enrichment(s, d):
-    return r6(prevalence.enrichment(resolved(observations(s, d)), edge_table(s, d).where("ratio > 1.05"), POSITIVE))
+    return r6(prevalence.enrichment(known(seen(s, d)), edge_table(s, d).where("ratio > 1.05"), POSITIVE))
 
 
 # ---- evaluation
@@ -586,8 +586,8 @@ def modelled_tilt_curve(s, d):
 @query
 def masking_experiment(s, d):
     """Prevalence of each item from four fifths of its results, standardised, against that of all of them."""
-    rows = observations(s, d)
-    o = models.masked(resolved(rows), 0.2)
+    rows = seen(s, d)
+    o = models.masked(known(rows), 0.2)
     part = lambda x: prevalence.summary(prevalence.item_cells(x, rows, MIN_SUPPORT, POSITIVE, intrinsic(s)), 1, 1).select("item", "standardised")
     known = part(o.where("not is_hidden")).withColumnRenamed("standardised", "from_known")
     return r6(part(o).withColumnRenamed("standardised", "from_all").join(known, "item").withColumn("error", F.col("from_known") - F.col("from_all")))
@@ -622,7 +622,7 @@ def label_transitions(s, d):
 
 @query
 def contract_checks(s, d):
-    rows = observations(s, d)
+    rows = seen(s, d)
     g = opportunity.grid(rows, MIN_SUPPORT, intrinsic(s))
     return audit.checks(g, [("intrinsic_is_not_eligible", ~(F.col("is_intrinsic") & F.col("is_eligible"))), ("support_when_available", ~F.col("is_available") | (F.col("support") >= MIN_SUPPORT)), ("state_known", F.col("state").isNotNull()), ("observed_flag", F.col("is_observed").isin(0, 1))])
 
@@ -647,8 +647,8 @@ def linked_orders_of_sample(s, d):
 
 @query
 def episodes_without_result(s, d):
-    rows = observations(s, d)
-    return rows.select("site", "episode").distinct().join(resolved(rows).select("episode").distinct(), "episode", "left_anti").groupBy("site").agg(F.count("*").alias("episodes"))
+    rows = seen(s, d)
+    return rows.select("site", "episode").distinct().join(known(rows).select("episode").distinct(), "episode", "left_anti").groupBy("site").agg(F.count("*").alias("episodes"))
 
 
 @query
@@ -741,7 +741,7 @@ def stage_counts(s, d):
 @query
 def identifiability_panel(s, d):
     """Eligible opportunities with their outcome as 1, 0 or unknown, counted by site and item."""
-    rows = observations(s, d)
-    o = resolved(rows).select("episode", "item", F.when(F.col("outcome").isin(POSITIVE, "A"), 1).otherwise(0).alias("y"))
+    rows = seen(s, d)
+    o = known(rows).select("episode", "item", F.when(F.col("outcome").isin(POSITIVE, "A"), 1).otherwise(0).alias("y"))
     g = opportunity.grid(rows, MIN_SUPPORT, intrinsic(s)).where("is_eligible").select("episode", "item", "site").join(o, ["episode", "item"], "left")
     return g.groupBy("site", "item").agg(F.count("*").alias("eligible"), F.count("y").alias("known"), F.coalesce(F.sum("y"), F.lit(0)).alias("positive"))

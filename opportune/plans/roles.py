@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, opportunity
+from ..sources import tables
 
 POSITIVE, NEGATIVE, OTHER = "R", "N", "A"
 #: Least number of episodes of a cell that show an item for it to count as available there, for each 0.01 of scale.
@@ -40,6 +41,21 @@ def resolved(rows: DataFrame) -> DataFrame:
     return cleaning.resolved(rows, ["site", "unit", "episode", "time", "stratum", "era", "item"], "outcome")
 
 
+def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each episode and item seen: its outcome, null if results conflict. Written once, as patterns read it several times.
+
+    The star join and the grouping so run once in a query, and each later read takes only the columns that it needs.
+    """
+    keys = ["site", "unit", "episode", "time", "stratum", "era", "item"]
+    rows = observations(spark, sf_dir).groupBy(*keys).agg(F.min("outcome").alias("outcome"), F.max("outcome").alias("most"))
+    return tables.written(rows.select(*keys, F.when(F.col("outcome") == F.col("most"), F.col("outcome")).alias("outcome")), "seen")
+
+
+def known(marked: DataFrame) -> DataFrame:
+    """The rows of `seen` with an outcome."""
+    return marked.where("outcome is not null")
+
+
 def intrinsic(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(INTRINSIC, "stratum string, item string")
 
