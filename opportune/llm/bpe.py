@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import prepare, chunks
 from .merging import NONE, PairTable, merge_words
 
-#: Entries of a worker's word table; it is emptied beyond this.
-WORD_TABLE = 600_000
+#: Entries of a worker's word table (about 200 bytes each), unless told otherwise; it is emptied beyond this.
+WORD_TABLE = 250_000
 
 
 # Letters and numbers of Unicode 16 that Python's tables don't have yet, and their lower case.
@@ -64,7 +64,8 @@ class BpeCodec:
     Raises ValueError if the file asks for something that the tables don't model.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, word_table: int = WORD_TABLE):
+        self.word_table = word_table
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, suffix = spec["model"], spec["model"].get("end_of_word_suffix") or ""
@@ -261,7 +262,7 @@ class BpeCodec:
                 runs.extend(self._runs(text))
             counts.append(len(runs) - before)
         missing = list({*runs}.difference(self.words))
-        if len(self.words) + len(missing) > WORD_TABLE:
+        if len(self.words) + len(missing) > self.word_table:
             self._reset()
             missing = list({*runs})
         if missing:

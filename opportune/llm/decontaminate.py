@@ -87,7 +87,7 @@ def _scan(wanted, margin: int):
                     lo, hi = max(0, int(part[0]) - margin), min(len(words), int(part[-1]) + SEED + margin)
                     out.append((key, doc_id, lo, [w.decode("utf-8", "replace") for w in words[lo:hi]], h[part].view(np.int64).tolist()))
             if out:
-                yield pd.DataFrame(out, columns=["key", "doc_id", "first", "words", "hits"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=["key", "doc_id", "first", "words", "hits"])
 
     return scan
 
@@ -132,7 +132,7 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             first, size = part["first"].to_numpy(), np.array([len(p) for p in passages])
             yield pd.DataFrame(
                 {
-                    "key": part["key"], "doc_id": part["doc_id"].astype("Int64"), "item_id": part["item_id"], "score": np.minimum(1.0, best / (MATCH * np.minimum(length, LONG_ITEM))),
+                    "key": part["key"], "doc_id": part["doc_id"], "item_id": part["item_id"], "score": np.minimum(1.0, best / (MATCH * np.minimum(length, LONG_ITEM))),
                     "first_word": first + size - 1 - back, "last_word": first + end, "points": best, "item_words": length,
                 }
             )
@@ -147,9 +147,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     prepare(spark)
-    source = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    items = written(items.mapInPandas(_items, "item_id bigint, words array<string>, seeds array<bigint>").where("size(seeds) > 0"), "items")
+    # ids pass Python as text: pandas has nullable integers as floating point numbers
+    source = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    items = written(items.mapInPandas(_items, "item_id string, words array<string>, seeds array<bigint>").where("size(seeds) > 0"), "items")
     items = items.withColumn("item", F.xxhash64("item_id", "words"))
     total, longest = items.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0)), F.coalesce(F.max(F.size("words")), F.lit(0))).first()
     blocks = -(-total // BLOCK)
@@ -163,14 +164,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         return spark.createDataFrame([], kind)
     whole = F.col("points") >= MATCH * F.least(F.col("item_words"), F.lit(LEAST_WORDS))
     best = out.where(whole & (F.col("score") >= threshold)).groupBy("key", "doc_id", "item_id")
-    return best.agg(F.max(F.struct("score", -F.col("first_word"), "last_word")).alias("b")).select("key", "doc_id", "item_id", "b.score", (-F.col("b.col2")).alias("first_word"), "b.last_word")
+    return best.agg(F.max(F.struct("score", -F.col("first_word"), "last_word")).alias("b")).select("key", F.col("doc_id").cast("bigint").alias("doc_id"), F.col("item_id").cast("bigint").alias("item_id"), "b.score", (-F.col("b.col2")).alias("first_word"), "b.last_word")
 
 
 def _leaks_of(source: DataFrame, items: DataFrame, longest: int) -> DataFrame:
     spark = source.sparkSession
     seeds = items.select("item", F.posexplode("seeds").alias("at", "seed"))
     wanted = np.sort(np.array([r[0] for r in seeds.select("seed").distinct().collect()], np.int64).view(np.uint64))  # about BLOCK at most
-    kind = "key bigint, doc_id bigint, first bigint, words array<string>, hits array<bigint>"
+    kind = "key bigint, doc_id string, first bigint, words array<string>, hits array<bigint>"
     passages = source.mapInPandas(_scan(spark.sparkContext.broadcast(wanted), min(longest, 4 * LONG_ITEM)), kind)
     passages = written(passages.dropDuplicates(["key", "first"]), "passages")
     hits = passages.select("key", "first", F.explode("hits").alias("seed")).distinct()
@@ -183,7 +184,7 @@ def _leaks_of(source: DataFrame, items: DataFrame, longest: int) -> DataFrame:
     chosen = strong.unionByName(rare).join(F.broadcast(named), "item")
     chosen = passages.select("key", "doc_id", "first", "words").join(chosen, ["key", "first"])
     chosen = chosen.select("key", "doc_id", "first", "words", "item_id", F.col("item_words").alias("item"))
-    return chosen.mapInPandas(_score, "key bigint, doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint, points int, item_words int")
+    return chosen.mapInPandas(_score, "key bigint, doc_id string, item_id string, score double, first_word bigint, last_word bigint, points int, item_words int")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

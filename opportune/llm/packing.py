@@ -24,6 +24,8 @@ from .common import prepare, chunks
 LENGTH = 2048
 #: Tokens that are packed together; bounds the memory of a task.
 WINDOW = 4_000_000
+#: Entries of a worker's word table: larger than elsewhere, as a task holds no decoded texts.
+WORD_TABLE = 600_000
 #: Rows of a matrix.
 ROWS = 128
 
@@ -116,11 +118,11 @@ def _pack(codec, length: int, window: int, pad: int, kind: str):
                 yield pd.DataFrame(out[k : k + 8], dtype=object)
 
         for batch in batches:
-            doc_ids = iter(batch["doc_id"].astype("Int64"))
+            doc_ids = iter(batch["doc_id"])  # text, as pandas has nullable integers as floating point numbers
             for block in chunks(batch["text"]):
                 for ids in codec.value.encode(block):
                     doc_id = next(doc_ids)
-                    doc_id = None if doc_id is pd.NA else int(doc_id)
+                    doc_id = None if doc_id is None else int(doc_id)
                     for part, at in enumerate(range(0, len(ids), length)):
                         pieces.append((doc_id, part, ids[at : at + length].astype(kind)))
                     held += len(ids)
@@ -145,10 +147,10 @@ def pack(df: DataFrame, vocab_path: str, length: int = LENGTH, window: int = WIN
     gives no rows; other columns are ignored.
     """
     prepare(df.sparkSession)
-    codec = BpeCodec(vocab_path)
+    codec = BpeCodec(vocab_path, WORD_TABLE)
     pad = len(codec.strings) - 1
     sent = df.sparkSession.sparkContext.broadcast(codec)
-    rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = "matrix_id bigint, n_rows int, n_tokens bigint, input_ids binary, position_ids binary, cu_seqlens array<array<int>>, doc_ids array<array<bigint>>, parts array<array<int>>"
     return rows.mapInPandas(_pack(sent, length, window, pad, "<u2" if pad < 65536 else "<u4"), kind)
 

@@ -179,7 +179,7 @@ def leak_tables(spark):
     dropped = [w for k, w in enumerate(items[2]) if k % 6]
     docs = [
         (0, " ".join(fill(50) + items[0] + fill(50))), (1, " ".join(fill(9) + edited + fill(70)).upper()), (2, ", ".join(fill(30) + dropped)), (3, " ".join(fill(200))), (4, " ".join(fill(30) + items[3][:6] + fill(30))),
-        (5, " ".join(items[4][:25] + fill(20))), (6, None), (7, ""), (None, " ".join(items[0])), (0, " ".join(items[5])), (8, " ".join(fill(60_000) + items[5] + fill(10))),
+        (5, " ".join(items[4][:25] + fill(20))), (6, None), (7, ""), (None, " ".join(items[0])), (0, " ".join(items[5])), (2**60 + 1, " ".join(fill(60_000) + items[5] + fill(10))),
     ]
     bench = [(k, " ".join(i)) for k, i in enumerate(items)] + [(90, None), (91, "too short"), (None, " ".join(items[5]))]
     return spark.createDataFrame([(*d, "z") for d in docs], "doc_id long, text string, item_id string"), spark.createDataFrame(bench, "item_id long, text string")
@@ -199,9 +199,9 @@ def test_leaks_equal_full_alignment(spark, monkeypatch, block):
                 score = brute_align(words, item) / (2 * len(item))
                 if score >= 0.5:
                     want[d.doc_id, b.item_id] = max(score, want.get((d.doc_id, b.item_id), 0))
-    want |= {(8, 5): 1.0, (8, None): 1.0}
+    want |= {(2**60 + 1, 5): 1.0, (2**60 + 1, None): 1.0}
     assert got == {k: pytest.approx(v) for k, v in want.items()}
-    assert {k[0] for k in got} == {0, 1, 2, 5, None, 8}
+    assert {k[0] for k in got} == {0, 1, 2, 5, None, 2**60 + 1}
     clean = decontaminate.decontaminate(docs, bench)
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 6, 7]
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0

@@ -98,7 +98,7 @@ def test_lockstep_merging_equals_plain_merging():
 
 
 def test_table_reset_changes_nothing(codec, library, monkeypatch):
-    monkeypatch.setattr(bpe, "WORD_TABLE", 50)
+    monkeypatch.setattr(codec, "word_table", 50)
     texts = [" ".join(f"w{i}x{j}. yes" for j in range(20)) for i in range(20)]
     for t in texts:
         assert codec.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
@@ -106,7 +106,7 @@ def test_table_reset_changes_nothing(codec, library, monkeypatch):
 
 def odd_table(spark):
     long = "lorem ipsum " * 40_000
-    rows = [(1, "Hello there", "x"), (1, "Hello there", "x"), (2, "", "x"), (3, None, "x"), (None, "null id", "x"), (4, long, "x")]
+    rows = [(1, "Hello there", "x"), (1, "Hello there", "x"), (2, "", "x"), (3, None, "x"), (None, "null id", "x"), (2**60 + 1, long, "x")]
     return spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
 
 
