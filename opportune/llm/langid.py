@@ -155,8 +155,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     idf = np.log((1 + frequency[-1]) / (1 + df)) + 1
     most = max(1, sample // len(languages))
     first = Window.partitionBy("lang").orderBy("hash", "id")
-    # hashes below twice the wanted share come first in any case; only they are sorted
-    ids = rows.select("id", "lang", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40)).alias("hash")).join(sizes, "lang")
+    # hashes below twice the wanted share come first in any case; only they are sorted; sizes has a row for each language
+    ids = rows.select("id", "lang", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40)).alias("hash")).join(F.broadcast(sizes), "lang")
     ids = ids.where(F.col("hash") < 2.0 * (1 << 40) * (most + 50) / F.col("n")).withColumn("place", F.row_number().over(first))
     ids = written(ids.where(F.col("place") <= most).select("id", F.col("lang").alias("l"), "place"), "language-sample")
     chosen = rows.join(F.broadcast(ids), (rows["id"] == ids["id"]) & (rows["lang"] == ids["l"])).select("lang", "place", "text")
