@@ -93,7 +93,7 @@ def difference_by_level(df: DataFrame, group: str, covariate: str) -> DataFrame:
     """The same for each level of a category: shares p and their variance p (1 - p)."""
     counts = df.where(F.col(covariate).isNotNull()).groupBy(covariate).agg(F.count(F.when(F.col(group), 1)).alias("a"), F.count(F.when(~F.col(group), 1)).alias("b"))
     totals = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    p = counts.crossJoin(F.broadcast(totals)).select(F.lit(covariate).alias("covariate"), F.col(covariate).alias("level"), (F.col("a") / F.col("na")).alias("p1"), (F.col("b") / F.col("nb")).alias("p0"))
+    p = counts.crossJoin(F.broadcast(totals)).select(F.lit(covariate).alias("covariate"), F.col(covariate).alias("level"), (F.col("a") / F.nullif(F.col("na"), F.lit(0))).alias("p1"), (F.col("b") / F.nullif(F.col("nb"), F.lit(0))).alias("p0"))
     pooled = F.sqrt((F.col("p1") * (1 - F.col("p1")) + F.col("p0") * (1 - F.col("p0"))) / 2)
     return p.withColumn("difference", F.abs(F.col("p1") - F.col("p0")) / F.nullif(pooled, F.lit(0.0)))
 

@@ -69,7 +69,7 @@ def space_summary(observations: DataFrame, min_support: int, intrinsic: DataFram
         F.sum("observed").alias("observed_rows"),
     ]
     out = wide.rollup("site").agg(*sums).withColumn("site", F.coalesce("site", F.lit("all_sites")))
-    return out.withColumn("observed_share", F.col("observed_rows") / F.col("eligible_rows"))
+    return out.withColumn("observed_share", F.col("observed_rows") / F.nullif(F.col("eligible_rows"), F.lit(0)))
 
 
 def testing_matrix(observations: DataFrame, items: list[str], prefix: str = "tested__") -> DataFrame:

@@ -96,7 +96,7 @@ def degeneracy(strata: DataFrame) -> DataFrame:
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     rows = F.col("n_pos") + F.col("n_neg")
     out = strata.groupBy(*PAIR).agg(F.count("*").alias("n_strata"), F.count(F.when(both, 1)).alias("both_labels"), F.sum(F.when(both, rows).otherwise(0)).alias("permutable"), F.sum(rows).alias("rows"))
-    return out.withColumn("fixed_share", 1 - F.col("permutable") / F.col("rows"))
+    return out.withColumn("fixed_share", 1 - F.col("permutable") / F.nullif(F.col("rows"), F.lit(0)))
 
 
 def cluster_bootstrap(clusters: DataFrame, draws: int = 250, seed: int = 7, salt: int = 71) -> DataFrame:

@@ -1,6 +1,7 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from opportune.plans.oracle import ORACLE
@@ -19,7 +20,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v:
+    if pd.api.types.is_scalar(v) and pd.isna(v):
         return "null"
     if isinstance(v, bool) or type(v).__name__ in ("bool", "bool_"):
         return str(bool(v))
