@@ -2,7 +2,7 @@
 
 Texts are words: lower case, ASCII punctuation dropped. Seeds are the items' SEED-word grams. Documents are scanned for them in
 one map-only pass; only passages around seeds leave it. A passage and an item become a pair if two of the item's seeds are in
-the passage, or one rare one. Pairs are aligned word by word, so edited and paraphrased copies score by what they kept.
+the passage, or one rare one: one that few items have, at any size of the corpus, or few documents. Pairs are aligned word by word, so edited and paraphrased copies score by what they kept.
 
 Items are handled in blocks of at most BLOCK seeds, whose hashes, seeds and words are broadcast; a larger benchmark takes more
 scans of the documents, one for each block, and never a larger broadcast.
@@ -23,8 +23,8 @@ from .common import prepare, unused, written
 SEED = 4
 #: Most seeds of the items that are searched for in one scan.
 BLOCK = 500_000
-#: A seed that at most so many documents hold suffices alone.
-RARE = 50
+#: A seed that at most so many items, or so many documents, hold suffices alone.
+FEW_ITEMS, RARE = 3, 50
 #: Alignment: points of an equal word, cost of another word, cost of a missing or added word.
 MATCH, MISMATCH, SKIP = 2, 1, 1
 #: An item of more words counts as this long: a copied stretch of a long item is a leak as well.
@@ -154,10 +154,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = items.withColumn("item", F.xxhash64("item_id", "words"))
     total, longest = items.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0)), F.coalesce(F.max(F.size("words")), F.lit(0))).first()
     blocks = -(-total // BLOCK)
+    holders = items.select("item", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.countDistinct("item").alias("holders"))
     out = None
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else items
-        found = _leaks_of(source, mine, int(longest))
+        found = _leaks_of(source, mine, holders, int(longest))
         out = found if out is None else out.unionByName(found)
     kind = "key bigint, doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint"
     if out is None:
@@ -167,7 +168,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return best.agg(F.max(F.struct("score", -F.col("first_word"), "last_word")).alias("b")).select("key", F.col("doc_id").cast("bigint").alias("doc_id"), F.col("item_id").cast("bigint").alias("item_id"), "b.score", (-F.col("b.col2")).alias("first_word"), "b.last_word")
 
 
-def _leaks_of(source: DataFrame, items: DataFrame, longest: int) -> DataFrame:
+def _leaks_of(source: DataFrame, items: DataFrame, holders: DataFrame, longest: int) -> DataFrame:
     spark = source.sparkSession
     seeds = items.select("item", F.posexplode("seeds").alias("at", "seed"))
     wanted = np.sort(np.array([r[0] for r in seeds.select("seed").distinct().collect()], np.int64).view(np.uint64))  # about BLOCK at most
@@ -176,9 +177,12 @@ def _leaks_of(source: DataFrame, items: DataFrame, longest: int) -> DataFrame:
     passages = written(passages.dropDuplicates(["key", "first"]), "passages")
     hits = passages.select("key", "first", F.explode("hits").alias("seed")).distinct()
     spread = hits.groupBy("seed").agg(F.countDistinct("key").alias("documents"))
-    pairs = hits.join(F.broadcast(seeds), "seed").groupBy("key", "first", "item").agg(F.countDistinct("at").alias("votes"), F.collect_set("seed").alias("seeds"))
-    strong = pairs.where("votes >= 2").select("key", "first", "item")
-    weak = pairs.where("votes < 2").select("key", "first", "item", F.explode("seeds").alias("seed"))
+    seeds = seeds.join(holders, "seed")
+    pairs = hits.join(F.broadcast(seeds), "seed").groupBy("key", "first", "item")
+    pairs = pairs.agg(F.countDistinct("at").alias("votes"), F.min("holders").alias("holders"), F.collect_set("seed").alias("seeds"))
+    alone = (F.col("votes") < 2) & (F.col("holders") > FEW_ITEMS)
+    strong = pairs.where(~alone).select("key", "first", "item")
+    weak = pairs.where(alone).select("key", "first", "item", F.explode("seeds").alias("seed"))
     rare = weak.join(spread.where(F.col("documents") <= RARE), "seed", "left_semi").select("key", "first", "item")
     named = items.select("item", "item_id", F.col("words").alias("item_words"))
     chosen = strong.unionByName(rare).join(F.broadcast(named), "item")
