@@ -142,6 +142,19 @@ def test_recall_with_a_third_of_equal_vectors(spark):
     assert hits / (60 * 20) >= 0.95
 
 
+def test_recall_holds_over_many_lists(spark, monkeypatch):
+    """Vectors without clusters in 375 lists, of which 48 hold too few of the neighbours."""
+    monkeypatch.setattr(ann, "LIST", 32)
+    x = np.random.default_rng(2).normal(size=(12_000, 32))
+    x = (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.search(df, "vec_id % 40 = 0", k=20).toPandas()
+    s = x[::40].astype(float) @ x.T.astype(float)
+    s[np.arange(300), np.arange(0, 12_000, 40)] = -np.inf
+    want = {(q * 40, int(v)) for q, best in enumerate(np.argsort(-s, 1)[:, :20]) for v in best}
+    assert len(got) == 6000 and len(want & {*zip(got.query_id, got.vec_id)}) / 6000 >= 0.9
+
+
 def test_odd_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0]), (7, [float("inf"), 1.0]), (None, [1.0, 1.0]), (8, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
