@@ -36,6 +36,8 @@ TRIALS, WANTED = 512, 0.95
 PARTS, CODES = 16, 256
 RERANK = 96
 BLOCK, CHUNK = 2_048, 512
+#: Found rows that a task holds before it merges them; as many as are left of a merge are passed on when over half of it.
+HELD = 1_000_000
 
 
 @dataclass
@@ -226,10 +228,21 @@ def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def merged(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The k best rows of each query; ties go to the smaller id."""
+    rows = pd.concat(found, ignore_index=True)
+    order = np.lexsort((rows["vec_id"], -rows["score"], rows["query_id"]))
+    rows = rows.iloc[order]
+    return rows[(rows.groupby("query_id").cumcount() < k).to_numpy()]
+
+
 def _search(index, k: int, rerank: int):
+    """The k nearest of each query among a task's blocks: merged in the task, so what leaves it grows with the queries, not with queries times blocks."""
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: Index = index.value
         dim = model.centroids.shape[1]
+        held, size = [], 0
         for batch in batches:
             for block, queries in zip(batch["block"], batch["queries"]):
                 x = np.frombuffer(b"".join(e["vector"] for e in block)).reshape(len(block), dim)
@@ -272,7 +285,16 @@ def _search(index, k: int, rerank: int):
                     out_q.append(np.full(len(order), query_ids[r]))
                     out_v.append(who[order])
                     out_s.append(score[order])
-                yield pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
+                held.append(pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)}))
+                size += len(held[-1])
+                if size > HELD:
+                    held = [merged(held, k)]
+                    size = len(held[0])
+                    if size > HELD // 2:
+                        yield held[0]
+                        held, size = [], 0
+        if held:
+            yield merged(held, k)
 
     return search
 
