@@ -38,12 +38,17 @@ def edge_table(s: SparkSession, d: str, by: tuple[str, ...] = (), min_support: i
 
 
 def strata(s: SparkSession, d: str, by: tuple[str, ...]) -> DataFrame:
-    """Rows of counts for the first item's patterns in each stratum; both branches needn't be there."""
-    c = counts(s, d, by).where("upstream = 'Brand#5'")
+    """Rows of counts for every pair in each stratum; both branches needn't be there."""
+    c = counts(s, d, by)
     pick = lambda v, o: F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col(v))), F.lit(0))
     return c.groupBy(*PAIR, *by).agg(pick("support_n", POSITIVE).alias("n_pos"), pick("tested_n", POSITIVE).alias("k_pos"), pick("support_n", NEGATIVE).alias("n_neg"), pick("tested_n", NEGATIVE).alias("k_neg"))
 
 
+def vocabulary(rows: DataFrame) -> list[str]:
+    """All items, in order; bounded by the catalogue, not by the rows."""
+    return [r[0] for r in rows.where("item is not null").select("item").distinct().orderBy("item").collect()]
+
+
 # ---- patterns
 
 
@@ -83,6 +88,11 @@ def opportunity_summary(s, d):
     return r6(opportunity.space_summary(seen(s, d), MIN_SUPPORT, intrinsic(s)))
 
 
+@query
+def testing_matrix_all(s, d):
+    return opportunity.testing_matrix(resolved(observations(s, d)), vocabulary(observations(s, d)))
+
+
 @query
 def testing_matrix(s, d):
     return opportunity.testing_matrix(resolved(observations(s, d)), ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5"])
@@ -222,6 +232,12 @@ def temporal_thirds(s, d):
     return r6(replication.temporal_thirds(o, pairs, POSITIVE, NEGATIVE))
 
 
+@query
+def temporal_thirds_all(s, d):
+    """The same for every pair with both branches."""
+    return r6(replication.temporal_thirds(known(seen(s, d)), edge_table(s, d), POSITIVE, NEGATIVE))
+
+
 @query
 def cross_site_ratios(s, d):
     out = r6(replication.cross_site(edge_table(s, d, ("site",)), SITES))
@@ -248,6 +264,12 @@ def validation_labels(s, d):
 
 @query
 def permutation_strata(s, d):
+    """One item's patterns, as in its SQL; permutation_strata_all has every pair."""
+    return r6(resampling.degeneracy(strata(s, d, ("site",)).where("upstream = 'Brand#5'")))
+
+
+@query
+def permutation_strata_all(s, d):
     return r6(resampling.degeneracy(strata(s, d, ("site",))))
 
 
@@ -267,12 +289,12 @@ def page_rank(s, d):
 
 
 def exposed_rows(s, d):
-    """One item's results with whether each other item shows, for the adjusted models."""
+    """Every item's results with whether each other item shows, for the adjusted models."""
     o = known(seen(s, d))
-    up = o.where((F.col("item") == "Brand#5") & F.col("outcome").isin(POSITIVE, NEGATIVE)).select("episode", F.col("item").alias("upstream"), (F.col("outcome") == POSITIVE).cast("int").alias("exposed"), F.concat_ws("::", "site", "unit").alias("cluster"), "stratum", "site")
-    items = o.where("item <> 'Brand#5'").select(F.col("item").alias("downstream")).distinct()
+    up = o.where(F.col("outcome").isin(POSITIVE, NEGATIVE)).select("episode", F.col("item").alias("upstream"), (F.col("outcome") == POSITIVE).cast("int").alias("exposed"), F.concat_ws("::", "site", "unit").alias("cluster"), "stratum", "site")
+    items = o.select(F.col("item").alias("downstream")).distinct()
     down = o.select("episode", F.col("item").alias("downstream"), F.lit(1).alias("shown"))
-    return up.crossJoin(F.broadcast(items)).join(down, ["episode", "downstream"], "left").fillna(0, ["shown"])  # one item's episodes x items
+    return up.crossJoin(F.broadcast(items)).where("upstream <> downstream").join(down, ["episode", "downstream"], "left").fillna(0, ["shown"])  # results x items
 
 
 @query
@@ -292,14 +314,13 @@ def adjusted_contributions(s, d):
 
 @query
 def unit_bootstrap(s, d):
-    rows = exposed_rows(s, d).where("downstream in ('Brand#6', 'Brand#7', 'Brand#8')")
-    c = rows.groupBy(*PAIR, "site", "cluster").agg(*[F.sum(F.expr(e)).alias(n) for n, e in (("n_pos", "exposed"), ("k_pos", "exposed * shown"), ("n_neg", "1 - exposed"), ("k_neg", "(1 - exposed) * shown"))])
+    c = exposed_rows(s, d).groupBy(*PAIR, "site", "cluster").agg(*[F.sum(F.expr(e)).alias(n) for n, e in (("n_pos", "exposed"), ("k_pos", "exposed * shown"), ("n_neg", "1 - exposed"), ("k_neg", "(1 - exposed) * shown"))])
     return resampling.cluster_bootstrap(c)
 
 
 @query
 def between_site_permutation(s, d):
-    return resampling.between_site_permutation(strata(s, d, ("site",)).where("downstream in ('Brand#6', 'Brand#7', 'Brand#8')"))
+    return resampling.between_site_permutation(strata(s, d, ("site",)))
 
 
 # ---- cleaning and sources
@@ -449,6 +470,13 @@ def item_flags(s, d):
     return descriptive.flags_of(observations(s, d), "unit", "item", ["Brand#1", "Brand#2", "Brand#3"]).select("unit", *[F.col(f"`Brand#{k}`").alias(f"brand_{k}") for k in (1, 2, 3)])
 
 
+@query
+def item_flags_all(s, d):
+    rows = observations(s, d)
+    items = vocabulary(rows)
+    return descriptive.flags_of(rows, "unit", "item", items).select("unit", *[F.col(f"`{i}`").alias("".join(x if x.isalnum() else "_" for x in i.lower())) for i in items])
+
+
 @query
 def study_period(s, d):
     return descriptive.study_period(table(s, d, "orders"), "o_orderdate")
@@ -663,6 +691,12 @@ def year_site_counts(s, d):
     return e.groupBy(*PAIR, "site").pivot("year", [1996, 1997, 1998]).agg(F.first("n_pos").alias("n"), F.first("k_pos").alias("k"))
 
 
+@query
+def year_site_counts_all(s, d):
+    """The same for every pair and year, a row for each."""
+    return edge_table(s, d, ("site", "year")).select(*PAIR, "site", "year", F.col("n_pos").alias("n"), F.col("k_pos").alias("k"))
+
+
 @query
 def companion_rates(s, d):
     """For each pair, the largest and mean rate at which the upstream item's episodes show other items."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opportune.functions import effects as E
 from opportune.functions import labels as L
 from opportune.operators import adjusted, audit, cleaning, descriptive, evaluation, history, models, network, patterns, prevalence, replication, resampling
+from opportune.plans.queries import QUERIES
 from opportune.sources import tables
 
 
@@ -211,3 +212,15 @@ def test_contributions_find_the_driver(spark):
     assert got["exposed"] > 5 * got["g"] >= 0
     fits = models.ridge_refits(spark.createDataFrame(rows, "upstream string, downstream string, cluster string, exposed int, shown int, g string").where("cluster <> 'c3'").withColumn("shown", F.when(F.col("cluster").isin("c1", "c5", "c9", "c11"), 0).otherwise(F.col("shown"))), ["g"]).collect()
     assert {f.penalty for f in fits} == {1.0, 10.0, 100.0}
+
+
+@pytest.mark.parametrize("name", ["permutation_test", "bootstrap_intervals", "between_site_permutation", "unit_bootstrap", "permutation_strata_all", "temporal_thirds_all", "year_site_counts_all"])
+def test_patterns_are_tested_for_every_pair(spark, name):
+    data = "/root/testdata/sf0.01"
+    pairs = {(r.upstream, r.downstream) for r in QUERIES[name](spark, data).select("upstream", "downstream").distinct().collect()}
+    assert len({a for a, _ in pairs}) == 25 and len(pairs) > 300 and all(a != b for a, b in pairs)
+
+
+def test_matrix_and_flags_have_every_item(spark):
+    for name in ("testing_matrix_all", "item_flags_all"):
+        assert len(QUERIES[name](spark, "/root/testdata/sf0.01").columns) == 26
