@@ -262,6 +262,27 @@ def validation_labels(s, d):
     return replication.label(p).groupBy("validation_status").agg(F.count("*").alias("edges"))
 
 
+def validated_edges(s, d):
+    """Retained edges with what their label rests on: q of the permutation test, pooled sites if any, early and late thirds."""
+    e = patterns.retained(edge_table(s, d)).select(*PAIR, "ratio")
+    test = resampling.permutation_test(strata(s, d, ("site",))).select(*PAIR, F.col("p_two_sided").alias("p_value"))
+    sites = replication.pooled_over_sites(edge_table(s, d, ("site",)))
+    side = F.signum(F.log("ratio"))
+    sites = sites.select(*PAIR, "sites", "i2", "z", (F.greatest("sites_above", F.col("sites") - F.col("sites_above")) / F.col("sites")).alias("agreement"))
+    gates = (F.col("n_pos") + F.col("n_neg") >= patterns.MIN_TOTAL) & (F.col("n_pos") >= patterns.MIN_BRANCH) & (F.col("n_neg") >= patterns.MIN_BRANCH)
+    t = replication.temporal_thirds(known(seen(s, d)), e, POSITIVE, NEGATIVE).where(gates)
+    t = t.groupBy(*PAIR).agg(*[F.max(F.when(F.col("third") == x, side)).alias(x) for x in ("early", "late")])
+    out = e.join(test, PAIR, "left").join(sites, PAIR, "left").join(t, PAIR, "left")
+    out = out.withColumns({"temporal": (F.col("early") == F.col("late")) & (F.col("early") == side) & (side != 0), "z": F.when(F.signum("z") == side, F.col("z"))})
+    return replication.adjusted_p(out, "p_value", PAIR, "q_value")
+
+
+@query
+def validation_labels_all(s, d):
+    """Labels of all retained edges, with time; validation_labels is as its SQL has it, by pooled sites alone."""
+    return replication.label(validated_edges(s, d)).groupBy("validation_status").agg(F.count("*").alias("edges"))
+
+
 @query
 def permutation_strata(s, d):
     """One item's patterns, as in its SQL; permutation_strata_all has every pair."""

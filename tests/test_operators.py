@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opportune.functions import effects as E
 from opportune.functions import labels as L
 from opportune.operators import adjusted, audit, cleaning, descriptive, evaluation, history, models, network, patterns, prevalence, replication, resampling
-from opportune.plans.queries import QUERIES
+from opportune.plans.queries import QUERIES, edge_table, validated_edges
 from opportune.sources import tables
 
 
@@ -224,3 +224,10 @@ def test_patterns_are_tested_for_every_pair(spark, name):
 def test_matrix_and_flags_have_every_item(spark):
     for name in ("testing_matrix_all", "item_flags_all"):
         assert len(QUERIES[name](spark, "/root/testdata/sf0.01").columns) == 26
+
+
+def test_every_retained_edge_is_labelled_with_time(spark):
+    data = "/root/testdata/sf0.01"
+    got = validated_edges(spark, data).select("upstream", "downstream", "q_value", "temporal").collect()
+    assert len(got) == patterns.retained(edge_table(spark, data)).count() > 300
+    assert any(r.temporal for r in got) and all(r.q_value is not None for r in got)
