@@ -11,6 +11,7 @@ A word's encoding doesn't depend on its neighbours, so words are encoded once a
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
@@ -75,6 +76,8 @@ class BpeCodec:
             raise ValueError(f"{path}: not a lower-case word-end BPE vocabulary")
         vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        if any(t[flag] for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: an added token is matched otherwise than as it stands in the text")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         letters, numbers = char_class("L", NEW_LETTERS), char_class("N", NEW_NUMBERS)
         self.word_pattern = split["pattern"]["Regex"].replace("[\\p{L}]", f"[{letters}]").replace("[\\p{N}]", f"[{numbers}]").replace("\\p{L}", letters).replace("\\p{N}", numbers).replace("\\s", SPACE)
@@ -126,7 +129,7 @@ class BpeCodec:
         self.token_at = np.array(token_at, np.int32)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("words", "starts", "sizes", "pool", "_find", "_specials")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "starts", "sizes", "pool", "_find", "_specials", "_special_start")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -134,7 +137,9 @@ class BpeCodec:
 
     def _reset(self):
         self._find = re.compile(self.word_pattern).findall
-        self._specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self._specials = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.special else None
+        self._special_start = os.path.commonprefix(longest_first)
         self.words: dict[str, int] = {}
         self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -250,14 +255,18 @@ class BpeCodec:
     # ---- texts
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """Token ids of each text, as little-endian unsigned 32-bit arrays. Special strings in a text become their ids."""
+        """Token ids of each text, as little-endian unsigned 32-bit arrays.
+
+        Special strings become their ids only where they stand in the text as they are, before it is lower-cased. In the word
+        table they have a space before them, which no run has, so that a run that looks like one after lower-casing is told apart.
+        """
         runs: list[str] = []
         counts = []
         for text in texts:
             before = len(runs)
-            if self._specials and "<|" in text:
+            if self._specials and self._special_start in text:
                 for i, part in enumerate(self._specials.split(text)):
-                    runs.extend([part] if i % 2 else self._runs(part))
+                    runs.extend([" " + part] if i % 2 else self._runs(part))
             else:
                 runs.extend(self._runs(text))
             counts.append(len(runs) - before)
@@ -266,9 +275,9 @@ class BpeCodec:
             self._reset()
             missing = list({*runs})
         if missing:
-            self._learn([w for w in missing if w not in self.special])
-            special = [w for w in missing if w in self.special]
-            self._add(special, np.array([self.special[w] for w in special], np.int32), np.ones(len(special), np.int64))
+            self._learn([w for w in missing if w[0] != " "])
+            special = [w for w in missing if w[0] == " "]
+            self._add(special, np.array([self.special[w[1:]] for w in special], np.int32), np.ones(len(special), np.int64))
         index = np.fromiter(map(self.words.__getitem__, runs), np.int64, len(runs))
         sizes = self.sizes[index]
         flat, _ = gather(self.pool, self.starts[index], sizes)
@@ -333,7 +342,8 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str
 
     decoded_col: also decode the packed ids, in the same Python pass (two passes would hold two workers for each task).
     The file is read on the driver; its tables, bounded by the vocabulary's size, are broadcast. No shuffle. A null or empty
-    text has no tokens. Columns of df that have the output's names are replaced.
+    text has no tokens. Repeated rows and null ids are encoded like others; an empty table gives no rows. Columns of df that
+    have the output's names are replaced.
     """
     prepare(df.sparkSession)
     codec = df.sparkSession.sparkContext.broadcast(BpeCodec(vocab_path))
@@ -345,7 +355,7 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str
 
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """df with the decoded text of packed token ids; special tokens are kept, null ids give null."""
+    """df with the decoded text of packed token ids; special tokens are kept, null ids give null, an empty table no rows."""
     prepare(df.sparkSession)
     strings = df.sparkSession.sparkContext.broadcast(BpeCodec(vocab_path).strings)
     return df.withColumn(out_col, _decode_column(strings)(F.col(ids_col)))
