@@ -1,8 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds propose pairs of passage and test item, Smith-Waterman alignment scores them.
 
-Texts are words: lower case, ASCII punctuation dropped. Seeds are the items' SEED-word grams. Documents are scanned for them in
-one map-only pass; only passages around seeds leave it. A passage and an item become a pair if two of the item's seeds are in
-the passage, or one rare one: one that few items have, at any size of the corpus, or few documents. Pairs are aligned word by word, so edited and paraphrased copies score by what they kept.
+Texts are words: lower case, ASCII punctuation dropped; a character of a script without spaces is a word. Seeds are the items'
+word triples, in a row or with one word left out between (SHAPES), so a copy has seeds even if every third word was changed, or
+one was put in after every second. Documents are scanned for seeds in one map-only pass; only passages around seeds leave it.
+A passage and an item become a pair if they share a seed, however many documents or items hold it, unless the words that both
+have, an exact bound on the pair's score, rule it out. Pairs are aligned word by word, so edited and paraphrased copies score by
+what they kept.
 
 Items are handled in blocks of at most BLOCK seeds, whose hashes, seeds and words are broadcast; a larger benchmark takes more
 scans of the documents, one for each block, and never a larger broadcast.
@@ -10,7 +13,10 @@ scans of the documents, one for each block, and never a larger broadcast.
 
 from __future__ import annotations
 
+import math
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +24,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import gather
 from .common import prepare, unused, written
 
-SEED = 4
+#: Places of a seed's three words: in a row, or with one left out.
+SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+#: Least number of words of an item.
+SEED = 3
 #: Most seeds of the items that are searched for in one scan.
-BLOCK = 500_000
-#: A seed that at most so many items, or so many documents, hold suffices alone.
-FEW_ITEMS, RARE = 3, 50
+BLOCK = 1_000_000
+#: Numbers in each table of the alignments that advance together; bounds a worker's memory.
+CELLS = 1 << 19
 #: Alignment: points of an equal word, cost of another word, cost of a missing or added word.
 MATCH, MISMATCH, SKIP = 2, 1, 1
 #: An item of more words counts as this long: a copied stretch of a long item is a leak as well.
@@ -34,6 +44,8 @@ THRESHOLD = 0.5
 LEAST_WORDS = 8
 
 _KEEP = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256))
+# Thai, Lao, Burmese, Khmer, Kana and Han, which are written without spaces.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff])")
 _QUOTES = str.maketrans(dict.fromkeys("“”„‘’«»–—…·¿¡", " "))
 
 
@@ -41,51 +53,115 @@ def words_of(text: str) -> list[bytes]:
     text = text.lower()
     if not text.isascii():
         text = text.translate(_QUOTES) if any(q in text for q in "“”„‘’«»–—…·¿¡") else text
+        text = _UNSPACED.sub(r" \1 ", text)
     return text.encode("utf-8", "surrogatepass").translate(_KEEP).split()
 
 
-def seed_hashes(words: list[bytes], n: int = SEED) -> np.ndarray:
-    """A 64-bit hash of each n-gram."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
+def seed_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the word triples of all SHAPES, and the place of each one's first word, by place."""
+    if len(words) < SEED:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    out = np.zeros(len(h) - n + 1, np.uint64)
+    every, at = [], []
     with np.errstate(over="ignore"):
-        for k in range(n):
-            out = (out + h[k : len(h) - n + 1 + k] + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(32)
-    return out
+        for shape in SHAPES:
+            n = len(h) - shape[-1]
+            if n > 0:
+                out = np.zeros(n, np.uint64)
+                for k, offset in enumerate(shape):
+                    out = (out + h[offset : offset + n] + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                    out ^= out >> np.uint64(32)
+                every.append(out)
+                at.append(np.arange(n))
+    at = np.concatenate(at)
+    order = np.argsort(at, kind="stable")
+    return np.concatenate(every)[order], at[order]
 
 
 def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         words = [words_of(t) for t in batch["text"]]
-        yield pd.DataFrame({"item_id": batch["item_id"], "words": [[w.decode("utf-8", "replace") for w in ws] for ws in words], "seeds": [seed_hashes(ws).view(np.int64).tolist() for ws in words]})
+        yield pd.DataFrame({"item_id": batch["item_id"], "words": [[w.decode("utf-8", "replace") for w in ws] for ws in words], "seeds": [np.unique(seed_hashes(ws)[0]).view(np.int64).tolist() for ws in words]})
 
 
-def _scan(wanted, margin: int):
-    """Documents to passages around the wanted seeds: (key, passage, first, words, hits)."""
+def points_needed(item_words: int, threshold: float) -> int:
+    """Least points of a leak of an item of so many words."""
+    return max(MATCH * min(item_words, LEAST_WORDS), math.ceil(threshold * MATCH * min(item_words, LONG_ITEM) - 1e-9))
+
+
+class Seeds:
+    """Seeds of a block of items, for scans: sorted hashes, the items of each, and what a bound on an item's score needs."""
+
+    def __init__(self, words: list[list[str]], seeds: list[list[int]], threshold: float):
+        flat = np.concatenate([np.array(x, np.int64) for x in seeds]).view(np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.owners = np.repeat(np.arange(len(seeds), dtype=np.int32), [len(x) for x in seeds])[order]
+        self.hashes, starts = np.unique(flat[order], return_index=True)
+        self.starts = np.append(starts, len(flat))
+        self.words = [frozenset(w.encode("utf-8", "surrogatepass") for w in ws) for ws in words]
+        #: distinct words that an item must have in common with a passage: a repeated word counts as if it were matched each time
+        self.least = [-(-points_needed(len(ws), threshold) // MATCH) - (len(ws) - len(own)) for ws, own in zip(words, self.words)]
+        self.margin = max(map(len, words))
+
+    def found(self, seen: np.ndarray, shift: np.uint64, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the hashes that are seeds, and of those seeds."""
+        some = np.flatnonzero(seen[h >> shift])
+        seed = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
+        true = self.hashes[seed] == h[some]
+        return some[true], seed[true]
+
+    def passages(self, words: list[bytes], at: np.ndarray, seed: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches of a document with seeds of an item and enough of its words; at: places of the seeds found."""
+        sizes = self.starts[seed + 1] - self.starts[seed]
+        owner, _ = gather(self.owners, self.starts[seed], sizes)
+        place = np.repeat(at, sizes)
+        order = np.lexsort((place, owner))
+        owner, place = owner[order], place[order]
+        edges = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (np.diff(place) > self.margin), True])
+        spans = []
+        for item, first, last in zip(owner[edges[:-1]].tolist(), place[edges[:-1]].tolist(), place[edges[1:] - 1].tolist()):
+            lo, hi = max(0, first - self.margin), min(len(words), last + SEED + 1 + self.margin)
+            if len(self.words[item].intersection(words[lo:hi])) >= self.least[item]:
+                spans.append((lo, hi))
+        out: list[tuple[int, int]] = []
+        for lo, hi in sorted(spans):
+            if out and lo <= out[-1][1]:
+                out[-1] = (out[-1][0], max(hi, out[-1][1]))
+            else:
+                out.append((lo, hi))
+        return out
+
+
+def _scan(compiled):
+    """Documents to the passages that may hold a copy of an item: (key, doc_id, first, words, hits).
+
+    Seeds of one item within the longest item's length of each other, and so many words around them, are a passage if it has
+    enough of the item's words. No alignment spans more than three times the longest item, so a longer passage is cut in
+    stretches that share so many words: each alignment is whole in one.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds: np.ndarray = wanted.value
-        bits = max(16, int(16 * len(seeds)).bit_length())
+        seeds: Seeds = compiled.value
+        overlap = 3 * seeds.margin
+        bits = max(16, int(16 * len(seeds.hashes)).bit_length())
         shift = np.uint64(64 - bits)
         seen = np.zeros(1 << bits, bool)
-        seen[seeds >> shift] = True
+        seen[seeds.hashes >> shift] = True
         for batch in batches:
             out = []
             for key, doc_id, text in zip(batch["key"], batch["doc_id"], batch["text"]):
                 words = words_of(text or "")
-                h = seed_hashes(words)
-                at = np.flatnonzero(seen[h >> shift])
-                if len(at):
-                    at = at[seeds[np.minimum(np.searchsorted(seeds, h[at]), len(seeds) - 1)] == h[at]]
-                if not len(at):
+                h, places = seed_hashes(words)
+                some, seed = seeds.found(seen, shift, h)
+                if not len(some):
                     continue
-                cuts = np.flatnonzero(np.diff(at) > margin) + 1
-                for part in np.split(at, cuts):
-                    lo, hi = max(0, int(part[0]) - margin), min(len(words), int(part[-1]) + SEED + margin)
-                    out.append((key, doc_id, lo, [w.decode("utf-8", "replace") for w in words[lo:hi]], h[part].view(np.int64).tolist()))
+                at, h = places[some], h[some]
+                for lo, hi in seeds.passages(words, at, seed):
+                    for start in range(lo, max(lo + 1, hi - overlap), overlap):
+                        stop = min(hi, start + 2 * overlap)
+                        own = slice(*np.searchsorted(at, [start, stop]))
+                        if own.stop > own.start:
+                            out.append((key, doc_id, start, [w.decode("utf-8", "replace") for w in words[start:stop]], np.unique(h[own]).view(np.int64).tolist()))
             if out:
                 yield pd.DataFrame(out, columns=["key", "doc_id", "first", "words", "hits"])
 
@@ -118,32 +194,51 @@ def align(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        batch = batch.assign(size=batch["words"].map(len)).sort_values("size", kind="stable")
-        for lo in range(0, len(batch), 256):
-            part = batch.iloc[lo : lo + 256]
-            number: dict[str, int] = {}
-            numbered = lambda ws: np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws))
-            passages, items = [numbered(w) for w in part["words"]], [numbered(w) for w in part["item"]]
-            best, end = align(passages, items)
-            _, back = align([p[::-1] for p in passages], [i[::-1] for i in items])
-            length = np.array([len(i) for i in items])
-            first, size = part["first"].to_numpy(), np.array([len(p) for p in passages])
-            yield pd.DataFrame(
-                {
-                    "key": part["key"], "doc_id": part["doc_id"], "item_id": part["item_id"], "score": np.minimum(1.0, best / (MATCH * np.minimum(length, LONG_ITEM))),
-                    "first_word": first + size - 1 - back, "last_word": first + end, "points": best, "item_words": length,
-                }
-            )
+def _score(named, threshold: float):
+    """Passages with the items that they share seeds with to alignments of those that may be leaks. named: item to (item_id, words)."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[int, list]] = {}  # each item's least number of common words, and how often it has each
+        for batch in batches:
+            pairs = []
+            for key, doc_id, first, words, items in zip(batch["key"], batch["doc_id"], batch["first"], batch["words"], batch["items"]):
+                own = Counter(words)
+                for item in items:
+                    item_id, item_words = named.value[item]
+                    if item not in held:
+                        held[item] = (-(-points_needed(len(item_words), threshold) // MATCH), [*Counter(item_words).items()])
+                    least, counts = held[item]
+                    # words that both have, each as often as both have it: no alignment matches more
+                    if sum(min(n, own[w]) for w, n in counts if w in own) >= least:
+                        pairs.append((key, doc_id, first, words, item_id, item_words))
+            pairs.sort(key=lambda p: len(p[3]))
+            while pairs:
+                # as many of the longest passages as fit
+                take = max(1, min(len(pairs), CELLS // (len(pairs[-1][3]) + max(len(p[5]) for p in pairs[-256:])), 256))
+                part, pairs = pairs[-take:], pairs[:-take]
+                number: dict[str, int] = {}
+                numbered = lambda ws: np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws))
+                passages, items = [numbered(p[3]) for p in part], [numbered(p[5]) for p in part]
+                best, end = align(passages, items)
+                _, back = align([p[::-1] for p in passages], [i[::-1] for i in items])
+                length, size, first = np.array([len(i) for i in items]), np.array([len(p) for p in passages]), np.array([p[2] for p in part])
+                yield pd.DataFrame(
+                    {
+                        "key": [p[0] for p in part], "doc_id": [p[1] for p in part], "item_id": [p[4] for p in part], "score": np.minimum(1.0, best / (MATCH * np.minimum(length, LONG_ITEM))),
+                        "first_word": first + size - 1 - back, "last_word": first + end, "points": best, "item_words": length,
+                    }
+                )
+
+    return score
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, doc_id, item_id, score, first_word, last_word): items that documents copy, whole, edited or in part.
 
     key is xxhash64(doc_id, text): rows with a null id, and repeated rows, are told by it (equal rows share one result). score is the
-    best alignment's points by those of the whole item. Null texts and items count as empty; items of fewer than SEED words have
-    no seeds and take no part; items with equal or null ids are searched for one by one. No documents or items give no rows.
+    best alignment's points by those of the whole item. Null texts and items count as empty; items of fewer than SEED words are
+    too short to tell a copy and take no part; items with equal or null ids are searched for one by one. No documents or items
+    give no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -152,14 +247,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = written(items.mapInPandas(_items, "item_id string, words array<string>, seeds array<bigint>").where("size(seeds) > 0"), "items")
     items = items.withColumn("item", F.xxhash64("item_id", "words"))
-    total, longest = items.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0)), F.coalesce(F.max(F.size("words")), F.lit(0))).first()
+    total = items.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0))).first()[0]
     blocks = -(-total // BLOCK)
-    holders = items.select("item", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.countDistinct("item").alias("holders"))
     out = None
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else items
-        found = _leaks_of(source, mine, holders, int(longest))
-        out = found if out is None else out.unionByName(found)
+        found = _leaks_of(source, mine, threshold)
+        out = out.unionByName(found) if out is not None and found is not None else out if found is None else found
     kind = "key bigint, doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint"
     if out is None:
         return spark.createDataFrame([], kind)
@@ -168,31 +262,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return best.agg(F.max(F.struct("score", -F.col("first_word"), "last_word")).alias("b")).select("key", F.col("doc_id").cast("bigint").alias("doc_id"), F.col("item_id").cast("bigint").alias("item_id"), "b.score", (-F.col("b.col2")).alias("first_word"), "b.last_word")
 
 
-def _leaks_of(source: DataFrame, items: DataFrame, holders: DataFrame, longest: int) -> DataFrame:
+def _leaks_of(source: DataFrame, items: DataFrame, threshold: float) -> DataFrame | None:
+    """Alignments of the documents with a block of items; None for an empty block."""
     spark = source.sparkSession
-    seeds = items.select("item", F.posexplode("seeds").alias("at", "seed"))
-    wanted = np.sort(np.array([r[0] for r in seeds.select("seed").distinct().collect()], np.int64).view(np.uint64))  # about BLOCK at most
-    kind = "key bigint, doc_id string, first bigint, words array<string>, hits array<bigint>"
-    passages = source.mapInPandas(_scan(spark.sparkContext.broadcast(wanted), min(longest, 4 * LONG_ITEM)), kind)
+    block = items.select("item", "item_id", "words", "seeds").toArrow().to_pydict()  # about BLOCK seeds, and fewer words
+    if not block["item"]:
+        return None
+    compiled = spark.sparkContext.broadcast(Seeds(block["words"], block["seeds"], threshold))
+    named = spark.sparkContext.broadcast({i: (name, words) for i, name, words in zip(block["item"], block["item_id"], block["words"])})
+    passages = source.mapInPandas(_scan(compiled), "key bigint, doc_id string, first bigint, words array<string>, hits array<bigint>")
     passages = written(passages.dropDuplicates(["key", "first"]), "passages")
-    hits = passages.select("key", "first", F.explode("hits").alias("seed")).distinct()
-    spread = hits.groupBy("seed").agg(F.countDistinct("key").alias("documents"))
-    seeds = seeds.join(holders, "seed")
-    pairs = hits.join(F.broadcast(seeds), "seed").groupBy("key", "first", "item")
-    pairs = pairs.agg(F.countDistinct("at").alias("votes"), F.min("holders").alias("holders"), F.collect_set("seed").alias("seeds"))
-    alone = (F.col("votes") < 2) & (F.col("holders") > FEW_ITEMS)
-    strong = pairs.where(~alone).select("key", "first", "item")
-    weak = pairs.where(alone).select("key", "first", "item", F.explode("seeds").alias("seed"))
-    rare = weak.join(spread.where(F.col("documents") <= RARE), "seed", "left_semi").select("key", "first", "item")
-    named = items.select("item", "item_id", F.col("words").alias("item_words"))
-    chosen = strong.unionByName(rare).join(F.broadcast(named), "item")
-    chosen = passages.select("key", "doc_id", "first", "words").join(chosen, ["key", "first"])
-    chosen = chosen.select("key", "doc_id", "first", "words", "item_id", F.col("item_words").alias("item"))
-    return chosen.mapInPandas(_score, "key bigint, doc_id string, item_id string, score double, first_word bigint, last_word bigint, points int, item_words int")
+    hits = passages.select("key", "first", F.explode("hits").alias("seed"))
+    pairs = hits.join(F.broadcast(items.select("item", F.explode("seeds").alias("seed"))), "seed").select("key", "first", "item").distinct()
+    pairs = pairs.groupBy("key", "first").agg(F.collect_list("item").alias("items"))  # items of one block at most
+    chosen = passages.select("key", "doc_id", "first", "words").join(pairs, ["key", "first"])
+    return chosen.mapInPandas(_score(named, threshold), "key bigint, doc_id string, item_id string, score double, first_word bigint, last_word bigint, points int, item_words int")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that copy an item of the benchmark; see `leaks`."""
-    key = unused(docs, "__key")
-    found = written(leaks(docs, benchmark, id_col, text_col, threshold).select(F.col("key").alias(key)).distinct(), "leaks")  # of known size: broadcast if small
-    return docs.join(found, F.xxhash64(F.col(id_col), F.col(text_col)) == F.col(key), "left_anti")
+    """docs without the rows that copy an item of the benchmark; see `leaks`. Rows go by their id and the hash of id and text."""
+    key, which = unused(docs, "__key"), unused(docs, "__id")
+    found = leaks(docs, benchmark, id_col, text_col, threshold).select(F.col("key").alias(key), F.col("doc_id").alias(which)).distinct()
+    found = written(found, "leaks")  # of known size: broadcast if small
+    return docs.join(found, (F.xxhash64(F.col(id_col), F.col(text_col)) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(which)), "left_anti")
