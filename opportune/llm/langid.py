@@ -5,7 +5,7 @@ of the document's n-grams times its inverse document frequency. The model is tra
 elastic-net penalties, which leaves most weights at zero, and its probabilities are calibrated by a temperature.
 
 Document frequencies are counted over all training documents. The weights are fitted on at most SAMPLE of them, those whose
-hashed ids come first in each language, a fifth of which sets the temperature.
+hashes of id and text come first in each language, a fifth of which sets the temperature.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import prepare, written
+from .common import prepare
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -137,15 +137,18 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: i
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model from docs' texts and languages; rows to be held out must be left out of docs.
 
-    Rows with a null text or language, or without letters, don't count. One language only: it is always predicted; none: `und`.
+    Rows with a null text or language, or without letters, don't count. Repeated rows (equal id, text and language) count once in
+    the sample of `sample` documents; rows that share an id only are documents of their own. One language only: it is always
+    predicted; none, or an empty table: `und`.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = rows.select("text", "lang", F.xxhash64(F.col("id").cast("string"), "text").alias("hash"))
     counted = rows.select("text").mapInPandas(_document_frequencies, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     frequency = {r["bucket"]: r["n"] for r in counted.collect()}  # at most BUCKETS + 1 rows
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    languages = sorted(r["lang"] for r in sizes.collect())
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()}  # a row for each language
+    languages = sorted(sizes)
     if not languages or -1 not in frequency:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     df = np.zeros(BUCKETS)
@@ -154,12 +157,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             df[k] = n
     idf = np.log((1 + frequency[-1]) / (1 + df)) + 1
     most = max(1, sample // len(languages))
-    first = Window.partitionBy("lang").orderBy("hash", "id")
-    # hashes below twice the wanted share come first in any case; only they are sorted; sizes has a row for each language
-    ids = rows.select("id", "lang", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40)).alias("hash")).join(F.broadcast(sizes), "lang")
-    ids = ids.where(F.col("hash") < 2.0 * (1 << 40) * (most + 50) / F.col("n")).withColumn("place", F.row_number().over(first))
-    ids = written(ids.where(F.col("place") <= most).select("id", F.col("lang").alias("l"), "place"), "language-sample")
-    chosen = rows.join(F.broadcast(ids), (rows["id"] == ids["id"]) & (rows["lang"] == ids["l"])).select("lang", "place", "text")
+    # hashes are even over their range: those below twice the wanted share hold the first `most` of a language, and only they are shuffled
+    cuts = spark.createDataFrame([(k, 2.0 * (most + 50) / n) for k, n in sizes.items()], "lang string, share double")
+    near = rows.join(F.broadcast(cuts), "lang").where(F.col("hash").cast("double") / 2.0**64 + 0.5 < F.col("share"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text"))
+    chosen = near.select("lang", "hash", "text").dropDuplicates().withColumn("place", place).where(F.col("place") <= most).select("lang", "place", "text")
     got = chosen.mapInPandas(_sparse, "lang string, place int, at binary, share binary").toPandas().sort_values(["place", "lang"], kind="stable")
     data = []
     for lang, at, share in zip(got["lang"], got["at"], got["share"]):
@@ -187,7 +189,8 @@ def _temperature(held: list[tuple[np.ndarray, int]]) -> float:
 def identify(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "language") -> DataFrame:
     """df with a struct (lang, score in [0, 1]) of each whole text: `und` with score 0 if it is null or has no letter. Map-only.
 
-    The model (BUCKETS weights for each language) is broadcast. A column of df that has the output's name is replaced.
+    The model (BUCKETS weights for each language) is broadcast. Repeated rows and null ids are scored like others; an empty table
+    gives no rows. A column of df that has the output's name is replaced.
     """
     prepare(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
