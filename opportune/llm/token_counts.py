@@ -111,8 +111,8 @@ class PieceCounter:
 def token_counts(df: DataFrame, model_path: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
     """df with the number of tokens of each whole text (long): no begin, end or special tokens; null or empty text: 0.
 
-    The tables, bounded by the vocabulary, are compiled on the driver and broadcast. No shuffle. A column of df that has the
-    output's name is replaced.
+    The tables, bounded by the vocabulary, are compiled on the driver and broadcast. No shuffle. Repeated rows and null ids are
+    counted like others; an empty table gives no rows. A column of df that has the output's name is replaced.
     """
     prepare(df.sparkSession)
     counter = df.sparkSession.sparkContext.broadcast(PieceCounter(model_path))

@@ -12,6 +12,7 @@ each group of near copies.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -46,6 +47,7 @@ DIGIT_LETTERS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8"
 SIGN_LETTERS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 
 _SPACE, _GONE = 32, 0
+_WORD = re.compile(r"\S+")
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -185,6 +187,16 @@ def _count_terms(wanted=None):
     return count
 
 
+def _around(folded: str, start: int) -> tuple[str, str, str]:
+    """The word that begins after the space at start, the next word and the one before; empty where there is none."""
+    one = _WORD.search(folded, start)
+    two = _WORD.search(folded, one.end()) if one else None
+    end = start
+    while end and folded[end - 1] == " ":
+        end -= 1
+    return one[0] if one else "", two[0] if two else "", folded[folded.rfind(" ", 0, end) + 1 : end]
+
+
 def _count_phrases(lexicon):
     """Two-word phrases around matches, with the class: where clean documents hold them, they may be exceptions."""
 
@@ -195,9 +207,8 @@ def _count_phrases(lexicon):
                 folded = fold(text)
                 phrases = set()
                 for start in lexicon.value.matches(folded):
-                    after = folded[start : start + 200].split()[:2]
-                    before = folded[max(0, start - 100) : start].split()[-1:]
-                    phrases |= {f" {' '.join(p)} " for p in (after, before + after[:1]) if len(p) == 2}
+                    one, two, before = _around(folded, start)
+                    phrases |= {f" {' '.join(p)} " for p in ((one, two), (before, one)) if all(p)}
                 total.update((p, toxic) for p in phrases)
         if total:
             yield pd.DataFrame({"term": [p for p, _ in total], "toxic": [int(t) for _, t in total], "n": list(total.values())})
@@ -229,8 +240,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """A lexicon from docs (id, text) and labels (id, toxic 0 or 1); rows to be held out must be left out of labels.
 
-    At most `sample` documents of each class are used. Labels that are null or have no document don't count; without documents
-    of both classes the lexicon is empty and scores 0.
+    At most `sample` documents of each class are used: of near copies the one of the least hash, and of documents that share an
+    id as many as that leaves room for. Labels that are null or have no document don't count, repeated labels count once and 1
+    goes before 0; without documents of both classes (an empty table, say) the lexicon is empty and scores 0. The result doesn't
+    depend on how the rows are dealt out.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -243,7 +256,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * sample rows
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
     rows = rows.select("toxic", "text").mapInPandas(_folded, "toxic int, copy_key bigint, text string")
-    rows = written(rows.dropDuplicates(["toxic", "copy_key"]), "toxicity-sample")
+    hashed = F.xxhash64("text")
+    rows = rows.groupBy("toxic", "copy_key").agg(F.min(F.struct(hashed.alias("hash"), "text")).alias("least")).select("toxic", "least.*")
+    rows = written(rows, "toxicity-sample")
+    # as many rows as ids, unless ids are repeated: then the first by hash, so that the sample's bound holds
+    last = {k: rows.where(F.col("toxic") == k).select("hash").orderBy("hash").limit(sample).agg(F.max("hash")).first()[0] for k in (0, 1)}
+    rows = rows.where(" or ".join(f"(toxic = {k} and hash <= {h}L)" for k, h in last.items() if h is not None) or "false").select("toxic", "text")
     held = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if held.keys() != {0, 1}:
         return Lexicon()
@@ -260,6 +278,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     lexicon.exceptions = [r["term"] for r in phrases.collect()]
     sent = spark.sparkContext.broadcast(lexicon)
     got = rows.mapInPandas(_features_of(sent), "toxic int, a double, b double").toPandas()  # at most 2 * sample rows
+    got = got.sort_values(["toxic", "a", "b"])  # sums don't depend on the order of the tasks
     y = got["toxic"].to_numpy(float)
     weight = np.where(y == 1, size[1] / held[1], size[0] / held[0])
     beta = _logistic(np.column_stack([np.ones(len(got)), got["a"], got["b"]]), y, weight / weight.mean())
@@ -295,7 +314,8 @@ def _choose(in_toxic: dict, in_clean: dict, n_toxic: int, n_clean: int) -> dict[
 def score(df: DataFrame, lexicon: Lexicon, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
     """df with a struct (score double in [0, 1], matches int) of each whole text; null counts as empty. Map-only.
 
-    The lexicon (at most TERMS terms and EXCEPTIONS phrases) is broadcast. A column of df that has the output's name is replaced.
+    The lexicon (at most TERMS terms and EXCEPTIONS phrases) is broadcast. Repeated rows and null ids are scored like others; an
+    empty table gives no rows. A column of df that has the output's name is replaced.
     """
     prepare(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(lexicon)

@@ -1,7 +1,9 @@
 """Toxicity, licenses, personal data and language on small tables, held-out rows and brute force."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pandas as pd
@@ -60,6 +62,60 @@ def test_lexicon_is_learned_with_exceptions(spark):
     assert not empty.terms and toxicity.score(docs, empty).where("toxicity.score > 0.01").count() == 0
 
 
+def test_lexicon_is_the_same_however_rows_are_dealt_out(spark):
+    docs, labels = labelled(spark)
+    near = docs.withColumn("text", F.concat("text", F.lit(" w1a w2a"), F.col("doc_id").cast("string")))  # near copies, of which one is taken
+    near = near.unionByName(near.where("doc_id < 40").withColumn("doc_id", F.lit(1).cast("long")))  # an id with many texts
+    one, many = (toxicity.learn(near.repartition(n), labels.repartition(n)) for n in (1, 50))
+    assert (one.terms, one.exceptions, one.bias, one.by_sum, one.by_share) == (many.terms, many.exceptions, many.bias, many.by_sum, many.by_share)
+
+
+def test_a_repeated_id_leaves_the_sample_bounded(spark, monkeypatch):
+    rows = [(1, " ".join(f"{x}{k}" for x in ("word", "grumbly", "a", "b", "c", "d", "e"))) for k in range(300)] + [(k, " ".join(f"{x}{k}" for x in ("clean", "u", "v", "w", "x", "y", "z"))) for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] + [(k, 0) for k in range(2, 40)], "doc_id long, toxic int")
+    sizes = []
+    fit = toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y, w: sizes.append(((y == 1).sum(), (y == 0).sum())) or fit(x, y, w))
+    toxicity.learn(docs, labels, sample=50)
+    assert sizes == [(50, 38)]
+
+
+@pytest.mark.parametrize("text", ["a b  c", "one", "x " * 50, "a " + "b" * 500 + " c"])
+def test_words_around_a_match(text):
+    folded = toxicity.fold(text)
+    words = folded.split()
+    for k, m in enumerate(re.finditer(r"\S+", folded)):
+        assert toxicity._around(folded, m.start() - 1) == (words[k], words[k + 1] if k + 1 < len(words) else "", words[k - 1] if k else "")
+
+
+def brute_score(lexicon, text):
+    """The score by looking for every term and exception at every place."""
+    folded = toxicity.fold(text)
+    found = {}
+    for term, weight in lexicon.terms.items():
+        for at in range(len(folded)):
+            if folded.startswith(term, at):
+                found[at] = max(weight, found.get(at, 0))
+    for phrase in lexicon.exceptions:
+        for at in range(len(folded)):
+            if folded.startswith(phrase, at):
+                found = {s: w for s, w in found.items() if not at <= s < at + len(phrase) - 1}
+    total = sum(found.values())
+    z = lexicon.bias + lexicon.by_sum * math.log1p(total) + lexicon.by_share * math.log1p(100 * total / max(1, len(folded.split())))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_registered_scores_equal_naive_matching(spark):
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    lexicon = queries.toxicity_lexicon(docs.select("doc_id", "text"), spark.read.parquet(f"{data}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.where("length(text) < 4000").collect()}
+    got = {r.doc_id: r.score for r in queries.op7_toxicity(spark, data).collect()}
+    some = sorted(texts, key=lambda d: -got[d])[:25] + sorted(texts)[:50]
+    assert lexicon.terms and all(got[d] == pytest.approx(brute_score(lexicon, texts[d]), abs=1e-9) for d in some)
+
+
 def test_held_out_toxicity(spark):
     got = queries.op7_toxicity(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").toPandas()
     held = got[got.held_out]
@@ -186,6 +242,32 @@ def test_held_out_language(spark):
     assert (held.lang == held.lang_pred).mean() > 0.99 and got.score.between(0, 1).all()
 
 
+def test_rows_of_one_id_are_one_row_each_in_the_sample(spark, monkeypatch):
+    rows = [(7, f"the cat number {k} sat here", "en") for k in range(150)] + [(7, f"der Hund Nummer {k} liegt dort", "de") for k in range(150)] + [(k, f"le chien {k} dort ici", "fr") for k in range(100, 110)] + [(5, "sempre la stessa riga", "it")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sizes = []
+    fit = langid.ftrl
+    monkeypatch.setattr(langid, "ftrl", lambda rows, classes: sizes.append(len(rows)) or fit(rows, classes))
+    one = langid.train(docs.repartition(1), sample=400)
+    many = langid.train(docs.repartition(50), sample=400)
+    # at most 100 of each language: 100, 100, 10 and one repeated row, less a fifth for the temperature
+    assert sizes == [169, 169] and one.languages == ["de", "en", "fr", "it"]
+    assert (one.weights == many.weights).all() and one.temperature == many.temperature
+
+
+def test_registered_predictions_equal_the_plain_formula(spark):
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    got = {r.doc_id: r for r in queries.op10_language(spark, data).collect()}
+    for r in docs.limit(60).collect():
+        grams = langid.buckets(r.text)
+        count = Counter(int(b) for g in grams for b in g)
+        z = [sum(n * float(w[b]) for b, n in count.items()) * langid.SCALE / sum(count.values()) + c for w, c in zip(model.weights, model.constants)]
+        e = [math.exp((x - max(z)) / model.temperature) for x in z]
+        assert got[r.doc_id].lang_pred == model.languages[e.index(max(e))] and got[r.doc_id].score == pytest.approx(max(e) / sum(e), abs=1e-6)
+
+
 def test_language_of_odd_rows(spark):
     rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat and the dog sat on the mat", "en"), ("der Hund und die Katze sind hier", "de")] * 40)]
     docs = spark.createDataFrame([*rows, (900, "lost words", None), (901, None, "en"), (None, "und noch ein Hund", "de")], "doc_id long, text string, lang string")
