@@ -36,6 +36,8 @@ TRIALS, WANTED = 512, 0.95
 PARTS, CODES = 16, 256
 RERANK = 96
 BLOCK, CHUNK = 2_048, 512
+#: Most numbers of a table of vectors by centroids; bounds a worker's memory at any number of lists.
+CELLS = 1 << 21
 #: Found rows that a task holds before it merges them; as many as are left of a merge are passed on when over half of it.
 HELD = 1_000_000
 
@@ -82,9 +84,15 @@ def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Number of the nearest center of each row, in slices."""
+    """Number of the nearest center of each row, in slices of bounded tables."""
     half = (centers * centers).sum(1) / 2
-    return np.concatenate([(half - x[k : k + 4096] @ centers.T).argmin(1) for k in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+    return np.concatenate([(half - x[rows] @ centers.T).argmin(1) for rows in slices(len(x), len(centers))]) if len(x) else np.zeros(0, np.int64)
+
+
+def slices(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of rows whose tables with `columns` columns have at most CELLS numbers."""
+    step = max(1, CELLS // max(1, columns))
+    return (slice(k, k + step) for k in range(0, rows, step))
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -155,14 +163,16 @@ def _probes(index, probes: int):
         centroids, cells = index.value.centroids, index.value.cells
         n = min(probes, len(centroids))
         for batch in batches:
-            x = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-            best = np.argpartition(-(x @ centroids.T), n - 1, axis=1)[:, :n].ravel().astype(np.int32)
-            row, cell = np.repeat(np.arange(len(x)), n), cells[best]
-            order = np.lexsort((cell, row))
-            row, cell, best = row[order], cell[order], best[order]
-            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])])
-            ids, raw = batch["vec_id"].to_numpy(), np.array([v.tobytes() for v in x], object)
-            yield pd.DataFrame({"cell": cell[starts].astype("int32"), "query_id": ids[row[starts]], "query": raw[row[starts]], "lists": [part.tobytes() for part in np.split(best, starts[1:])]})
+            every, every_id = np.stack(batch["vector"].to_numpy()).astype(np.float64), batch["vec_id"].to_numpy()
+            for rows in slices(len(every), len(centroids)):
+                x, ids = every[rows], every_id[rows]
+                best = np.argpartition(-(x @ centroids.T), n - 1, axis=1)[:, :n].ravel().astype(np.int32)
+                row, cell = np.repeat(np.arange(len(x)), n), cells[best]
+                order = np.lexsort((cell, row))
+                row, cell, best = row[order], cell[order], best[order]
+                starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])])
+                raw = np.array([v.tobytes() for v in x], object)
+                yield pd.DataFrame({"cell": cell[starts].astype("int32"), "query_id": ids[row[starts]], "query": raw[row[starts]], "lists": [part.tobytes() for part in np.split(best, starts[1:])]})
 
     return probe
 
@@ -328,6 +338,8 @@ def search(df: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", ve
     chunks_of = asked.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     asked = asked.join(F.broadcast(chunks_of), "cell").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")))
     queries = asked.groupBy("cell", "chunk").agg(F.collect_list(F.struct("query_id", "query", "lists")).alias("queries"))
-    found = blocks.join(queries, "cell").select("block", "queries").mapInPandas(_search(sent, k, rerank), "query_id bigint, vec_id bigint, score double")
+    # a chunk goes to each block of its cell; so a dense cell's work is dealt out over its blocks, not done under one key
+    queries = queries.join(F.broadcast(blocks_of), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    found = blocks.join(queries, ["cell", "part"]).select("block", "queries").mapInPandas(_search(sent, k, rerank), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
