@@ -143,49 +143,60 @@ def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links that join all of `distinct`'s fingerprints (column fingerprint) that are connected within RADIUS bits."""
     banded = distinct.selectExpr("fingerprint", f"inline(array({', '.join(_two_blocks('fingerprint', 16))}))")
     sizes = banded.groupBy("tab", "key").agg(F.count("*").alias("size")).where("size > 1")
-    banded = written(banded.join(sizes, ["tab", "key"]), "buckets")
-    usual = banded.where(F.col("size") <= bucket).groupBy("tab", "key").agg(F.collect_list("fingerprint").alias("prints")).select("prints")
+    usual = banded.join(sizes.where(F.col("size") <= bucket), ["tab", "key"]).groupBy("tab", "key").agg(F.collect_list("fingerprint").alias("prints")).select("prints")
     # the 32 bits outside the two shared blocks, by table, for buckets that are too large
     rest = ["shiftleft({2}, 16) | {3}", "shiftleft({1}, 16) | {3}", "shiftleft({1}, 16) | {2}", "shiftleft({0}, 16) | {3}", "shiftleft({0}, 16) | {2}", "shiftleft({0}, 16) | {1}"]
     block = [f"(shiftrightunsigned(fingerprint, {16 * i}) & 65535L)" for i in range(4)]
     other = "case tab " + " ".join(f"when {t} then {x.format(*block)}" for t, x in enumerate(rest)) + " end"
-    large = banded.where(F.col("size") > bucket).selectExpr("tab as tab1", "key as key1", "fingerprint", f"{other} as rest")
+    large = banded.join(sizes.where(F.col("size") > bucket), ["tab", "key"]).selectExpr("tab as tab1", "key as key1", "fingerprint", f"{other} as rest")
     large = large.selectExpr("tab1", "key1", "fingerprint", f"inline(array({', '.join(_two_blocks('rest', 8))}))")
     large = large.groupBy("tab1", "key1", "tab", "key").agg(F.collect_list("fingerprint").alias("prints")).where("size(prints) > 1").select("prints")
     return usual.unionByName(large).mapInPandas(_bucket_links, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fingerprint long, component_id) for every row of df.
+def _firsts(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, mark, fingerprint) of each row of df, and (fingerprint, first) of each fingerprint: (no_id, id, mark) of its component's first row.
 
-    component_id is the smallest id reachable over links of RADIUS bits or fewer. Repeated rows and rows with a null id get a
-    row each; null ids are never the smallest (a group of null ids only has a null component). Null text has fingerprint 0, as
-    texts without words, and is linked like any other. An empty table gives no rows. Other columns are ignored.
+    mark is a hash of id and text, which tells rows of one id apart; a component's first row has the smallest id, then mark.
     """
-    prints = add_fingerprint(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "fingerprint")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    prints = add_fingerprint(rows.withColumn("mark", F.xxhash64("id", "text")), "text").select("id", "mark", "fingerprint")
     prints = written(prints, "fingerprints")
-    distinct = written(prints.groupBy("fingerprint").agg(F.min("id").alias("least")), "distinct")
+    distinct = written(prints.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("first")), "distinct")
     roots = components(fingerprint_links(distinct)).select(F.col("node").alias("fingerprint"), "root")
     rooted = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
+    first = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return prints, rooted.drop("first").join(first, "root").select("fingerprint", "first")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, fingerprint long, component_id) for every row of df.
+
+    component_id is the smallest id reachable over links of RADIUS bits or fewer. Repeated rows and rows with a null id get a
+    row each; null ids are never the smallest (a group of null ids only has a null component). Rows that share an id but not a
+    component keep the component of their own text. Null text has fingerprint 0, as texts without words, and is linked like any
+    other. An empty table gives no rows. Other columns are ignored.
+    """
+    prints, firsts = _firsts(df, id_col, text_col)
+    return prints.join(firsts, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", F.col("first.id").alias("component_id"))
 
 
 def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows without near-duplicates: of each component the row with the smallest id stays.
+    """df's rows without near-duplicates: of each component the row with the smallest id stays; of rows of that id, the least hash of id and text.
+
+    Rows with a null id come last: one stays of a component that has no other. Of rows equal in id and text one stays. Rows of one
+    id whose texts are no near-duplicates all stay. An empty table stays empty.
 
-    Only the ids that go, and ids that occur more than once, are joined with df; rows of other ids pass as they are. Of several
-    rows with the id that stays one remains; rows with a null id stay (they can't be named by a component), one for each text.
+    Only rows that go, and those that are repeated, are joined with df, by id and hash; the others pass as they are.
     """
-    which, rows, stays = (unused(df, c) for c in ("__id", "__rows", "__stays"))
-    named = written(near_duplicates(df, id_col, text_col).select(F.col(id_col).alias(which), "component_id"), "components")
-    verdict = named.where(F.col(which).isNotNull()).groupBy(which).agg(F.count("*").alias(rows), F.max(F.col(which) == F.col("component_id")).alias(stays))
-    verdict = written(verdict.where((F.col(rows) > 1) | ~F.col(stays)), "verdict")  # of known size: broadcast if small, else shuffled
-    marked = df.join(verdict, F.col(id_col) == F.col(which), "left")
-    out = marked.where(F.col(which).isNull() & F.col(id_col).isNotNull()).select(df.columns)
-    if not verdict.where(F.col(stays)).isEmpty():
-        out = out.unionByName(marked.where(F.col(stays)).select(df.columns).dropDuplicates([id_col]))
-    if not named.where(F.col(which).isNull()).isEmpty():
-        out = out.unionByName(df.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    which, mark, goes = (unused(df, c) for c in ("__id", "__mark", "__goes"))
+    prints, firsts = _firsts(df, id_col, text_col)
+    lost = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")))
+    verdict = prints.join(firsts, "fingerprint").groupBy(F.col("id").alias(which), F.col("mark").alias(mark)).agg(F.count("*").alias("rows"), F.max(lost).alias(goes))
+    verdict = written(verdict.where((F.col("rows") > 1) | F.col(goes)).drop("rows"), "verdict")  # of known size: broadcast if small, else shuffled
+    same = F.col(id_col).eqNullSafe(F.col(which)) & (F.xxhash64(F.col(id_col), F.col(text_col).cast("string")) == F.col(mark))
+    marked = df.join(verdict, same, "left")
+    out = marked.where(F.col(goes).isNull()).select(df.columns)
+    if not verdict.where(~F.col(goes)).isEmpty():
+        out = out.unionByName(marked.where(~F.col(goes)).select(df.columns).dropDuplicates([id_col, text_col]))
     return out
