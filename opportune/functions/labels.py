@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,60 @@ def keyword_class(c: Column, rules: list[tuple[str, str]], default: str) -> Colu
 def parsed_time(text: Column) -> Column:
     """A timestamp from text in any format that a cast reads; others give null."""
     return text.try_cast("timestamp")
+
+
+def harmonised(c: Column, aliases: dict[str, str], missing: tuple[str, ...] = ("", "NULL", "NONE", "N/A")) -> Column:
+    """A label in its canonical form: trimmed, upper case, plus signs as tight slashes, spaced hyphens as spaces, then its alias; missing tokens null."""
+    c = F.regexp_replace(F.upper(c), r"\s*[+/]\s*", "/")
+    c = F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+-\s+", " "), r"\s+", " "))
+    return mapped(F.when(~c.isin(*missing), c), aliases)
+
+
+def first_word(c: Column, stop: list[str]) -> Column:
+    """The first word of a label that isn't a stop word; null without one."""
+    words = F.filter(F.split(F.trim(c), r"[\s/]+"), lambda w: (w != "") & ~w.isin(*stop))
+    return F.try_element_at(words, F.lit(1))
+
+
+def selected(df: DataFrame, label: str, wanted: str, aliases: dict[str, str]) -> DataFrame:
+    """Rows of a requested label, relabelled as requested: all its aliases if it is canonical, else the exact label only."""
+    canonical = wanted in aliases.values()
+    return df.where((mapped(F.col(label), aliases) if canonical else F.col(label)) == wanted).withColumn(label, F.lit(wanted))
+
+
+def require_one(df: DataFrame, column: str) -> DataFrame:
+    """df, after raising ValueError if the column has more than one distinct value."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(6).collect()]
+    if len(found) > 1:
+        raise ValueError(f"{column} has several values: {', '.join(map(str, sorted(found)))}")
+    return df
+
+
+def require_present(df: DataFrame, column: str, wanted: list[str], preview: int = 10) -> DataFrame:
+    """df, after raising ValueError if a wanted value is absent; the message lists the first labels that there are."""
+    found = {r[0] for r in df.where(F.col(column).isin(*wanted)).select(column).distinct().collect()}
+    if missing := [w for w in wanted if w not in found]:
+        there = [r[0] for r in df.select(column).distinct().orderBy(column).limit(preview).collect()]
+        raise ValueError(f"{column} lacks {', '.join(missing)}; it has {', '.join(map(str, there))}")
+    return df
+
+
+def pair_key(a: Column, b: Column) -> Column:
+    """One key for two labels in either order."""
+    return F.concat_ws("|", F.least(a, b), F.greatest(a, b))
+
+
+def month_text(time: Column) -> Column:
+    """'March 2001', or 'unknown'."""
+    return F.coalesce(F.date_format(time, "MMMM yyyy"), F.lit("unknown"))
+
+
+def year_by_prefix(text: Column) -> Column:
+    """The year that a text begins with, whatever follows; null without four digits."""
+    return F.nullif(F.regexp_extract(text, r"^\s*(\d{4})", 1), F.lit("")).cast("int")
+
+
+def sentence_case(c: Column) -> Column:
+    """First letter in upper case, the rest in lower case."""
+    low = F.lower(F.trim(c))
+    return F.concat(F.upper(low.substr(1, 1)), low.substr(F.lit(2), F.length(low)))

@@ -1,19 +1,22 @@
 """Adjusted associations: a ridge logistic regression for each pair, with cluster-robust standard errors.
 
 Each pair's rows are its upstream results; the exposure is a positive result, the response whether the downstream item shows.
-Covariates are categories. Rows with equal pair, cluster and covariates are summed before they are grouped, so a group's size is
-bounded by clusters times covariate patterns; the fit itself is NumPy on one pair.
+Covariates are categories, so a pair's likelihood needs only counts by exposure and covariate pattern: as many rows as there are
+patterns, at any number of results, and those alone are gathered for the fit (NumPy). The sandwich needs, for each cluster, the
+sum of its scores along one row of the inverse information: a number for each pattern that the fit returns, so the rest is two
+Spark aggregations over clusters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import small, written
 from .patterns import PAIR
 
 RIDGE = 10.0
@@ -38,51 +41,119 @@ def penalised_newton(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: np.nd
     return beta, False
 
 
-def design(rows: pd.DataFrame, covariates: Sequence[str]) -> np.ndarray:
-    """Constant, exposure, one column for each level of a covariate but the first; constant columns are left out."""
-    parts = [np.ones(len(rows)), rows["exposed"].to_numpy(float)]
+def design(rows: pd.DataFrame, covariates: Sequence[str]) -> tuple[np.ndarray, list[str]]:
+    """Constant, exposure, one column for each level of a covariate but the first, and each column's covariate; columns that add no rank are left out."""
+    parts, names = [np.ones(len(rows)), rows["exposed"].to_numpy(float)], ["", "exposed"]
     for c in covariates:
         values = rows[c].astype(str)
-        parts += [(values == level).to_numpy(float) for level in sorted(values.unique())[1:]]
+        for level in sorted(values.unique())[1:]:
+            parts.append((values == level).to_numpy(float))
+            names.append(c)
     x = np.column_stack(parts)
     keep = [0, 1]
     for k in range(2, x.shape[1]):  # greedy: a column stays if it adds to the rank
         if np.linalg.matrix_rank(x[:, [*keep, k]]) == len(keep) + 1:
             keep.append(k)
-    return x[:, keep]
+    return x[:, keep], [names[k] for k in keep]
 
 
-def fit_pair(rows: pd.DataFrame, covariates: Sequence[str], ridge: float = RIDGE) -> dict:
-    """Odds ratio of the exposure with its interval, or the reason that there is none."""
+def fit_pair(rows: pd.DataFrame, covariates: Sequence[str], ridge: float = RIDGE) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Log odds ratio of the exposure, or the reason that there is none; each pattern's probability, and its part of the ratio's score."""
     n, y = rows["n"].to_numpy(float), rows["events"].to_numpy(float)
-    out = {"odds_ratio": None, "ci_low": None, "ci_high": None, "rows": int(n.sum()), "status": "ok"}
+    none = np.zeros(0)
+    out = {"log_odds": None, "rows": int(n.sum()), "columns": 0, "status": "ok"}
     if rows["exposed"].nunique() < 2:
-        return out | {"status": "no_variation"}
-    x = design(rows, covariates)
+        return out | {"status": "no_variation"}, none, none
+    x, _ = design(rows, covariates)
     if min(y.sum(), n.sum() - y.sum()) < x.shape[1]:
-        return out | {"status": "too_few_events"}
+        return out | {"status": "too_few_events"}, none, none
     penalty = np.r_[0, 0, np.full(x.shape[1] - 2, ridge)]
     beta, converged = penalised_newton(x, y, n, penalty)
     if not converged:
-        return out | {"status": "not_converged"}
+        return out | {"status": "not_converged"}, none, none
+    if abs(beta[1]) > np.log(1000):
+        return out | {"status": "separated"}, none, none
     p = 1 / (1 + np.exp(-(x @ beta)))
     bread = np.linalg.pinv((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(2 * penalty))
-    score = pd.DataFrame(x * (y - n * p)[:, None]).groupby(rows["cluster"].to_numpy()).sum().to_numpy()
-    g, total, k = len(score), n.sum(), x.shape[1]
-    scale = g / max(1, g - 1) * (total - 1) / max(1, total - k)
-    se = float(np.sqrt(max(0.0, (bread @ (score.T @ score) @ bread)[1, 1] * scale)))
-    ratio = float(np.exp(beta[1]))
-    if not 0.001 <= ratio <= 1000:
-        return out | {"status": "separated"}
-    return out | {"odds_ratio": ratio, "ci_low": float(np.exp(beta[1] - 1.96 * se)), "ci_high": float(np.exp(beta[1] + 1.96 * se))}
-
-
-def adjusted_odds(rows: DataFrame, covariates: Sequence[str], ridge: float = RIDGE) -> DataFrame:
-    """(pair, odds_ratio, ci_low, ci_high, rows, status); rows: pair, exposed 0/1, shown 0/1, cluster, covariates."""
-    summed = rows.groupBy(*PAIR, "cluster", "exposed", *covariates).agg(F.count("*").alias("n"), F.sum("shown").alias("events"))
-
-    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["cluster", "exposed", *covariates], kind="stable").reset_index(drop=True)
-        return pd.DataFrame([{"upstream": key[0], "downstream": key[1]} | fit_pair(group, covariates, ridge)])
-
-    return summed.groupBy(*PAIR).applyInPandas(fit, "upstream string, downstream string, odds_ratio double, ci_low double, ci_high double, rows bigint, status string")
+    return out | {"log_odds": float(beta[1]), "columns": x.shape[1]}, p, x @ bread[1]
+
+
+def by_pattern(exposures: DataFrame, events: DataFrame, covariates: Sequence[str]) -> DataFrame:
+    """(pair, exposed, covariates, n, events): every pair's counts by pattern; pairs are all that upstream and downstream items form."""
+    keys = ["exposed", *covariates]
+    n = exposures.groupBy("upstream", *keys).agg(F.sum("n").alias("n"))
+    items = events.select("downstream").distinct()
+    k = events.groupBy(*PAIR, *keys).agg(F.sum("events").alias("events"))
+    pairs = n.crossJoin(F.broadcast(items)).where("upstream <> downstream")  # patterns x items, not results x items
+    same = [pairs[c].eqNullSafe(k[c]) for c in [*PAIR, *keys]]
+    out = pairs.join(k, same, "left").select(*[pairs[c] for c in [*PAIR, *keys]], pairs["n"], F.coalesce(k["events"], F.lit(0)).alias("events"))
+    return out
+
+
+def _fits(covariates: Sequence[str], penalties: Sequence[float]):
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for up, down, patterns in zip(batch["upstream"], batch["downstream"], batch["patterns"]):
+                rows = pd.DataFrame([dict(p) if isinstance(p, dict) else p.asDict() for p in patterns])
+                rows = rows.sort_values(["exposed", *covariates], kind="stable", na_position="first").reset_index(drop=True)
+                for penalty in penalties:
+                    got, p, u = fit_pair(rows, covariates, penalty)
+                    each = [{"exposed": int(rows["exposed"][k]), **{c: rows[c][k] for c in covariates}, "p": float(p[k]), "u": float(u[k])} for k in range(len(p))]
+                    out.append({"upstream": up, "downstream": down, "penalty": float(penalty), **got, "patterns": each})
+            yield pd.DataFrame(out, columns=["upstream", "downstream", "penalty", "log_odds", "rows", "columns", "status", "patterns"])
+
+    return fit
+
+
+def _grouped(patterns: DataFrame, covariates: Sequence[str]) -> DataFrame:
+    """A row for each pair with its patterns; their number is that of the covariates' combinations."""
+    fields = ["exposed", *covariates, F.col("n").cast("bigint").alias("n"), F.col("events").cast("bigint").alias("events")]
+    return patterns.groupBy(*PAIR).agg(F.collect_list(F.struct(*fields)).alias("patterns"))
+
+
+def adjusted_odds(exposures: DataFrame, events: DataFrame, covariates: Sequence[str], penalties: Sequence[float] = (RIDGE,)) -> DataFrame:
+    """(pair, penalty, odds_ratio, ci_low, ci_high, rows, status) of every pair under each penalty.
+
+    exposures: (upstream, cluster, exposed 0/1, covariates, n), counts of upstream results; events: (pair, cluster, exposed,
+    covariates, events), counts of those that show the downstream item. Covariates are strings; null is a level of its own.
+    """
+    keys = ["exposed", *covariates]
+    kinds = ", ".join(f"`{c}`: string" for c in covariates)
+    kind = f"upstream string, downstream string, penalty double, log_odds double, rows bigint, columns int, status string, patterns array<struct<exposed: int, {kinds + ', ' if kinds else ''}p: double, u: double>>"
+    fits = _grouped(by_pattern(exposures, events, covariates), covariates).mapInPandas(_fits(covariates, penalties), kind)
+    fits = written(fits, "fits")
+    each = small(fits.select(*PAIR, "penalty", F.inline("patterns")))
+    match = lambda side, on: [side[c].eqNullSafe(each[c]) for c in on]
+    by = [each["upstream"], each["downstream"], each["penalty"]]
+    shown = events.join(each, match(events, [*PAIR, *keys])).select(*by, events["cluster"], (F.col("u") * events["events"]).alias("t"))
+    expected = exposures.join(each, match(exposures, ["upstream", *keys])).select(*by, exposures["cluster"], (-F.col("u") * F.col("p") * exposures["n"]).alias("t"))
+    score = shown.unionByName(expected).groupBy(*PAIR, "penalty", "cluster").agg(F.sum("t").alias("t"))
+    spread = score.groupBy(*PAIR, "penalty").agg(F.sum(F.col("t") * F.col("t")).alias("variance"), F.count("*").alias("g"))
+    out = fits.join(spread, [*PAIR, "penalty"], "left")
+    scale = F.col("g") / F.greatest(F.lit(1), F.col("g") - 1) * (F.col("rows") - 1) / F.greatest(F.lit(1), F.col("rows") - F.col("columns"))
+    half = 1.96 * F.sqrt(F.col("variance") * scale)
+    return out.select(*PAIR, "penalty", F.exp("log_odds").alias("odds_ratio"), F.exp(F.col("log_odds") - half).alias("ci_low"), F.exp(F.col("log_odds") + half).alias("ci_high"), "rows", "status")
+
+
+def contributions(exposures: DataFrame, events: DataFrame, covariates: Sequence[str], ridge: float = RIDGE) -> DataFrame:
+    """(pair, domain, importance, converged): mean absolute contribution beta (x - mean) to the log odds of each covariate and the exposure.
+
+    Contributions of a covariate's levels are added within a row before the absolute value is taken.
+    """
+
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for up, down, patterns in zip(batch["upstream"], batch["downstream"], batch["patterns"]):
+                rows = pd.DataFrame([dict(p) if isinstance(p, dict) else p.asDict() for p in patterns]).sort_values(["exposed", *covariates], kind="stable", na_position="first").reset_index(drop=True)
+                n, y = rows["n"].to_numpy(float), rows["events"].to_numpy(float)
+                x, names = design(rows, covariates)
+                beta, ok = penalised_newton(x, y, n, np.r_[0, 0, np.full(x.shape[1] - 2, ridge)])
+                for name in dict.fromkeys(names[1:]):
+                    own = [k for k, c in enumerate(names) if c == name]
+                    shift = (x[:, own] - np.average(x[:, own], axis=0, weights=n)) @ beta[own]
+                    out.append((up, down, name, float(np.average(np.abs(shift), weights=n)), ok))
+            yield pd.DataFrame(out, columns=["upstream", "downstream", "domain", "importance", "converged"])
+
+    return _grouped(by_pattern(exposures, events, covariates), covariates).mapInPandas(explain, "upstream string, downstream string, domain string, importance double, converged boolean")

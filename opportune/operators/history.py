@@ -39,3 +39,9 @@ def merge_features(base: DataFrame, features: DataFrame, key: str) -> DataFrame:
     from .cleaning import assert_unique
 
     return base.join(assert_unique(features, [key]), key, "left")
+
+
+def suppressed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with the columns null and `available` 0: aggregates of records whose times can't be verified don't count as known."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.lit(None).cast(kinds[c]) for c in columns} | {"available": F.lit(0)})

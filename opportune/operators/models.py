@@ -1,4 +1,4 @@
-"""Models on summed rows: refits under several penalties, contributions of covariates, tilted prevalence, classifiers."""
+"""Models on summed rows: tilted prevalence, classifiers."""
 
 from __future__ import annotations
 
@@ -9,51 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .adjusted import fit_pair, penalised_newton
-from .patterns import PAIR
-
-
-def _summed(rows: DataFrame, covariates: Sequence[str]) -> DataFrame:
-    return rows.groupBy(*PAIR, "cluster", "exposed", *covariates).agg(F.count("*").alias("n"), F.sum("shown").alias("events"))
-
-
-def ridge_refits(rows: DataFrame, covariates: Sequence[str], penalties: Sequence[float] = (1.0, 10.0, 100.0)) -> DataFrame:
-    """(pair, penalty, odds_ratio, ci_low, ci_high, rows, status): the adjusted model under each penalty."""
-
-    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["cluster", "exposed", *covariates], kind="stable").reset_index(drop=True)
-        return pd.DataFrame([{"upstream": key[0], "downstream": key[1], "penalty": p} | fit_pair(group, covariates, p) for p in penalties])
-
-    return _summed(rows, covariates).groupBy(*PAIR).applyInPandas(fit, "upstream string, downstream string, penalty double, odds_ratio double, ci_low double, ci_high double, rows bigint, status string")
-
-
-def contributions(rows: DataFrame, covariates: Sequence[str], ridge: float = 10.0) -> DataFrame:
-    """(pair, domain, importance): mean absolute contribution beta (x - mean) to the log odds of each covariate and the exposure.
-
-    Contributions of a covariate's levels are added within a row before the absolute value is taken.
-    """
-
-    def explain(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["cluster", "exposed", *covariates], kind="stable").reset_index(drop=True)
-        n, y = group["n"].to_numpy(float), group["events"].to_numpy(float)
-        domains, parts = ["exposed"], [group[["exposed"]].to_numpy(float)]
-        for c in covariates:
-            values = group[c].astype(str)
-            levels = sorted(values.unique())[1:]
-            if levels:
-                domains.append(c)
-                parts.append(np.column_stack([(values == v).to_numpy(float) for v in levels]))
-        x = np.column_stack([np.ones(len(group)), *parts])
-        beta, ok = penalised_newton(x, y, n, np.r_[0, 0, np.full(x.shape[1] - 2, ridge)])
-        out, at = [], 1
-        for name, part in zip(domains, parts):
-            b = beta[at : at + part.shape[1]]
-            at += part.shape[1]
-            shift = (part - np.average(part, axis=0, weights=n)) @ b
-            out.append({"upstream": key[0], "downstream": key[1], "domain": name, "importance": float(np.average(np.abs(shift), weights=n)), "converged": ok})
-        return pd.DataFrame(out)
-
-    return _summed(rows, covariates).groupBy(*PAIR).applyInPandas(explain, "upstream string, downstream string, domain string, importance double, converged boolean")
+from .adjusted import penalised_newton
 
 
 def modelled_tilt(cells: DataFrame, covariates: Sequence[str], tilts: Sequence[float]) -> DataFrame:
@@ -86,6 +42,12 @@ def masked(observations: DataFrame, share: float) -> DataFrame:
     return observations.withColumn("is_hidden", h < int(share * 1000))
 
 
+def masked_by_outcome(observations: DataFrame, positive: str, of_positive: float, of_others: float) -> DataFrame:
+    """observations with other shares of positive and other results hidden (`is_hidden`), by the hash of episode and item: a known tilt."""
+    h = F.pmod(F.crc32(F.concat_ws("|", F.col("episode").cast("string"), "item")), F.lit(1000))
+    return observations.withColumn("is_hidden", h < F.when(F.col("outcome") == positive, int(of_positive * 1000)).otherwise(int(of_others * 1000)))
+
+
 def classifier(df: DataFrame, target: str, numbers: Sequence[str], categories: Sequence[str], split: str) -> DataFrame:
     """Scores of a balanced logistic regression fitted on the rows with split 'train', for all rows (Spark ML)."""
     from pyspark.ml import Pipeline

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import era
+from ..sources.tables import small, written
 
 CELL = ["site", "stratum", "era"]
 EPISODE = ["site", "unit", "episode", "time", "stratum", "era"]
@@ -38,8 +39,8 @@ def availability(observations: DataFrame, min_support: int, intrinsic: DataFrame
 def grid(observations: DataFrame, min_support: int, intrinsic: DataFrame | None = None) -> DataFrame:
     """A row for each episode and item of its cell or elsewhere: eligibility and observation states.
 
-    The item list and the cells' availability are joined, not crossed with the observations, so this grows with episodes times
-    items, which is what a caller of it asks for.
+    This grows with episodes times items, which is what a caller of it asks for; `cell_states` has counts without it. The cells'
+    states (cells times items) are written and counted: few of them are broadcast, so that a large cell's episodes stay where they are.
     """
     episodes = observations.select(*EPISODE).distinct()
     items = observations.select("item").distinct()
@@ -49,12 +50,32 @@ def grid(observations: DataFrame, min_support: int, intrinsic: DataFrame | None
         named = intrinsic.select("stratum", "item", F.lit(True).alias("__i")).distinct()
         state = state.join(named, ["stratum", "item"], "left").withColumn("is_intrinsic", F.coalesce("__i", F.lit(False))).drop("__i")
     state = state.fillna({"support": 0, "is_available": False, "is_intrinsic": False, "is_eligible": False})
+    state = small(written(state, "states"))
     seen = observations.select("episode", "item").distinct().withColumn("__seen", F.lit(1))
     out = episodes.join(state, CELL).join(seen, ["episode", "item"], "left").withColumn("is_observed", F.coalesce("__seen", F.lit(0))).drop("__seen")
     status = F.when(F.col("is_intrinsic"), "intrinsic").when(~F.col("is_available"), "unavailable").when(F.col("is_observed") == 1, "eligible_observed").otherwise("eligible_unobserved")
     return out.withColumn("state", status)
 
 
+def cell_states(observations: DataFrame, min_support: int, intrinsic: DataFrame | None = None) -> DataFrame:
+    """(cell, item, state, n, observed): the grid's states counted from cells, without its rows.
+
+    A cell's episodes share an item's eligibility; those that show the item are its support, the others are not observed.
+    """
+    items = observations.select("item").distinct()
+    sizes = observations.groupBy(*CELL).agg(F.countDistinct("episode").alias("episodes"))
+    state = sizes.crossJoin(F.broadcast(items)).join(availability(observations, min_support, intrinsic).drop("is_eligible", "is_intrinsic"), [*CELL, "item"], "left")
+    state = state.fillna({"support": 0, "is_available": False})
+    named = intrinsic.select("stratum", "item", F.lit(True).alias("is_intrinsic")).distinct() if intrinsic is not None else None
+    state = state.join(named, ["stratum", "item"], "left") if named is not None else state.withColumn("is_intrinsic", F.lit(False))
+    kept = F.when(F.coalesce("is_intrinsic", F.lit(False)), "intrinsic").when(~F.col("is_available"), "unavailable")
+    rest = F.col("episodes") - F.col("support")
+    parts = F.when(kept.isNotNull(), F.array(F.struct(kept.alias("state"), F.col("episodes").alias("n"), F.col("support").alias("observed")))).otherwise(
+        F.array(F.struct(F.lit("eligible_observed").alias("state"), F.col("support").alias("n"), F.col("support").alias("observed")), F.struct(F.lit("eligible_unobserved").alias("state"), rest.alias("n"), F.lit(0).cast("bigint").alias("observed")))
+    )
+    return state.select(*CELL, "item", F.inline(parts)).where("n > 0")
+
+
 def space_summary(observations: DataFrame, min_support: int, intrinsic: DataFrame | None = None) -> DataFrame:
     """Sizes of the space for each site and for all sites ('all_sites'), from cell counts alone."""
     cells = availability(observations, min_support, intrinsic)

@@ -29,8 +29,10 @@ def branch_counts(observations: DataFrame, all_seen: DataFrame, min_support: int
     groups = list(dict.fromkeys([*CELL, *by]))
     counted = up.groupBy(*groups, "upstream", "outcome").agg(F.count("*").alias("n"))
     support = counted.join(eligible, CELL).where("upstream <> downstream").groupBy(*PAIR, "outcome", *by).agg(F.sum("n").alias("support_n"))
-    down = observations.select("episode", F.col("item").alias("downstream"))
-    seen = up.join(down, "episode").where("upstream <> downstream").groupBy(*groups, *PAIR, "outcome").agg(F.count("*").alias("k"))
+    # an episode's items (no more than there are items) are gathered once and paired in place: one shuffle instead of a self-join's two
+    together = up.groupBy("episode", *groups).agg(F.collect_list(F.struct("upstream", "outcome")).alias("items"))
+    paired = together.select(*groups, "items", F.inline("items")).select(*groups, "upstream", "outcome", F.explode("items.upstream").alias("downstream"))
+    seen = paired.where("upstream <> downstream").groupBy(*groups, *PAIR, "outcome").agg(F.count("*").alias("k"))
     tested = seen.join(eligible, [*CELL, "downstream"]).groupBy(*PAIR, "outcome", *by).agg(F.sum("k").alias("tested_n"))
     return support.join(tested, [*PAIR, "outcome", *by], "left").fillna(0, ["tested_n"])
 
@@ -166,13 +168,12 @@ def overlap(observations: DataFrame) -> DataFrame:
     return out.select("a", "b", "shared", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"))
 
 
-def bundling(counts: DataFrame) -> DataFrame:
-    """Timing asymmetry |log p - log p back| on smoothed rates and bundling min(p, p back) on plain ones, for each two items."""
+def rates_with_reverse(counts: DataFrame) -> DataFrame:
+    """Timing asymmetry |log p - log p back| on smoothed rates and bundling min(p, p back) on plain ones, for each pair with a reverse."""
     rate = counts.groupBy(*PAIR).agg(F.sum("tested_n").alias("k"), F.sum("support_n").alias("n"))
     back = rate.select(F.col("downstream").alias("upstream"), F.col("upstream").alias("downstream"), F.col("k").alias("kb"), F.col("n").alias("nb"))
-    both = rate.join(back, PAIR).where("upstream < downstream")
     s = E.smoothed_rate
-    return both.select(
+    return rate.join(back, PAIR).select(
         *PAIR,
         F.abs(F.log(s(F.col("k"), F.col("n"))) - F.log(s(F.col("kb"), F.col("nb")))).alias("timing_asymmetry"),
         F.least(F.col("k") / F.col("n"), F.col("kb") / F.col("nb")).alias("bundling"),
@@ -180,6 +181,11 @@ def bundling(counts: DataFrame) -> DataFrame:
     )
 
 
+def bundling(counts: DataFrame) -> DataFrame:
+    """The same for each two items, once."""
+    return rates_with_reverse(counts).where("upstream < downstream")
+
+
 def display_edges(edge_table: DataFrame, min_fold: float) -> DataFrame:
     """Edges of at least a given fold change in either direction."""
     return edge_table.withColumn("log2_ratio", F.log2("ratio")).where(F.abs("log2_ratio") >= F.log2(F.lit(min_fold)) - 1e-12)

@@ -50,32 +50,32 @@ def two_sided_p(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
-def thirds(observations: DataFrame, upstream: str, downstream: str, positive: str, negative: str) -> DataFrame:
-    """Counts of one pair's branches in the first and last third of its episodes by time (15 episodes at least)."""
-    up = observations.where((F.col("item") == upstream) & F.col("outcome").isin(positive, negative)).select("episode", "time", "outcome")
-    down = observations.where(F.col("item") == downstream).select("episode", F.lit(1).alias("k"))
-    rows = up.join(down, "episode", "left").fillna(0, ["k"])
-    return _third_counts(rows, [], positive)
-
-
-def temporal_thirds(observations: DataFrame, pairs: DataFrame, positive: str, negative: str) -> DataFrame:
-    """The same for many pairs at once: a window for each pair over its upstream episodes."""
-    up = observations.where(F.col("outcome").isin(positive, negative)).select("episode", "time", "outcome", F.col("item").alias("upstream"))
-    down = observations.select("episode", F.col("item").alias("downstream"), F.lit(1).alias("k"))
-    rows = up.join(pairs.select(*PAIR).distinct(), "upstream").join(down, ["episode", "downstream"], "left").fillna(0, ["k"])
-    return _third_counts(rows, PAIR, positive)
-
-
-def _third_counts(rows: DataFrame, keys: list[str], positive: str) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy("time", "episode")
-    every = Window.partitionBy(*keys)
-    rated = rows.withColumns({"r": F.row_number().over(order), "n": F.count("*").over(every)}).where("n >= 15")
-    third = F.floor(F.col("n") / 3)
-    rated = rated.withColumn("third", F.when(F.col("r") <= third, "early").when(F.col("r") > F.col("n") - third, "late")).where("third is not null")
-    is_pos = F.col("outcome") == positive
+def temporal_thirds(observations: DataFrame, pairs: DataFrame, positive: str, negative: str, least: int = 15) -> DataFrame:
+    """(pair, third, n_pos, k_pos, n_neg, k_neg, ratio) in the first and last third of the upstream item's episodes by time.
+
+    An item needs `least` results. Which third an episode falls in depends on the upstream item alone, and on its day: results are
+    counted by item and day, the counts are summed over days (as many rows as the calendar has), and only the episodes of the
+    days that a border falls in are ordered. A null time comes first.
+    """
+    up = observations.where(F.col("outcome").isin(positive, negative)).select("episode", "time", (F.col("outcome") == positive).alias("is_pos"), F.col("item").alias("upstream"))
+    up = up.withColumn("day", F.coalesce(F.to_date("time"), F.lit("0001-01-01").cast("date")))
+    order = Window.partitionBy("upstream").orderBy("day")
+    days = up.groupBy("upstream", "day").agg(F.count("*").alias("n"))
+    days = days.withColumns({"upto": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(Window.partitionBy("upstream"))}).where(F.col("total") >= least)
+    third = F.floor(F.col("total") / 3)
+    days = days.select("upstream", "day", (F.col("upto") - F.col("n")).alias("before"), "upto", third.alias("first"), (F.col("total") - third).alias("last"))
+    whole = F.when(F.expr("upto <= first"), "early").when(F.expr("before >= last"), "late").when(F.expr("before >= first and upto <= last"), "middle")
+    marked = up.join(days.withColumn("third", whole), ["upstream", "day"])
+    place = F.col("before") + F.row_number().over(Window.partitionBy("upstream", "day").orderBy("time", "episode"))
+    border = marked.where("third is null").withColumn("r", place).withColumn("third", F.when(F.expr("r <= first"), "early").when(F.expr("r > last"), "late"))
+    columns = ["upstream", "episode", "is_pos", "third"]
+    marked = marked.where("third <> 'middle'").select(columns).unionByName(border.where("third is not null").select(columns))
     count = lambda c: F.count(F.when(c, 1))
-    out = rated.groupBy(*keys, "third").agg(count(is_pos).alias("n_pos"), F.sum(F.when(is_pos, F.col("k")).otherwise(0)).alias("k_pos"), count(~is_pos).alias("n_neg"), F.sum(F.when(~is_pos, F.col("k")).otherwise(0)).alias("k_neg"))
-    return out.withColumn("ratio", E.rate_ratio(*[F.col(c) for c in ("k_pos", "n_pos", "k_neg", "n_neg")]))
+    own = marked.groupBy("upstream", "third").agg(count(F.col("is_pos")).alias("n_pos"), count(~F.col("is_pos")).alias("n_neg"))
+    down = observations.select("episode", F.col("item").alias("downstream"))
+    shown = marked.join(down, "episode").where("upstream <> downstream").groupBy(*PAIR, "third").agg(count(F.col("is_pos")).alias("k_pos"), count(~F.col("is_pos")).alias("k_neg"))
+    out = pairs.select(*PAIR).distinct().join(own, "upstream").join(shown, [*PAIR, "third"], "left").fillna(0, ["k_pos", "k_neg"])
+    return out.select(*PAIR, "third", "n_pos", "k_pos", "n_neg", "k_neg", E.rate_ratio(*[F.col(c) for c in ("k_pos", "n_pos", "k_neg", "n_neg")]).alias("ratio"))
 
 
 def yearly_course(year_edges: DataFrame, least: int = 10) -> DataFrame:

@@ -151,10 +151,14 @@ def between_site_permutation(strata: DataFrame, draws: int = 250, seed: int = 7,
                 left = np.tile(np.array([k1.sum(), n1.sum() - k1.sum(), k0.sum(), n0.sum() - k0.sum()]), (draws, 1))
                 drawn = np.zeros((draws, len(counts), 4))
                 for s, size in enumerate(n1 + n0):
-                    for d in range(draws):
-                        cell = random.multivariate_hypergeometric(left[d], int(size))
-                        left[d] -= cell
-                        drawn[d, s] = (cell[0] + cell[1], cell[0], cell[2] + cell[3], cell[2])
+                    want, rest = np.full(draws, size), left.sum(1)
+                    cell = np.zeros((draws, 4), np.int64)
+                    for c in range(4):  # a multivariate hypergeometric draw, cell by cell, for all draws at once
+                        rest = rest - left[:, c]
+                        cell[:, c] = random.hypergeometric(left[:, c], rest, want)
+                        want = want - cell[:, c]
+                    left -= cell
+                    drawn[:, s] = np.stack([cell[:, 0] + cell[:, 1], cell[:, 0], cell[:, 2] + cell[:, 3], cell[:, 2]], 1)
                 now, null = float(pooled(counts.astype(float))), pooled(drawn)
                 out.append((up, down, now, float((np.abs(null) >= abs(now) - 1e-12).sum() + 1) / (draws + 1)))
             yield pd.DataFrame(out, columns=["upstream", "downstream", "pooled_log_ratio", "p_two_sided"])

@@ -61,7 +61,21 @@ pv AS (SELECT *, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (
 rk AS (SELECT *, row_number() OVER (ORDER BY p_value, upstream, downstream) AS r, count(*) OVER () AS m FROM pv),
 fdr AS (SELECT *, least(1, min(p_value * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_value FROM rk)"""
 STRATA = counts(", site") + """, st AS (SELECT upstream, downstream, site, coalesce(sum(support_n) FILTER (outcome = 'R'), 0) AS n_pos, coalesce(sum(support_n) FILTER (outcome = 'N'), 0) AS n_neg
-  FROM counts WHERE upstream = 'Brand#5' GROUP BY ALL)"""
+  FROM counts GROUP BY ALL)"""
+THIRDS = """, pos AS (SELECT item AS upstream, episode, outcome = 'R' AS pos, row_number() OVER (PARTITION BY item ORDER BY time, episode) AS r, count(*) OVER (PARTITION BY item) AS n FROM obs WHERE outcome IN ('R', 'N')),
+part AS (SELECT *, CASE WHEN r <= n // 3 THEN 'early' WHEN r > n - n // 3 THEN 'late' END AS third FROM pos WHERE n >= 15),
+thirds AS (SELECT e.upstream, e.downstream, third, count(*) FILTER (pos) AS n_pos, count(d.episode) FILTER (pos) AS k_pos, count(*) FILTER (NOT pos) AS n_neg, count(d.episode) FILTER (NOT pos) AS k_neg
+  FROM (SELECT DISTINCT upstream, downstream FROM edges) e JOIN part p ON p.upstream = e.upstream LEFT JOIN obs d ON d.episode = p.episode AND d.item = e.downstream WHERE third IS NOT NULL GROUP BY ALL)"""
+LABELS = POOL + """, total AS (SELECT upstream, downstream, sum(n_pos) AS n1, sum(k_pos) AS k1, sum(n_neg) AS n0, sum(k_neg) AS k0 FROM wide GROUP BY ALL),
+kept AS (SELECT upstream, downstream, ((k1 + 0.5) / (n1 + 1)) / ((k0 + 0.5) / (n0 + 1)) AS ratio FROM total WHERE n1 + n0 >= 25 AND n1 >= 5 AND n0 >= 5 AND k1 + k0 >= 5)""" + THIRDS + """,
+gated AS (SELECT upstream, downstream, third, sign(ln(((k_pos + 0.5) / (n_pos + 1)) / ((k_neg + 0.5) / (n_neg + 1)))) AS side FROM thirds WHERE n_pos + n_neg >= 25 AND n_pos >= 5 AND n_neg >= 5),
+time AS (SELECT upstream, downstream, max(side) FILTER (third = 'early') AS early, max(side) FILTER (third = 'late') AS late FROM gated GROUP BY ALL),
+joined AS (SELECT k.*, sign(ln(k.ratio)) AS side, v.p_value, v.sites, v.i2, CASE WHEN sign(v.z) = sign(ln(k.ratio)) THEN v.z END AS z, greatest(v.sites_above, v.sites - v.sites_above) / v.sites AS agreement, t.early, t.late
+  FROM kept k LEFT JOIN pv v USING (upstream, downstream) LEFT JOIN time t USING (upstream, downstream)),
+ordered AS (SELECT *, row_number() OVER (ORDER BY p_value NULLS LAST, upstream, downstream) AS rn, count(p_value) OVER () AS cnt FROM joined),
+q AS (SELECT *, CASE WHEN p_value IS NOT NULL THEN least(1, min(p_value * cnt / rn) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS qv FROM ordered),
+met AS (SELECT *, coalesce(qv <= 0.05, false) AS a, coalesce(sites >= 2 AND CASE WHEN i2 IS NOT NULL THEN i2 <= 50 AND abs(z) >= 1.96 ELSE agreement >= 0.67 END, false) AS b, coalesce(early = late AND early = side AND side <> 0, false) AS c FROM q),
+labelled AS (SELECT *, CASE WHEN a AND b AND c THEN 'robust' WHEN a AND (b OR c) THEN 'supported' WHEN a OR b OR c THEN 'mixed' ELSE 'insufficient' END AS validation_status FROM met)"""
 CELLS = GRID + """, cells AS (SELECT g.site, g.stratum, g.era, g.item, count(*) AS eligible, count(o.episode) AS evaluable, count(*) FILTER (o.outcome = 'R') AS positive
   FROM grid g LEFT JOIN obs o ON o.episode = g.episode AND o.item = g.item WHERE g.is_available AND NOT g.is_intrinsic GROUP BY ALL),
 prev AS (SELECT item, sum(eligible)::BIGINT AS eligible, sum(evaluable)::BIGINT AS evaluable, sum(positive)::BIGINT AS positive,
@@ -101,7 +115,7 @@ count(*) AS n, count(s.item) AS observed FROM grid g LEFT JOIN seen s ON s.episo
 SELECT coalesce(site, 'all_sites') AS site, count(DISTINCT episode) AS episodes, count(*) AS grid_rows, count(*) FILTER (is_available AND NOT is_intrinsic) AS eligible_rows,
 count(*) FILTER (is_available AND NOT is_intrinsic AND seen) AS observed_rows, round(count(*) FILTER (is_available AND NOT is_intrinsic AND seen) / count(*) FILTER (is_available AND NOT is_intrinsic), 6) AS observed_share
 FROM x GROUP BY GROUPING SETS ((site), ())""",
-    "testing_matrix": f"WITH {OBS} SELECT episode, " + ", ".join(f"max((item = 'Brand#{k}')::INT) AS tested__brand_{k}" for k in range(1, 6)) + " FROM obs GROUP BY episode",
+    "testing_matrix": f"WITH {OBS} SELECT episode, " + ", ".join(f"max((item = 'Brand#{k}')::INT) AS tested__brand_{k}" for k in range(1, 26)) + " FROM obs GROUP BY episode",
     "edges_ranked": f"""WITH {RET}{REV.format('ret')} SELECT upstream, downstream, round(ratio, 6) AS ratio, round(reverse_ratio, 6) AS reverse_ratio, round(asymmetry, 6) AS asymmetry, direction,
 dense_rank() OVER (ORDER BY ratio DESC NULLS LAST) AS ratio_rank, dense_rank() OVER (ORDER BY asymmetry DESC NULLS LAST) AS asymmetry_rank FROM rev""",
     "edges_e_values": f"""WITH {edges()}, b AS (SELECT upstream, downstream, CASE WHEN ratio >= 1 THEN ratio ELSE 1 / ratio END AS r, CASE WHEN ratio >= 1 THEN greatest(1.0, ci_low) ELSE 1 / least(1.0, ci_high) END AS s FROM edges)
@@ -141,14 +155,8 @@ sum(n_pos + n_neg)::BIGINT AS support, round(sum(n_pos + n_neg) / sum(sum(n_pos
     "edge_key_comparison": f"WITH {edges()} SELECT count(*) FILTER (ratio > 1 AND NOT k_pos > k_neg) AS only_left, count(*) FILTER (NOT ratio > 1 AND k_pos > k_neg) AS only_right, count(*) FILTER (ratio > 1 AND k_pos > k_neg) AS shared FROM edges",
     "pooled_edges": f"WITH {POOL} SELECT upstream, downstream, sites, sites_above, round(q, 6) AS q, round(tau2, 6) AS tau2, round(i2, 6) AS i2, round(pooled_log_ratio, 6) AS pooled_log_ratio, round(pooled_se, 6) AS pooled_se, round(z, 6) AS z FROM tail",
     "pooled_edges_fdr": f"WITH {POOL} SELECT upstream, downstream, round(p_value, 5) AS p_value, round(q_value, 5) AS q_value FROM fdr",
-    "validation_labels": f"""WITH {POOL}, l AS (SELECT q_value <= 0.05 AS s, sites >= 2 AND i2 <= 50 AND abs(z) >= 1.96 AS b FROM fdr)
-SELECT CASE WHEN s AND b THEN 'supported' WHEN s OR b THEN 'mixed' ELSE 'insufficient' END AS validation_status, count(*) AS edges FROM l GROUP BY ALL""",
-    "temporal_thirds": f"""WITH {OBS}, pairs(upstream, downstream) AS (VALUES ('Brand#1', 'Brand#2'), ('Brand#5', 'Brand#6'), ('Brand#9', 'Brand#4')),
-x AS (SELECT p.upstream, p.downstream, u.outcome = 'R' AS pos, (d.episode IS NOT NULL)::INT AS k, row_number() OVER (PARTITION BY p.upstream, p.downstream ORDER BY u.time, u.episode) AS r, count(*) OVER (PARTITION BY p.upstream, p.downstream) AS n
-  FROM pairs p JOIN obs u ON u.item = p.upstream AND u.outcome IN ('R', 'N') LEFT JOIN obs d ON d.episode = u.episode AND d.item = p.downstream),
-t AS (SELECT *, CASE WHEN r <= n // 3 THEN 'early' WHEN r > n - n // 3 THEN 'late' END AS third FROM x WHERE n >= 15),
-c AS (SELECT upstream, downstream, third, count(*) FILTER (pos) AS n_pos, coalesce(sum(k) FILTER (pos), 0)::BIGINT AS k_pos, count(*) FILTER (NOT pos) AS n_neg, coalesce(sum(k) FILTER (NOT pos), 0)::BIGINT AS k_neg FROM t WHERE third IS NOT NULL GROUP BY ALL)
-SELECT *, round(((k_pos + 0.5) / (n_pos + 1)) / ((k_neg + 0.5) / (n_neg + 1)), 6) AS ratio FROM c""",
+    "validation_labels": f"WITH {LABELS} SELECT validation_status, count(*) AS edges FROM labelled GROUP BY ALL",
+    "temporal_thirds": f"WITH {edges()}{THIRDS} SELECT *, round(((k_pos + 0.5) / (n_pos + 1)) / ((k_neg + 0.5) / (n_neg + 1)), 6) AS ratio FROM thirds",
     "cross_site_ratios": f"WITH {edges(', site')} SELECT upstream, downstream, " + ", ".join(f"round(max(ratio) FILTER (site = '{s}'), 6) AS {s.lower().replace(' ', '_')}" for s in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + ", count(*) FILTER (ratio > 1)::INT AS sites_above, count(*)::INT AS sites_known FROM edges WHERE passes_support GROUP BY ALL",
     "yearly_courses": f"""WITH {edges(', year')}, s AS (SELECT *, CASE WHEN n_pos < 10 OR n_neg < 10 OR k_pos + k_neg < 10 THEN 'not_evaluable' WHEN ci_low > 1 THEN 'present' WHEN ci_high < 1 THEN 'reversed' ELSE 'absent' END AS state FROM edges),
 c AS (SELECT *, coalesce((lag(state) OVER (PARTITION BY upstream, downstream ORDER BY year) <> state)::INT, 0) AS changed FROM s WHERE state <> 'not_evaluable')
@@ -193,7 +201,7 @@ SELECT 'o_orderpriority' AS covariate, level, round(p1, 6) AS p1, round(p0, 6) A
 SELECT level_a, level_b, round(corr((o_orderstatus = level_a)::INT, (o_orderpriority = level_b)::INT), 6) AS correlation FROM orders CROSS JOIN a CROSS JOIN b GROUP BY ALL""",
     "frequent_items": f"""WITH {RAW}, c AS (SELECT item, count(*) AS n FROM raw GROUP BY item), r AS (SELECT *, sum(n) OVER (ORDER BY n DESC, item ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER () AS total FROM c)
 SELECT item, n, round(run / total, 6) AS coverage FROM r WHERE run - n < 0.5 * total""",
-    "item_flags": f"WITH {RAW} SELECT unit, " + ", ".join(f"max((item = 'Brand#{k}')::INT) AS brand_{k}" for k in (1, 2, 3)) + " FROM raw GROUP BY unit",
+    "item_flags": f"WITH {RAW} SELECT unit, " + ", ".join(f"max((item = 'Brand#{k}')::INT) AS brand_{k}" for k in range(1, 26)) + " FROM raw GROUP BY unit",
     "study_period": "SELECT strftime(min(o_orderdate), '%B %Y') AS first_month, strftime(max(o_orderdate), '%B %Y') AS last_month, count(DISTINCT year(o_orderdate)) AS years FROM orders",
     "cell_sizes": f"WITH {RAW} SELECT site, stratum, era, count(DISTINCT episode) AS episodes, count(DISTINCT unit) AS units, count(DISTINCT item) AS items FROM raw GROUP BY ALL",
     "price_quartiles": "SELECT o_orderpriority, count(o_totalprice) AS n, round(avg(o_totalprice), 6) AS mean, round(quantile_cont(o_totalprice, 0.25), 6) AS q25, round(quantile_cont(o_totalprice, 0.5), 6) AS median, round(quantile_cont(o_totalprice, 0.75), 6) AS q75 FROM orders GROUP BY ALL",
@@ -248,7 +256,7 @@ SELECT x.upstream, x.downstream, round(max(y.p), 6) AS max_companion, round(avg(
     "top_links": f"WITH {edges()} SELECT upstream, downstream, n_pos + n_neg AS support, round(abs(log2(ratio)), 6) AS effect FROM edges ORDER BY support DESC, round(abs(log2(ratio)), 9) DESC, upstream, downstream LIMIT 30",
     "rate_scatter": f"WITH {edges()} SELECT upstream, downstream, round(k_pos / n_pos, 6) AS rate_pos, round(k_neg / n_neg, 6) AS rate_neg, round(greatest(k_pos / n_pos, 1e-4) / greatest(k_neg / n_neg, 1e-4), 6) AS plain_ratio FROM edges WHERE n_pos >= 20 AND n_neg >= 20",
     "event_profile": f"WITH {edges()} SELECT " + ", ".join(f"count(*) FILTER (k_pos + k_neg <= {k}) AS at_most_{k}" for k in (1, 100, 250, 300)) + " FROM edges",
-    "year_site_counts": f"WITH {edges(', site, year')} SELECT upstream, downstream, site, " + ", ".join(f'max(n_pos) FILTER (year = {y}) AS "{y}_n", max(k_pos) FILTER (year = {y}) AS "{y}_k"' for y in (1996, 1997, 1998)) + " FROM edges WHERE upstream = 'Brand#5' AND downstream IN ('Brand#6', 'Brand#8') GROUP BY ALL",
+    "year_site_counts": f"WITH {edges(', site, year')} SELECT upstream, downstream, site, year, n_pos AS n, k_pos AS k FROM edges",
     "rules_matched": f"""WITH {edges()} SELECT upstream, downstream, round(ratio, 6) AS ratio, (upstream, downstream) IN (VALUES ('Brand#1', 'Brand#3'), ('Brand#2', 'Brand#3'), ('Brand#9', 'Brand#4')) AS in_rule FROM edges WHERE downstream IN ('Brand#3', 'Brand#4', 'Brand#5')""",
     "recent_errors": """SELECT p.event_id AS index_id, count(*) AS errors, round(median(x.value), 6) AS median_value, max(x.value) AS max_value FROM events p JOIN events x ON x.user_id = p.user_id AND x.event_type = 'error' AND x.ts <= p.ts AND x.ts >= p.ts - INTERVAL 7 DAY
 WHERE p.event_type = 'purchase' GROUP BY ALL""",
@@ -258,3 +266,87 @@ SELECT 'stratum' AS covariate, level, round(p1, 6) AS p1, round(p0, 6) AS p0, ro
     "identifiability_panel": f"""WITH {GRID} SELECT g.site, g.item, count(*) AS eligible, count(o.outcome) AS known, count(*) FILTER (o.outcome IN ('R', 'A')) AS positive
 FROM grid g LEFT JOIN obs o ON o.episode = g.episode AND o.item = g.item WHERE g.is_available AND NOT g.is_intrinsic GROUP BY ALL""",
 }
+
+STAR = """star AS (SELECT o_orderkey, o_custkey, o_totalprice::DOUBLE AS o_totalprice, o_orderstatus, c_mktsegment AS segment, c_acctbal::DOUBLE AS balance, c_nationkey AS nation, c_custkey IS NOT NULL AS customer_known,
+  l.n AS lines_n, l.quantity AS lines_quantity, l.k IS NOT NULL AS lines_known, e.n AS events_n, e.errors AS events_errors, e.u IS NOT NULL AS events_known
+  FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+  LEFT JOIN (SELECT l_orderkey AS k, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1) l ON l.k = o_orderkey
+  LEFT JOIN (SELECT user_id AS u, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1) e ON e.u = o_custkey)"""
+# the training part's edges: availability and counts from its rows alone
+TRAIN = edges().replace("JOIN part ON l_partkey = p_partkey)", "JOIN part ON l_partkey = p_partkey WHERE r_name NOT IN ('ASIA', 'EUROPE'))")
+MATRIX = AVAIL + """, n AS (SELECT episode, count(*) - 1 AS ctx_others FROM obs GROUP BY episode),
+m AS (SELECT u.episode, u.item AS upstream, a.item AS downstream, (u.outcome = 'R')::INT AS up_positive, (d.episode IS NOT NULL)::INT AS target, ctx_others, CASE WHEN u.site IN ('ASIA', 'EUROPE') THEN 'test' ELSE 'train' END AS split
+  FROM obs u JOIN avail a ON a.site = u.site AND a.stratum = u.stratum AND a.era = u.era AND a.item <> u.item AND a.is_available AND NOT a.is_intrinsic
+  LEFT JOIN obs d ON d.episode = u.episode AND d.item = a.item JOIN n ON n.episode = u.episode),
+te AS (SELECT * FROM (WITH """ + TRAIN + """ SELECT upstream, downstream, ln(ratio) AS pattern_log_ratio, (n_pos + n_neg)::DOUBLE AS pattern_support FROM edges)),
+matrix AS (SELECT m.*, coalesce(pattern_log_ratio, 0) AS pattern_log_ratio, coalesce(pattern_support, 0) AS pattern_support FROM m LEFT JOIN te USING (upstream, downstream))"""
+IMPLIED = """, rule(item, implied) AS (VALUES ('Brand#1', 'Brand#11'), ('Brand#2', 'Brand#12'), ('Brand#3', 'Brand#13')),
+both_obs AS (SELECT *, false AS is_implied FROM obs UNION ALL SELECT o.site, o.unit, o.episode, o.time, o.stratum, o.era, implied, o.outcome, true FROM obs o JOIN rule USING (item)
+  WHERE NOT EXISTS (SELECT 1 FROM obs x WHERE x.episode = o.episode AND x.item = implied))"""
+PATTERNS = OBS + """, up AS (SELECT item AS upstream, (outcome = 'R')::INT AS exposed, site, stratum, count(*) AS n FROM obs WHERE outcome IN ('R', 'N') GROUP BY ALL),
+sh AS (SELECT u.item AS upstream, d.item AS downstream, (u.outcome = 'R')::INT AS exposed, u.site, u.stratum, count(*) AS events FROM obs u JOIN obs d ON d.episode = u.episode AND d.item <> u.item WHERE u.outcome IN ('R', 'N') GROUP BY ALL)
+SELECT up.upstream, i.downstream, up.exposed, up.site, up.stratum, up.n, coalesce(events, 0) AS events FROM up JOIN (SELECT DISTINCT downstream FROM sh) i ON i.downstream <> up.upstream
+LEFT JOIN sh ON sh.upstream = up.upstream AND sh.downstream = i.downstream AND sh.exposed = up.exposed AND sh.site = up.site AND sh.stratum = up.stratum"""
+
+
+def page_rank_sql(rounds: int = 60) -> str:
+    """Rounds written out one after another."""
+    out = f"""WITH {edges()}, w AS MATERIALIZED (SELECT upstream, downstream, CASE WHEN ln(ratio) = 0 THEN 1 ELSE abs(ln(ratio)) END AS w FROM edges),
+l AS MATERIALIZED (SELECT upstream, downstream, w / sum(w) OVER (PARTITION BY upstream) AS share FROM w), nodes AS MATERIALIZED (SELECT upstream AS node FROM l UNION SELECT downstream FROM l), c AS MATERIALIZED (SELECT count(*) AS n FROM nodes),
+r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / n AS rank FROM nodes, c)"""
+    for k in range(rounds):
+        out += f""",
+f{k} AS MATERIALIZED (SELECT downstream, sum(rank * share) AS flow FROM l JOIN r{k} ON node = upstream GROUP BY ALL),
+r{k + 1} AS MATERIALIZED (SELECT node, 0.15 / n + 0.85 * (coalesce(flow, 0) + (1 - (SELECT coalesce(sum(flow), 0) FROM f{k})) / n) AS rank FROM nodes CROSS JOIN c LEFT JOIN f{k} ON downstream = node)"""
+    return out + f" SELECT node, round(rank, 6) AS rank FROM r{rounds}"
+
+
+ORACLE |= {
+    "opportunity_grid": f"""WITH {GRID}, seen AS (SELECT DISTINCT episode, item FROM raw)
+SELECT g.stratum, g.item, CASE WHEN is_intrinsic THEN 'intrinsic' WHEN NOT is_available THEN 'unavailable' WHEN s.item IS NOT NULL THEN 'eligible_observed' ELSE 'eligible_unobserved' END AS state,
+count(*) AS n, count(s.item) AS observed FROM grid g LEFT JOIN seen s ON s.episode = g.episode AND s.item = g.item GROUP BY ALL""",
+    "validated_edges_by_status": f"WITH {LABELS} SELECT upstream, downstream, round(ratio, 6) AS ratio, CASE WHEN ratio > 1 THEN 'escalation' WHEN ratio > 0 AND ratio < 1 THEN 'suppression' END AS direction, validation_status FROM labelled WHERE validation_status IN ('robust', 'supported')",
+    "primary_edges": f"WITH {LABELS} SELECT upstream, downstream, round(ratio, 6) AS ratio, validation_status FROM labelled ORDER BY list_position(['robust', 'supported', 'mixed', 'insufficient'], validation_status), round(abs(ln(ratio)), 9) DESC, upstream, downstream LIMIT 40",
+    "permutation_strata_by_era": f"""WITH {counts(', site').replace('u.outcome, u.site', 'u.outcome, u.site, u.era')}, st AS (SELECT upstream, downstream, site, era, coalesce(sum(support_n) FILTER (outcome = 'R'), 0) AS n_pos, coalesce(sum(support_n) FILTER (outcome = 'N'), 0) AS n_neg FROM counts GROUP BY ALL)
+SELECT upstream, downstream, count(*) AS n_strata, count(*) FILTER (n_pos > 0 AND n_neg > 0) AS both_labels, coalesce(sum(n_pos + n_neg) FILTER (n_pos > 0 AND n_neg > 0), 0)::BIGINT AS permutable,
+sum(n_pos + n_neg)::BIGINT AS rows, round(1 - coalesce(sum(n_pos + n_neg) FILTER (n_pos > 0 AND n_neg > 0), 0) / nullif(sum(n_pos + n_neg), 0), 6) AS fixed_share FROM st GROUP BY ALL""",
+    "observed_ratios": f"""WITH {counts()}, w AS (SELECT upstream, downstream, coalesce(sum(support_n) FILTER (outcome = 'R'), 0)::BIGINT AS n_pos, coalesce(sum(tested_n) FILTER (outcome = 'R'), 0)::BIGINT AS k_pos, coalesce(sum(support_n) FILTER (outcome = 'N'), 0)::BIGINT AS n_neg, coalesce(sum(tested_n) FILTER (outcome = 'N'), 0)::BIGINT AS k_neg FROM counts GROUP BY ALL)
+SELECT *, round(((k_pos + 0.5) / (n_pos + 1)) / ((k_neg + 0.5) / (n_neg + 1)), 6) AS ratio FROM w""",
+    "adjusted_patterns": f"WITH {PATTERNS}",
+    "page_rank": page_rank_sql(),
+    "covariate_star": f"WITH {STAR} SELECT * REPLACE (round(o_totalprice, 6) AS o_totalprice, round(balance, 6) AS balance, round(lines_quantity::DOUBLE, 6) AS lines_quantity) FROM star",
+    "covariate_coverage": f"WITH {STAR}" + " UNION ALL ".join(f" SELECT '{n}' AS dimension, count(*) AS rows, count(*) FILTER ({n}_known) AS matched, count(*) FILTER (NOT {n}_known) AS unmatched FROM star" for n in ("customer", "lines", "events")),
+    "pair_feature_matrix": f"WITH {MATRIX} SELECT upstream, downstream, split, count(*) AS rows, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("target", "up_positive", "ctx_others", "pattern_log_ratio", "pattern_support")) + " FROM matrix GROUP BY ALL",
+    "pair_feature_rows": f"WITH {MATRIX} SELECT episode, upstream, downstream, target, up_positive, round(pattern_log_ratio, 6) AS pattern_log_ratio, pattern_support FROM matrix WHERE up_positive = 1",
+    "screened_edges": f"""WITH {edges()}, free AS (SELECT * FROM (WITH {counts().replace(" AND NOT g.is_intrinsic", "")}, rate AS (SELECT upstream, downstream, sum(tested_n) / sum(support_n) AS p, sum(support_n) AS n FROM counts GROUP BY ALL)
+  SELECT x.upstream, x.downstream FROM rate x JOIN rate y ON y.upstream = x.downstream AND y.downstream = x.upstream WHERE x.p >= 0.145 AND y.p >= 0.145 AND x.n >= 25 AND y.n >= 25))
+SELECT upstream, downstream, round(ratio, 6) AS ratio, passes_support FROM edges WHERE (upstream, downstream) NOT IN (SELECT (upstream, downstream) FROM free) AND (downstream, upstream) NOT IN (SELECT (upstream, downstream) FROM free)""",
+    "implied_outcomes": f"WITH {OBS}{IMPLIED} SELECT item, is_implied, count(*) AS rows, count(*) FILTER (outcome = 'R') AS positives FROM both_obs GROUP BY ALL",
+    "canonical_edges": f"WITH {edges()} SELECT upstream, downstream, round(ratio, 6) AS ratio FROM edges QUALIFY row_number() OVER (PARTITION BY least(upstream, downstream), greatest(upstream, downstream) ORDER BY n_pos + n_neg DESC, upstream, downstream) = 1",
+    "direction_conflicts": f"WITH {RET} SELECT count(*) AS edges, count(*) FILTER (upstream = 'Brand#5' AND ratio > 1) AS conflicts FROM ret",
+    "thinned_curves": f"""WITH {tilt([k / 4 for k in range(-12, 13)])}, c AS (SELECT item, tilt, round(prevalence, 6) AS prevalence FROM tilted),
+d AS (SELECT *, coalesce(sqrt((tilt - lag(tilt) OVER w) ** 2 + (prevalence - lag(prevalence) OVER w) ** 2), 0) AS d FROM c WINDOW w AS (PARTITION BY item ORDER BY tilt)),
+a AS (SELECT *, floor(round(sum(d) OVER (PARTITION BY item ORDER BY tilt ROWS UNBOUNDED PRECEDING) / 0.6, 9)) AS place FROM d)
+SELECT item, tilt, prevalence FROM a QUALIFY lag(place) OVER (PARTITION BY item ORDER BY tilt) IS NULL OR lead(place) OVER (PARTITION BY item ORDER BY tilt) IS NULL OR place > lag(place) OVER (PARTITION BY item ORDER BY tilt)""",
+    "ranked_prevalence_shifts": f"WITH {CELLS}, r AS (SELECT *, row_number() OVER (ORDER BY round(abs(shift), 9) DESC, eligible DESC, evaluable DESC, item)::INT AS rank FROM prevalence WHERE shift IS NOT NULL) SELECT item, round(shift, 6) AS shift, eligible, evaluable, rank FROM r WHERE rank <= 20",
+    "conservative_edges": f"WITH {RET}, b AS (SELECT *, CASE WHEN ratio >= 1 THEN ln(ci_low) ELSE -ln(ci_high) END AS near_bound FROM ret) SELECT upstream, downstream, round(ratio, 6) AS ratio, round(near_bound, 6) AS near_bound FROM b ORDER BY round(b.near_bound, 9) DESC, upstream, downstream LIMIT 30",
+    "smoothing_of_strongest": f"WITH {RET}, b AS (SELECT * FROM ret ORDER BY round(abs(ln(ratio)), 9) DESC, upstream, downstream LIMIT 30), v(smoothing) AS (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) SELECT upstream, downstream, smoothing, round(((k_pos + smoothing) / (n_pos + 2 * smoothing)) / ((k_neg + smoothing) / (n_neg + 2 * smoothing)), 6) AS ratio FROM b CROSS JOIN v",
+    "categories_in_order": f"WITH {CELLS}, {CATS} SELECT item, category, round(naive, 6) AS naive, row_number() OVER (ORDER BY coalesce(list_position(['Access', 'Watch', 'Reserve'], category), 4), (evaluable < 2000)::INT, round(naive, 9) DESC, item)::INT AS place FROM prevalence LEFT JOIN cats USING (item)",
+    "existence_by_scope": f"""WITH {edges(', site')}, s(site) AS (VALUES ('AFRICA'), ('AMERICA'), ('ASIA'), ('EUROPE'), ('MIDDLE EAST'), ('ANTARCTICA'))
+SELECT s.site, count(e.ratio) AS edges, count(*) FILTER (e.ratio > 1) AS above, round(max(e.ratio), 6) AS largest, round(median(e.ratio), 6) AS median, count(*) FILTER (e.ratio > 1) > 0 AS found FROM s LEFT JOIN (SELECT * FROM edges WHERE passes_support) e ON e.site = s.site GROUP BY s.site""",
+    "pair_dependence": f"""WITH {edges()}, rate AS (SELECT upstream, downstream, sum(tested_n) AS k, sum(support_n) AS n FROM counts GROUP BY ALL),
+x AS (SELECT e.upstream, e.downstream, e.ratio, abs(ln((x.k + 0.5) / (x.n + 1)) - ln((y.k + 0.5) / (y.n + 1))) AS timing_asymmetry, least(x.k / x.n, y.k / y.n) AS bundling, least(x.n, y.n) / greatest(x.n, y.n) AS support_ratio
+  FROM edges e JOIN rate x USING (upstream, downstream) JOIN rate y ON y.upstream = e.downstream AND y.downstream = e.upstream)
+SELECT upstream, downstream, round(ratio, 6) AS ratio, round(timing_asymmetry, 6) AS timing_asymmetry, round(bundling, 6) AS bundling, round(support_ratio, 6) AS support_ratio, CASE WHEN bundling >= 0.8 THEN 'bundled' WHEN bundling >= 0.5 THEN 'partly_bundled' ELSE 'separate' END AS grade FROM x""",
+    "replication_sensitivity": f"WITH {POOL}, a(i2_limit) AS (VALUES (25.0::DOUBLE), (50.0::DOUBLE), (75.0::DOUBLE)), b(z_limit) AS (VALUES (1.0::DOUBLE), (1.96::DOUBLE)) SELECT i2_limit, z_limit, count(*) FILTER (i2 <= i2_limit AND abs(z) >= z_limit) AS replicated FROM tail CROSS JOIN a CROSS JOIN b GROUP BY ALL",
+    "availability_sensitivity": " UNION ALL ".join(
+        f"SELECT {m}::INT AS min_support, edges, mean_ratio FROM (WITH {edges().replace(f'>= {MIN_SUPPORT} AS is_available', f'>= {m} AS is_available')} SELECT count(*) AS edges, round(coalesce(avg(ratio), 0), 6) AS mean_ratio FROM edges WHERE passes_support)" for m in (1, MIN_SUPPORT, 2 * MIN_SUPPORT)
+    ),
+    "matched_families": f"""WITH {RAW}, l AS (SELECT CASE WHEN upper(item) || '/' || upper(stratum) = 'BRAND#1/BUILDING' THEN 'FIRST' ELSE upper(item) || '/' || upper(stratum) END AS label FROM raw)
+SELECT CASE WHEN regexp_matches(label, '^(FIRST|BRAND#[12])(/|$)') THEN 'low' WHEN regexp_matches(label, 'BUILDING|HOUSEHOLD') THEN 'home' ELSE 'other' END AS family, split_part(label, '/', 1) AS first_word, count(*) AS rows FROM l GROUP BY ALL""",
+    "pooled_selection": """WITH l AS (SELECT split_part(p_name, ' ', 1) AS label FROM part) SELECT 'warm' AS requested, 'warm' AS label, count(*) AS rows FROM l WHERE label IN ('red', 'orange', 'warm') HAVING count(*) > 0 UNION ALL SELECT 'red', 'red', count(*) FROM l WHERE label = 'red' HAVING count(*) > 0""",
+    "months_and_times": """SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'unknown' ELSE strftime(o_orderdate, '%B %Y') END AS month, CASE WHEN o_orderkey % 5 NOT IN (0, 1) THEN year(o_orderdate)::INT END AS year FROM orders""",
+    "unverifiable_history": "SELECT user_id, NULL::BIGINT AS records, NULL::DOUBLE AS top, 0 AS available FROM events GROUP BY user_id",
+    "merged_shards": f"WITH {edges()} SELECT upstream, downstream, round(ratio, 6) AS ratio FROM edges",
+    "projected_scan": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate >= DATE '1998-01-01' AND o_orderstatus = 'F'",
+}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import effects as E
 from ..functions import labels as L
-from ..operators import adjusted, audit, cleaning, descriptive, evaluation, history, models, network, opportunity, patterns, prevalence, replication, resampling
+from ..operators import adjusted, audit, cleaning, descriptive, evaluation, features, history, models, network, opportunity, patterns, prevalence, replication, reports, resampling
 from ..operators.patterns import PAIR
 from ..sources import tables
 from .roles import MIN_SUPPORT, NEGATIVE, POSITIVE, categories, intrinsic, known, observations, resolved, seen, table
@@ -79,23 +79,25 @@ def availability(s, d):
 
 @query
 def opportunity_states(s, d):
-    rows = seen(s, d)
-    return opportunity.grid(rows, MIN_SUPPORT, intrinsic(s)).groupBy("site", "era", "state").agg(F.count("*").alias("n"), F.sum("is_observed").alias("observed"))
+    states = opportunity.cell_states(seen(s, d), MIN_SUPPORT, intrinsic(s))
+    return states.groupBy("site", "era", "state").agg(F.sum("n").alias("n"), F.sum("observed").alias("observed"))
 
 
 @query
-def opportunity_summary(s, d):
-    return r6(opportunity.space_summary(seen(s, d), MIN_SUPPORT, intrinsic(s)))
+def opportunity_grid(s, d):
+    """The same states by item and stratum, from the grid's own rows."""
+    return opportunity.grid(seen(s, d), MIN_SUPPORT, intrinsic(s)).groupBy("stratum", "item", "state").agg(F.count("*").alias("n"), F.sum("is_observed").alias("observed"))
 
 
 @query
-def testing_matrix_all(s, d):
-    return opportunity.testing_matrix(resolved(observations(s, d)), vocabulary(observations(s, d)))
+def opportunity_summary(s, d):
+    return r6(opportunity.space_summary(seen(s, d), MIN_SUPPORT, intrinsic(s)))
 
 
 @query
 def testing_matrix(s, d):
-    return opportunity.testing_matrix(resolved(observations(s, d)), ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5"])
+    rows = resolved(observations(s, d))
+    return opportunity.testing_matrix(rows, vocabulary(rows))
 
 
 @query
@@ -227,14 +229,7 @@ def pooled_edges_fdr(s, d):
 
 @query
 def temporal_thirds(s, d):
-    o = known(seen(s, d))
-    pairs = s.createDataFrame([("Brand#1", "Brand#2"), ("Brand#5", "Brand#6"), ("Brand#9", "Brand#4")], "upstream string, downstream string")
-    return r6(replication.temporal_thirds(o, pairs, POSITIVE, NEGATIVE))
-
-
-@query
-def temporal_thirds_all(s, d):
-    """The same for every pair with both branches."""
+    """Early and late thirds of every pair with both branches."""
     return r6(replication.temporal_thirds(known(seen(s, d)), edge_table(s, d), POSITIVE, NEGATIVE))
 
 
@@ -254,46 +249,72 @@ def yearly_heterogeneity(s, d):
     return r6(replication.heterogeneity(edge_table(s, d, ("year",))))
 
 
-@query
-def validation_labels(s, d):
-    p = replication.pooled_over_sites(edge_table(s, d, ("site",))).withColumn("p_value", replication.two_sided_p(F.col("z")))
-    p = replication.adjusted_p(p, "p_value", PAIR, "q_value")
-    p = p.withColumn("agreement", F.greatest("sites_above", F.col("sites") - F.col("sites_above")) / F.col("sites")).withColumn("temporal", F.lit(False))
-    return replication.label(p).groupBy("validation_status").agg(F.count("*").alias("edges"))
-
-
-def validated_edges(s, d):
-    """Retained edges with what their label rests on: q of the permutation test, pooled sites if any, early and late thirds."""
+def validated_edges(s, d, tested: DataFrame):
+    """Retained edges with what their label rests on: q of a test's p_value, pooled sites if any, early and late thirds."""
     e = patterns.retained(edge_table(s, d)).select(*PAIR, "ratio")
-    test = resampling.permutation_test(strata(s, d, ("site",))).select(*PAIR, F.col("p_two_sided").alias("p_value"))
-    sites = replication.pooled_over_sites(edge_table(s, d, ("site",)))
     side = F.signum(F.log("ratio"))
+    sites = replication.pooled_over_sites(edge_table(s, d, ("site",)))
     sites = sites.select(*PAIR, "sites", "i2", "z", (F.greatest("sites_above", F.col("sites") - F.col("sites_above")) / F.col("sites")).alias("agreement"))
     gates = (F.col("n_pos") + F.col("n_neg") >= patterns.MIN_TOTAL) & (F.col("n_pos") >= patterns.MIN_BRANCH) & (F.col("n_neg") >= patterns.MIN_BRANCH)
     t = replication.temporal_thirds(known(seen(s, d)), e, POSITIVE, NEGATIVE).where(gates)
     t = t.groupBy(*PAIR).agg(*[F.max(F.when(F.col("third") == x, side)).alias(x) for x in ("early", "late")])
-    out = e.join(test, PAIR, "left").join(sites, PAIR, "left").join(t, PAIR, "left")
+    out = e.join(tested.select(*PAIR, "p_value"), PAIR, "left").join(sites, PAIR, "left").join(t, PAIR, "left")
     out = out.withColumns({"temporal": (F.col("early") == F.col("late")) & (F.col("early") == side) & (side != 0), "z": F.when(F.signum("z") == side, F.col("z"))})
     return replication.adjusted_p(out, "p_value", PAIR, "q_value")
 
 
+def pooled_p(s, d):
+    return replication.pooled_over_sites(edge_table(s, d, ("site",))).withColumn("p_value", replication.two_sided_p(F.col("z")))
+
+
 @query
-def validation_labels_all(s, d):
-    """Labels of all retained edges, with time; validation_labels is as its SQL has it, by pooled sites alone."""
-    return replication.label(validated_edges(s, d)).groupBy("validation_status").agg(F.count("*").alias("edges"))
+def validation_labels(s, d):
+    """Labels of all retained edges by sites, time and the pooled test, which SQL can form; validation_labels_permuted takes the permutation test's q."""
+    return replication.label(validated_edges(s, d, pooled_p(s, d))).groupBy("validation_status").agg(F.count("*").alias("edges"))
 
 
 @query
-def permutation_strata(s, d):
-    """One item's patterns, as in its SQL; permutation_strata_all has every pair."""
-    return r6(resampling.degeneracy(strata(s, d, ("site",)).where("upstream = 'Brand#5'")))
+def validation_labels_permuted(s, d):
+    tested = resampling.permutation_test(strata(s, d, ("site",))).withColumnRenamed("p_two_sided", "p_value")
+    return replication.label(validated_edges(s, d, tested)).groupBy("validation_status").agg(F.count("*").alias("edges"))
 
 
 @query
-def permutation_strata_all(s, d):
+def validated_edges_by_status(s, d):
+    """Edges that count as validated, with their direction: robust and supported ones."""
+    e = replication.label(validated_edges(s, d, pooled_p(s, d))).where(F.col("validation_status").isin("robust", "supported"))
+    return r6(e.select(*PAIR, "ratio", E.direction(F.col("ratio")).alias("direction"), "validation_status"))
+
+
+@query
+def primary_edges(s, d):
+    """The first 40 edges of the report, by label and strength."""
+    return r6(reports.primary(replication.label(validated_edges(s, d, pooled_p(s, d))), 40).select(*PAIR, "ratio", "validation_status"))
+
+
+@query
+def permutation_strata(s, d):
     return r6(resampling.degeneracy(strata(s, d, ("site",))))
 
 
+@query
+def permutation_strata_by_era(s, d):
+    return r6(resampling.degeneracy(strata(s, d, ("site", "era"))))
+
+
+@query
+def observed_ratios(s, d):
+    """Ratios that the permutation tests and bootstraps start from: all strata of a pair together."""
+    c = strata(s, d, ("site", "era")).groupBy(*PAIR).agg(*[F.sum(x).alias(x) for x in resampling.COUNTS])
+    return r6(c.withColumn("ratio", E.rate_ratio(*[F.col(x) for x in ("k_pos", "n_pos", "k_neg", "n_neg")])))
+
+
+@query
+def permutation_test_by_era(s, d):
+    """Labels move within site and era."""
+    return resampling.permutation_test(strata(s, d, ("site", "era")))
+
+
 @query
 def permutation_test(s, d):
     return resampling.permutation_test(strata(s, d, ("site",)))
@@ -306,37 +327,62 @@ def bootstrap_intervals(s, d):
 
 @query
 def page_rank(s, d):
-    return network.page_rank(edge_table(s, d).withColumn("w", F.abs(F.log("ratio"))), "w")
+    return r6(network.page_rank(edge_table(s, d).withColumn("w", F.abs(F.log("ratio"))), "w"))
+
+
+@query
+def betweenness(s, d):
+    return r6(network.betweenness(edge_table(s, d).where("ratio > 1.1")))
 
 
-def exposed_rows(s, d):
-    """Every item's results with whether each other item shows, for the adjusted models."""
+def exposure_counts(s, d):
+    """Counts of every item's results by cluster, exposure and covariates, and of those that show each other item."""
     o = known(seen(s, d))
+    keys = ["cluster", "exposed", "site", "stratum"]
     up = o.where(F.col("outcome").isin(POSITIVE, NEGATIVE)).select("episode", F.col("item").alias("upstream"), (F.col("outcome") == POSITIVE).cast("int").alias("exposed"), F.concat_ws("::", "site", "unit").alias("cluster"), "stratum", "site")
-    items = o.select(F.col("item").alias("downstream")).distinct()
-    down = o.select("episode", F.col("item").alias("downstream"), F.lit(1).alias("shown"))
-    return up.crossJoin(F.broadcast(items)).where("upstream <> downstream").join(down, ["episode", "downstream"], "left").fillna(0, ["shown"])  # results x items
+    shown = up.join(o.select("episode", F.col("item").alias("downstream")), "episode").where("upstream <> downstream")
+    return up.groupBy("upstream", *keys).agg(F.count("*").alias("n")), shown.groupBy(*PAIR, *keys).agg(F.count("*").alias("events"))
 
 
 @query
 def adjusted_odds(s, d):
-    return adjusted.adjusted_odds(exposed_rows(s, d), ["site", "stratum"])
+    return adjusted.adjusted_odds(*exposure_counts(s, d), ["site", "stratum"]).drop("penalty")
+
+
+@query
+def adjusted_patterns(s, d):
+    """What the adjusted models are fitted on: every pair's counts by exposure and covariate pattern."""
+    return adjusted.by_pattern(*exposure_counts(s, d), ["site", "stratum"])
+
+
+@query
+def adjustment_concordance(s, d):
+    """How the adjusted odds bear on each retained edge's ratio."""
+    a = adjusted.adjusted_odds(*exposure_counts(s, d), ["site", "stratum"]).select(*PAIR, "odds_ratio", "ci_low", "ci_high")
+    e = patterns.retained(edge_table(s, d)).select(*PAIR, "ratio")
+    return e.join(a, PAIR, "left").groupBy(reports.concordance(*[F.col(c) for c in ("ratio", "odds_ratio", "ci_low", "ci_high")]).alias("concordance")).agg(F.count("*").alias("edges"))
 
 
 @query
 def adjusted_ridge_refits(s, d):
-    return models.ridge_refits(exposed_rows(s, d), ["site", "stratum"])
+    return adjusted.adjusted_odds(*exposure_counts(s, d), ["site", "stratum"], (1.0, 10.0, 100.0))
 
 
 @query
 def adjusted_contributions(s, d):
-    return models.contributions(exposed_rows(s, d), ["site", "stratum"])
+    return adjusted.contributions(*exposure_counts(s, d), ["site", "stratum"])
 
 
 @query
 def unit_bootstrap(s, d):
-    c = exposed_rows(s, d).groupBy(*PAIR, "site", "cluster").agg(*[F.sum(F.expr(e)).alias(n) for n, e in (("n_pos", "exposed"), ("k_pos", "exposed * shown"), ("n_neg", "1 - exposed"), ("k_neg", "(1 - exposed) * shown"))])
-    return resampling.cluster_bootstrap(c)
+    exposures, events = exposure_counts(s, d)
+    keys = ["site", "cluster"]
+    pos = lambda c: F.sum(F.when(F.col("exposed") == 1, F.col(c)).otherwise(0))
+    neg = lambda c: F.sum(F.when(F.col("exposed") == 0, F.col(c)).otherwise(0))
+    n = exposures.groupBy("upstream", *keys).agg(pos("n").alias("n_pos"), neg("n").alias("n_neg"))
+    k = events.groupBy(*PAIR, *keys).agg(pos("events").alias("k_pos"), neg("events").alias("k_neg"))
+    every = n.crossJoin(F.broadcast(events.select("downstream").distinct())).where("upstream <> downstream")  # units' items x items
+    return resampling.cluster_bootstrap(every.join(k, [*PAIR, *keys], "left").fillna(0, ["k_pos", "k_neg"]))
 
 
 @query
@@ -488,11 +534,6 @@ def frequent_items(s, d):
 
 @query
 def item_flags(s, d):
-    return descriptive.flags_of(observations(s, d), "unit", "item", ["Brand#1", "Brand#2", "Brand#3"]).select("unit", *[F.col(f"`Brand#{k}`").alias(f"brand_{k}") for k in (1, 2, 3)])
-
-
-@query
-def item_flags_all(s, d):
     rows = observations(s, d)
     items = vocabulary(rows)
     return descriptive.flags_of(rows, "unit", "item", items).select("unit", *[F.col(f"`{i}`").alias("".join(x if x.isalnum() else "_" for x in i.lower())) for i in items])
@@ -638,8 +679,19 @@ def masking_experiment(s, d):
     rows = seen(s, d)
     o = models.masked(known(rows), 0.2)
     part = lambda x: prevalence.summary(prevalence.item_cells(x, rows, MIN_SUPPORT, POSITIVE, intrinsic(s)), 1, 1).select("item", "standardised")
-    known = part(o.where("not is_hidden")).withColumnRenamed("standardised", "from_known")
-    return r6(part(o).withColumnRenamed("standardised", "from_all").join(known, "item").withColumn("error", F.col("from_known") - F.col("from_all")))
+    rest = part(o.where("not is_hidden")).withColumnRenamed("standardised", "from_known")
+    return r6(part(o).withColumnRenamed("standardised", "from_all").join(rest, "item").withColumn("error", F.col("from_known") - F.col("from_all")))
+
+
+@query
+def masking_by_tilt(s, d):
+    """Results hidden by a known tilt of their outcome, and the modelled curve of what is left: its error against all results at each tilt."""
+    rows = seen(s, d)
+    o = models.masked_by_outcome(known(rows), POSITIVE, 0.4, 0.1)
+    make = lambda x: prevalence.item_cells(x, rows, MIN_SUPPORT, POSITIVE, intrinsic(s))
+    truth = models.modelled_tilt(make(o), ["site", "stratum", "era"], [0.0]).select("item", F.col("prevalence").alias("from_all"))
+    curve = models.modelled_tilt(make(o.where("not is_hidden")), ["site", "stratum", "era"], [-2.0, -1.0, 0.0, 1.0, 2.0])
+    return r6(curve.join(truth, "item").withColumn("error", F.col("prevalence") - F.col("from_all")))
 
 
 # ---- flows, reasons, checks
@@ -708,13 +760,7 @@ def stratum_edges(s, d):
 
 @query
 def year_site_counts(s, d):
-    e = edge_table(s, d, ("site", "year")).where("upstream = 'Brand#5' and downstream in ('Brand#6', 'Brand#8')")
-    return e.groupBy(*PAIR, "site").pivot("year", [1996, 1997, 1998]).agg(F.first("n_pos").alias("n"), F.first("k_pos").alias("k"))
-
-
-@query
-def year_site_counts_all(s, d):
-    """The same for every pair and year, a row for each."""
+    """Counts of every pair, site and year, a row for each."""
     return edge_table(s, d, ("site", "year")).select(*PAIR, "site", "year", F.col("n_pos").alias("n"), F.col("k_pos").alias("k"))
 
 
@@ -800,3 +846,199 @@ def identifiability_panel(s, d):
     o = known(rows).select("episode", "item", F.when(F.col("outcome").isin(POSITIVE, "A"), 1).otherwise(0).alias("y"))
     g = opportunity.grid(rows, MIN_SUPPORT, intrinsic(s)).where("is_eligible").select("episode", "item", "site").join(o, ["episode", "item"], "left")
     return g.groupBy("site", "item").agg(F.count("*").alias("eligible"), F.count("y").alias("known"), F.coalesce(F.sum("y"), F.lit(0)).alias("positive"))
+
+
+# ---- covariates and feature matrices
+
+
+def order_star(s, d):
+    """Every order with its customer, the customer's nation, earlier orders and the user's events of the same number."""
+    o = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    customer = table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_acctbal", "c_nationkey")
+    lines = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    events = table(s, d, "events").groupBy(F.col("user_id").alias("o_custkey")).agg(F.count("*").alias("n"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"))
+    return features.star(o, [("customer", customer, ["o_custkey"]), ("lines", lines, ["o_orderkey"]), ("events", events, ["o_custkey"])])
+
+
+@query
+def covariate_star(s, d):
+    out = order_star(s, d).withColumnsRenamed({"customer_c_mktsegment": "segment", "customer_c_acctbal": "balance", "customer_c_nationkey": "nation"})
+    return r6(out.drop("o_orderdate").withColumn("o_totalprice", F.col("o_totalprice").cast("double")).withColumn("balance", F.col("balance").cast("double")))
+
+
+@query
+def covariate_coverage(s, d):
+    return features.coverage(order_star(s, d), ["customer", "lines", "events"])
+
+
+def pair_matrix(s, d):
+    """Pair rows with context, and with pattern features from the sites of the training part alone."""
+    rows = seen(s, d)
+    o = known(rows)
+    eligible = opportunity.availability(rows, MIN_SUPPORT, intrinsic(s)).where("is_eligible")
+    m = features.pair_rows(o, eligible, opportunity.CELL, POSITIVE)
+    train = ~F.col("site").isin("ASIA", "EUROPE")
+    part = rows.where(train)
+    e = patterns.edges(patterns.branch_counts(known(part), part, MIN_SUPPORT, intrinsic(s)), POSITIVE, NEGATIVE)
+    context = o.groupBy("episode").agg((F.count("*") - 1).alias("ctx_others"))
+    m = m.join(context, "episode").withColumn("ctx_site", F.col("site")).withColumn("split", F.when(train, "train").otherwise("test"))
+    return features.with_pattern_features(m, e)
+
+
+@query
+def pair_feature_matrix(s, d):
+    """Means of the full feature set over pair rows, by pair and split."""
+    m = features.feature_set(pair_matrix(s, d), "full", [*PAIR, "split"])
+    means = [F.avg(c).alias(c) for c in ("target", "up_positive", "ctx_others", "pattern_log_ratio", "pattern_support")]
+    return r6(m.groupBy(*PAIR, "split").agg(F.count("*").alias("rows"), *means))
+
+
+@query
+def pair_feature_rows(s, d):
+    """The rows themselves that have pattern features and a positive result, with the pattern-aware set."""
+    m = features.feature_set(pair_matrix(s, d).where("up_positive = 1"), "pattern_aware", ["episode", *PAIR])
+    return r6(m)
+
+
+# ---- screens, implied outcomes, reports
+
+
+@query
+def screened_edges(s, d):
+    """Edges from counts without the pairs that are nearly always seen together, in both directions."""
+    rows = seen(s, d)
+    c = patterns.branch_counts(known(rows), rows, MIN_SUPPORT, intrinsic(s))
+    flagged = patterns.co_observed(known(rows), rows, MIN_SUPPORT, share=0.145, floor=25).where("is_bundled")
+    return r6(patterns.edges(reports.screened(c, flagged), POSITIVE, NEGATIVE).select(*PAIR, "ratio", "passes_support"))
+
+
+def implied_rows(s, d):
+    """Observed results, and results that rules imply for items that an episode doesn't show: the outcome of one item stands for another."""
+    o = known(seen(s, d))
+    rules = s.createDataFrame([("Brand#1", "Brand#11"), ("Brand#2", "Brand#12"), ("Brand#3", "Brand#13")], "item string, implied string")
+    implied = o.join(F.broadcast(rules), "item").withColumn("item", F.col("implied")).select(o.columns)  # three rules
+    return reports.with_implied(o, implied, ["episode", "item"])
+
+
+@query
+def implied_outcomes(s, d):
+    return implied_rows(s, d).groupBy("item", "is_implied").agg(F.count("*").alias("rows"), F.count(F.when(F.col("outcome") == POSITIVE, 1)).alias("positives"))
+
+
+@query
+def implied_sensitivity(s, d):
+    """Edges from observed results against those from observed and implied ones."""
+    rows = seen(s, d)
+    make = lambda o, every: patterns.edges(patterns.branch_counts(o, every, MIN_SUPPORT, intrinsic(s)), POSITIVE, NEGATIVE)
+    with_them = implied_rows(s, d).drop("is_implied")
+    every = rows.unionByName(with_them).dropDuplicates(["episode", "item"]) if set(rows.columns) == set(with_them.columns) else rows
+    return r6(patterns.compared(make(known(rows), rows), make(with_them, every), "observed", "implied"))
+
+
+@query
+def canonical_edges(s, d):
+    e = edge_table(s, d)
+    return r6(reports.canonical(e, F.col("n_pos") + F.col("n_neg")).select(*PAIR, "ratio"))
+
+
+@query
+def direction_conflicts(s, d):
+    e = patterns.retained(edge_table(s, d)).withColumn("stored", F.when((F.col("upstream") == "Brand#5") & (F.col("ratio") > 1), "suppression").otherwise(F.col("direction")))
+    return reports.direction_conflicts(e, "stored")
+
+
+@query
+def thinned_curves(s, d):
+    curve = prevalence.tilt_curve(prevalence.summary(cells(s, d)), [k / 4 for k in range(-12, 13)])
+    return r6(reports.thinned(r6(curve), ["item"], "tilt", "prevalence", 0.6))
+
+
+@query
+def ranked_prevalence_shifts(s, d):
+    return r6(reports.ranked_shifts(prevalence.summary(cells(s, d)), 20).select("item", "shift", "eligible", "evaluable", "rank"))
+
+
+@query
+def conservative_edges(s, d):
+    return r6(reports.conservative(patterns.retained(edge_table(s, d)), 30).select(*PAIR, "ratio", "near_bound"))
+
+
+@query
+def smoothing_of_strongest(s, d):
+    return r6(reports.smoothing_table(patterns.retained(edge_table(s, d)), 30))
+
+
+@query
+def categories_in_order(s, d):
+    p = prevalence.summary(cells(s, d)).join(categories(s), "item", "left")
+    return r6(reports.in_category_order(p, ["Access", "Watch", "Reserve"], "category", F.col("evaluable") < 2_000, "naive", "item").select("item", "category", "naive", "place"))
+
+
+@query
+def existence_by_scope(s, d):
+    e = edge_table(s, d, ("site",)).where("passes_support")
+    return r6(reports.existence(e, "site", s.createDataFrame([(x,) for x in [*SITES, "ANTARCTICA"]], "site string")))
+
+
+@query
+def pair_dependence(s, d):
+    c = counts(s, d)
+    return r6(reports.dependence(c, patterns.edges(c, POSITIVE, NEGATIVE).select(*PAIR, "ratio")))
+
+
+@query
+def replication_sensitivity(s, d):
+    return reports.label_sensitivity(replication.pooled_over_sites(edge_table(s, d, ("site",))), [25.0, 50.0, 75.0], [1.0, 1.96])
+
+
+@query
+def availability_sensitivity(s, d):
+    """Edges and their mean ratio at other least supports of availability."""
+    rows = seen(s, d)
+    make = lambda m: patterns.edges(patterns.branch_counts(known(rows), rows, m, intrinsic(s)), POSITIVE, NEGATIVE).where("passes_support").agg(F.lit(m).alias("min_support"), F.count("*").alias("edges"), F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("mean_ratio"))
+    return r6(tables.union_all([make(m) for m in (1, MIN_SUPPORT, 2 * MIN_SUPPORT)]))
+
+
+@query
+def matched_families(s, d):
+    """Rows by family: labels that a pattern matches, after harmonising."""
+    rows = observations(s, d).withColumn("label", L.harmonised(F.concat(F.col("item"), F.lit(" + "), F.lower("stratum")), {"BRAND#1/BUILDING": "FIRST"}))
+    family = F.when(F.col("label").rlike(r"^(FIRST|BRAND#[12])(/|$)"), "low").when(F.col("label").rlike(r"BUILDING|HOUSEHOLD"), "home").otherwise("other")
+    return rows.groupBy(family.alias("family"), L.first_word(F.col("label"), ["THE"]).alias("first_word")).agg(F.count("*").alias("rows"))
+
+
+@query
+def pooled_selection(s, d):
+    """Rows of a requested label: a canonical one takes its aliases as well, an annotated one itself only; both are relabelled."""
+    rows = table(s, d, "part").select(F.regexp_extract("p_name", r"^(\S+)", 1).alias("label"))
+    aliases = {"red": "warm", "orange": "warm", "green": "cold", "blue": "cold"}
+    out = [L.selected(rows, "label", want, aliases).withColumn("requested", F.lit(want)) for want in ("warm", "red")]
+    return tables.union_all(out).groupBy("requested", "label").agg(F.count("*").alias("rows"))
+
+
+@query
+def months_and_times(s, d):
+    """Mixed date texts: the month in words with 'unknown', and the year by its prefix."""
+    o = table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "n/a").when(F.col("o_orderkey") % 5 == 1, None).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("t"))
+    return o.select("o_orderkey", L.month_text(L.parsed_time(F.col("t"))).alias("month"), L.year_by_prefix(F.col("t")).alias("year"))
+
+
+@query
+def unverifiable_history(s, d):
+    """Records whose times can't be trusted never count as known before the index: availability 0, the counts kept aside."""
+    e = table(s, d, "events")
+    return history.suppressed(e.groupBy("user_id").agg(F.count("*").alias("records"), F.max("value").alias("top")), ["records", "top"])
+
+
+@query
+def merged_shards(s, d):
+    """Edges computed by shards of upstream items, merged again under the check that they cover every pair once."""
+    e = edge_table(s, d)
+    part = F.pmod(F.crc32("upstream"), F.lit(3))
+    return r6(tables.merged_shards([e.where(part == k) for k in range(3)], e, PAIR).select(*PAIR, "ratio"))
+
+
+@query
+def projected_scan(s, d):
+    """Two columns and a predicate that reach the scan."""
+    return tables.read_parquet(s, f"{d}/orders.parquet", ["o_orderkey", "o_orderstatus"], "o_orderdate >= date'1998-01-01' and o_orderstatus = 'F'")
