@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..sources.tables import written  # noqa: F401
+
+#: Bits of the map of a set of keys.
+BITS = 1 << 25
 #: Characters of text that one task works on at a time; bounds the Python worker's memory.
 CHUNK_CHARS = 1_000_000
 
@@ -52,24 +55,22 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of our own only where none is set (tests, local mode)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "opportune-checkpoints")
-    return root.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared checkpoint folder and read it back.
+def possibly_in(df: DataFrame, hashed: Column, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """df in two parts: rows whose hash surely is not among keys' column `key` (longs), and the rest, in which it may be.
 
-    This cuts the lineage: what follows survives the loss of any executor, and repeated reads don't repeat the work.
-    The folder belongs to the run; clean it with the cluster's usual checkpoint policy.
+    Only the rest then needs a join with keys, so rows with long texts aren't shuffled because of a few keys. The keys' hashes are
+    marks in a bitmap of BITS bits, which is broadcast: 4 MB at any number of keys (with far more keys than bits, all rows are in
+    the second part).
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/opportune/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    bit = lambda c: F.pmod(c, F.lit(BITS))
+    names = [unused(df, c) for c in ("__block", "__bitmap", "__bit")]
+    block, bitmap, at = names
+    bitmaps = keys.select(bit(F.col(key)).alias(at)).groupBy(F.expr(f"`{at}` div 32768").alias(block)).agg(F.bitmap_construct_agg(F.col(at) % 32768).alias(bitmap))
+    marked = df.withColumn(at, bit(hashed)).join(F.broadcast(bitmaps), F.expr(f"`{at}` div 32768") == F.col(block), "left")
+    byte = F.conv(F.hex(F.expr(f"substring(`{bitmap}`, cast((`{at}` % 32768) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.expr(f"`{at}` % 8").cast("int"), F.lit(0))
+    found = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), hit + 1)) != 0, F.lit(False))
+    return marked.where(~found).select(df.columns), marked.where(found).select(df.columns)
 
 
 def chunks(texts: Iterable[str | None], limit: int = CHUNK_CHARS) -> Iterator[list[str]]:

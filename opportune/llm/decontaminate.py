@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import gather
-from .common import prepare, unused, written
+from .common import possibly_in, prepare, unused, written
 
 #: Places of a seed's three words: in a row, or with one left out.
 SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
@@ -283,5 +283,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """docs without the rows that copy an item of the benchmark; see `leaks`. Rows go by their id and the hash of id and text."""
     key, which = unused(docs, "__key"), unused(docs, "__id")
     found = leaks(docs, benchmark, id_col, text_col, threshold).select(F.col("key").alias(key), F.col("doc_id").alias(which)).distinct()
-    found = written(found, "leaks")  # of known size: broadcast if small
-    return docs.join(found, (F.xxhash64(F.col(id_col), F.col(text_col)) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(which)), "left_anti")
+    found = written(found, "leaks")
+    hashed = F.xxhash64(F.col(id_col), F.col(text_col))
+    stay, maybe = possibly_in(docs, hashed, found, key)
+    return stay.unionByName(maybe.join(found, (hashed == F.col(key)) & F.col(id_col).eqNullSafe(F.col(which)), "left_anti"))

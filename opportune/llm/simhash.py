@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, prepare, unused, written
+from .common import chunks, possibly_in, prepare, unused, written
 from .components import components
 
 RADIUS = 2
@@ -187,16 +187,17 @@ def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows with a null id come last: one stays of a component that has no other. Of rows equal in id and text one stays. Rows of one
     id whose texts are no near-duplicates all stay. An empty table stays empty.
 
-    Only rows that go, and those that are repeated, are joined with df, by id and hash; the others pass as they are.
+    Rows that go, and those that are repeated, are found in df by id and hash; nearly all others pass without a join or shuffle.
     """
     which, mark, goes = (unused(df, c) for c in ("__id", "__mark", "__goes"))
     prints, firsts = _firsts(df, id_col, text_col)
     lost = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")))
     verdict = prints.join(firsts, "fingerprint").groupBy(F.col("id").alias(which), F.col("mark").alias(mark)).agg(F.count("*").alias("rows"), F.max(lost).alias(goes))
-    verdict = written(verdict.where((F.col("rows") > 1) | F.col(goes)).drop("rows"), "verdict")  # of known size: broadcast if small, else shuffled
-    same = F.col(id_col).eqNullSafe(F.col(which)) & (F.xxhash64(F.col(id_col), F.col(text_col).cast("string")) == F.col(mark))
-    marked = df.join(verdict, same, "left")
-    out = marked.where(F.col(goes).isNull()).select(df.columns)
+    verdict = written(verdict.where((F.col("rows") > 1) | F.col(goes)).drop("rows"), "verdict")
+    hashed = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+    stay, maybe = possibly_in(df, hashed, verdict, mark)
+    marked = maybe.join(verdict, F.col(id_col).eqNullSafe(F.col(which)) & (hashed == F.col(mark)), "left")
+    out = stay.unionByName(marked.where(F.col(goes).isNull()).select(df.columns))
     if not verdict.where(~F.col(goes)).isEmpty():
         out = out.unionByName(marked.where(~F.col(goes)).select(df.columns).dropDuplicates([id_col, text_col]))
     return out

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from opportune.llm import ann, components, decontaminate, queries, simhash
+from opportune.llm import ann, common, components, decontaminate, queries, simhash
 
 DATA = "/root/testdata/sf0.001"
 
@@ -112,6 +112,16 @@ def test_rows_of_one_id_are_told_apart(spark):
     assert again == kept
 
 
+def test_rows_are_told_apart_by_a_bitmap(spark):
+    df = spark.range(5000).select("id", F.xxhash64("id").alias("h"), F.lit("x").alias("__bit"))
+    keys = df.where("id % 37 = 0").select(F.col("h").alias("key"))
+    stay, maybe = common.possibly_in(df, F.col("h"), keys, "key")
+    kept, rest = ({r.id for r in part.collect()} for part in (stay, maybe))
+    assert stay.columns == df.columns and not kept & rest and len(kept) + len(rest) == 5000
+    assert {k for k in range(0, 5000, 37)} <= rest and len(rest) < 145
+    assert common.possibly_in(df, F.col("h"), keys.limit(0), "key")[0].count() == 5000
+
+
 def test_registered_simhash_equals_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     prints = {d: brute_fingerprint(t) for d, t in texts.items()}
