@@ -289,6 +289,22 @@ SELECT up.upstream, i.downstream, up.exposed, up.site, up.stratum, up.n, coalesc
 LEFT JOIN sh ON sh.upstream = up.upstream AND sh.downstream = i.downstream AND sh.exposed = up.exposed AND sh.site = up.site AND sh.stratum = up.stratum"""
 
 
+def crc32(text: str) -> str:
+    """CRC-32 of a text of ASCII characters: eight shifts for each."""
+    start = f"list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT))"
+    shift = "CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END"
+    return f"xor(list_reduce({start}, lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, z: {shift})), 4294967295::BIGINT)"
+
+
+FOLDS = SCORED + f", folds AS (SELECT *, ({crc32('unit::VARCHAR')} % 5)::INT AS fold FROM scored)"
+SAMPLE = f"""hashed AS (SELECT c_custkey, c_mktsegment, {crc32('c_custkey::VARCHAR')} % 10000 AS h FROM customer),
+sample AS (SELECT c_custkey, c_mktsegment FROM hashed WHERE h < 500 UNION SELECT c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY h, c_custkey) AS n FROM hashed) WHERE n <= 25)"""
+MASKED = GRID + f""", hidden AS (SELECT *, {crc32("episode::VARCHAR || '|' || item")} % 1000 < 200 AS is_hidden FROM obs),
+mcells AS (SELECT g.site, g.stratum, g.era, g.item, count(*) AS eligible, count(o.episode) AS t1, count(*) FILTER (o.outcome = 'R') AS r1, count(*) FILTER (NOT o.is_hidden) AS t2, count(*) FILTER (NOT o.is_hidden AND o.outcome = 'R') AS r2
+  FROM grid g LEFT JOIN hidden o ON o.episode = g.episode AND o.item = g.item WHERE g.is_available AND NOT g.is_intrinsic GROUP BY ALL),
+both_rates AS (SELECT item, sum(eligible * (r1 / nullif(t1, 0))) / sum(eligible) FILTER (t1 > 0) AS from_all, sum(eligible * (r2 / nullif(t2, 0))) / sum(eligible) FILTER (t2 > 0) AS from_known FROM mcells GROUP BY item HAVING sum(t2) >= 1)"""
+
+
 def page_rank_sql(rounds: int = 60) -> str:
     """Rounds written out one after another."""
     out = f"""WITH {edges()}, w AS MATERIALIZED (SELECT upstream, downstream, CASE WHEN ln(ratio) = 0 THEN 1 ELSE abs(ln(ratio)) END AS w FROM edges),
@@ -348,5 +364,16 @@ SELECT CASE WHEN regexp_matches(label, '^(FIRST|BRAND#[12])(/|$)') THEN 'low' WH
     "months_and_times": """SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'unknown' ELSE strftime(o_orderdate, '%B %Y') END AS month, CASE WHEN o_orderkey % 5 NOT IN (0, 1) THEN year(o_orderdate)::INT END AS year FROM orders""",
     "unverifiable_history": "SELECT user_id, NULL::BIGINT AS records, NULL::DOUBLE AS top, 0 AS available FROM events GROUP BY user_id",
     "merged_shards": f"WITH {edges()} SELECT upstream, downstream, round(ratio, 6) AS ratio FROM edges",
+    "validation_by_alpha": f"WITH {LABELS}, al(alpha) AS (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)), x AS (SELECT alpha, coalesce(qv <= alpha, false) AS a, b, c FROM labelled CROSS JOIN al) SELECT alpha, CASE WHEN a AND b AND c THEN 'robust' WHEN a AND (b OR c) THEN 'supported' WHEN a OR b OR c THEN 'mixed' ELSE 'insufficient' END AS validation_status, count(*) AS edges FROM x GROUP BY ALL",
+    "edge_seeds": f"SELECT p_brand, {crc32("'7|17|' || p_brand")} AS seed FROM (SELECT DISTINCT p_brand FROM part)",
+    "grouped_folds": f"WITH {FOLDS} SELECT fold, count(*) AS rows, count(DISTINCT unit) AS units FROM folds GROUP BY fold",
+    "fold_thresholds": f"""WITH {FOLDS}, th AS (SELECT k / 20 AS threshold FROM range(1, 20) AS t(k)), h(held) AS (VALUES (0), (1), (2), (3), (4)),
+c AS (SELECT held, fold = held AS own, threshold, count(*) FILTER (target = 1) AS pos, count(*) FILTER (target = 0) AS neg, count(*) FILTER (target = 1 AND score >= threshold) AS tp, count(*) FILTER (target = 0 AND score >= threshold) AS fp FROM folds CROSS JOIN h CROSS JOIN th GROUP BY ALL),
+m AS (SELECT *, coalesce(tp / nullif(pos, 0), 0) AS recall, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, (coalesce(tp / nullif(pos, 0), 0) + coalesce((neg - fp) / nullif(neg, 0), 0)) / 2 AS balanced FROM c),
+best AS (SELECT held, threshold FROM m WHERE NOT own QUALIFY row_number() OVER (PARTITION BY held ORDER BY balanced DESC, recall DESC, precision DESC, threshold) = 1)
+SELECT m.held AS fold, m.threshold::DOUBLE AS threshold, round(m.balanced, 6) AS balanced_accuracy FROM m JOIN best ON best.held = m.held AND best.threshold = m.threshold WHERE own""",
+    "sampled_customers": f"WITH {SAMPLE} SELECT * FROM sample",
+    "linked_orders_of_sample": f"WITH {SAMPLE} SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM sample) GROUP BY ALL",
+    "masking_experiment": f"WITH {MASKED} SELECT item, round(from_all, 6) AS from_all, round(from_known, 6) AS from_known, round(from_known - from_all, 6) AS error FROM both_rates",
     "projected_scan": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate >= DATE '1998-01-01' AND o_orderstatus = 'F'",
 }

@@ -273,6 +273,14 @@ def validation_labels(s, d):
     return replication.label(validated_edges(s, d, pooled_p(s, d))).groupBy("validation_status").agg(F.count("*").alias("edges"))
 
 
+@query
+def validation_by_alpha(s, d):
+    """How the labels move with the level of significance."""
+    e = validated_edges(s, d, pooled_p(s, d))
+    levels = [replication.label(e, alpha=a).groupBy("validation_status").agg(F.count("*").alias("edges")).withColumn("alpha", F.lit(a)) for a in (0.05, 0.5, 1.0)]
+    return tables.union_all(levels)
+
+
 @query
 def validation_labels_permuted(s, d):
     tested = resampling.permutation_test(strata(s, d, ("site",))).withColumnRenamed("p_two_sided", "p_value")
