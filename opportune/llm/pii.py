@@ -9,8 +9,11 @@ format's index range, rotated so that no value maps to itself). So, for one key
 
 `collisions` checks both properties over a whole table.
 
-Types: email, ip, card (Luhn-valid; the surrogate is too), iban (check digits hold), phone, ssn, key and secret, name (given
-names by list, gender and script; family names after a given name or a title, by letters).
+Types: email, ip, card (Luhn-valid; the surrogate is too), iban (check digits hold), phone, ssn, key and secret, name. Given names
+are those of a list, by gender and script, as written or in capitals. A capitalised word after a given name or a title is a family
+name (initials and particles may stand between; hyphens and apostrophes belong to it), and so is every later or earlier mention of
+that word in the same text, so that no mention is left beside its surrogate. A family name keeps its script, its vowels' and
+consonants' places, and Slavic and Greek endings that tell gender. Names that are on no list and follow none stay: a limit.
 """
 
 from __future__ import annotations
@@ -41,11 +44,14 @@ TITLES = ["Mr", "Mr.", "Mrs", "Mrs.", "Ms", "Ms.", "Dr.", "Prof.", "Herr", "Frau
 # Words that a secret follows.
 SECRET_WORDS = ["password", "passwd", "secret", "token", "api_key", "apikey", "api-key"]
 
+# Alphabets that a letter is moved within: vowels, consonants, vowels and consonants with marks.
 LETTERS = {
-    "latin": ("aeiou", "bcdfghjklmnpqrstvwxyz"),
-    "cyrillic": ("аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"),
-    "greek": ("αεηιουω", "βγδζθκλμνξπρστφχψ"),
+    "latin": ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöüãõåæøœ", "çñßšžčćđłńśźżřťďðþ"),
+    "cyrillic": ("аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "ёіїєў", "ъьґџ"),
+    "greek": ("αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ"),
 }
+# Endings of family names that tell gender; they are kept.
+ENDINGS = ["ская", "ский", "цкая", "цкий", "ова", "ева", "ёва", "ина", "ына", "ов", "ев", "ёв", "ин", "ын", "όπουλος", "οπούλου", "ίδης", "ίδου", "άκης", "άκη", "ος", "ου", "ης", "ας"]
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 
 EMAIL = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]{1,64})@((?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})(?![\w-])")
@@ -57,7 +63,11 @@ SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(AKIA|ASIA)([A-Z0-9]{16})(?![A-Za-z0-9])")
 SECRET = re.compile(r"(?:password|passwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/.~-]{6,200})", re.IGNORECASE)
-FAMILY = re.compile(r"\s([^\W\d_]{2,30})(?![\w'-])")
+#: A word with its hyphens and apostrophes, less a possessive.
+NAME = r"[^\W\d_]{2,40}(?:(?!['’][sS](?!\w))['’\-][^\W\d_]{1,40}){0,3}"
+#: What follows a given name or a title: initials, particles, the family name.
+FAMILY = re.compile(rf"[ \t\xa0]{{1,3}}(?:[^\W\d_]\.[ \t\xa0]{{0,3}}){{0,3}}(?:(?:van|von|der|den|de|del|della|di|la|le|du|dos|da|bin|ibn|al)[ \t\xa0]){{0,3}}((?:[OD]['’])?{NAME})(?![\w])")
+WORDS = re.compile(rf"(?<![\w'’\-])(?:[OD]['’])?{NAME}(?![\w])")
 
 
 class Permutation:
@@ -122,7 +132,7 @@ class Surrogates:
 
     def spelled(self, kind: str, chars: str, alphabets: list[str | None]) -> str:
         """chars with each character that has an alphabet moved within it, all together as one number; case is kept."""
-        low = chars.lower()
+        low = "".join(map(_lower, chars))
         n = value = 1
         value, radices = 0, []
         for c, alphabet in zip(low, alphabets):
@@ -136,7 +146,7 @@ class Surrogates:
             value, k = divmod(value, len(alphabet))
             drawn.append(alphabet[k])
         out = [drawn.pop() if a else c for c, a in zip(chars, alphabets)]
-        return "".join(o.upper() if c.isupper() and a else o for o, c, a in zip(out, chars, alphabets))
+        return "".join(o.upper() if c.isupper() and a and len(o.upper()) == 1 else o for o, c, a in zip(out, chars, alphabets))
 
     def _plain(self, kind: str, chars: str) -> str:
         return self.spelled(kind, chars, [DIGITS if c in DIGITS else LOWER if c.lower() in LOWER and len(c.lower()) == 1 else None for c in chars])
@@ -189,12 +199,22 @@ class Surrogates:
         return self._plain("secret", value)
 
     def _given(self, value: str) -> str:
-        (script, gender), names = next((k, v) for k, v in GIVEN_NAMES.items() if value in v)
-        return names[self._permutation(f"given|{script}|{gender}", len(names))(names.index(value))]
+        (script, gender), names = next((k, v) for k, v in GIVEN_NAMES.items() if value in v or value.capitalize() in v)
+        exact = value in names
+        new = names[self._permutation(f"given|{script}|{gender}", len(names))(names.index(value if exact else value.capitalize()))]
+        return new if exact else new.upper()
 
     def _family(self, value: str) -> str:
-        alphabets = [next((a for pair in LETTERS.values() for a in pair if c in a), None) for c in value.lower()]
-        return self.spelled("family", value, alphabets) if len(alphabets) == len(value) else value
+        low = "".join(map(_lower, value))
+        kept = max((len(e) for e in ENDINGS if low.endswith(e) and len(low) - len(e) >= 2), default=0)
+        alphabets = [next((a for every in LETTERS.values() for a in every if c in a), None) if k < len(low) - kept else None for k, c in enumerate(low)]
+        return self.spelled("family", value, alphabets)
+
+
+def _lower(c: str) -> str:
+    """A character in lower case; as it is where that would be several."""
+    low = c.lower()
+    return low if len(low) == 1 else c
 
 
 def luhn(digits: str) -> int:
@@ -217,6 +237,11 @@ def _valid_iban(value: str) -> bool:
 _anchors = None
 
 
+@lru_cache(4096)
+def _is_given(name: str) -> bool:
+    return any(name in v or name.capitalize() in v for v in GIVEN_NAMES.values())
+
+
 def _anchor_words():
     """Automaton of the words that names and secrets are looked for at."""
     global _anchors
@@ -226,7 +251,8 @@ def _anchor_words():
         _anchors = ahocorasick.Automaton()
         for names in GIVEN_NAMES.values():
             for name in names:
-                _anchors.add_word(name + " ", ("given", len(name)))
+                for form in (name, name.upper()):
+                    _anchors.add_word(form, ("given", len(form) - 1))
         for title in TITLES:
             _anchors.add_word(title + " ", ("title", len(title)))
         for word in SECRET_WORDS:
@@ -252,12 +278,17 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         elif kind == "secret":
             if m := SECRET.match(text, start):
                 found.append((*m.span(1), "secret"))
-        elif (start == 0 or not text[start - 1].isalnum()) and (m := FAMILY.match(text, end)) and m[1][0].isupper():
-            is_given = any(m[1] in v for v in GIVEN_NAMES.values())
+        elif start == 0 or not text[start - 1].isalnum():
+            stop = end + 1 if kind == "given" else end
             if kind == "given":
-                names.append((start, end, "given"))
-            if not is_given:
+                if stop < len(text) and (text[stop].isalnum() or text[stop] == "_"):
+                    continue
+                names.append((start, stop, "given"))
+            if (m := FAMILY.match(text, stop)) and m[1][0].isupper() and not _is_given(m[1]):
                 names.append((*m.span(1), "family"))
+    if families := {text[a:b].lower() for a, b, kind in names if kind == "family"}:
+        # the other mentions of a family name in this text
+        names += [(*m.span(), "family") for m in WORDS.finditer(text) if m[0][0].isupper() and m[0].lower() in families]
     if "0" <= max(text, default="") and NUMBERS.search(text):
         for kind, pattern, valid in (("iban", IBAN, _valid_iban), ("card", CARD, lambda v: not luhn(re.sub(r"\D", "", v))), ("ip", IP, None), ("ssn", SSN, None), ("phone", PHONE, lambda v: 8 <= sum(map(str.isdigit, v)) <= 15)):
             found += [(*m.span(), kind) for m in pattern.finditer(text) if valid is None or valid(m[0])]
@@ -286,8 +317,9 @@ def replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[int, int
 def pseudonymise(df: DataFrame, key: bytes, text_col: str = "text", out_col: str = "pii") -> DataFrame:
     """df with a struct (text, entities array of (start, end, kind, surrogate)) of each whole text. Map-only.
 
-    Offsets count characters of the original text. A null text stays null with no entities. A column of df that has the
-    output's name is replaced; no other column is read.
+    Offsets count characters of the original text. A null text stays null with no entities, an empty one empty. Repeated rows and
+    null ids are treated like others; an empty table gives no rows. A column of df that has the output's name is replaced; no
+    other column is read.
     """
     prepare(df.sparkSession)
     surrogates = Surrogates(key)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,8 +81,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_key() -> bytes:
-    """The surrogates' key, from OPPORTUNE_PII_KEY; a public one for tests where it is unset."""
-    return os.environ.get("OPPORTUNE_PII_KEY", "public test key").encode()
+    """The surrogates' key, from OPPORTUNE_PII_KEY; where it is unset, a public one for tests, with a warning: its surrogates can be inverted."""
+    if not (key := os.environ.get("OPPORTUNE_PII_KEY")):
+        warnings.warn("OPPORTUNE_PII_KEY is unset: surrogates under the public test key can be inverted by anyone", stacklevel=2)
+    return (key or "public test key").encode()
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
