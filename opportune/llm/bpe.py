@@ -15,6 +15,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -212,9 +213,7 @@ class BpeCodec:
         return out, out_sizes
 
     def _parts(self, run: str) -> list[str]:
-        """Pre-tokens of a run; the usual ones, letters with or without one more character, need no pattern."""
-        if run.isalpha():
-            return [run]
+        """Pre-tokens of a run that isn't letters alone; the usual ones, letters and one more character, need no pattern."""
         if run[:-1].isalpha() and run[-1] < FIRST_NEW:
             return [run[:-1], run[-1]]
         return self._find(run.translate(NEW_LOWER) if max(run) >= FIRST_NEW else run)
@@ -223,6 +222,9 @@ class BpeCodec:
         """Add runs of non-space characters, and the pre-tokens that they consist of, to the word table."""
         alone, joined = [], []
         for run in fresh:
+            if run.isalpha():
+                alone.append(run)
+                continue
             parts = self._parts(run)
             if len(parts) == 1 and parts[0] == run:
                 alone.append(run)
@@ -270,15 +272,19 @@ class BpeCodec:
             else:
                 runs.extend(self._runs(text))
             counts.append(len(runs) - before)
-        missing = list({*runs}.difference(self.words))
+        index = np.fromiter(map(self.words.get, runs, repeat(-1)), np.int64, len(runs))
+        at = np.flatnonzero(index < 0)
+        fresh = [runs[i] for i in at.tolist()]
+        missing = list(dict.fromkeys(fresh))
         if len(self.words) + len(missing) > self.word_table:
             self._reset()
-            missing = list({*runs})
+            at, fresh = slice(None), runs
+            missing = list(dict.fromkeys(runs))
         if missing:
             self._learn([w for w in missing if w[0] != " "])
             special = [w for w in missing if w[0] == " "]
             self._add(special, np.array([self.special[w[1:]] for w in special], np.int32), np.ones(len(special), np.int64))
-        index = np.fromiter(map(self.words.__getitem__, runs), np.int64, len(runs))
+            index[at] = np.fromiter(map(self.words.__getitem__, fresh), np.int64, len(fresh))
         sizes = self.sizes[index]
         flat, _ = gather(self.pool, self.starts[index], sizes)
         done = np.concatenate([[0], np.cumsum(sizes)])
