@@ -48,17 +48,65 @@ def masked_by_outcome(observations: DataFrame, positive: str, of_positive: float
     return observations.withColumn("is_hidden", h < F.when(F.col("outcome") == positive, int(of_positive * 1000)).otherwise(int(of_others * 1000)))
 
 
-def classifier(df: DataFrame, target: str, numbers: Sequence[str], categories: Sequence[str], split: str) -> DataFrame:
-    """Scores of a balanced logistic regression fitted on the rows with split 'train', for all rows (Spark ML)."""
+#: Ranges of scores that calibration works on.
+RANGES = 4096
+
+
+def estimator(kind: str, target: str, features: str, weight: str, width: int, trees: int, rounds: int, seed: int):
+    """The Spark ML classifier of a kind: logistic_regression, random_forest, boosted_trees or neural_network. An unknown kind raises.
+
+    The network takes no weights, so its classes aren't balanced.
+    """
+    from pyspark.ml import classification as C
+
+    common = {"featuresCol": features, "labelCol": target}
+    if kind == "logistic_regression":
+        return C.LogisticRegression(**common, weightCol=weight, regParam=0.01, probabilityCol="__p")
+    if kind == "random_forest":
+        return C.RandomForestClassifier(**common, weightCol=weight, numTrees=trees, maxDepth=12, minInstancesPerNode=5, seed=seed, probabilityCol="__p")
+    if kind == "boosted_trees":
+        return C.GBTClassifier(**common, weightCol=weight, maxIter=rounds, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+    if kind == "neural_network":
+        return C.MultilayerPerceptronClassifier(**common, layers=[width, 64, 32, 2], maxIter=rounds, seed=seed, probabilityCol="__p")
+    raise ValueError(f"no classifier {kind}")
+
+
+def classifier(
+    df: DataFrame, target: str, numbers: Sequence[str], categories: Sequence[str], split: str, kind: str = "logistic_regression", trees: int = 200, rounds: int = 150, seed: int = 42
+) -> DataFrame:
+    """Scores of a classifier fitted on the rows with split 'train', balanced by class weights, for all rows (Spark ML).
+
+    A training part of one class raises. Levels of categories that training lacks have a column of their own; null numbers raise.
+    """
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    train = df.where(F.col(split) == "train")
-    share = train.agg(F.avg(target)).first()[0]
+    share = df.where(F.col(split) == "train").agg(F.avg(target)).first()[0]
+    if share is None or not 0 < share < 1:
+        raise ValueError(f"the training part needs both classes of {target}")
     weighted = df.withColumn("__w", F.when(F.col(target) == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+    train = weighted.where(F.col(split) == "train")
     steps = [StringIndexer(inputCols=list(categories), outputCols=[f"__i_{c}" for c in categories], handleInvalid="keep"), OneHotEncoder(inputCols=[f"__i_{c}" for c in categories], outputCols=[f"__v_{c}" for c in categories])]
-    steps += [VectorAssembler(inputCols=[*numbers, *[f"__v_{c}" for c in categories]], outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol=target, weightCol="__w", regParam=0.01, probabilityCol="__p")]
-    fitted = Pipeline(stages=steps).fit(weighted.where(F.col(split) == "train"))
-    return fitted.transform(weighted).select(*df.columns, vector_to_array("__p")[1].alias("score"))
+    steps += [VectorAssembler(inputCols=[*numbers, *[f"__v_{c}" for c in categories]], outputCol="__r"), StandardScaler(inputCol="__r", outputCol="__x", withMean=False)]
+    prepared = Pipeline(stages=steps).fit(train)
+    width = prepared.stages[-1].std.size
+    fitted = estimator(kind, target, "__x", "__w", width, trees, rounds, seed).fit(prepared.transform(train))
+    probability = fitted.getOrDefault("probabilityCol")
+    return fitted.transform(prepared.transform(weighted)).select(*df.columns, vector_to_array(probability)[1].alias("score"))
+
+
+def calibrated(scored: DataFrame, target: str, score: str, split: str) -> DataFrame:
+    """scored with its score mapped by an isotonic regression fitted on the rows with split 'validation'; beyond their scores it is level.
+
+    Validation rows are summed in RANGES ranges of the score first, so the regression gets RANGES rows at most at any size; a
+    step's place is exact to 1 / RANGES. Without validation rows scores stay as they are.
+    """
+    from pyspark.ml.regression import IsotonicRegression
+
+    valid = scored.where((F.col(split) == "validation") & F.col(target).isNotNull() & F.col(score).isNotNull())
+    sums = valid.groupBy(F.least(F.lit(RANGES - 1), F.floor(F.col(score) * RANGES)).alias("__range")).agg(F.avg(score).alias("__s"), F.avg(target).alias("__y"), F.count("*").cast("double").alias("__n"))
+    if sums.isEmpty():
+        return scored
+    fitted = IsotonicRegression(featuresCol="__s", labelCol="__y", weightCol="__n", predictionCol="__c").fit(sums)
+    return fitted.transform(scored.withColumn("__s", F.col(score))).withColumn(score, F.col("__c")).select(scored.columns)

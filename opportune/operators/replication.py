@@ -99,19 +99,26 @@ def heterogeneity(year_edges: DataFrame) -> DataFrame:
     return out.where("years >= 2").select(*PAIR, "years", F.greatest(F.lit(0.0), F.col("swy2") - F.col("swy") * F.col("swy") / F.col("sw")).alias("q"))
 
 
-def label(df: DataFrame, q: str = "q_value", alpha: float = 0.05) -> DataFrame:
-    """robust, supported, mixed or insufficient, from significance, replication over sites and over time.
+def label(df: DataFrame, q: str = "q_value", alpha: float = 0.05, least_stability: float = 0.8) -> DataFrame:
+    """robust, supported, mixed or insufficient: from significance, the stability of the ratio's side, and replication over sites or time.
 
-    Needs q, i2, z, sites, agreement (share of sites on the pair's side), temporal (boolean); nulls count as not met.
+    Significant and stable edges are supported, and robust if they replicate over sites or over time; edges of which one of the
+    three holds otherwise are mixed. Needs q, sign_stability (share of resampled ratios on the ratio's side), i2, z, sites,
+    agreement (share of sites on the pair's side), temporal (boolean); nulls count as not met.
     """
     met = lambda c: F.coalesce(c, F.lit(False))
-    significant = met(F.col(q) <= alpha)
+    significant, stable = met(F.col(q) <= alpha), met(F.col("sign_stability") >= least_stability)
     by_site = met((F.col("sites") >= 2) & F.when(F.col("i2").isNotNull(), (F.col("i2") <= 50) & (F.abs("z") >= 1.96)).otherwise(F.col("agreement") >= 0.67))
-    by_time = met(F.col("temporal"))
-    out = F.when(significant & by_site & by_time, "robust").when(significant & (by_site | by_time), "supported").when(significant | by_site | by_time, "mixed").otherwise("insufficient")
+    replicated = by_site | met(F.col("temporal"))
+    out = F.when(significant & stable & replicated, "robust").when(significant & stable, "supported").when(significant | stable | replicated, "mixed").otherwise("insufficient")
     return df.withColumn("validation_status", out)
 
 
+def normal_stability(ratio: Column, log_variance: Column) -> Column:
+    """What the share of resampled ratios on the ratio's side tends to where counts are large, without draws."""
+    return 1 - two_sided_p(F.log(ratio) / F.sqrt(log_variance)) / 2
+
+
 def cross_site(site_edges: DataFrame, sites: list[str]) -> DataFrame:
     """A column of ratios for each site, and how many of them are above 1."""
     wide = site_edges.where("passes_support").groupBy(*PAIR).pivot("site", sites).agg(F.first("ratio"))

@@ -67,15 +67,16 @@ part AS (SELECT *, CASE WHEN r <= n // 3 THEN 'early' WHEN r > n - n // 3 THEN '
 thirds AS (SELECT e.upstream, e.downstream, third, count(*) FILTER (pos) AS n_pos, count(d.episode) FILTER (pos) AS k_pos, count(*) FILTER (NOT pos) AS n_neg, count(d.episode) FILTER (NOT pos) AS k_neg
   FROM (SELECT DISTINCT upstream, downstream FROM edges) e JOIN part p ON p.upstream = e.upstream LEFT JOIN obs d ON d.episode = p.episode AND d.item = e.downstream WHERE third IS NOT NULL GROUP BY ALL)"""
 LABELS = POOL + """, total AS (SELECT upstream, downstream, sum(n_pos) AS n1, sum(k_pos) AS k1, sum(n_neg) AS n0, sum(k_neg) AS k0 FROM wide GROUP BY ALL),
-kept AS (SELECT upstream, downstream, ((k1 + 0.5) / (n1 + 1)) / ((k0 + 0.5) / (n0 + 1)) AS ratio FROM total WHERE n1 + n0 >= 25 AND n1 >= 5 AND n0 >= 5 AND k1 + k0 >= 5)""" + THIRDS + """,
+kept AS (SELECT upstream, downstream, ((k1 + 0.5) / (n1 + 1)) / ((k0 + 0.5) / (n0 + 1)) AS ratio, 1 / (k1 + 0.5) - 1 / (n1 + 1) + 1 / (k0 + 0.5) - 1 / (n0 + 1) AS lv FROM total WHERE n1 + n0 >= 25 AND n1 >= 5 AND n0 >= 5 AND k1 + k0 >= 5)""" + THIRDS + """,
 gated AS (SELECT upstream, downstream, third, sign(ln(((k_pos + 0.5) / (n_pos + 1)) / ((k_neg + 0.5) / (n_neg + 1)))) AS side FROM thirds WHERE n_pos + n_neg >= 25 AND n_pos >= 5 AND n_neg >= 5),
 time AS (SELECT upstream, downstream, max(side) FILTER (third = 'early') AS early, max(side) FILTER (third = 'late') AS late FROM gated GROUP BY ALL),
 joined AS (SELECT k.*, sign(ln(k.ratio)) AS side, v.p_value, v.sites, v.i2, CASE WHEN sign(v.z) = sign(ln(k.ratio)) THEN v.z END AS z, greatest(v.sites_above, v.sites - v.sites_above) / v.sites AS agreement, t.early, t.late
   FROM kept k LEFT JOIN pv v USING (upstream, downstream) LEFT JOIN time t USING (upstream, downstream)),
-ordered AS (SELECT *, row_number() OVER (ORDER BY p_value NULLS LAST, upstream, downstream) AS rn, count(p_value) OVER () AS cnt FROM joined),
+ordered AS (SELECT *, 1 / (1 + 0.3275911 * abs(ln(ratio)) / sqrt(2 * lv)) AS ft, row_number() OVER (ORDER BY p_value NULLS LAST, upstream, downstream) AS rn, count(p_value) OVER () AS cnt FROM joined),
 q AS (SELECT *, CASE WHEN p_value IS NOT NULL THEN least(1, min(p_value * cnt / rn) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS qv FROM ordered),
-met AS (SELECT *, coalesce(qv <= 0.05, false) AS a, coalesce(sites >= 2 AND CASE WHEN i2 IS NOT NULL THEN i2 <= 50 AND abs(z) >= 1.96 ELSE agreement >= 0.67 END, false) AS b, coalesce(early = late AND early = side AND side <> 0, false) AS c FROM q),
-labelled AS (SELECT *, CASE WHEN a AND b AND c THEN 'robust' WHEN a AND (b OR c) THEN 'supported' WHEN a OR b OR c THEN 'mixed' ELSE 'insufficient' END AS validation_status FROM met)"""
+met AS (SELECT *, coalesce(qv <= 0.05, false) AS a, coalesce(sites >= 2 AND CASE WHEN i2 IS NOT NULL THEN i2 <= 50 AND abs(z) >= 1.96 ELSE agreement >= 0.67 END, false) AS b, coalesce(early = late AND early = side AND side <> 0, false) AS c,
+  1 - ft * (0.254829592 + ft * (-0.284496736 + ft * (1.421413741 + ft * (-1.453152027 + ft * 1.061405429)))) * exp(-ln(ratio) * ln(ratio) / (2 * lv)) / 2 >= 0.8 AS st FROM q),
+labelled AS (SELECT *, CASE WHEN a AND st AND (b OR c) THEN 'robust' WHEN a AND st THEN 'supported' WHEN a OR st OR b OR c THEN 'mixed' ELSE 'insufficient' END AS validation_status FROM met)"""
 CELLS = GRID + """, cells AS (SELECT g.site, g.stratum, g.era, g.item, count(*) AS eligible, count(o.episode) AS evaluable, count(*) FILTER (o.outcome = 'R') AS positive
   FROM grid g LEFT JOIN obs o ON o.episode = g.episode AND o.item = g.item WHERE g.is_available AND NOT g.is_intrinsic GROUP BY ALL),
 prev AS (SELECT item, sum(eligible)::BIGINT AS eligible, sum(evaluable)::BIGINT AS evaluable, sum(positive)::BIGINT AS positive,
@@ -364,7 +365,7 @@ SELECT CASE WHEN regexp_matches(label, '^(FIRST|BRAND#[12])(/|$)') THEN 'low' WH
     "months_and_times": """SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'unknown' ELSE strftime(o_orderdate, '%B %Y') END AS month, CASE WHEN o_orderkey % 5 NOT IN (0, 1) THEN year(o_orderdate)::INT END AS year FROM orders""",
     "unverifiable_history": "SELECT user_id, NULL::BIGINT AS records, NULL::DOUBLE AS top, 0 AS available FROM events GROUP BY user_id",
     "merged_shards": f"WITH {edges()} SELECT upstream, downstream, round(ratio, 6) AS ratio FROM edges",
-    "validation_by_alpha": f"WITH {LABELS}, al(alpha) AS (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)), x AS (SELECT alpha, coalesce(qv <= alpha, false) AS a, b, c FROM labelled CROSS JOIN al) SELECT alpha, CASE WHEN a AND b AND c THEN 'robust' WHEN a AND (b OR c) THEN 'supported' WHEN a OR b OR c THEN 'mixed' ELSE 'insufficient' END AS validation_status, count(*) AS edges FROM x GROUP BY ALL",
+    "validation_by_alpha": f"WITH {LABELS}, al(alpha) AS (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)), x AS (SELECT alpha, coalesce(qv <= alpha, false) AS a, b, c, st FROM labelled CROSS JOIN al) SELECT alpha, CASE WHEN a AND st AND (b OR c) THEN 'robust' WHEN a AND st THEN 'supported' WHEN a OR st OR b OR c THEN 'mixed' ELSE 'insufficient' END AS validation_status, count(*) AS edges FROM x GROUP BY ALL",
     "edge_seeds": f"SELECT p_brand, {crc32("'7|17|' || p_brand")} AS seed FROM (SELECT DISTINCT p_brand FROM part)",
     "grouped_folds": f"WITH {FOLDS} SELECT fold, count(*) AS rows, count(DISTINCT unit) AS units FROM folds GROUP BY fold",
     "fold_thresholds": f"""WITH {FOLDS}, th AS (SELECT k / 20 AS threshold FROM range(1, 20) AS t(k)), h(held) AS (VALUES (0), (1), (2), (3), (4)),

@@ -249,9 +249,16 @@ def yearly_heterogeneity(s, d):
     return r6(replication.heterogeneity(edge_table(s, d, ("year",))))
 
 
-def validated_edges(s, d, tested: DataFrame):
-    """Retained edges with what their label rests on: q of a test's p_value, pooled sites if any, early and late thirds."""
-    e = patterns.retained(edge_table(s, d)).select(*PAIR, "ratio")
+def validated_edges(s, d, tested: DataFrame, resampled: DataFrame | None = None):
+    """Retained edges with what their label rests on: q of a test's p_value, stability of the side, pooled sites if any, early and late thirds.
+
+    resampled: (pair, sign_stability) of a bootstrap; without it the normal limit is taken, which SQL can form.
+    """
+    e = patterns.retained(edge_table(s, d))
+    if resampled is None:
+        e = e.select(*PAIR, "ratio", replication.normal_stability(F.col("ratio"), F.col("log_variance")).alias("sign_stability"))
+    else:
+        e = e.select(*PAIR, "ratio").join(resampled.select(*PAIR, "sign_stability"), PAIR, "left")
     side = F.signum(F.log("ratio"))
     sites = replication.pooled_over_sites(edge_table(s, d, ("site",)))
     sites = sites.select(*PAIR, "sites", "i2", "z", (F.greatest("sites_above", F.col("sites") - F.col("sites_above")) / F.col("sites")).alias("agreement"))
@@ -269,7 +276,10 @@ def pooled_p(s, d):
 
 @query
 def validation_labels(s, d):
-    """Labels of all retained edges by sites, time and the pooled test, which SQL can form; validation_labels_permuted takes the permutation test's q."""
+    """Labels of all retained edges from what SQL can form: the pooled test's q and the normal limit of stability.
+
+    validation_labels_permuted takes the permutation test's q and the bootstrap's stability.
+    """
     return replication.label(validated_edges(s, d, pooled_p(s, d))).groupBy("validation_status").agg(F.count("*").alias("edges"))
 
 
@@ -283,8 +293,10 @@ def validation_by_alpha(s, d):
 
 @query
 def validation_labels_permuted(s, d):
-    tested = resampling.permutation_test(strata(s, d, ("site",))).withColumnRenamed("p_two_sided", "p_value")
-    return replication.label(validated_edges(s, d, tested)).groupBy("validation_status").agg(F.count("*").alias("edges"))
+    """Labels of all retained edges from the permutation test's q, the bootstrap's stability, sites and time."""
+    by_site = strata(s, d, ("site",))
+    tested = resampling.permutation_test(by_site).withColumnRenamed("p_two_sided", "p_value")
+    return replication.label(validated_edges(s, d, tested, resampling.bootstrap(by_site))).groupBy("validation_status").agg(F.count("*").alias("edges"))
 
 
 @query
@@ -669,11 +681,27 @@ def ablation_deltas(s, d):
     return r6(evaluation.ablation(a.unionByName(b), ["coarse", "full"], "coarse", "roc_auc"))
 
 
+def orders_by_split(s, d):
+    o = table(s, d, "orders").select(F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"), "o_orderdate", F.when(F.col("o_totalprice") + (F.col("o_orderkey") % 1000) * 300 > 400000, 1).otherwise(0).alias("target"))
+    return evaluation.temporal_split(o, "o_orderdate", 1997, 1999)
+
+
 @query
 def trained_classifier(s, d):
     """Areas by split of a logistic regression fitted on the early years."""
-    o = table(s, d, "orders").select(F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"), "o_orderdate", F.when(F.col("o_totalprice") + (F.col("o_orderkey") % 1000) * 300 > 400000, 1).otherwise(0).alias("target"))
-    return evaluation.areas(models.classifier(evaluation.temporal_split(o, "o_orderdate", 1997, 1999), "target", ["price"], ["priority"], "split"), "target", "score", ["split"])
+    return evaluation.areas(models.classifier(orders_by_split(s, d), "target", ["price"], ["priority"], "split"), "target", "score", ["split"])
+
+
+@query
+def trained_models(s, d):
+    """Areas by model and split of all kinds of classifiers, trees calibrated on the validation years; 40 trees and 20 rounds, for the query's time."""
+    out = []
+    for kind in ("logistic_regression", "random_forest", "boosted_trees", "neural_network"):
+        scored = models.classifier(orders_by_split(s, d), "target", ["price"], ["priority"], "split", kind, 40, 20)
+        if kind in ("random_forest", "boosted_trees"):
+            scored = models.calibrated(scored, "target", "score", "split")
+        out.append(evaluation.areas(scored, "target", "score", ["split"]).withColumn("model", F.lit(kind)))
+    return tables.union_all(out)
 
 
 @query

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import itertools
 import math
 import os
 
@@ -238,8 +239,18 @@ def test_every_retained_edge_is_labelled_with_time(spark):
     got = validated_edges(spark, data, pooled_p(spark, data)).select("upstream", "downstream", "q_value", "temporal").collect()
     assert len(got) == patterns.retained(edge_table(spark, data)).count() > 300
     assert any(r.temporal for r in got) and all(r.q_value is not None for r in got)
-    labels = {r.validation_status for r in QUERIES["validation_labels"](spark, data).collect()}
-    assert "robust" in {r.validation_status for r in replication.label(spark.createDataFrame([(0.01, 3, 10.0, 3.0, 1.0, True)], "q_value double, sites int, i2 double, z double, agreement double, temporal boolean")).collect()} and labels
+    assert {r.validation_status for r in QUERIES["validation_labels"](spark, data).collect()} <= set(reports.STATUS_ORDER)
+
+
+def test_labels_of_every_combination(spark):
+    """Significance, stability, sites and time, each met, missed or null, against the rule said plainly."""
+    rows = list(itertools.product([0.01, 0.2, None], [0.9, 0.6, None], [(3, 10.0, 3.0, 1.0), (3, 90.0, 3.0, 1.0), (3, 10.0, 1.0, 1.0), (3, None, None, 0.7), (3, None, None, 0.5), (1, 10.0, 3.0, 1.0), (None,) * 4], [True, False, None]))
+    df = spark.createDataFrame([(k, q, st, *x, t) for k, (q, st, x, t) in enumerate(rows)], "k int, q_value double, sign_stability double, sites int, i2 double, z double, agreement double, temporal boolean")
+    for r in replication.label(df).collect():
+        sig, stable = r.q_value == 0.01, r.sign_stability == 0.9
+        again = r.temporal is True or (r.sites, r.i2, r.z, r.agreement) in ((3, 10.0, 3.0, 1.0), (3, None, None, 0.7))
+        want = ("robust" if again else "supported") if sig and stable else "mixed" if sig or stable or again else "insufficient"
+        assert r.validation_status == want, r
 
 
 def plain_adjusted(rows, covariates, ridge):
@@ -359,3 +370,47 @@ def test_every_query_without_sql_runs(spark):
     for name in rest:
         out = QUERIES[name](spark, "/root/testdata/sf0.01")
         assert len(out.collect()) > 0, name
+
+
+@pytest.mark.parametrize("kind", ["logistic_regression", "random_forest", "boosted_trees", "neural_network"])
+def test_classifiers_find_a_planted_signal(spark, kind):
+    rows = [(float(k % 97), "ab"[k % 2], int((k % 97 > 48) != (k % 19 == 0)), ("train", "validation", "test")[k % 3]) for k in range(1800)] + [(5.0, "new", 0, "test")]
+    df = spark.createDataFrame(rows, "x double, c string, target int, split string")
+    got = models.classifier(df, "target", ["x"], ["c"], "split", kind, 10, 10)
+    assert got.columns == [*df.columns, "score"] and got.count() == len(rows)
+    assert evaluation.areas(got.where("split = 'test'"), "target", "score", []).first().roc_auc > 0.85
+    with pytest.raises(ValueError):
+        models.classifier(df.where("target = 1"), "target", ["x"], ["c"], "split", kind)
+    with pytest.raises(ValueError):
+        models.estimator("other", "t", "f", "w", 1, 1, 1, 1)
+
+
+def pooled_adjacent(points):
+    """Isotonic regression of (score, target) by pooling neighbours, plainly: (least score, greatest score, mean) of each block."""
+    blocks = []
+    for x, y in sorted(points):
+        if blocks and blocks[-1][1] == x:
+            blocks[-1][2] += y
+            blocks[-1][3] += 1
+        else:
+            blocks.append([x, x, y, 1])
+    k = 1
+    while k < len(blocks):
+        if blocks[k - 1][2] / blocks[k - 1][3] >= blocks[k][2] / blocks[k][3]:
+            blocks[k - 1] = [blocks[k - 1][0], blocks[k][1], blocks[k - 1][2] + blocks[k][2], blocks[k - 1][3] + blocks[k][3]]
+            del blocks[k]
+            k = max(1, k - 1)
+        else:
+            k += 1
+    return [(a, b, t / n) for a, b, t, n in blocks]
+
+
+def test_calibration_pools_neighbours(spark):
+    points = [(k % 64 / 64, int((k * 7919) % 100 < k % 64)) for k in range(2000)]
+    df = spark.createDataFrame([(s, t, "validation") for s, t in points] + [(0.999, 1, "test"), (0.0, 0, "test")], "score double, target int, split string")
+    blocks = pooled_adjacent(points)
+    want = {s: next(m for a, b, m in blocks if a <= s <= b) for s, _ in points}
+    raw = df.withColumn("raw", F.col("score"))
+    for r in models.calibrated(raw, "target", "score", "split").collect():
+        assert abs(r.score - (want[r.raw] if r.raw in want else blocks[-1][2])) < 1e-9
+    assert models.calibrated(df.where("split = 'test'"), "target", "score", "split").count() == 2
