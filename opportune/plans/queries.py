@@ -39,7 +39,10 @@ def edge_table(s: SparkSession, d: str, by: tuple[str, ...] = (), min_support: i
 
 def strata(s: SparkSession, d: str, by: tuple[str, ...]) -> DataFrame:
     """Rows of counts for every pair in each stratum; both branches needn't be there."""
-    c = counts(s, d, by)
+    return strata_of(counts(s, d, by), by)
+
+
+def strata_of(c: DataFrame, by: tuple[str, ...]) -> DataFrame:
     pick = lambda v, o: F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col(v))), F.lit(0))
     return c.groupBy(*PAIR, *by).agg(pick("support_n", POSITIVE).alias("n_pos"), pick("tested_n", POSITIVE).alias("k_pos"), pick("support_n", NEGATIVE).alias("n_neg"), pick("tested_n", NEGATIVE).alias("k_neg"))
 
@@ -249,44 +252,44 @@ def yearly_heterogeneity(s, d):
     return r6(replication.heterogeneity(edge_table(s, d, ("year",))))
 
 
-def validated_edges(s, d, tested: DataFrame, resampled: DataFrame | None = None):
-    """Retained edges with what their label rests on: q of a test's p_value, stability of the side, pooled sites if any, early and late thirds.
+def validated_edges(s, d, draws: bool = False):
+    """Retained edges with what their label rests on: q, stability of the side, pooled sites if any, early and late thirds.
 
-    resampled: (pair, sign_stability) of a bootstrap; without it the normal limit is taken, which SQL can form.
+    draws: q is the permutation test's and stability the bootstrap's; else they are the pooled test's and the normal limit, which
+    SQL can form. Results and counts by site are written once; edges, sites and draws all start from them.
     """
-    e = patterns.retained(edge_table(s, d))
-    if resampled is None:
-        e = e.select(*PAIR, "ratio", replication.normal_stability(F.col("ratio"), F.col("log_variance")).alias("sign_stability"))
-    else:
-        e = e.select(*PAIR, "ratio").join(resampled.select(*PAIR, "sign_stability"), PAIR, "left")
+    rows = seen(s, d)
+    by_site = tables.written(patterns.branch_counts(known(rows), rows, MIN_SUPPORT, intrinsic(s), ("site",)), "branches")
+    e = patterns.retained(patterns.edges(by_site, POSITIVE, NEGATIVE)).select(*PAIR, "ratio", replication.normal_stability(F.col("ratio"), F.col("log_variance")).alias("sign_stability"))
     side = F.signum(F.log("ratio"))
-    sites = replication.pooled_over_sites(edge_table(s, d, ("site",)))
-    sites = sites.select(*PAIR, "sites", "i2", "z", (F.greatest("sites_above", F.col("sites") - F.col("sites_above")) / F.col("sites")).alias("agreement"))
+    sites = replication.pooled_over_sites(patterns.edges(by_site, POSITIVE, NEGATIVE, ("site",)))
+    sites = sites.select(*PAIR, "sites", "i2", "z", (F.greatest("sites_above", F.col("sites") - F.col("sites_above")) / F.col("sites")).alias("agreement"), replication.two_sided_p(F.col("z")).alias("p_value"))
     gates = (F.col("n_pos") + F.col("n_neg") >= patterns.MIN_TOTAL) & (F.col("n_pos") >= patterns.MIN_BRANCH) & (F.col("n_neg") >= patterns.MIN_BRANCH)
-    t = replication.temporal_thirds(known(seen(s, d)), e, POSITIVE, NEGATIVE).where(gates)
+    t = replication.temporal_thirds(known(rows), e, POSITIVE, NEGATIVE).where(gates)
     t = t.groupBy(*PAIR).agg(*[F.max(F.when(F.col("third") == x, side)).alias(x) for x in ("early", "late")])
-    out = e.join(tested.select(*PAIR, "p_value"), PAIR, "left").join(sites, PAIR, "left").join(t, PAIR, "left")
+    if draws:
+        st = strata_of(by_site, ("site",))
+        e = e.drop("sign_stability").join(resampling.bootstrap(st).select(*PAIR, "sign_stability"), PAIR, "left")
+        e = e.join(resampling.permutation_test(st).select(*PAIR, F.col("p_two_sided").alias("p_value")), PAIR, "left")
+        sites = sites.drop("p_value")
+    out = e.join(sites, PAIR, "left").join(t, PAIR, "left")
     out = out.withColumns({"temporal": (F.col("early") == F.col("late")) & (F.col("early") == side) & (side != 0), "z": F.when(F.signum("z") == side, F.col("z"))})
     return replication.adjusted_p(out, "p_value", PAIR, "q_value")
 
 
-def pooled_p(s, d):
-    return replication.pooled_over_sites(edge_table(s, d, ("site",))).withColumn("p_value", replication.two_sided_p(F.col("z")))
-
-
 @query
 def validation_labels(s, d):
     """Labels of all retained edges from what SQL can form: the pooled test's q and the normal limit of stability.
 
     validation_labels_permuted takes the permutation test's q and the bootstrap's stability.
     """
-    return replication.label(validated_edges(s, d, pooled_p(s, d))).groupBy("validation_status").agg(F.count("*").alias("edges"))
+    return replication.label(validated_edges(s, d)).groupBy("validation_status").agg(F.count("*").alias("edges"))
 
 
 @query
 def validation_by_alpha(s, d):
     """How the labels move with the level of significance."""
-    e = validated_edges(s, d, pooled_p(s, d))
+    e = tables.written(validated_edges(s, d), "validated")
     levels = [replication.label(e, alpha=a).groupBy("validation_status").agg(F.count("*").alias("edges")).withColumn("alpha", F.lit(a)) for a in (0.05, 0.5, 1.0)]
     return tables.union_all(levels)
 
@@ -294,22 +297,20 @@ def validation_by_alpha(s, d):
 @query
 def validation_labels_permuted(s, d):
     """Labels of all retained edges from the permutation test's q, the bootstrap's stability, sites and time."""
-    by_site = strata(s, d, ("site",))
-    tested = resampling.permutation_test(by_site).withColumnRenamed("p_two_sided", "p_value")
-    return replication.label(validated_edges(s, d, tested, resampling.bootstrap(by_site))).groupBy("validation_status").agg(F.count("*").alias("edges"))
+    return replication.label(validated_edges(s, d, draws=True)).groupBy("validation_status").agg(F.count("*").alias("edges"))
 
 
 @query
 def validated_edges_by_status(s, d):
     """Edges that count as validated, with their direction: robust and supported ones."""
-    e = replication.label(validated_edges(s, d, pooled_p(s, d))).where(F.col("validation_status").isin("robust", "supported"))
+    e = replication.label(validated_edges(s, d)).where(F.col("validation_status").isin("robust", "supported"))
     return r6(e.select(*PAIR, "ratio", E.direction(F.col("ratio")).alias("direction"), "validation_status"))
 
 
 @query
 def primary_edges(s, d):
     """The first 40 edges of the report, by label and strength."""
-    return r6(reports.primary(replication.label(validated_edges(s, d, pooled_p(s, d))), 40).select(*PAIR, "ratio", "validation_status"))
+    return r6(reports.primary(replication.label(validated_edges(s, d)), 40).select(*PAIR, "ratio", "validation_status"))
 
 
 @query
