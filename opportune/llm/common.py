@@ -73,6 +73,28 @@ def possibly_in(df: DataFrame, hashed: Column, keys: DataFrame, key: str) -> tup
     return marked.where(~found).select(df.columns), marked.where(found).select(df.columns)
 
 
+#: Most keys that one broadcast of `with_key_rows` holds.
+HOT_KEYS = 4096
+
+
+def with_key_rows(rows: DataFrame, keys: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """rows joined ("inner" or "left") with their key's row of `keys`, nulls being equal; keys has one row for each key, size its number of rows.
+
+    At most HOT_KEYS keys can hold over 1/HOT_KEYS of all these rows: they are broadcast, so that the rows of a hot key stay where
+    they are; the others' rows are shuffled. The key comes from rows, `size` and the other columns from keys.
+    """
+    own = unused(rows, "__key")
+    keys = keys.withColumnRenamed(key, own)
+    same = F.col(key).eqNullSafe(F.col(own))
+    if keys.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+        return rows.join(F.broadcast(keys), same, how).drop(own)
+    total = keys.agg(F.sum(size)).first()[0]
+    is_hot = F.col(size) * HOT_KEYS > total
+    hot = F.broadcast(keys.where(is_hot))
+    others = rows.join(F.broadcast(hot.select(own)), same, "left_anti").join(keys.where(~is_hot), same, how)
+    return rows.join(hot, same).unionByName(others).drop(own)
+
+
 def chunks(texts: Iterable[str | None], limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
     """Consecutive texts in lists of at most `limit` characters (a longer text is a list of its own); null becomes ''."""
     block, size = [], 0
