@@ -2,9 +2,11 @@
 
 Texts are words: lower case, ASCII punctuation dropped; a character of a script without spaces is a word. Seeds are the items'
 word triples, in a row or with one word left out between (SHAPES), so a copy has seeds even if every third word was changed, or
-one was put in after every second. Documents are scanned for seeds in one map-only pass; only passages around seeds leave it.
-A passage and an item become a pair if they share a seed, however many documents or items hold it, unless the words that both
-have, an exact bound on the pair's score, rule it out. Pairs are aligned word by word, so edited and paraphrased copies score by
+one was put in after every second. Rarity decides where a seed counts: a copy of an item of n different words that must have k
+of them in common has one of the item's n - k + 1 rarest (a prefix filter, exact), so an item's seeds are looked at only in
+stretches of text in which one of its rarest words stands. An opening that thousands of items share costs nothing elsewhere, and
+no seed is left out for being frequent. Documents are scanned in one map-only pass; only passages around seeds leave it, with the
+items that they share seeds and enough words with. Pairs are aligned word by word, so edited and paraphrased copies score by
 what they kept.
 
 Items are handled in blocks of at most BLOCK seeds, whose hashes, seeds and words are broadcast; a larger benchmark takes more
@@ -90,7 +92,7 @@ def points_needed(item_words: int, threshold: float) -> int:
 
 
 class Seeds:
-    """Seeds of a block of items, for scans: sorted hashes, the items of each, and what a bound on an item's score needs."""
+    """Seeds of a block of items, for scans: sorted hashes, the items of each, the items of each rare word, and what a bound on an item's score needs."""
 
     def __init__(self, words: list[list[str]], seeds: list[list[int]], threshold: float):
         flat = np.concatenate([np.array(x, np.int64) for x in seeds]).view(np.uint64)
@@ -102,6 +104,12 @@ class Seeds:
         #: distinct words that an item must have in common with a passage: a repeated word counts as if it were matched each time
         self.least = [-(-points_needed(len(ws), threshold) // MATCH) - (len(ws) - len(own)) for ws, own in zip(words, self.words)]
         self.margin = max(map(len, words))
+        held = Counter(w for own in self.words for w in own)
+        rare: dict[bytes, list[int]] = {}
+        for item, (own, least) in enumerate(zip(self.words, self.least)):
+            for w in sorted(own, key=lambda w: (held[w], w))[: len(own) - max(least, 1) + 1]:
+                rare.setdefault(w, []).append(item)
+        self.rare = {w: np.array(items, np.int32) for w, items in rare.items()}
 
     def found(self, seen: np.ndarray, shift: np.uint64, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the hashes that are seeds, and of those seeds."""
@@ -110,39 +118,89 @@ class Seeds:
         true = self.hashes[seed] == h[some]
         return some[true], seed[true]
 
-    def passages(self, words: list[bytes], at: np.ndarray, seed: np.ndarray) -> list[tuple[int, int]]:
-        """Stretches of a document with seeds of an item and enough of its words; at: places of the seeds found."""
-        sizes = self.starts[seed + 1] - self.starts[seed]
-        owner, _ = gather(self.owners, self.starts[seed], sizes)
-        place = np.repeat(at, sizes)
+    def owned(self, seed: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each (seed, item) of the given items (ascending): numbers within both lists. Costs as much as the shorter of a seed's owners and the items."""
+        starts, stops = self.starts[seed], self.starts[seed + 1]
+        long = np.flatnonzero(stops - starts > 8 * len(items))
+        short = np.flatnonzero(stops - starts <= 8 * len(items))
+        sizes = stops[short] - starts[short]
+        owner, _ = gather(self.owners, starts[short], sizes)
+        at = np.minimum(np.searchsorted(items, owner), len(items) - 1)
+        mine = items[at] == owner
+        numbers, found = [np.repeat(short, sizes)[mine]], [at[mine]]
+        for k in long.tolist():
+            own = self.owners[starts[k] : stops[k]]
+            at = np.minimum(np.searchsorted(own, items), len(own) - 1)
+            has = np.flatnonzero(own[at] == items)
+            numbers.append(np.full(len(has), k))
+            found.append(has)
+        return np.concatenate(numbers), np.concatenate(found)
+
+    def passages(self, words: list[bytes], at: np.ndarray, seed: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """(first, past last, items): pieces of a document with seeds of those items and enough of their words; at: places of the seeds found.
+
+        The document is taken in stretches that overlap by what an alignment may span, three times the longest item: each alignment
+        is whole in one. Only items of which a stretch has a rare word are looked at there, and as many at a time as have CELLS places.
+        """
+        step = 3 * self.margin
+        for start in range(0, max(1, len(words) - step), step):
+            part = slice(*np.searchsorted(at, [start, start + 2 * step]))
+            if part.stop == part.start:
+                continue
+            here = {w for w in words[max(0, start - self.margin) : start + 2 * step + self.margin + SEED + 1]}
+            lists = [self.rare[w] for w in here if w in self.rare]
+            if not lists:
+                continue
+            items = np.unique(np.concatenate(lists))
+            own, number = np.unique(seed[part], return_inverse=True)
+            order = np.argsort(number, kind="stable")  # places by seed
+            places, first = at[part][order], np.searchsorted(number[order], np.arange(len(own) + 1))
+            k, item = self.owned(own, items)
+            by_item = np.argsort(item, kind="stable")
+            k, item = k[by_item], item[by_item]
+            total = np.cumsum(first[k + 1] - first[k])
+            spans, low = [], 0
+            while low < len(k):
+                high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + CELLS, "right")))
+                if high < len(k):  # an item's seeds stay together, if it hasn't more places than CELLS itself
+                    whole = int(np.searchsorted(item, item[high]))
+                    high = whole if whole > low else int(np.searchsorted(item, item[high], "right"))
+                spans += self._spans(words, items[item[low:high]], *gather(places, first[k[low:high]], first[k[low:high] + 1] - first[k[low:high]]))
+                low = high
+            piece: tuple[int, int, set[int]] | None = None
+            for lo, hi, mine in sorted(spans):
+                if piece is not None and lo <= piece[1]:
+                    piece[2].add(mine)
+                    piece = (piece[0], max(hi, piece[1]), piece[2])
+                else:
+                    if piece is not None:
+                        yield piece[0], piece[1], sorted(piece[2])
+                    piece = (lo, hi, {mine})
+            if piece is not None:
+                yield piece[0], piece[1], sorted(piece[2])
+
+    def _spans(self, words: list[bytes], item: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int]]:
+        """Runs of an item's places within margin of each other, with margin words around them, that have enough of the item's words.
+
+        place: of each entry of item, `sizes` of them.
+        """
+        owner = np.repeat(item, sizes)
         order = np.lexsort((place, owner))
         owner, place = owner[order], place[order]
         edges = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (np.diff(place) > self.margin), True])
         spans = []
-        for item, first, last in zip(owner[edges[:-1]].tolist(), place[edges[:-1]].tolist(), place[edges[1:] - 1].tolist()):
+        for mine, first, last in zip(owner[edges[:-1]].tolist(), place[edges[:-1]].tolist(), place[edges[1:] - 1].tolist()):
             lo, hi = max(0, first - self.margin), min(len(words), last + SEED + 1 + self.margin)
-            if len(self.words[item].intersection(words[lo:hi])) >= self.least[item]:
-                spans.append((lo, hi))
-        out: list[tuple[int, int]] = []
-        for lo, hi in sorted(spans):
-            if out and lo <= out[-1][1]:
-                out[-1] = (out[-1][0], max(hi, out[-1][1]))
-            else:
-                out.append((lo, hi))
-        return out
+            if len(self.words[mine].intersection(words[lo:hi])) >= self.least[mine]:
+                spans.append((lo, hi, mine))
+        return spans
 
 
 def _scan(compiled):
-    """Documents to the passages that may hold a copy of an item: (key, doc_id, first, words, hits).
-
-    Seeds of one item within the longest item's length of each other, and so many words around them, are a passage if it has
-    enough of the item's words. No alignment spans more than three times the longest item, so a longer passage is cut in
-    stretches that share so many words: each alignment is whole in one.
-    """
+    """Documents to the passages that may hold a copy of an item: (key, doc_id, first, past, words, items), items as numbers within the block."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds: Seeds = compiled.value
-        overlap = 3 * seeds.margin
         bits = max(16, int(16 * len(seeds.hashes)).bit_length())
         shift = np.uint64(64 - bits)
         seen = np.zeros(1 << bits, bool)
@@ -153,17 +211,10 @@ def _scan(compiled):
                 words = words_of(text or "")
                 h, places = seed_hashes(words)
                 some, seed = seeds.found(seen, shift, h)
-                if not len(some):
-                    continue
-                at, h = places[some], h[some]
-                for lo, hi in seeds.passages(words, at, seed):
-                    for start in range(lo, max(lo + 1, hi - overlap), overlap):
-                        stop = min(hi, start + 2 * overlap)
-                        own = slice(*np.searchsorted(at, [start, stop]))
-                        if own.stop > own.start:
-                            out.append((key, doc_id, start, [w.decode("utf-8", "replace") for w in words[start:stop]], np.unique(h[own]).view(np.int64).tolist()))
+                for lo, hi, items in seeds.passages(words, places[some], seed) if len(some) else ():
+                    out.append((key, doc_id, lo, hi, [w.decode("utf-8", "replace") for w in words[lo:hi]], items))
             if out:
-                yield pd.DataFrame(out, columns=["key", "doc_id", "first", "words", "hits"])
+                yield pd.DataFrame(out, columns=["key", "doc_id", "first", "past", "words", "items"])
 
     return scan
 
@@ -195,7 +246,7 @@ def align(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarr
 
 
 def _score(named, threshold: float):
-    """Passages with the items that they share seeds with to alignments of those that may be leaks. named: item to (item_id, words)."""
+    """Passages with the items that they share seeds with to alignments of those that may be leaks. named: (item_id, words) of each item."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, tuple[int, list]] = {}  # each item's least number of common words, and how often it has each
@@ -246,12 +297,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     source = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = written(items.mapInPandas(_items, "item_id string, words array<string>, seeds array<bigint>").where("size(seeds) > 0"), "items")
-    items = items.withColumn("item", F.xxhash64("item_id", "words"))
     total = items.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0))).first()[0]
     blocks = -(-total // BLOCK)
     out = None
     for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else items
+        mine = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == block) if blocks > 1 else items
         found = _leaks_of(source, mine, threshold)
         out = out.unionByName(found) if out is not None and found is not None else out if found is None else found
     kind = "key bigint, doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint"
@@ -265,18 +315,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def _leaks_of(source: DataFrame, items: DataFrame, threshold: float) -> DataFrame | None:
     """Alignments of the documents with a block of items; None for an empty block."""
     spark = source.sparkSession
-    block = items.select("item", "item_id", "words", "seeds").toArrow().to_pydict()  # about BLOCK seeds, and fewer words
-    if not block["item"]:
+    block = items.select("item_id", "words", "seeds").toArrow().to_pydict()  # about BLOCK seeds, and fewer words
+    if not block["item_id"]:
         return None
     compiled = spark.sparkContext.broadcast(Seeds(block["words"], block["seeds"], threshold))
-    named = spark.sparkContext.broadcast({i: (name, words) for i, name, words in zip(block["item"], block["item_id"], block["words"])})
-    passages = source.mapInPandas(_scan(compiled), "key bigint, doc_id string, first bigint, words array<string>, hits array<bigint>")
-    passages = written(passages.dropDuplicates(["key", "first"]), "passages")
-    hits = passages.select("key", "first", F.explode("hits").alias("seed"))
-    pairs = hits.join(F.broadcast(items.select("item", F.explode("seeds").alias("seed"))), "seed").select("key", "first", "item").distinct()
-    pairs = pairs.groupBy("key", "first").agg(F.collect_list("item").alias("items"))  # items of one block at most
-    chosen = passages.select("key", "doc_id", "first", "words").join(pairs, ["key", "first"])
-    return chosen.mapInPandas(_score(named, threshold), "key bigint, doc_id string, item_id string, score double, first_word bigint, last_word bigint, points int, item_words int")
+    named = spark.sparkContext.broadcast(list(zip(block["item_id"], block["words"])))
+    passages = source.mapInPandas(_scan(compiled), "key bigint, doc_id string, first bigint, past bigint, words array<string>, items array<int>")
+    passages = written(passages.dropDuplicates(["key", "first", "past", "items"]), "passages")
+    return passages.mapInPandas(_score(named, threshold), "key bigint, doc_id string, item_id string, score double, first_word bigint, last_word bigint, points int, item_words int")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -287,3 +287,41 @@ def test_registered_leaks_equal_full_alignment(spark):
             want |= {(d, i): b / (2 * min(len(a), 80)) for i, a, b in zip(items, arrays, best.tolist()) if b >= len(a) and b >= 16}
     got = {(r.doc_id, r.item_id): r.score for r in queries.op5_decontamination(spark, DATA).collect()}
     assert want and got == {k: pytest.approx(min(1.0, v)) for k, v in want.items()}
+
+
+def test_a_seed_that_thousands_of_items_share_costs_little(monkeypatch):
+    import tracemalloc
+
+    random.seed(12)
+    word = lambda: f"w{random.randrange(40_000)}"
+    opening = "which of the following statements best describes the role of".split()
+    items = [opening + [word() for _ in range(12)] for _ in range(3000)]
+    seeds = decontaminate.Seeds(items, [np.unique(decontaminate.seed_hashes([w.encode() for w in i])[0]).view(np.int64).tolist() for i in items], 0.5)
+    words = [w for _ in range(500) for w in (*opening, *(word() for _ in range(10)))]
+    words[6000:6000] = items[77]
+    words = [w.encode() for w in words]
+    h, places = decontaminate.seed_hashes(words)
+    at = np.flatnonzero(np.isin(h, seeds.hashes))
+    seed = np.searchsorted(seeds.hashes, h[at])
+    found = []
+    for cells in (decontaminate.CELLS, 1000):
+        monkeypatch.setattr(decontaminate, "CELLS", cells)
+        tracemalloc.start()
+        found.append([*seeds.passages(words, places[at], seed)])
+        assert tracemalloc.get_traced_memory()[1] < 40e6  # all places of all items: 15 million
+        tracemalloc.stop()
+    assert found[0] == found[1] and any(lo <= 6000 and hi >= 6022 and 77 in mine for lo, hi, mine in found[0])
+    # every item that has enough of its words near its seeds is there
+    step = 3 * seeds.margin
+    for start in range(0, 20 * step, step):
+        own = slice(*np.searchsorted(places[at], [start, start + 2 * step]))
+        want = set()
+        for item, ws in enumerate(items):
+            mine = places[at][own][np.isin(seed[own], np.searchsorted(seeds.hashes, decontaminate.seed_hashes([w.encode() for w in ws])[0]))]
+            edges = [0, *(np.flatnonzero(np.diff(mine) > seeds.margin) + 1), len(mine)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                lo, hi = max(0, mine[a] - seeds.margin), mine[b - 1] + 4 + seeds.margin
+                if len({w.encode() for w in ws} & {*words[lo:hi]}) >= seeds.least[item]:
+                    want.add(item)
+        got = {i for lo, hi, mine in decontaminate.Seeds.passages(seeds, words[: start + 2 * step + 200], places[at][own], seed[own]) for i in mine}
+        assert want <= got
