@@ -1,10 +1,13 @@
-"""Adjusted associations: a ridge logistic regression for each pair, with cluster-robust standard errors.
+"""Adjusted associations of every pair: ridge logistic regressions on all rows, with cluster-robust standard errors.
 
-Each pair's rows are its upstream results; the exposure is a positive result, the response whether the downstream item shows.
-Covariates are categories, so a pair's likelihood needs only counts by exposure and covariate pattern: as many rows as there are
-patterns, at any number of results, and those alone are gathered for the fit (NumPy). The sandwich needs, for each cluster, the
-sum of its scores along one row of the inverse information: a number for each pattern that the fit returns, so the rest is two
-Spark aggregations over clusters.
+A pair's rows are the upstream item's results in cells in which the downstream item is eligible; the exposure is a positive result,
+the response whether the downstream item shows. Covariates are numbers, 0/1 components and categories. Rows of pairs never form:
+a result's row holds its covariates once, with the items that were eligible and those that showed, and tasks work on matrices of
+results x items.
+
+Fits are Newton's method with step halving, for all pairs at a time. A pass adds up every pair's loss, gradient and Hessian at
+its present coefficients: tasks return sums, Spark adds them. Each pair's scale, constant columns and linearly dependent columns
+come from a first pass, which adds up its Gram matrix. What a task holds or the driver sees grows with items, never with rows.
 """
 
 from __future__ import annotations
@@ -13,147 +16,459 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import effects as E
 from ..sources.tables import small, written
+from .opportunity import CELL
 from .patterns import PAIR
 
-RIDGE = 10.0
-
-
-def penalised_newton(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: np.ndarray, steps: int = 100) -> tuple[np.ndarray, bool]:
-    """Coefficients of least sum n log(1 + e^eta) - y eta + penalty . beta^2, with step halving."""
-    beta = np.zeros(x.shape[1])
-    loss = lambda b: (n * np.logaddexp(0, x @ b) - y * (x @ b)).sum() + (penalty * b * b).sum()
-    now = loss(beta)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-(x @ beta)))
-        gradient = x.T @ (n * p - y) + 2 * penalty * beta
-        step = np.linalg.pinv((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(2 * penalty)) @ gradient
-        size = 1.0
-        while size > 1e-8 and loss(beta - size * step) > now:
-            size /= 2
-        beta = beta - size * step
-        before, now = now, loss(beta)
-        if abs(before - now) <= 1e-10 * (1 + abs(before)):
-            return beta, True
-    return beta, False
-
-
-def design(rows: pd.DataFrame, covariates: Sequence[str]) -> tuple[np.ndarray, list[str]]:
-    """Constant, exposure, one column for each level of a covariate but the first, and each column's covariate; columns that add no rank are left out."""
-    parts, names = [np.ones(len(rows)), rows["exposed"].to_numpy(float)], ["", "exposed"]
-    for c in covariates:
-        values = rows[c].astype(str)
-        for level in sorted(values.unique())[1:]:
-            parts.append((values == level).to_numpy(float))
-            names.append(c)
-    x = np.column_stack(parts)
+RIDGE, STEPS, TOLERANCE, NOISE = 10.0, 100, 1e-10, 1e-12
+#: Largest odds ratio, or its inverse, that isn't taken for separation.
+SEPARATED = 1000.0
+#: Least rows with and without a component for it to be in a pair's model.
+COMPONENT_ROWS = 5
+#: Most levels of a category.
+LEVELS = 1000
+#: Share of a column's variance that earlier columns must leave for it to be in a model.
+RANK = 1e-10
+#: Rows of a unit and item from which on its rows may be in several tasks.
+HOT = 1_000_000
+#: Numbers of a task's intermediate matrices; bounds its memory.
+CELLS = 1 << 20
+UNKNOWN = "unknown"
+
+
+def cluster_id(site: Column, candidates: Sequence[Column], episode: Column) -> Column:
+    """A row's cluster: its first identifier that isn't null, else its episode, within its site. Rows without any identifier never share one."""
+    return F.concat_ws("::", site.cast("string"), F.coalesce(*[c.cast("string") for c in candidates], F.concat(F.lit("episode "), episode.cast("string"))))
+
+
+class Rows:
+    """Results as model rows, written once, and what their columns are.
+
+    numbers: covariates that are scaled; components: 0/1; categories: each level but a pair's first is a column. Null numbers and
+    components are 0, null categories the level 'unknown'. Columns are in this order, after the constant and the exposure.
+    """
+
+    def __init__(
+        self, observations: DataFrame, eligible: DataFrame, covariates: DataFrame | None, cluster: Column, positive: str, negative: str,
+        numbers: Sequence[str] = (), components: Sequence[str] = (), categories: Sequence[str] = (),
+    ):
+        """observations: one outcome for each episode and item, with CELL and what `cluster` reads; eligible: (CELL, item); covariates: one row for each episode.
+
+        Results in cells without an eligible item are rows of no pair. An episode without covariates has zeros and unknown levels.
+        """
+        spark = observations.sparkSession
+        self.items = [r[0] for r in eligible.select("item").union(observations.select("item")).where("item is not null").distinct().orderBy("item").collect()]
+        index = F.broadcast(spark.createDataFrame([(k, i) for k, i in enumerate(self.items)] or [], "number int, item string"))
+        frame = observations.join(index, "item").select("episode", *CELL, "number", "outcome", cluster.alias("cluster"))
+        allowed = small(eligible.join(index, "item").groupBy(*CELL).agg(F.sort_array(F.collect_set("number")).alias("eligible")))
+        # an episode's items are gathered once, as in the counts of patterns
+        together = frame.groupBy("episode", *CELL).agg(F.collect_list(F.struct("number", "outcome", "cluster")).alias("results")).join(allowed, CELL).select("episode", "eligible", "results")
+        flat = together if covariates is None else together.join(covariates.select("episode", *numbers, *components, *categories), "episode", "left")
+        value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in [*numbers, *components]}
+        level = {c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for c in categories}
+        flat = flat.select("episode", "eligible", "results", *[v.alias(c) for c, v in (value | level).items()])
+        self.levels = {}
+        for c in categories:
+            found = [r[0] for r in flat.select(c).distinct().limit(LEVELS + 1).collect()]
+            if len(found) > LEVELS:
+                raise ValueError(f"{c} has over {LEVELS} levels")
+            self.levels[c] = sorted(found)
+        moments = flat.agg(F.count("*"), *[f(c).alias(f"{n}_{c}") for c in numbers for n, f in (("mean", F.avg), ("sd", F.stddev_pop))]).first()
+        # roughly scaled once, so that sums of squares keep their digits; each pair's own scale comes from its sums
+        self.scale = {c: (moments[f"mean_{c}"] or 0.0, moments[f"sd_{c}"] or 1.0) for c in numbers}
+        scaled = [(F.col(c) - mean) / sd for c, (mean, sd) in self.scale.items()]
+        at, self.columns, self.groups = 2 + len(numbers) + len(components), ["", "exposed", *numbers, *components], []
+        codes = []
+        for c in categories:
+            codes.append((F.array_position(F.array(*[F.lit(v) for v in self.levels[c]]), F.col(c)) + (at - 1)).cast("int"))
+            self.groups.append(list(range(at, at + len(self.levels[c]))))
+            self.columns += [f"{c}={v}" for v in self.levels[c]]
+            at += len(self.levels[c])
+        self.components = [2 + len(numbers) + k for k in range(len(components))]
+        self.dense = len(numbers) + len(components)
+        each = flat.select("episode", "eligible", F.col("results.number").alias("shown"), F.inline("results"), F.array(*scaled, *[F.col(c) for c in components]).cast("array<double>").alias("x"), F.array(*codes).cast("array<int>").alias("levels"))
+        each = each.where(F.col("outcome").isin(positive, negative))
+        each = each.select(F.col("number").alias("up"), (F.col("outcome") == positive).cast("int").alias("exposed"), "cluster", F.pmod(F.xxhash64("episode"), F.lit(64)).cast("int").alias("salt"), "x", "levels", "eligible", "shown")
+        self.frame = written(each.repartition("up", "salt").sortWithinPartitions("up", "cluster"), "model_rows")
+        self.width = len(self.columns)
+
+
+    def named(self, df: DataFrame) -> DataFrame:
+        """df with upstream and downstream items' names for the numbers up and model."""
+        names = F.broadcast(df.sparkSession.createDataFrame([(k, i) for k, i in enumerate(self.items)] or [], "__number int, __name string"))
+        for side, number in (("upstream", F.col("up")), ("downstream", F.col("model") % max(1, len(self.items)))):
+            df = df.join(names.withColumnRenamed("__name", side), number == F.col("__number")).drop("__number")
+        return df
+
+
+def _matrices(batch: pa.RecordBatch, width: int, dense: int, items: int) -> tuple[np.ndarray, ...]:
+    """(x, eligible, shown) of a batch: rows x columns, and rows x items; an item is never eligible for its own results."""
+    n = batch.num_rows
+    column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+    x = np.zeros((n, width))
+    x[:, 0], x[:, 1] = 1, column["exposed"].to_numpy()
+    if dense:
+        x[:, 2 : 2 + dense] = column["x"].flatten().to_numpy().reshape(n, -1)
+    levels = column["levels"].flatten().to_numpy(zero_copy_only=False)
+    if len(levels):
+        x[np.repeat(np.arange(n), len(levels) // n), levels] = 1
+    marks = []
+    for name in ("eligible", "shown"):
+        lists = column[name]
+        mark = np.zeros((n, items))
+        mark[np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(zero_copy_only=False)] = 1
+        marks.append(mark)
+    allowed, shown = marks
+    allowed[np.arange(n), column["up"].to_numpy()] = 0
+    return x, allowed, shown * allowed
+
+
+def _parts(batch: pa.RecordBatch, width: int, dense: int, items: int, models: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """(up, x, eligible, shown, rows) of pieces of a batch that have one upstream item and bounded matrices."""
+    ups = batch.column(batch.schema.names.index("up")).to_numpy()
+    edges = np.flatnonzero(np.r_[True, np.diff(ups) != 0, True])
+    most = max(1, CELLS // max(width * width, models))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        for k in range(a, b, most):
+            rows = batch.slice(k, min(most, b - k))
+            yield int(ups[a]), *_matrices(rows, width, dense, items), rows
+
+
+def summed(rows: Rows, models: int, size: int, add, frame: DataFrame | None = None) -> DataFrame:
+    """(up, model, sums array<double>): what add(up, x, eligible, shown, rows, total) puts into total, models x size, over all rows.
+
+    frame: the rows with further columns for add to read.
+    """
+    width, dense, items = rows.width, rows.dense, len(rows.items)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+
+        def result():
+            used = np.flatnonzero(np.abs(total).any(1))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(used), now, np.int32)), pa.array(used.astype(np.int32)), pa.array(list(total[used]), pa.list_(pa.float64()))], ["up", "model", "sums"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for up, x, allowed, shown, part in _parts(batch, width, dense, items, models):
+                if up != now:
+                    if now is not None:
+                        yield result()
+                    now, total = up, np.zeros((models, size))
+                add(up, x, allowed, shown, part, total)
+        if now is not None:
+            yield result()
+
+    got = (rows.frame if frame is None else frame).mapInArrow(scan, "up int, model int, sums array<double>")
+    return got.groupBy("up", "model").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+
+
+def _outer(x: np.ndarray) -> np.ndarray:
+    return (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+
+
+def gram(rows: Rows) -> DataFrame:
+    """(up, model, sums) with a model for each downstream item: the Gram matrix of its rows' columns, then the columns' sums over rows that show it."""
+    width, items = rows.width, len(rows.items)
+
+    def add(up, x, allowed, shown, part, total):
+        total[:, : width * width] += allowed.T @ _outer(x)
+        total[:, width * width :] += shown.T @ x
+
+    return summed(rows, items, width * width + width, add)
+
+
+def chosen_columns(g: np.ndarray, groups: Sequence[Sequence[int]], components: Sequence[int]) -> list[int]:
+    """Columns of a pair's model by its Gram matrix: constant and exposure; then, in order, those that vary and that earlier ones don't determine.
+
+    A category's first level that occurs is left out, and components with fewer than COMPONENT_ROWS rows on either side.
+    """
+    n, count = g[0, 0], g[0]
+    out = set()
+    for group in groups:
+        out |= set([j for j in group if count[j] > 0][:1])
+    out |= {j for j in components if min(count[j], n - count[j]) < COMPONENT_ROWS}
+    mean = count / n
+    variance = np.diag(g) / n - mean * mean
+    with np.errstate(all="ignore"):
+        scale = np.sqrt(variance)
+        correlation = (g / n - np.outer(mean, mean)) / np.outer(scale, scale)
     keep = [0, 1]
-    for k in range(2, x.shape[1]):  # greedy: a column stays if it adds to the rank
-        if np.linalg.matrix_rank(x[:, [*keep, k]]) == len(keep) + 1:
-            keep.append(k)
-    return x[:, keep], [names[k] for k in keep]
-
-
-def fit_pair(rows: pd.DataFrame, covariates: Sequence[str], ridge: float = RIDGE) -> tuple[dict, np.ndarray, np.ndarray]:
-    """Log odds ratio of the exposure, or the reason that there is none; each pattern's probability, and its part of the ratio's score."""
-    n, y = rows["n"].to_numpy(float), rows["events"].to_numpy(float)
-    none = np.zeros(0)
-    out = {"log_odds": None, "rows": int(n.sum()), "columns": 0, "status": "ok"}
-    if rows["exposed"].nunique() < 2:
-        return out | {"status": "no_variation"}, none, none
-    x, _ = design(rows, covariates)
-    if min(y.sum(), n.sum() - y.sum()) < x.shape[1]:
-        return out | {"status": "too_few_events"}, none, none
-    penalty = np.r_[0, 0, np.full(x.shape[1] - 2, ridge)]
-    beta, converged = penalised_newton(x, y, n, penalty)
-    if not converged:
-        return out | {"status": "not_converged"}, none, none
-    if abs(beta[1]) > np.log(1000):
-        return out | {"status": "separated"}, none, none
-    p = 1 / (1 + np.exp(-(x @ beta)))
-    bread = np.linalg.pinv((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(2 * penalty))
-    return out | {"log_odds": float(beta[1]), "columns": x.shape[1]}, p, x @ bread[1]
-
-
-def by_pattern(exposures: DataFrame, events: DataFrame, covariates: Sequence[str]) -> DataFrame:
-    """(pair, exposed, covariates, n, events): every pair's counts by pattern; pairs are all that upstream and downstream items form."""
-    keys = ["exposed", *covariates]
-    n = exposures.groupBy("upstream", *keys).agg(F.sum("n").alias("n"))
-    items = events.select("downstream").distinct()
-    k = events.groupBy(*PAIR, *keys).agg(F.sum("events").alias("events"))
-    pairs = n.crossJoin(F.broadcast(items)).where("upstream <> downstream")  # patterns x items, not results x items
-    same = [pairs[c].eqNullSafe(k[c]) for c in [*PAIR, *keys]]
-    out = pairs.join(k, same, "left").select(*[pairs[c] for c in [*PAIR, *keys]], pairs["n"], F.coalesce(k["events"], F.lit(0)).alias("events"))
+    for j in range(2, len(g)):
+        if j in out or variance[j] <= 1e-12 * max(1.0, g[j, j] / n):
+            continue
+        others = keep[1:]
+        r = correlation[others, j]
+        if 1 - r @ np.linalg.solve(correlation[np.ix_(others, others)], r) > RANK:
+            keep.append(j)
+    return keep
+
+
+def to_standard(g: np.ndarray, keep: Sequence[int]) -> np.ndarray:
+    """Matrix from rows' columns to a model's: the kept columns, all but constant and exposure with mean 0 and deviation 1 over the pair's rows."""
+    out = np.zeros((len(g), len(keep)))
+    for k, j in enumerate(keep):
+        if j < 2:
+            out[j, k] = 1
+        else:
+            mean = g[0, j] / g[0, 0]
+            sd = np.sqrt(g[j, j] / g[0, 0] - mean * mean)
+            out[j, k], out[0, k] = 1 / sd, -mean / sd
     return out
 
 
-def _fits(covariates: Sequence[str], penalties: Sequence[float]):
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_STATE = "up int, model int, penalty double, status string, n bigint, events bigint, exposed bigint, width int, matrix array<double>, beta array<double>, candidate array<double>, direction array<double>, size double, value double, bread array<double>, steps int"
+
+
+def _start(rows: Rows, penalties: Sequence[float]):
+    """Gram matrices to the models' first states; refusals in this order: no variation of response or exposure, fewer events than columns."""
+    width, groups, components, items = rows.width, rows.groups, rows.components, len(rows.items)
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for up, down, patterns in zip(batch["upstream"], batch["downstream"], batch["patterns"]):
-                rows = pd.DataFrame([dict(p) if isinstance(p, dict) else p.asDict() for p in patterns])
-                rows = rows.sort_values(["exposed", *covariates], kind="stable", na_position="first").reset_index(drop=True)
-                for penalty in penalties:
-                    got, p, u = fit_pair(rows, covariates, penalty)
-                    each = [{"exposed": int(rows["exposed"][k]), **{c: rows[c][k] for c in covariates}, "p": float(p[k]), "u": float(u[k])} for k in range(len(p))]
-                    out.append({"upstream": up, "downstream": down, "penalty": float(penalty), **got, "patterns": each})
-            yield pd.DataFrame(out, columns=["upstream", "downstream", "penalty", "log_odds", "rows", "columns", "status", "patterns"])
+            for up, item, sums in zip(batch["up"], batch["model"], batch["sums"]):
+                g, shown = np.asarray(sums[: width * width]).reshape(width, width), np.asarray(sums[width * width :])
+                n, exposed, events = round(g[0, 0]), round(g[0, 1]), round(shown[0])
+                status, matrix = "active", np.zeros((width, 0))
+                if not 0 < events < n or not 0 < exposed < n:
+                    status = "no_variation"
+                else:
+                    matrix = to_standard(g, chosen_columns(g, groups, components))
+                    if min(events, n - events) < matrix.shape[1]:
+                        status = "too_few_events"
+                zero = [0.0] * matrix.shape[1]
+                for k, penalty in enumerate(penalties):
+                    out.append((up, item + k * items, penalty, status, n, events, exposed, matrix.shape[1], matrix.ravel().tolist(), zero, zero, zero, 1.0, None, [], 0))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _STATE.split(", ")])
+
+    return start
+
+
+def advanced(state: dict, loss: float, gradient: np.ndarray, hessian: np.ndarray) -> dict:
+    """A model's next state from the sums at its candidate: the candidate is accepted if it isn't worse, else the step is halved."""
+    width = state["width"]
+    m = np.asarray(state["matrix"]).reshape(-1, width)
+    penalty = np.r_[0.0, 0.0, np.full(width - 2, 2 * state["penalty"])]
+    candidate, direction = np.asarray(state["candidate"]), np.asarray(state["direction"])
+    value = loss + 0.5 * (penalty * candidate * candidate).sum()
+    first = state["value"] is None or np.isnan(state["value"])
+    out = dict(state, steps=state["steps"] + 1)
+    # sums of many tasks differ in their last digits, so at the minimum a candidate may seem worse by as much
+    if first or (np.isfinite(value) and value <= state["value"] + NOISE * (abs(state["value"]) + 0.1)):
+        done = not first and state["value"] - value <= TOLERANCE * (abs(value) + 0.1)
+        h = m.T @ hessian @ m + np.diag(penalty)
+        bread = np.linalg.pinv(h)
+        step = bread @ (m.T @ gradient + penalty * candidate)
+        out |= {"beta": candidate.tolist(), "value": float(value), "bread": (m @ bread[1]).tolist(), "direction": step.tolist(), "size": 1.0, "candidate": (candidate - step).tolist()}
+        if done:
+            out["status"] = "ok"
+    else:
+        size = state["size"] / 2
+        out |= {"size": size, "candidate": (np.asarray(state["beta"]) - size * direction).tolist()}
+        if size < 2.0**-30:
+            out["status"] = "ok"
+    if out["status"] == "active" and out["steps"] > STEPS:
+        out["status"] = "not_converged"
+    if out["status"] == "ok" and abs(out["beta"][1]) > np.log(SEPARATED):
+        out["status"] = "separated"
+    return out
+
+
+def _advance(width: int):
+    def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _STATE.split(", ")]
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                sums = row.pop("sums")
+                if row["status"] == "active":
+                    row = advanced(row, float(sums[0]), np.asarray(sums[1 : 1 + width]), np.asarray(sums[1 + width :]).reshape(width, width))
+                out.append([row[c] for c in names])
+            yield pd.DataFrame(out, columns=names)
+
+    return advance
+
+
+def _coefficients(states: DataFrame, width: int, models: int, column: str = "candidate", where: str = "status = 'active'") -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each upstream item, the models that are meant and their coefficients by the rows' columns: as many numbers as models have columns."""
+    out: dict[int, tuple[list, list]] = {}
+    for r in states.where(where).select("up", "model", "width", "matrix", column).toLocalIterator():
+        which, betas = out.setdefault(r["up"], ([], []))
+        which.append(r["model"])
+        betas.append(np.asarray(r["matrix"]).reshape(width, -1) @ np.asarray(r[column]) if column != "bread" else np.asarray(r[column]))
+    return {up: (np.array(which), np.stack(betas, 1)) for up, (which, betas) in out.items()}
+
+
+def _sigmoid(eta: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(0.5 * eta))
 
-    return fit
 
+def fitted(rows: Rows, penalties: Sequence[float]) -> DataFrame:
+    """States of all models once none is active."""
+    spark, width, items, models = rows.frame.sparkSession, rows.width, len(rows.items), len(rows.items) * len(penalties)
+    states = written(gram(rows).mapInPandas(_start(rows, penalties), _STATE), "models")
+    for _ in range(STEPS + 2):
+        now = _coefficients(states, width, models)
+        if not now:
+            break
+        shared = spark.sparkContext.broadcast(now)
 
-def _grouped(patterns: DataFrame, covariates: Sequence[str]) -> DataFrame:
-    """A row for each pair with its patterns; their number is that of the covariates' combinations."""
-    fields = ["exposed", *covariates, F.col("n").cast("bigint").alias("n"), F.col("events").cast("bigint").alias("events")]
-    return patterns.groupBy(*PAIR).agg(F.collect_list(F.struct(*fields)).alias("patterns"))
+        def add(up, x, allowed, shown, part, total):
+            if up not in shared.value:  # noqa: B023
+                return
+            which, beta = shared.value[up]  # noqa: B023
+            a, y = allowed[:, which % items], shown[:, which % items]
+            eta = x @ beta
+            p = _sigmoid(eta)
+            total[which, 0] += (a * (np.logaddexp(0, eta) - y * eta)).sum(0)
+            total[which, 1 : 1 + width] += (a * p - y).T @ x
+            total[which, 1 + width :] += (a * p * (1 - p)).T @ _outer(x)
 
+        sums = summed(rows, models, 1 + width + width * width, add)
+        moved = states.where("status = 'active'").join(sums, ["up", "model"]).mapInPandas(_advance(width), _STATE)
+        states = written(states.where("status <> 'active'").unionByName(moved), "models")
+        shared.unpersist()
+    return states
 
-def adjusted_odds(exposures: DataFrame, events: DataFrame, covariates: Sequence[str], penalties: Sequence[float] = (RIDGE,)) -> DataFrame:
-    """(pair, penalty, odds_ratio, ci_low, ci_high, rows, status) of every pair under each penalty.
 
-    exposures: (upstream, cluster, exposed 0/1, covariates, n), counts of upstream results; events: (pair, cluster, exposed,
-    covariates, events), counts of those that show the downstream item. Covariates are strings; null is a level of its own.
+def _spread(rows: Rows, states: DataFrame, models: int) -> DataFrame:
+    """(up, model, variance, clusters): sums over clusters of squared scores along the exposure's row of the bread.
+
+    A unit's rows of an item are in one task, where its score is added up; those of a unit with over HOT rows may be in several,
+    and are added up afterwards.
     """
-    keys = ["exposed", *covariates]
-    kinds = ", ".join(f"`{c}`: string" for c in covariates)
-    kind = f"upstream string, downstream string, penalty double, log_odds double, rows bigint, columns int, status string, patterns array<struct<exposed: int, {kinds + ', ' if kinds else ''}p: double, u: double>>"
-    fits = _grouped(by_pattern(exposures, events, covariates), covariates).mapInPandas(_fits(covariates, penalties), kind)
-    fits = written(fits, "fits")
-    each = small(fits.select(*PAIR, "penalty", F.inline("patterns")))
-    match = lambda side, on: [side[c].eqNullSafe(each[c]) for c in on]
-    by = [each["upstream"], each["downstream"], each["penalty"]]
-    shown = events.join(each, match(events, [*PAIR, *keys])).select(*by, events["cluster"], (F.col("u") * events["events"]).alias("t"))
-    expected = exposures.join(each, match(exposures, ["upstream", *keys])).select(*by, exposures["cluster"], (-F.col("u") * F.col("p") * exposures["n"]).alias("t"))
-    score = shown.unionByName(expected).groupBy(*PAIR, "penalty", "cluster").agg(F.sum("t").alias("t"))
-    spread = score.groupBy(*PAIR, "penalty").agg(F.sum(F.col("t") * F.col("t")).alias("variance"), F.count("*").alias("g"))
-    out = fits.join(spread, [*PAIR, "penalty"], "left")
-    scale = F.col("g") / F.greatest(F.lit(1), F.col("g") - 1) * (F.col("rows") - 1) / F.greatest(F.lit(1), F.col("rows") - F.col("columns"))
-    half = 1.96 * F.sqrt(F.col("variance") * scale)
-    return out.select(*PAIR, "penalty", F.exp("log_odds").alias("odds_ratio"), F.exp(F.col("log_odds") - half).alias("ci_low"), F.exp(F.col("log_odds") + half).alias("ci_high"), "rows", "status")
-
-
-def contributions(exposures: DataFrame, events: DataFrame, covariates: Sequence[str], ridge: float = RIDGE) -> DataFrame:
-    """(pair, domain, importance, converged): mean absolute contribution beta (x - mean) to the log odds of each covariate and the exposure.
-
-    Contributions of a covariate's levels are added within a row before the absolute value is taken.
+    spark, width, dense, items = rows.frame.sparkSession, rows.width, rows.dense, len(rows.items)
+    meant = "status in ('ok', 'separated')"
+    beta, bread = (_coefficients(states, width, models, c, meant) for c in ("beta", "bread"))
+    shared = spark.sparkContext.broadcast({up: (which, b, bread[up][1]) for up, (which, b) in beta.items()})
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(up, t, n, hot):
+            """t, n: clusters x models, scores and rows; hot: the cluster's name or None."""
+            which = shared.value[up][0]
+            some = np.flatnonzero(n.any(0))
+            k = len(some)
+            total = t[:, some].sum(0) if hot is not None else (t[:, some] ** 2).sum(0)
+            held = (n[:, some] > 0).sum(0)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(k, up, np.int32)), pa.array(which[some].astype(np.int32)), pa.array([hot] * k, pa.string()), pa.array(total), pa.array(held)], ["up", "model", "cluster", "t", "clusters"])
+
+        last = None  # (up, cluster, hot, t, n) of the cluster that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for up, x, allowed, shown, part in _parts(batch, width, dense, items, models):
+                if up not in shared.value:
+                    continue
+                which, beta, bread = shared.value[up]
+                a = allowed[:, which % items]
+                t = (x @ bread) * (shown[:, which % items] - a * _sigmoid(x @ beta))
+                names, hot = part.column(part.schema.names.index("cluster")), part.column(part.schema.names.index("hot")).to_numpy(zero_copy_only=False)
+                code = names.dictionary_encode()
+                number = code.indices.to_numpy()
+                at = np.flatnonzero(np.r_[True, np.diff(number) != 0])
+                each, held = np.add.reduceat(t, at), np.add.reduceat(a, at)
+                named = [code.dictionary[number[k]].as_py() for k in at[[0, -1]]]
+                if last is not None:
+                    if last[:2] == (up, named[0]):
+                        each[0] += last[3]
+                        held[0] += last[4]
+                    else:
+                        yield result(last[0], last[3][None], last[4][None], last[1] if last[2] else None)
+                is_hot = hot[at]
+                plain = np.flatnonzero(~is_hot[:-1])
+                if len(plain):
+                    yield result(up, each[plain], held[plain], None)
+                for k in np.flatnonzero(is_hot[:-1]).tolist():
+                    yield result(up, each[k][None], held[k][None], code.dictionary[number[at[k]]].as_py())
+                last = (up, named[1], bool(is_hot[-1]), each[-1], held[-1])
+        if last is not None:
+            yield result(last[0], last[3][None], last[4][None], last[1] if last[2] else None)
+
+    large = small(rows.frame.groupBy("up", "cluster").count().where(F.col("count") > HOT).select("up", "cluster", F.lit(True).alias("hot")))
+    dealt = rows.frame.join(large, ["up", "cluster"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    dealt = dealt.withColumn("salt", F.when(F.col("hot"), F.col("salt")).otherwise(0)).repartition("up", "cluster", "salt").sortWithinPartitions("up", "cluster")
+    got = dealt.mapInArrow(scan, "up int, model int, cluster string, t double, clusters bigint")
+    whole = got.where("cluster is null").groupBy("up", "model").agg(F.sum("t").alias("t"), F.sum("clusters").alias("clusters"))
+    split = got.where("cluster is not null").groupBy("up", "model", "cluster").agg(F.sum("t").alias("t")).groupBy("up", "model").agg(F.sum(F.col("t") * F.col("t")).alias("t"), F.count("*").alias("clusters"))
+    return whole.unionByName(split).groupBy("up", "model").agg(F.sum("t").alias("variance"), F.sum("clusters").alias("clusters"))
+
+
+def adjusted_odds(rows: Rows, penalties: Sequence[float] = (RIDGE,)) -> DataFrame:
+    """(pair, penalty, log_odds, standard_error, odds_ratio, ci_low, ci_high, p_value, e_value, rows, clusters, columns, positive_rate, shown_rate, status).
+
+    Every pair with a row is there under each penalty. status: ok; no_variation, too_few_events (fewer events or non-events than
+    columns), not_converged: no estimate; separated: an odds ratio beyond SEPARATED or its inverse, given as null with its log.
     """
+    states = fitted(rows, penalties)
+    spread = _spread(rows, states, len(rows.items) * len(penalties))
+    out = states.join(spread, ["up", "model"], "left")
+    n, g, k = F.col("n"), F.col("clusters"), F.col("width")
+    scale = F.when((g > 1) & (n > k), g / (g - 1) * (n - 1) / (n - k)).otherwise(1.0)
+    estimate = F.when(F.col("status").isin("ok", "separated"), F.col("beta")[1])
+    out = out.withColumns({"log_odds": estimate, "standard_error": F.when(estimate.isNotNull(), F.sqrt(F.col("variance") * scale))})
+    odds = F.when(F.col("status") == "ok", F.exp("log_odds"))
+    low, high = (F.when(F.col("status") == "ok", F.exp(F.col("log_odds") + s * F.col("standard_error"))) for s in (-1.96, 1.96))
+    bounded = low.isNotNull() & (high < float("inf"))
+    out = out.withColumns({"odds_ratio": odds, "ci_low": F.when(bounded, low), "ci_high": F.when(bounded, high), "p_value": F.when(F.col("standard_error") > 0, E.normal_tail(F.col("log_odds") / F.col("standard_error")))})
+    return rows.named(out).select(
+        *PAIR, "penalty", "log_odds", "standard_error", "odds_ratio", "ci_low", "ci_high", "p_value", E.e_value(F.col("odds_ratio")).alias("e_value"), F.col("n").alias("rows"), "clusters",
+        F.col("width").alias("columns"), (F.col("exposed") / n).alias("positive_rate"), (F.col("events") / n).alias("shown_rate"), "status",
+    )
+
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def column_sums(rows: Rows) -> DataFrame:
+    """(pair, column, over_rows, over_exposed, over_shown): sums of every column over a pair's rows, those with a positive result, and those that show the item."""
+    width, columns = rows.width, rows.columns
+    shift = [rows.scale.get(c, (0.0, 1.0)) for c in columns]
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mean, sd = (np.array(v) for v in zip(*shift))
         for batch in batches:
             out = []
-            for up, down, patterns in zip(batch["upstream"], batch["downstream"], batch["patterns"]):
-                rows = pd.DataFrame([dict(p) if isinstance(p, dict) else p.asDict() for p in patterns]).sort_values(["exposed", *covariates], kind="stable", na_position="first").reset_index(drop=True)
-                n, y = rows["n"].to_numpy(float), rows["events"].to_numpy(float)
-                x, names = design(rows, covariates)
-                beta, ok = penalised_newton(x, y, n, np.r_[0, 0, np.full(x.shape[1] - 2, ridge)])
-                for name in dict.fromkeys(names[1:]):
-                    own = [k for k, c in enumerate(names) if c == name]
-                    shift = (x[:, own] - np.average(x[:, own], axis=0, weights=n)) @ beta[own]
-                    out.append((up, down, name, float(np.average(np.abs(shift), weights=n)), ok))
-            yield pd.DataFrame(out, columns=["upstream", "downstream", "domain", "importance", "converged"])
-
-    return _grouped(by_pattern(exposures, events, covariates), covariates).mapInPandas(explain, "upstream string, downstream string, domain string, importance double, converged boolean")
+            for up, model, sums in zip(batch["up"], batch["model"], batch["sums"]):
+                g, shown = np.asarray(sums[: width * width]).reshape(width, width), np.asarray(sums[width * width :])
+                # a scaled column's sum needs the number of rows that it is over
+                over = [v * sd + mean * n for v, n in ((g[0], g[0, 0]), (g[1], g[0, 1]), (shown, shown[0]))]
+                out += [(up, model, c or "rows", *map(float, v)) for c, *v in zip(columns, *over)]
+            yield pd.DataFrame(out, columns=["up", "model", "column", "over_rows", "over_exposed", "over_shown"])
+
+    out = gram(rows).mapInPandas(split, "up int, model int, column string, over_rows double, over_exposed double, over_shown double")
+    return rows.named(out).select(*PAIR, "column", "over_rows", "over_exposed", "over_shown")
+
+
+def contributions(rows: Rows, ridge: float = RIDGE) -> DataFrame:
+    """(pair, domain, importance): mean absolute contribution of each covariate and the exposure to the log odds, over all of a pair's rows.
+
+    A row's contribution of a column is its coefficient times the column's distance from its mean; those of a covariate's levels
+    are added within a row before the absolute value is taken. Pairs without an estimate have none.
+    """
+    width, items = rows.width, len(rows.items)
+    names = list(dict.fromkeys(c.split("=")[0] for c in rows.columns[1:]))
+    member = np.array([[c.split("=")[0] == n for n in names] for c in rows.columns])
+    states = fitted(rows, (ridge,))
+    means = gram(rows).select("up", "model", F.slice("sums", 1, width).alias("g0"))
+    at = states.where("status = 'ok'").select("up", "model").join(means, ["up", "model"])
+    mean = {(r["up"], r["model"]): np.asarray(r["g0"]) / r["g0"][0] for r in at.toLocalIterator()}
+    beta = _coefficients(states, width, items, "beta", "status = 'ok'")
+    shared = rows.frame.sparkSession.sparkContext.broadcast({up: (which, b, np.stack([mean[up, int(m)] for m in which], 1)) for up, (which, b) in beta.items()})
+
+    def add(up, x, allowed, shown, part, total):
+        if up in shared.value:
+            which, beta, centre = shared.value[up]
+            total[which, 0] += allowed[:, which].sum(0)
+            for k in range(len(names)):
+                own = member[:, k]
+                total[which, 1 + k] += (np.abs(x[:, own] @ beta[own] - (centre[own] * beta[own]).sum(0)) * allowed[:, which]).sum(0)
+
+    sums = summed(rows, items, 1 + len(names), add)
+    each = F.inline(F.array(*[F.struct(F.lit(n).alias("domain"), (F.col("sums")[k + 1] / F.col("sums")[0]).alias("importance")) for k, n in enumerate(names)]))
+    return rows.named(sums).select(*PAIR, each)

@@ -9,7 +9,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .adjusted import penalised_newton
+
+def penalised_newton(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: np.ndarray, steps: int = 100) -> tuple[np.ndarray, bool]:
+    """Coefficients of least sum n log(1 + e^eta) - y eta + penalty . beta^2, with step halving."""
+    beta = np.zeros(x.shape[1])
+    loss = lambda b: (n * np.logaddexp(0, x @ b) - y * (x @ b)).sum() + (penalty * b * b).sum()
+    now = loss(beta)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-(x @ beta)))
+        gradient = x.T @ (n * p - y) + 2 * penalty * beta
+        step = np.linalg.pinv((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(2 * penalty)) @ gradient
+        size = 1.0
+        while size > 1e-8 and loss(beta - size * step) > now:
+            size /= 2
+        beta = beta - size * step
+        before, now = now, loss(beta)
+        if abs(before - now) <= 1e-10 * (1 + abs(before)):
+            return beta, True
+    return beta, False
 
 
 def modelled_tilt(cells: DataFrame, covariates: Sequence[str], tilts: Sequence[float]) -> DataFrame:

@@ -7,6 +7,7 @@ counts for each pair and stratum, never the episodes. Pairs are grouped and sent
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.effects import SMOOTHING
+from .adjusted import Rows, summed
 from .patterns import PAIR
 
 COUNTS = ["n_pos", "k_pos", "n_neg", "k_neg"]
@@ -99,32 +101,54 @@ def degeneracy(strata: DataFrame) -> DataFrame:
     return out.withColumn("fixed_share", 1 - F.col("permutable") / F.nullif(F.col("rows"), F.lit(0)))
 
 
-def cluster_bootstrap(clusters: DataFrame, draws: int = 250, seed: int = 7, salt: int = 71) -> DataFrame:
-    """(pair, median, low, high): units are resampled within sites, as multinomials over their distinct count vectors.
+#: Cumulative probabilities of the Poisson distribution with mean 1.
+POISSON = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(20)])
 
-    clusters: pair, site and a unit's counts; equal vectors of a site are summed before grouping, which bounds a group by the
-    number of distinct vectors.
+
+def unit_weights(hashes: np.ndarray, draws: int) -> np.ndarray:
+    """units x draws: how often each draw takes a unit, Poisson with mean 1 and a function of the unit's hash alone.
+
+    Uniform numbers are mixed bits (SplitMix64) of the hash and the draw's number.
     """
-    patterns = clusters.groupBy(*PAIR, "site", *COUNTS).agg(F.count("*").alias("units"))
-    grouped = patterns.groupBy(*PAIR).agg(F.collect_list(F.struct("site", *[F.col(c).cast("bigint").alias(c) for c in COUNTS], "units")).alias("strata"))
+    with np.errstate(over="ignore"):
+        z = hashes.astype(np.uint64)[:, None] + np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return np.searchsorted(POISSON, (z >> np.uint64(11)) * 2.0**-53, side="right")
 
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def unit_bootstrap(rows: Rows, draws: int = 250, seed: int = 7) -> DataFrame:
+    """(pair, median, low, high): units are resampled with all their results, over rows in cells in which the downstream item is eligible.
+
+    A unit's weight in each draw comes from its hash, so its rows may be anywhere and nothing is gathered: tasks add weighted
+    counts for each pair and draw, Spark adds those. Weights are Poisson, which multinomial ones tend to; the number of units of a
+    site so varies from draw to draw. Draws with an empty branch are left out; a pair without any has no row.
+    """
+    items = len(rows.items)
+    counts = ["n_pos", "k_pos", "n_neg", "k_neg"]
+    frame = rows.frame.withColumn("hash", F.xxhash64("cluster", F.lit(seed)))
+
+    def add(up, x, allowed, shown, part, total):
+        hashes = part.column(part.schema.names.index("hash")).to_numpy()
+        at = np.flatnonzero(np.r_[True, np.diff(hashes) != 0])  # rows of a unit are next to each other, mostly
+        weights = unit_weights(hashes[at], draws).astype(float)
+        positive = x[:, 1:2]
+        for k, of in enumerate((allowed * positive, shown * positive, allowed * (1 - positive), shown * (1 - positive))):
+            total[:, k * draws : (k + 1) * draws] += np.add.reduceat(of, at).T @ weights
+
+    def quantiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for up, down, rows in zip(batch["upstream"], batch["downstream"], batch["strata"]):
-                random = np.random.default_rng(seed_of(seed, salt, up, down))
-                frame = pd.DataFrame(sorted(((r["site"], *[r[c] for c in COUNTS], r["units"]) for r in rows)), columns=["site", *COUNTS, "units"])
-                total = np.zeros((draws, 4))
-                for _, part in frame.groupby("site"):
-                    n = int(part["units"].sum())
-                    total += random.multinomial(n, part["units"] / n, draws) @ part[COUNTS].to_numpy()
-                n1, k1, n0, k0 = total.T
+            for up, model, sums in zip(batch["up"], batch["model"], batch["sums"]):
+                n1, k1, n0, k0 = np.asarray(sums).reshape(len(counts), draws)
                 got = _ratio(k1, n1, k0, n0)[(n1 > 0) & (n0 > 0)]
                 if len(got):
-                    out.append((up, down, float(np.median(got)), *map(float, np.percentile(got, [2.5, 97.5]))))
-            yield pd.DataFrame(out, columns=["upstream", "downstream", "median", "low", "high"])
+                    out.append((up, model, float(np.median(got)), *map(float, np.percentile(got, [2.5, 97.5]))))
+            yield pd.DataFrame(out, columns=["up", "model", "median", "low", "high"])
 
-    return grouped.mapInPandas(resample, "upstream string, downstream string, median double, low double, high double")
+    sums = summed(rows, items, len(counts) * draws, add, frame)
+    return rows.named(sums.mapInPandas(quantiles, "up int, model int, median double, low double, high double")).select(*PAIR, "median", "low", "high")
 
 
 def between_site_permutation(strata: DataFrame, draws: int = 250, seed: int = 7, salt: int = 53) -> DataFrame:

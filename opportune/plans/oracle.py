@@ -284,10 +284,16 @@ matrix AS (SELECT m.*, coalesce(pattern_log_ratio, 0) AS pattern_log_ratio, coal
 IMPLIED = """, rule(item, implied) AS (VALUES ('Brand#1', 'Brand#11'), ('Brand#2', 'Brand#12'), ('Brand#3', 'Brand#13')),
 both_obs AS (SELECT *, false AS is_implied FROM obs UNION ALL SELECT o.site, o.unit, o.episode, o.time, o.stratum, o.era, implied, o.outcome, true FROM obs o JOIN rule USING (item)
   WHERE NOT EXISTS (SELECT 1 FROM obs x WHERE x.episode = o.episode AND x.item = implied))"""
-PATTERNS = OBS + """, up AS (SELECT item AS upstream, (outcome = 'R')::INT AS exposed, site, stratum, count(*) AS n FROM obs WHERE outcome IN ('R', 'N') GROUP BY ALL),
-sh AS (SELECT u.item AS upstream, d.item AS downstream, (u.outcome = 'R')::INT AS exposed, u.site, u.stratum, count(*) AS events FROM obs u JOIN obs d ON d.episode = u.episode AND d.item <> u.item WHERE u.outcome IN ('R', 'N') GROUP BY ALL)
-SELECT up.upstream, i.downstream, up.exposed, up.site, up.stratum, up.n, coalesce(events, 0) AS events FROM up JOIN (SELECT DISTINCT downstream FROM sh) i ON i.downstream <> up.upstream
-LEFT JOIN sh ON sh.upstream = up.upstream AND sh.downstream = i.downstream AND sh.exposed = up.exposed AND sh.site = up.site AND sh.stratum = up.stratum"""
+PATTERNS = counts(", site, stratum") + """ SELECT upstream, downstream, (outcome = 'R')::INT AS exposed, site, stratum, support_n AS n, tested_n AS events FROM counts WHERE outcome IN ('R', 'N')"""
+SUMS = GRID + """, pairs AS (SELECT u.item AS upstream, g.item AS downstream, (u.outcome = 'R')::INT AS e, (o.episode IS NOT NULL)::INT AS y, c.c_acctbal::DOUBLE AS balance, r.o_totalprice::DOUBLE AS price,
+    (r.o_orderpriority = '1-URGENT')::INT AS urgent, u.site, u.stratum, year(u.time)::VARCHAR AS year
+  FROM obs u JOIN grid g ON g.episode = u.episode AND g.item <> u.item AND g.is_available AND NOT g.is_intrinsic LEFT JOIN obs o ON o.episode = g.episode AND o.item = g.item
+  JOIN orders r ON r.o_orderkey = u.episode JOIN customer c ON c.c_custkey = r.o_custkey WHERE u.outcome IN ('R', 'N')),
+numbers AS (SELECT upstream, downstream, unnest(['rows', 'exposed', 'balance', 'price', 'urgent']) AS "column", unnest([count(*), sum(e), sum(balance), sum(price), sum(urgent)]) AS over_rows,
+    unnest([sum(e), sum(e), sum(balance * e), sum(price * e), sum(urgent * e)]) AS over_exposed, unnest([sum(y), sum(e * y), sum(balance * y), sum(price * y), sum(urgent * y)]) AS over_shown FROM pairs GROUP BY upstream, downstream),
+levels AS (SELECT upstream, downstream, "column", count(*) AS over_rows, sum(e) AS over_exposed, sum(y) AS over_shown FROM (SELECT upstream, downstream, e, y, unnest(['site=' || site, 'stratum=' || stratum, 'year=' || year]) AS "column" FROM pairs) GROUP BY ALL),
+names AS (SELECT DISTINCT "column" FROM levels), every AS (SELECT upstream, downstream, "column" FROM (SELECT DISTINCT upstream, downstream FROM pairs) CROSS JOIN names),
+sums AS (FROM numbers UNION ALL SELECT upstream, downstream, "column", coalesce(over_rows, 0), coalesce(over_exposed, 0), coalesce(over_shown, 0) FROM every LEFT JOIN levels USING (upstream, downstream, "column"))"""
 
 
 def crc32(text: str) -> str:
@@ -330,6 +336,7 @@ sum(n_pos + n_neg)::BIGINT AS rows, round(1 - coalesce(sum(n_pos + n_neg) FILTER
     "observed_ratios": f"""WITH {counts()}, w AS (SELECT upstream, downstream, coalesce(sum(support_n) FILTER (outcome = 'R'), 0)::BIGINT AS n_pos, coalesce(sum(tested_n) FILTER (outcome = 'R'), 0)::BIGINT AS k_pos, coalesce(sum(support_n) FILTER (outcome = 'N'), 0)::BIGINT AS n_neg, coalesce(sum(tested_n) FILTER (outcome = 'N'), 0)::BIGINT AS k_neg FROM counts GROUP BY ALL)
 SELECT *, round(((k_pos + 0.5) / (n_pos + 1)) / ((k_neg + 0.5) / (n_neg + 1)), 6) AS ratio FROM w""",
     "adjusted_patterns": f"WITH {PATTERNS}",
+    "adjusted_sums": f"""WITH {SUMS} SELECT upstream, downstream, "column", round(over_rows::DOUBLE, 2) AS over_rows, round(over_exposed::DOUBLE, 2) AS over_exposed, round(over_shown::DOUBLE, 2) AS over_shown FROM sums""",
     "page_rank": page_rank_sql(),
     "covariate_star": f"WITH {STAR} SELECT * REPLACE (round(o_totalprice, 6) AS o_totalprice, round(balance, 6) AS balance, round(lines_quantity::DOUBLE, 6) AS lines_quantity) FROM star",
     "covariate_coverage": f"WITH {STAR}" + " UNION ALL ".join(f" SELECT '{n}' AS dimension, count(*) AS rows, count(*) FILTER ({n}_known) AS matched, count(*) FILTER (NOT {n}_known) AS unmatched FROM star" for n in ("customer", "lines", "events")),

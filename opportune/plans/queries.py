@@ -356,54 +356,59 @@ def betweenness(s, d):
     return r6(network.betweenness(edge_table(s, d).where("ratio > 1.1")))
 
 
-def exposure_counts(s, d):
-    """Counts of every item's results by cluster, exposure and covariates, and of those that show each other item."""
-    o = known(seen(s, d))
-    keys = ["cluster", "exposed", "site", "stratum"]
-    up = o.where(F.col("outcome").isin(POSITIVE, NEGATIVE)).select("episode", F.col("item").alias("upstream"), (F.col("outcome") == POSITIVE).cast("int").alias("exposed"), F.concat_ws("::", "site", "unit").alias("cluster"), "stratum", "site")
-    shown = up.join(o.select("episode", F.col("item").alias("downstream")), "episode").where("upstream <> downstream")
-    return up.groupBy("upstream", *keys).agg(F.count("*").alias("n")), shown.groupBy(*PAIR, *keys).agg(F.count("*").alias("events"))
+def model_rows(s, d, covariates: bool = True):
+    """Results in eligible cells as model rows: two numbers, a component and three categories for each episode, units as clusters."""
+    rows = seen(s, d)
+    eligible = opportunity.availability(rows, MIN_SUPPORT, intrinsic(s)).where("is_eligible")
+    cluster = adjusted.cluster_id(F.col("site"), [F.col("unit")], F.col("episode"))
+    if not covariates:
+        return adjusted.Rows(known(rows), eligible, None, cluster, POSITIVE, NEGATIVE)
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("episode"), "o_custkey", F.col("o_totalprice").cast("double").alias("price"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"), F.year("o_orderdate").alias("year"))
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").cast("double").alias("balance"), F.col("c_mktsegment").alias("stratum"), "c_nationkey")
+    places = table(s, d, "nation").join(F.broadcast(table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("site"))
+    of = o.join(c, "o_custkey").join(F.broadcast(places), "c_nationkey")  # nations are a fixed, small table
+    return adjusted.Rows(known(rows), eligible, of, cluster, POSITIVE, NEGATIVE, ["balance", "price"], ["urgent"], ["site", "stratum", "year"])
 
 
 @query
 def adjusted_odds(s, d):
-    return adjusted.adjusted_odds(*exposure_counts(s, d), ["site", "stratum"]).drop("penalty")
+    return adjusted.adjusted_odds(model_rows(s, d)).drop("penalty")
+
+
+@query
+def adjusted_sums(s, d):
+    """What the adjusted models start from: sums of every column over each pair's rows, exposed rows and rows that show the item."""
+    return adjusted.column_sums(model_rows(s, d)).select(*PAIR, "column", *[F.round(c, 2).alias(c) for c in ("over_rows", "over_exposed", "over_shown")])
 
 
 @query
 def adjusted_patterns(s, d):
-    """What the adjusted models are fitted on: every pair's counts by exposure and covariate pattern."""
-    return adjusted.by_pattern(*exposure_counts(s, d), ["site", "stratum"])
+    """Every pair's eligible rows by exposure and site and stratum, with those that show the downstream item."""
+    c = counts(s, d, ("site", "stratum")).where(F.col("outcome").isin(POSITIVE, NEGATIVE))
+    return c.select(*PAIR, (F.col("outcome") == POSITIVE).cast("int").alias("exposed"), "site", "stratum", F.col("support_n").alias("n"), F.col("tested_n").alias("events"))
 
 
 @query
 def adjustment_concordance(s, d):
     """How the adjusted odds bear on each retained edge's ratio."""
-    a = adjusted.adjusted_odds(*exposure_counts(s, d), ["site", "stratum"]).select(*PAIR, "odds_ratio", "ci_low", "ci_high")
+    a = adjusted.adjusted_odds(model_rows(s, d)).select(*PAIR, "odds_ratio", "ci_low", "ci_high")
     e = patterns.retained(edge_table(s, d)).select(*PAIR, "ratio")
     return e.join(a, PAIR, "left").groupBy(reports.concordance(*[F.col(c) for c in ("ratio", "odds_ratio", "ci_low", "ci_high")]).alias("concordance")).agg(F.count("*").alias("edges"))
 
 
 @query
 def adjusted_ridge_refits(s, d):
-    return adjusted.adjusted_odds(*exposure_counts(s, d), ["site", "stratum"], (1.0, 10.0, 100.0))
+    return adjusted.adjusted_odds(model_rows(s, d), (1.0, 10.0, 100.0))
 
 
 @query
 def adjusted_contributions(s, d):
-    return adjusted.contributions(*exposure_counts(s, d), ["site", "stratum"])
+    return adjusted.contributions(model_rows(s, d))
 
 
 @query
 def unit_bootstrap(s, d):
-    exposures, events = exposure_counts(s, d)
-    keys = ["site", "cluster"]
-    pos = lambda c: F.sum(F.when(F.col("exposed") == 1, F.col(c)).otherwise(0))
-    neg = lambda c: F.sum(F.when(F.col("exposed") == 0, F.col(c)).otherwise(0))
-    n = exposures.groupBy("upstream", *keys).agg(pos("n").alias("n_pos"), neg("n").alias("n_neg"))
-    k = events.groupBy(*PAIR, *keys).agg(pos("events").alias("k_pos"), neg("events").alias("k_neg"))
-    every = n.crossJoin(F.broadcast(events.select("downstream").distinct())).where("upstream <> downstream")  # units' items x items
-    return resampling.cluster_bootstrap(every.join(k, [*PAIR, *keys], "left").fillna(0, ["k_pos", "k_neg"]))
+    return resampling.unit_bootstrap(model_rows(s, d, covariates=False))
 
 
 @query

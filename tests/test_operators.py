@@ -13,17 +13,11 @@ from pyspark.sql import functions as F
 
 from opportune.functions import effects as E
 from opportune.functions import labels as L
-from opportune.operators import adjusted, audit, cleaning, descriptive, evaluation, features, history, models, network, patterns, prevalence, replication, reports, resampling
+from opportune.operators import audit, cleaning, descriptive, evaluation, features, history, models, network, patterns, prevalence, replication, reports, resampling
 from opportune.plans.queries import QUERIES, edge_table, validated_edges
 from opportune.sources import tables
 
 
-def counted(rows, covariates):
-    """Row-level results of one upstream item as the counts that the adjusted models take."""
-    keys = ["cluster", "exposed", *covariates]
-    return rows.groupBy("upstream", *keys).agg(F.count("*").alias("n")), rows.where("shown = 1").groupBy("upstream", "downstream", *keys).agg(F.count("*").alias("events"))
-
-
 def test_clean_text_strips_after_null_tokens(spark):
     df = spark.createDataFrame([("NULL", " a "), (" Null ", "b"), (None, "NULL")], "x string, y string")
     assert [tuple(r) for r in cleaning.clean_text(df, upper=["y"]).collect()] == [(None, "A"), ("Null", "B"), (None, None)]
@@ -136,15 +130,6 @@ def test_bh(spark):
     assert got == {"a": pytest.approx(0.03), "b": pytest.approx(0.04), "c": pytest.approx(0.04), "d": None}
 
 
-def test_newton_agrees_with_odds_of_a_table(spark):
-    x = np.array([[1, 1], [1, 1], [1, 0], [1, 0]], float)
-    beta, ok = adjusted.penalised_newton(x, np.array([30, 0, 10, 0.0]), np.array([40, 0, 40, 0.0]), np.zeros(2))
-    assert ok and math.exp(beta[1]) == pytest.approx((30 / 10) / (10 / 30), rel=1e-6)
-    rows = [("a", "b", f"c{k}", k % 2, int(k % 2 == 0 and k % 3 == 0 or k % 5 < 2), "x" if k % 7 else "y") for k in range(300)]
-    out = adjusted.adjusted_odds(*counted(spark.createDataFrame(rows, "upstream string, downstream string, cluster string, exposed int, shown int, g string"), ["g"]), ["g"]).first()
-    assert out.status == "ok" and out.ci_low < out.odds_ratio < out.ci_high and out.rows == 300
-
-
 def test_page_rank_sums_to_one(spark):
     e = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("c", "a", None)], "upstream string, downstream string, w double")
     r = {x.node: x["rank"] for x in network.page_rank(e, "w").collect()}
@@ -216,12 +201,6 @@ def test_tilt_falls_and_meets_the_data(spark):
     assert got["j", 0.0].status == "not_evaluable"
 
 
-def test_contributions_find_the_driver(spark):
-    rows = [("a", "b", f"c{k}", k % 2, int(k % 4 == 0 or k % 2 == 1), "xy"[k % 3 == 0]) for k in range(400)]
-    got = {r.domain: r.importance for r in adjusted.contributions(*counted(spark.createDataFrame(rows, "upstream string, downstream string, cluster string, exposed int, shown int, g string"), ["g"]), ["g"]).collect()}
-    assert got["exposed"] > 5 * got["g"] >= 0
-
-
 @pytest.mark.parametrize("name", ["permutation_test", "permutation_test_by_era", "bootstrap_intervals", "between_site_permutation", "unit_bootstrap", "adjusted_odds", "temporal_thirds", "year_site_counts"])
 def test_patterns_are_tested_for_every_pair(spark, name):
     data = "/root/testdata/sf0.01"
@@ -253,36 +232,6 @@ def test_labels_of_every_combination(spark):
         assert r.validation_status == want, r
 
 
-def plain_adjusted(rows, covariates, ridge):
-    """The adjusted model with its sandwich on all rows of one pair, one by one."""
-    frame = pd.DataFrame(rows, columns=["cluster", "exposed", "shown", *covariates])
-    x, _ = adjusted.design(frame, covariates)
-    y, n = frame["shown"].to_numpy(float), np.ones(len(frame))
-    penalty = np.r_[0, 0, np.full(x.shape[1] - 2, ridge)]
-    beta, _ = adjusted.penalised_newton(x, y, n, penalty)
-    p = 1 / (1 + np.exp(-(x @ beta)))
-    bread = np.linalg.pinv((x * (p * (1 - p))[:, None]).T @ x + np.diag(2 * penalty))
-    score = pd.DataFrame(x * (y - p)[:, None]).groupby(frame["cluster"].to_numpy()).sum().to_numpy()
-    g = len(score)
-    se = np.sqrt((bread @ (score.T @ score) @ bread)[1, 1] * g / (g - 1) * (len(y) - 1) / (len(y) - x.shape[1]))
-    return np.exp(beta[1]), np.exp(beta[1] - 1.96 * se), np.exp(beta[1] + 1.96 * se)
-
-
-def test_adjusted_odds_equal_the_model_on_all_rows(spark):
-    random = np.random.default_rng(3)
-    rows = [(f"c{random.integers(40)}", int(random.random() < 0.4), int(random.random() < 0.3), str(random.choice(list("xyz"))), str(random.choice(list("pq")))) for _ in range(500)]
-    df = spark.createDataFrame([("a", *r) for r in rows] + [("b", *r) for r in rows[:200]], "upstream string, cluster string, exposed int, shown int, g string, h string")
-    keys = ["cluster", "exposed", "g", "h"]
-    exposures = df.groupBy("upstream", *keys).agg(F.count("*").alias("n"))
-    events = df.where("shown = 1").groupBy("upstream", F.lit("z").alias("downstream"), *keys).agg(F.count("*").alias("events"))
-    got = {(r.upstream, r.penalty): r for r in adjusted.adjusted_odds(exposures, events, ["g", "h"], (1.0, 10.0)).collect()}
-    assert len(got) == 4
-    for up, part in (("a", rows), ("b", rows[:200])):
-        for ridge in (1.0, 10.0):
-            r = got[up, ridge]
-            assert (r.odds_ratio, r.ci_low, r.ci_high) == pytest.approx(plain_adjusted(part, ["g", "h"], ridge), rel=1e-5) and r.status == "ok"
-
-
 def test_betweenness_of_small_graphs(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "c"), ("d", "d"), ("a", "b")], "upstream string, downstream string")
     got = {r.node: round(r.betweenness * 12, 6) for r in network.betweenness(edges).collect()}
