@@ -4,20 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-def look_back(index: DataFrame, records: DataFrame, key: str, days: Column, value: str, windows: tuple[int, ...]) -> DataFrame:
-    """One row for each row of index (index_id): availability, counts, distinct values, least days and window flags.
+def look_back(index: DataFrame, records: DataFrame, key: str, index_day: str, record_day: str, value: str, windows: tuple[int, ...]) -> DataFrame:
+    """One row for each row of index (index_id): availability, counts, distinct values, least days and window flags of its key's records so far.
 
-    days: expression over the joined rows (index.*, records.*), the record's days before the index; negative is after it and never
-    counts, null neither; windows include both ends. The join is on the key; the window bounds are applied as it runs.
+    Records of the index row's day or before it count; windows include both ends. Null keys and days match nothing, null values
+    aren't counted as a value. Nothing is joined record by record: records are counted by key and day, a value where it is first
+    seen, and the counts run along the days, of which a key has no more than the calendar.
     """
-    joined = index.join(records, key).withColumn("days", days).where((F.col("days") >= 0))
-    aggs = [F.count("*").alias("records"), F.countDistinct(value).alias("distinct_values"), F.min("days").alias("least_days")]
-    aggs += [F.max(F.when(F.col("days") <= w, 1).otherwise(0)).alias(f"any_{w}d") for w in windows]
-    seen = joined.groupBy("index_id").agg(*aggs)
-    out = index.select("index_id").join(seen, "index_id", "left")
-    return out.withColumn("available", F.col("records").isNotNull().cast("int")).fillna(0, ["records", "distinct_values", *[f"any_{w}d" for w in windows]])
+    k, day = "__key", "__day"
+    past = records.where(F.col(key).isNotNull() & F.col(record_day).isNotNull()).select(F.col(key).alias(k), F.to_date(record_day).alias(day), F.col(value).alias("__value"))
+    counted = past.groupBy(k, day).agg(F.count("*").alias("n"))
+    fresh = past.where("__value is not null").groupBy(k, "__value").agg(F.min(day).alias(day)).groupBy(k, day).agg(F.count("*").alias("fresh"))
+    rows = index.select("index_id", F.col(key).alias(k), F.to_date(index_day).alias(day))
+    asked = rows.select(k, day).distinct().where(f"{k} is not null and {day} is not null")
+    zero = lambda *cs: {c: F.lit(0).cast("bigint") for c in cs}
+    days = counted.withColumns(zero("fresh", "asked")).unionByName(fresh.withColumns(zero("n", "asked"))).unionByName(asked.withColumns(zero("n", "fresh") | {"asked": F.lit(1).cast("bigint")}))
+    days = days.groupBy(k, day).agg(F.sum("n").alias("n"), F.sum("fresh").alias("fresh"), F.sum("asked").alias("asked"))
+    upto = Window.partitionBy(k).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    running = days.select(k, day, "asked", F.sum("n").over(upto).alias("records"), F.sum("fresh").over(upto).alias("distinct_values"), F.max(F.when(F.col("n") > 0, F.col(day))).over(upto).alias("last"))
+    running = running.where("asked > 0 and records > 0").withColumn("least_days", F.datediff(day, "last")).drop("asked", "last")
+    out = rows.join(running, [k, day], "left").drop(k, day)
+    flags = {f"any_{w}d": F.coalesce((F.col("least_days") <= w).cast("int"), F.lit(0)) for w in windows}
+    out = out.select("index_id", "records", "distinct_values", "least_days", *[v.alias(c) for c, v in flags.items()])
+    return out.withColumn("available", F.col("records").isNotNull().cast("int")).fillna(0, ["records", "distinct_values"])
+
+
+def within(index: DataFrame, records: DataFrame, key: str, at: str, of: str, seconds: int) -> DataFrame:
+    """Rows of index with the same key's records of the `seconds` before them, both ends included: index's columns, then records' but the key.
+
+    A range join by time buckets as wide as the window: an index row looks into its own bucket and the one before, so what meets is
+    at most about twice what matches, however long a key's history is. Null keys and times match nothing.
+    """
+    bucket = lambda c: F.floor(F.col(c).cast("timestamp").cast("double") / seconds)
+    left = index.where(F.col(at).isNotNull()).withColumn("__bucket", F.explode(F.array(bucket(at) - 1, bucket(at))))
+    right = records.where(F.col(of).isNotNull()).withColumn("__bucket", bucket(of))
+    moment = lambda c: F.col(c).cast("timestamp")
+    met = left.join(right, [key, "__bucket"]).where((moment(of) <= moment(at)) & (moment(of) >= moment(at) - F.expr(f"interval {seconds} seconds")))
+    return met.select(*index.columns, *[c for c in records.columns if c != key])
 
 
 def active(start: Column, end: Column, lenient: bool = False) -> Column:

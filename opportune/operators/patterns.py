@@ -17,23 +17,27 @@ PAIR = ["upstream", "downstream"]
 MIN_TOTAL, MIN_BRANCH, MIN_EVENTS = 25, 5, 5
 
 
-def branch_counts(observations: DataFrame, all_seen: DataFrame, min_support: int, intrinsic: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def branch_counts(observations: DataFrame, all_seen: DataFrame, min_support: int, intrinsic: DataFrame | None = None, by: tuple[str, ...] = (), mutual: bool = False) -> DataFrame:
     """(upstream, downstream, outcome, *by, support_n, tested_n).
 
     observations: one outcome for each episode and item; all_seen: every observation, for availability. support_n counts
-    episodes with the upstream outcome in whose cell the downstream item is eligible, tested_n those that show it as well.
+    episodes with the upstream outcome in whose cell the downstream item is eligible, tested_n those that show it as well. mutual:
+    only cells in which the upstream item is eligible as well.
     """
     eligible = availability(all_seen, min_support, intrinsic).where("is_eligible").select(*CELL, F.col("item").alias("downstream"))
     year = [F.year("time").alias("year")] if "year" in by else []
     up = observations.select("episode", *CELL, *year, F.col("item").alias("upstream"), "outcome")
     groups = list(dict.fromkeys([*CELL, *by]))
+    if mutual:
+        eligible = eligible.join(eligible.select(*CELL, F.col("downstream").alias("upstream")), CELL)  # cells x pairs of items
+    same = [*CELL, "upstream"] if mutual else CELL
     counted = up.groupBy(*groups, "upstream", "outcome").agg(F.count("*").alias("n"))
-    support = counted.join(eligible, CELL).where("upstream <> downstream").groupBy(*PAIR, "outcome", *by).agg(F.sum("n").alias("support_n"))
+    support = counted.join(eligible, same).where("upstream <> downstream").groupBy(*PAIR, "outcome", *by).agg(F.sum("n").alias("support_n"))
     # an episode's items (no more than there are items) are gathered once and paired in place: one shuffle instead of a self-join's two
     together = up.groupBy("episode", *groups).agg(F.collect_list(F.struct("upstream", "outcome")).alias("items"))
     paired = together.select(*groups, "items", F.inline("items")).select(*groups, "upstream", "outcome", F.explode("items.upstream").alias("downstream"))
     seen = paired.where("upstream <> downstream").groupBy(*groups, *PAIR, "outcome").agg(F.count("*").alias("k"))
-    tested = seen.join(eligible, [*CELL, "downstream"]).groupBy(*PAIR, "outcome", *by).agg(F.sum("k").alias("tested_n"))
+    tested = seen.join(eligible, [*same, "downstream"]).groupBy(*PAIR, "outcome", *by).agg(F.sum("k").alias("tested_n"))
     return support.join(tested, [*PAIR, "outcome", *by], "left").fillna(0, ["tested_n"])
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import effects as E
+from ..sources.tables import small, written
+from .opportunity import CELL
 from .patterns import PAIR
 
 
@@ -30,7 +32,7 @@ def pooled_over_sites(site_edges: DataFrame) -> DataFrame:
     second = rows.join(first, PAIR).withColumn("w2", 1 / (F.col("v") + F.col("tau2")))
     keys = [*PAIR, "sites", "sites_above", "q", "tau2", "i2"]
     out = second.groupBy(*keys).agg((F.sum(F.col("w2") * F.col("y")) / F.sum("w2")).alias("pooled_log_ratio"), F.sqrt(1 / F.sum("w2")).alias("pooled_se"))
-    return out.withColumn("z", F.col("pooled_log_ratio") / F.col("pooled_se"))
+    return out.withColumns({"z": F.col("pooled_log_ratio") / F.col("pooled_se"), "q_p_value": E.chi_square_tail(F.col("q"), F.col("sites") - 1)})
 
 
 def adjusted_p(df: DataFrame, p: str, key: list[str], out: str) -> DataFrame:
@@ -50,32 +52,44 @@ def two_sided_p(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
-def temporal_thirds(observations: DataFrame, pairs: DataFrame, positive: str, negative: str, least: int = 15) -> DataFrame:
-    """(pair, third, n_pos, k_pos, n_neg, k_neg, ratio) in the first and last third of the upstream item's episodes by time.
+def temporal_thirds(observations: DataFrame, eligible: DataFrame, pairs: DataFrame, positive: str, negative: str, least: int = 15) -> DataFrame:
+    """(pair, third, n_pos, k_pos, n_neg, k_neg, ratio) in the first and last third, by time and episode, of a pair's rows.
 
-    An item needs `least` results. Which third an episode falls in depends on the upstream item alone, and on its day: results are
-    counted by item and day, the counts are summed over days (as many rows as the calendar has), and only the episodes of the
-    days that a border falls in are ordered. A null time comes first.
+    A pair's rows are the upstream item's dated results in cells in which the downstream item is eligible; eligible: (CELL, item). A
+    pair needs `least` rows and two times. Rows aren't ordered to find the thirds: results are counted by item, cell and day, and
+    summed over the cells of a pair, so that a pair has as many counts as the calendar has days. Only the rows of the two days that
+    a border falls in are ordered.
     """
-    up = observations.where(F.col("outcome").isin(positive, negative)).select("episode", "time", (F.col("outcome") == positive).alias("is_pos"), F.col("item").alias("upstream"))
-    up = up.withColumn("day", F.coalesce(F.to_date("time"), F.lit("0001-01-01").cast("date")))
-    order = Window.partitionBy("upstream").orderBy("day")
-    days = up.groupBy("upstream", "day").agg(F.count("*").alias("n"))
-    days = days.withColumns({"upto": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(Window.partitionBy("upstream"))}).where(F.col("total") >= least)
-    third = F.floor(F.col("total") / 3)
-    days = days.select("upstream", "day", (F.col("upto") - F.col("n")).alias("before"), "upto", third.alias("first"), (F.col("total") - third).alias("last"))
-    whole = F.when(F.expr("upto <= first"), "early").when(F.expr("before >= last"), "late").when(F.expr("before >= first and upto <= last"), "middle")
-    marked = up.join(days.withColumn("third", whole), ["upstream", "day"])
-    place = F.col("before") + F.row_number().over(Window.partitionBy("upstream", "day").orderBy("time", "episode"))
-    border = marked.where("third is null").withColumn("r", place).withColumn("third", F.when(F.expr("r <= first"), "early").when(F.expr("r > last"), "late"))
-    columns = ["upstream", "episode", "is_pos", "third"]
-    marked = marked.where("third <> 'middle'").select(columns).unionByName(border.where("third is not null").select(columns))
+    day = F.to_date("time").alias("day")
+    # an episode's items are gathered once and paired in place
+    together = observations.where("time is not null").groupBy("episode", "time", *CELL).agg(F.collect_list(F.struct("item", "outcome")).alias("results"))
+    together = written(together, "episodes")
+    up = together.select("episode", "time", day, *CELL, F.col("results.item").alias("items"), F.inline("results")).where(F.col("outcome").isin(positive, negative))
+    up = up.select("episode", "time", "day", *CELL, "items", F.col("item").alias("upstream"), (F.col("outcome") == positive).alias("is_pos"))
+    down = eligible.select(*CELL, F.col("item").alias("downstream"))
     count = lambda c: F.count(F.when(c, 1))
-    own = marked.groupBy("upstream", "third").agg(count(F.col("is_pos")).alias("n_pos"), count(~F.col("is_pos")).alias("n_neg"))
-    down = observations.select("episode", F.col("item").alias("downstream"))
-    shown = marked.join(down, "episode").where("upstream <> downstream").groupBy(*PAIR, "third").agg(count(F.col("is_pos")).alias("k_pos"), count(~F.col("is_pos")).alias("k_neg"))
-    out = pairs.select(*PAIR).distinct().join(own, "upstream").join(shown, [*PAIR, "third"], "left").fillna(0, ["k_pos", "k_neg"])
-    return out.select(*PAIR, "third", "n_pos", "k_pos", "n_neg", "k_neg", E.rate_ratio(*[F.col(c) for c in ("k_pos", "n_pos", "k_neg", "n_neg")]).alias("ratio"))
+    own = up.groupBy(*CELL, "upstream", "day").agg(count(F.col("is_pos")).alias("n_pos"), count(~F.col("is_pos")).alias("n_neg"), F.min("time").alias("first"), F.max("time").alias("last"))
+    own = own.join(down, CELL).where("upstream <> downstream").join(pairs.select(*PAIR).distinct(), PAIR)
+    own = own.groupBy(*PAIR, "day").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"), F.min("first").alias("first"), F.max("last").alias("last"))
+    shown = up.select(*CELL, "upstream", "day", "is_pos", F.explode("items").alias("downstream")).where("upstream <> downstream")
+    shown = shown.groupBy(*CELL, *PAIR, "day").agg(count(F.col("is_pos")).alias("k_pos"), count(~F.col("is_pos")).alias("k_neg"))
+    shown = shown.join(down, [*CELL, "downstream"]).groupBy(*PAIR, "day").agg(F.sum("k_pos").alias("k_pos"), F.sum("k_neg").alias("k_neg"))
+    days = own.join(shown, [*PAIR, "day"], "left").fillna(0, ["k_pos", "k_neg"])
+    every = Window.partitionBy(*PAIR)
+    upto = F.sum(F.col("n_pos") + F.col("n_neg")).over(every.orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    days = days.withColumns({"upto": upto, "total": F.sum(F.col("n_pos") + F.col("n_neg")).over(every), "moves": F.min("first").over(every) != F.max("last").over(every)})
+    days = days.where((F.col("total") >= least) & F.col("moves")).withColumns({"before": F.col("upto") - F.col("n_pos") - F.col("n_neg"), "third": F.expr("total div 3")})
+    days = written(days.withColumn("late", F.expr("total - third")), "days")
+    columns = ["n_pos", "k_pos", "n_neg", "k_neg"]
+    whole = days.select(*PAIR, F.when(F.expr("upto <= third"), "early").when(F.expr("before >= late"), "late").alias("part"), *columns).where("part is not null")
+    border = days.where("(before < third and upto > third) or (before < late and upto > late)").select(*PAIR, "day", "before", F.col("third").alias("early"), "late")
+    rows = up.join(small(border), ["upstream", "day"])
+    rows = rows.join(down, [*CELL, "downstream"]).withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy(*PAIR, "day").orderBy("time", "episode")))
+    rows = rows.withColumns({"part": F.when(F.expr("r <= early"), "early").when(F.expr("r > late"), "late"), "shown": F.array_contains("items", F.col("downstream"))}).where("part is not null")
+    one = lambda c: c.cast("bigint")
+    split = rows.select(*PAIR, "part", one(F.col("is_pos")).alias("n_pos"), one(F.col("is_pos") & F.col("shown")).alias("k_pos"), one(~F.col("is_pos")).alias("n_neg"), one(~F.col("is_pos") & F.col("shown")).alias("k_neg"))
+    out = whole.unionByName(split).groupBy(*PAIR, F.col("part").alias("third")).agg(*[F.sum(c).alias(c) for c in columns])
+    return out.withColumn("ratio", E.rate_ratio(*[F.col(c) for c in ("k_pos", "n_pos", "k_neg", "n_neg")]))
 
 
 def yearly_course(year_edges: DataFrame, least: int = 10) -> DataFrame:
@@ -92,11 +106,18 @@ def yearly_course(year_edges: DataFrame, least: int = 10) -> DataFrame:
     )
 
 
-def heterogeneity(year_edges: DataFrame) -> DataFrame:
-    """Cochran's Q of yearly log ratios around their weighted mean."""
-    rows = year_edges.select(*PAIR, F.log("ratio").alias("y"), (1 / F.col("log_variance")).alias("w"))
+def heterogeneity(year_edges: DataFrame, least: int = 10, years: int = 5, fdr: float = 0.05) -> DataFrame:
+    """(pair, years, q, p_value, q_value, varies): do a pair's yearly log ratios differ by more than their variances allow?
+
+    Cochran's Q around the weighted mean over evaluable years (`least` rows of either branch and events), two at least, with its
+    chi-square tail. False discovery rates go over pairs with `years` evaluable years; others have no q_value and don't vary.
+    """
+    ok = (F.col("n_pos") >= least) & (F.col("n_neg") >= least) & (F.col("k_pos") + F.col("k_neg") >= least)
+    rows = year_edges.where(ok).select(*PAIR, F.log("ratio").alias("y"), (1 / F.col("log_variance")).alias("w"))
     out = rows.groupBy(*PAIR).agg(F.count("*").alias("years"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("y")).alias("swy"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("swy2"))
-    return out.where("years >= 2").select(*PAIR, "years", F.greatest(F.lit(0.0), F.col("swy2") - F.col("swy") * F.col("swy") / F.col("sw")).alias("q"))
+    out = out.where("years >= 2").select(*PAIR, "years", F.greatest(F.lit(0.0), F.col("swy2") - F.col("swy") * F.col("swy") / F.col("sw")).alias("q"))
+    out = out.withColumn("p_value", E.chi_square_tail(F.col("q"), F.col("years") - 1)).withColumn("followed", F.when(F.col("years") >= years, F.col("p_value")))
+    return adjusted_p(out, "followed", PAIR, "q_value").drop("followed").withColumn("varies", F.coalesce(F.col("q_value") < fdr, F.lit(False)))
 
 
 def label(df: DataFrame, q: str = "q_value", alpha: float = 0.05, least_stability: float = 0.8) -> DataFrame:

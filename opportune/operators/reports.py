@@ -15,11 +15,22 @@ from .patterns import PAIR, rates_with_reverse
 STATUS_ORDER = ("robust", "supported", "mixed", "insufficient")
 
 
-def canonical(edges: DataFrame, support: Column) -> DataFrame:
-    """One edge for each two items: that of the larger support, ties to the smaller (upstream, downstream)."""
-    two = [F.least(*PAIR), F.greatest(*PAIR)]
-    best = Window.partitionBy(*two).orderBy(support.desc(), *PAIR)
-    return edges.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+def canonical(edges: DataFrame, support: Column, aliases: DataFrame) -> DataFrame:
+    """Edges under their items' canonical names, one for each ordered pair: that of the largest support, ties to the smaller raw pair.
+
+    aliases: (item, canonical), one row for each item; items without one keep their names. `collapsed` is how many other edges had
+    the same pair. A pair's two directions are two edges.
+    """
+    from .cleaning import assert_unique
+
+    named = assert_unique(aliases.select("item", "canonical"), ["item"])
+    raw = {c: f"__{c}" for c in PAIR}
+    out = edges.withColumnsRenamed(raw)
+    for c in PAIR:
+        out = out.join(named.select(F.col("item").alias(raw[c]), F.col("canonical").alias(c)), raw[c], "left").withColumn(c, F.coalesce(c, raw[c]))
+    every = Window.partitionBy(*PAIR)
+    out = out.withColumns({"__n": F.row_number().over(every.orderBy(support.desc_nulls_last(), *raw.values())), "collapsed": F.count("*").over(every) - 1})
+    return out.where("__n = 1").drop("__n", *raw.values())
 
 
 def direction_conflicts(edges: DataFrame, stored: str) -> DataFrame:
@@ -92,6 +103,27 @@ def dependence(counts: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(pair, PAIR).withColumn("grade", grade)
 
 
+def mutual_dependence(counts: DataFrame, positive: str, negative: str) -> DataFrame:
+    """(pair, ratio, reverse_ratio, asymmetry, rate, reverse_rate, rate_asymmetry, support_ratio, overlap) within each two items' common cells.
+
+    counts: branch counts of cells in which both items are eligible. Both directions so draw on the same cells: support is the
+    episodes that show the upstream item there, and the episodes that show both are what the two have in common, so the overlap of
+    the two sets of episodes comes from counts.
+    """
+    pick = lambda o, c: F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col(c))), F.lit(0))
+    one = counts.groupBy(*PAIR).agg(
+        F.sum("support_n").alias("n"), F.sum("tested_n").alias("k"), pick(positive, "tested_n").alias("k1"), pick(positive, "support_n").alias("n1"), pick(negative, "tested_n").alias("k0"), pick(negative, "support_n").alias("n0")
+    )
+    ratio = F.when((F.col("n1") > 0) & (F.col("n0") > 0), E.rate_ratio(*[F.col(c) for c in ("k1", "n1", "k0", "n0")]))
+    one = one.select(*PAIR, "n", "k", ratio.alias("ratio"), E.smoothed_rate(F.col("k"), F.col("n")).alias("rate"))
+    back = one.select(F.col("downstream").alias("upstream"), F.col("upstream").alias("downstream"), F.col("n").alias("nb"), F.col("ratio").alias("reverse_ratio"), F.col("rate").alias("reverse_rate"))
+    out = one.join(back, PAIR, "left")
+    return out.select(
+        *PAIR, "ratio", "reverse_ratio", (F.log("ratio") - F.log("reverse_ratio")).alias("asymmetry"), "rate", "reverse_rate", F.abs(F.log("rate") - F.log("reverse_rate")).alias("rate_asymmetry"),
+        (F.least("n", "nb") / F.greatest("n", "nb")).alias("support_ratio"), (F.col("k") / (F.col("n") + F.col("nb") - F.col("k"))).alias("overlap"),
+    )
+
+
 def label_sensitivity(rows: DataFrame, i2_limits: Sequence[float], z_limits: Sequence[float]) -> DataFrame:
     """(i2_limit, z_limit, replicated): pooled edges that count as replicated under each two limits, in one pass."""
     cells = [(i, z) for i in i2_limits for z in z_limits]

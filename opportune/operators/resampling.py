@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.effects import SMOOTHING
 from .adjusted import Rows, summed
-from .patterns import PAIR
+from .patterns import MIN_BRANCH, MIN_TOTAL, PAIR
 
 COUNTS = ["n_pos", "k_pos", "n_neg", "k_neg"]
 
@@ -151,18 +151,31 @@ def unit_bootstrap(rows: Rows, draws: int = 250, seed: int = 7) -> DataFrame:
     return rows.named(sums.mapInPandas(quantiles, "up int, model int, median double, low double, high double")).select(*PAIR, "median", "low", "high")
 
 
-def between_site_permutation(strata: DataFrame, draws: int = 250, seed: int = 7, salt: int = 53) -> DataFrame:
-    """(pair, pooled_log_ratio, p_two_sided): label and outcome move jointly across sites of fixed sizes (sites in name order).
+def pooled_draws(counts: np.ndarray) -> np.ndarray:
+    """Pooled log ratio (DerSimonian-Laird) of each draw over the sites that pass its gates, not a number with fewer than two; counts: draws x sites x 4."""
+    n1, k1, n0, k0 = np.moveaxis(counts.astype(float), -1, 0)
+    ok = (n1 + n0 >= MIN_TOTAL) & (n1 >= MIN_BRANCH) & (n0 >= MIN_BRANCH)
+    y = np.log(_ratio(k1, n1, k0, n0))
+    v = 1 / (k1 + SMOOTHING) - 1 / (n1 + 2 * SMOOTHING) + 1 / (k0 + SMOOTHING) - 1 / (n0 + 2 * SMOOTHING)
+    ok &= v > 0
+    w = np.where(ok, 1 / np.where(ok, v, 1), 0.0)
+    sites, total = ok.sum(-1), w.sum(-1)
+    with np.errstate(all="ignore"):
+        mean = (w * y).sum(-1) / total
+        q = (w * (y - mean[..., None]) ** 2).sum(-1)
+        c = total - (w * w).sum(-1) / total
+        tau2 = np.where(c > 0, np.maximum(0, (q - (sites - 1)) / np.where(c > 0, c, 1)), 0)
+        w = np.where(ok, 1 / (v + tau2[..., None]), 0.0)
+        return np.where(sites >= 2, (w * y).sum(-1) / w.sum(-1), np.nan)
 
-    The statistic is the fixed-effect mean of log ratios; cells of a site are a multivariate hypergeometric draw from all cells.
-    """
 
-    def pooled(c):
-        n1, k1, n0, k0 = np.moveaxis(c, -1, 0)
-        y = np.log(_ratio(k1, n1, k0, n0))
-        w = 1 / (1 / (k1 + SMOOTHING) - 1 / (n1 + 2 * SMOOTHING) + 1 / (k0 + SMOOTHING) - 1 / (n0 + 2 * SMOOTHING))
-        return (w * y).sum(-1) / w.sum(-1)
+def between_site_permutation(strata: DataFrame, draws: int = 250, seed: int = 7, salt: int = 53) -> DataFrame:
+    """(pair, pooled_log_ratio, p_one_sided, p_two_sided): label and outcome move jointly across sites of fixed sizes (sites in name order).
 
+    The statistic is the random-effects mean of log ratios; each draw applies the gates of support to its own sites and has its
+    own variance between them. Cells of a site are a multivariate hypergeometric draw from all cells. A pair with fewer than two
+    sites that pass has nulls; draws with fewer than two don't count.
+    """
     grouped = strata.groupBy(*PAIR).agg(F.collect_list(F.struct("site", *[F.col(c).cast("bigint").alias(c) for c in COUNTS])).alias("strata"))
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,21 +183,33 @@ def between_site_permutation(strata: DataFrame, draws: int = 250, seed: int = 7,
             out = []
             for up, down, rows in zip(batch["upstream"], batch["downstream"], batch["strata"]):
                 counts = np.array([r[1:] for r in sorted((r["site"], *[r[c] for c in COUNTS]) for r in rows)], np.int64)
-                random = np.random.default_rng(seed_of(seed, salt, up, down))
-                n1, k1, n0, k0 = counts.T
-                left = np.tile(np.array([k1.sum(), n1.sum() - k1.sum(), k0.sum(), n0.sum() - k0.sum()]), (draws, 1))
-                drawn = np.zeros((draws, len(counts), 4))
-                for s, size in enumerate(n1 + n0):
-                    want, rest = np.full(draws, size), left.sum(1)
-                    cell = np.zeros((draws, 4), np.int64)
-                    for c in range(4):  # a multivariate hypergeometric draw, cell by cell, for all draws at once
-                        rest = rest - left[:, c]
-                        cell[:, c] = random.hypergeometric(left[:, c], rest, want)
-                        want = want - cell[:, c]
-                    left -= cell
-                    drawn[:, s] = np.stack([cell[:, 0] + cell[:, 1], cell[:, 0], cell[:, 2] + cell[:, 3], cell[:, 2]], 1)
-                now, null = float(pooled(counts.astype(float))), pooled(drawn)
-                out.append((up, down, now, float((np.abs(null) >= abs(now) - 1e-12).sum() + 1) / (draws + 1)))
-            yield pd.DataFrame(out, columns=["upstream", "downstream", "pooled_log_ratio", "p_two_sided"])
-
-    return grouped.mapInPandas(test, "upstream string, downstream string, pooled_log_ratio double, p_two_sided double")
+                now = float(pooled_draws(counts[None])[0])
+                if np.isnan(now):
+                    out.append((up, down, None, None, None))
+                    continue
+                null = pooled_draws(shuffled_sites(counts, draws, seed_of(seed, salt, up, down)))
+                null = null[~np.isnan(null)]
+                one = (null >= now - 1e-12).sum() if now >= 0 else (null <= now + 1e-12).sum()
+                both = (np.abs(null) >= abs(now) - 1e-12).sum()
+                out.append((up, down, now, (one + 1) / (len(null) + 1), (both + 1) / (len(null) + 1)))
+            yield pd.DataFrame(out, columns=["upstream", "downstream", "pooled_log_ratio", "p_one_sided", "p_two_sided"])
+
+    return grouped.mapInPandas(test, "upstream string, downstream string, pooled_log_ratio double, p_one_sided double, p_two_sided double")
+
+
+def shuffled_sites(counts: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """draws x sites x 4: counts after rows were dealt out to the sites again, each with as many as before."""
+    random = np.random.default_rng(seed)
+    n1, k1, n0, k0 = counts.T
+    left = np.tile(np.array([k1.sum(), n1.sum() - k1.sum(), k0.sum(), n0.sum() - k0.sum()]), (draws, 1))
+    drawn = np.zeros((draws, len(counts), 4))
+    for s, size in enumerate(n1 + n0):
+        want, rest = np.full(draws, size), left.sum(1)
+        cell = np.zeros((draws, 4), np.int64)
+        for c in range(4):  # a multivariate hypergeometric draw, cell by cell, for all draws at once
+            rest = rest - left[:, c]
+            cell[:, c] = random.hypergeometric(left[:, c], rest, want)
+            want = want - cell[:, c]
+        left -= cell
+        drawn[:, s] = np.stack([cell[:, 0] + cell[:, 1], cell[:, 0], cell[:, 2] + cell[:, 3], cell[:, 2]], 1)
+    return drawn

@@ -62,10 +62,20 @@ rk AS (SELECT *, row_number() OVER (ORDER BY p_value, upstream, downstream) AS r
 fdr AS (SELECT *, least(1, min(p_value * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_value FROM rk)"""
 STRATA = counts(", site") + """, st AS (SELECT upstream, downstream, site, coalesce(sum(support_n) FILTER (outcome = 'R'), 0) AS n_pos, coalesce(sum(support_n) FILTER (outcome = 'N'), 0) AS n_neg
   FROM counts GROUP BY ALL)"""
-THIRDS = """, pos AS (SELECT item AS upstream, episode, outcome = 'R' AS pos, row_number() OVER (PARTITION BY item ORDER BY time, episode) AS r, count(*) OVER (PARTITION BY item) AS n FROM obs WHERE outcome IN ('R', 'N')),
-part AS (SELECT *, CASE WHEN r <= n // 3 THEN 'early' WHEN r > n - n // 3 THEN 'late' END AS third FROM pos WHERE n >= 15),
-thirds AS (SELECT e.upstream, e.downstream, third, count(*) FILTER (pos) AS n_pos, count(d.episode) FILTER (pos) AS k_pos, count(*) FILTER (NOT pos) AS n_neg, count(d.episode) FILTER (NOT pos) AS k_neg
-  FROM (SELECT DISTINCT upstream, downstream FROM edges) e JOIN part p ON p.upstream = e.upstream LEFT JOIN obs d ON d.episode = p.episode AND d.item = e.downstream WHERE third IS NOT NULL GROUP BY ALL)"""
+THIRDS = """, prow AS (SELECT u.item AS upstream, g.item AS downstream, u.outcome = 'R' AS pos, o.episode IS NOT NULL AS shown, row_number() OVER (PARTITION BY u.item, g.item ORDER BY u.time, u.episode) AS r,
+    count(*) OVER (PARTITION BY u.item, g.item) AS n, min(u.time) OVER (PARTITION BY u.item, g.item) < max(u.time) OVER (PARTITION BY u.item, g.item) AS moves
+  FROM obs u JOIN grid g ON g.episode = u.episode AND g.item <> u.item AND g.is_available AND NOT g.is_intrinsic LEFT JOIN obs o ON o.episode = g.episode AND o.item = g.item
+  WHERE u.outcome IN ('R', 'N') AND u.time IS NOT NULL),
+part AS (SELECT *, CASE WHEN r <= n // 3 THEN 'early' WHEN r > n - n // 3 THEN 'late' END AS third FROM prow WHERE n >= 15 AND moves),
+thirds AS (SELECT upstream, downstream, third, count(*) FILTER (pos) AS n_pos, count(*) FILTER (pos AND shown) AS k_pos, count(*) FILTER (NOT pos) AS n_neg, count(*) FILTER (NOT pos AND shown) AS k_neg
+  FROM part JOIN (SELECT DISTINCT upstream, downstream FROM edges) USING (upstream, downstream) WHERE third IS NOT NULL GROUP BY ALL)"""
+
+
+def chi_square_tail(q: str, degrees: str) -> str:
+    """Probability of a chi-square value of at least q, from the series of the lower incomplete gamma function."""
+    return f"""CASE WHEN {q} = 0 THEN 1 ELSE greatest(0, 1 - list_sum(list_transform(range(0, 300), lambda n: exp(-{q} / 2 + ({degrees} / 2 + n) * ln({q} / 2) - lgamma({degrees} / 2 + n + 1))))) END"""
+
+
 LABELS = POOL + """, total AS (SELECT upstream, downstream, sum(n_pos) AS n1, sum(k_pos) AS k1, sum(n_neg) AS n0, sum(k_neg) AS k0 FROM wide GROUP BY ALL),
 kept AS (SELECT upstream, downstream, ((k1 + 0.5) / (n1 + 1)) / ((k0 + 0.5) / (n0 + 1)) AS ratio, 1 / (k1 + 0.5) - 1 / (n1 + 1) + 1 / (k0 + 0.5) - 1 / (n0 + 1) AS lv FROM total WHERE n1 + n0 >= 25 AND n1 >= 5 AND n0 >= 5 AND k1 + k0 >= 5)""" + THIRDS + """,
 gated AS (SELECT upstream, downstream, third, sign(ln(((k_pos + 0.5) / (n_pos + 1)) / ((k_neg + 0.5) / (n_neg + 1)))) AS side FROM thirds WHERE n_pos + n_neg >= 25 AND n_pos >= 5 AND n_neg >= 5),
@@ -154,7 +164,7 @@ sum(n_pos + n_neg)::BIGINT AS support, round(sum(n_pos + n_neg) / sum(sum(n_pos
     "unsupported_pairs": f"WITH {edges()} SELECT DISTINCT upstream, downstream FROM counts EXCEPT SELECT upstream, downstream FROM edges WHERE ratio > 1.1",
     "symmetric_closure": f"WITH {edges()} SELECT upstream, downstream FROM edges WHERE ratio > 1.15 UNION SELECT downstream, upstream FROM edges WHERE ratio > 1.15",
     "edge_key_comparison": f"WITH {edges()} SELECT count(*) FILTER (ratio > 1 AND NOT k_pos > k_neg) AS only_left, count(*) FILTER (NOT ratio > 1 AND k_pos > k_neg) AS only_right, count(*) FILTER (ratio > 1 AND k_pos > k_neg) AS shared FROM edges",
-    "pooled_edges": f"WITH {POOL} SELECT upstream, downstream, sites, sites_above, round(q, 6) AS q, round(tau2, 6) AS tau2, round(i2, 6) AS i2, round(pooled_log_ratio, 6) AS pooled_log_ratio, round(pooled_se, 6) AS pooled_se, round(z, 6) AS z FROM tail",
+    "pooled_edges": f"WITH {POOL} SELECT upstream, downstream, sites, sites_above, round(q, 6) AS q, round(tau2, 6) AS tau2, round(i2, 6) AS i2, round(pooled_log_ratio, 6) AS pooled_log_ratio, round(pooled_se, 6) AS pooled_se, round(z, 6) AS z, round({chi_square_tail("q", "(sites - 1)")}, 6) AS q_p_value FROM tail",
     "pooled_edges_fdr": f"WITH {POOL} SELECT upstream, downstream, round(p_value, 5) AS p_value, round(q_value, 5) AS q_value FROM fdr",
     "validation_labels": f"WITH {LABELS} SELECT validation_status, count(*) AS edges FROM labelled GROUP BY ALL",
     "temporal_thirds": f"WITH {edges()}{THIRDS} SELECT *, round(((k_pos + 0.5) / (n_pos + 1)) / ((k_neg + 0.5) / (n_neg + 1)), 6) AS ratio FROM thirds",
@@ -162,8 +172,12 @@ sum(n_pos + n_neg)::BIGINT AS support, round(sum(n_pos + n_neg) / sum(sum(n_pos
     "yearly_courses": f"""WITH {edges(', year')}, s AS (SELECT *, CASE WHEN n_pos < 10 OR n_neg < 10 OR k_pos + k_neg < 10 THEN 'not_evaluable' WHEN ci_low > 1 THEN 'present' WHEN ci_high < 1 THEN 'reversed' ELSE 'absent' END AS state FROM edges),
 c AS (SELECT *, coalesce((lag(state) OVER (PARTITION BY upstream, downstream ORDER BY year) <> state)::INT, 0) AS changed FROM s WHERE state <> 'not_evaluable')
 SELECT upstream, downstream, count(*) AS years, count(*) FILTER (state = 'present') AS present, count(*) FILTER (state = 'reversed') AS reversed, sum(changed)::BIGINT AS changes, min(year)::INT AS first_year, max(year)::INT AS last_year FROM c GROUP BY ALL""",
-    "yearly_heterogeneity": f"""WITH {edges(', year')}, h AS (SELECT upstream, downstream, count(*) AS years, sum(1 / log_variance) AS sw, sum(ln(ratio) / log_variance) AS swy, sum(ln(ratio) * ln(ratio) / log_variance) AS swy2 FROM edges GROUP BY ALL)
-SELECT upstream, downstream, years, round(greatest(0, swy2 - swy * swy / sw), 6) AS q FROM h WHERE years >= 2""",
+    "yearly_heterogeneity": f"""WITH {edges(', year')}, h AS (SELECT upstream, downstream, count(*) AS years, sum(1 / log_variance) AS sw, sum(ln(ratio) / log_variance) AS swy, sum(ln(ratio) * ln(ratio) / log_variance) AS swy2
+  FROM edges WHERE n_pos >= 10 AND n_neg >= 10 AND k_pos + k_neg >= 10 GROUP BY ALL),
+cq AS (SELECT upstream, downstream, years, greatest(0, swy2 - swy * swy / sw) AS q FROM h WHERE years >= 2), tail AS (SELECT *, {chi_square_tail("q", "(years - 1)")} AS p FROM cq),
+f AS (SELECT *, CASE WHEN years >= 5 THEN p END AS fp FROM tail), rk AS (SELECT *, row_number() OVER (ORDER BY fp NULLS LAST, upstream, downstream) AS r, count(fp) OVER () AS m FROM f),
+bh AS (SELECT *, CASE WHEN fp IS NOT NULL THEN least(1, min(fp * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS qv FROM rk)
+SELECT upstream, downstream, years, round(q, 6) AS q, round(p, 6) AS p_value, round(qv, 6) AS q_value, coalesce(qv < 0.05, false) AS varies FROM bh""",
     "permutation_strata": f"""WITH {STRATA} SELECT upstream, downstream, count(*) AS n_strata, count(*) FILTER (n_pos > 0 AND n_neg > 0) AS both_labels, coalesce(sum(n_pos + n_neg) FILTER (n_pos > 0 AND n_neg > 0), 0)::BIGINT AS permutable,
 sum(n_pos + n_neg)::BIGINT AS rows, round(1 - coalesce(sum(n_pos + n_neg) FILTER (n_pos > 0 AND n_neg > 0), 0) / sum(n_pos + n_neg), 6) AS fixed_share FROM st GROUP BY ALL""",
     "clean_labels": r"""SELECT p_partkey, trim(regexp_replace(upper('  ' || p_name || ' ' || chr(9) || ' ' || p_type), '\s+', ' ', 'g')) AS label,
@@ -346,7 +360,16 @@ SELECT *, round(((k_pos + 0.5) / (n_pos + 1)) / ((k_neg + 0.5) / (n_neg + 1)), 6
   SELECT x.upstream, x.downstream FROM rate x JOIN rate y ON y.upstream = x.downstream AND y.downstream = x.upstream WHERE x.p >= 0.145 AND y.p >= 0.145 AND x.n >= 25 AND y.n >= 25))
 SELECT upstream, downstream, round(ratio, 6) AS ratio, passes_support FROM edges WHERE (upstream, downstream) NOT IN (SELECT (upstream, downstream) FROM free) AND (downstream, upstream) NOT IN (SELECT (upstream, downstream) FROM free)""",
     "implied_outcomes": f"WITH {OBS}{IMPLIED} SELECT item, is_implied, count(*) AS rows, count(*) FILTER (outcome = 'R') AS positives FROM both_obs GROUP BY ALL",
-    "canonical_edges": f"WITH {edges()} SELECT upstream, downstream, round(ratio, 6) AS ratio FROM edges QUALIFY row_number() OVER (PARTITION BY least(upstream, downstream), greatest(upstream, downstream) ORDER BY n_pos + n_neg DESC, upstream, downstream) = 1",
+    "canonical_edges": f"""WITH {edges()}, alias(item, canonical) AS (VALUES ('Brand#21', 'Brand#1'), ('Brand#22', 'Brand#2'), ('Brand#23', 'Brand#2')),
+named AS (SELECT coalesce(a.canonical, e.upstream) AS upstream, coalesce(b.canonical, e.downstream) AS downstream, e.upstream AS u, e.downstream AS d, ratio, n_pos + n_neg AS n FROM edges e LEFT JOIN alias a ON a.item = e.upstream LEFT JOIN alias b ON b.item = e.downstream)
+SELECT upstream, downstream, round(ratio, 6) AS ratio, count(*) OVER (PARTITION BY upstream, downstream) - 1 AS collapsed FROM named QUALIFY row_number() OVER (PARTITION BY upstream, downstream ORDER BY n DESC, u, d) = 1""",
+    "mutual_dependence": f"""WITH {GRID}, c AS (SELECT u.item AS upstream, g.item AS downstream, u.outcome, o.episode IS NOT NULL AS shown
+  FROM obs u JOIN grid g ON g.episode = u.episode AND g.item <> u.item AND g.is_available AND NOT g.is_intrinsic JOIN grid own ON own.episode = u.episode AND own.item = u.item AND own.is_available AND NOT own.is_intrinsic
+  LEFT JOIN obs o ON o.episode = g.episode AND o.item = g.item),
+t AS (SELECT upstream, downstream, count(*) AS n, count(*) FILTER (shown) AS k, count(*) FILTER (outcome = 'R') AS n1, count(*) FILTER (outcome = 'R' AND shown) AS k1, count(*) FILTER (outcome = 'N') AS n0, count(*) FILTER (outcome = 'N' AND shown) AS k0 FROM c GROUP BY ALL),
+m AS (SELECT *, CASE WHEN n1 > 0 AND n0 > 0 THEN ((k1 + 0.5) / (n1 + 1)) / ((k0 + 0.5) / (n0 + 1)) END AS ratio, (k + 0.5) / (n + 1) AS rate FROM t)
+SELECT a.upstream, a.downstream, round(a.ratio, 6) AS ratio, round(b.ratio, 6) AS reverse_ratio, round(ln(a.ratio) - ln(b.ratio), 6) AS asymmetry, round(a.rate, 6) AS rate, round(b.rate, 6) AS reverse_rate, round(abs(ln(a.rate) - ln(b.rate)), 6) AS rate_asymmetry,
+  round(least(a.n, b.n) / greatest(a.n, b.n), 6) AS support_ratio, round(a.k / (a.n + b.n - a.k), 6) AS overlap FROM m a LEFT JOIN m b ON b.upstream = a.downstream AND b.downstream = a.upstream""",
     "direction_conflicts": f"WITH {RET} SELECT count(*) AS edges, count(*) FILTER (upstream = 'Brand#5' AND ratio > 1) AS conflicts FROM ret",
     "thinned_curves": f"""WITH {tilt([k / 4 for k in range(-12, 13)])}, c AS (SELECT item, tilt, round(prevalence, 6) AS prevalence FROM tilted),
 d AS (SELECT *, coalesce(sqrt((tilt - lag(tilt) OVER w) ** 2 + (prevalence - lag(prevalence) OVER w) ** 2), 0) AS d FROM c WINDOW w AS (PARTITION BY item ORDER BY tilt)),

@@ -37,6 +37,10 @@ def edge_table(s: SparkSession, d: str, by: tuple[str, ...] = (), min_support: i
     return patterns.edges(counts(s, d, by, min_support), POSITIVE, NEGATIVE, by)
 
 
+def eligible_items(s: SparkSession, rows: DataFrame) -> DataFrame:
+    return opportunity.availability(rows, MIN_SUPPORT, intrinsic(s)).where("is_eligible")
+
+
 def strata(s: SparkSession, d: str, by: tuple[str, ...]) -> DataFrame:
     """Rows of counts for every pair in each stratum; both branches needn't be there."""
     return strata_of(counts(s, d, by), by)
@@ -232,8 +236,10 @@ def pooled_edges_fdr(s, d):
 
 @query
 def temporal_thirds(s, d):
-    """Early and late thirds of every pair with both branches."""
-    return r6(replication.temporal_thirds(known(seen(s, d)), edge_table(s, d), POSITIVE, NEGATIVE))
+    """Early and late thirds of the eligible rows of every pair with both branches."""
+    rows = seen(s, d)
+    e = patterns.edges(patterns.branch_counts(known(rows), rows, MIN_SUPPORT, intrinsic(s)), POSITIVE, NEGATIVE)
+    return r6(replication.temporal_thirds(known(rows), eligible_items(s, rows), e, POSITIVE, NEGATIVE))
 
 
 @query
@@ -265,7 +271,7 @@ def validated_edges(s, d, draws: bool = False):
     sites = replication.pooled_over_sites(patterns.edges(by_site, POSITIVE, NEGATIVE, ("site",)))
     sites = sites.select(*PAIR, "sites", "i2", "z", (F.greatest("sites_above", F.col("sites") - F.col("sites_above")) / F.col("sites")).alias("agreement"), replication.two_sided_p(F.col("z")).alias("p_value"))
     gates = (F.col("n_pos") + F.col("n_neg") >= patterns.MIN_TOTAL) & (F.col("n_pos") >= patterns.MIN_BRANCH) & (F.col("n_neg") >= patterns.MIN_BRANCH)
-    t = replication.temporal_thirds(known(rows), e, POSITIVE, NEGATIVE).where(gates)
+    t = replication.temporal_thirds(known(rows), eligible_items(s, rows), e, POSITIVE, NEGATIVE).where(gates)
     t = t.groupBy(*PAIR).agg(*[F.max(F.when(F.col("third") == x, side)).alias(x) for x in ("early", "late")])
     if draws:
         st = strata_of(by_site, ("site",))
@@ -359,7 +365,7 @@ def betweenness(s, d):
 def model_rows(s, d, covariates: bool = True):
     """Results in eligible cells as model rows: two numbers, a component and three categories for each episode, units as clusters."""
     rows = seen(s, d)
-    eligible = opportunity.availability(rows, MIN_SUPPORT, intrinsic(s)).where("is_eligible")
+    eligible = eligible_items(s, rows)
     cluster = adjusted.cluster_id(F.col("site"), [F.col("unit")], F.col("episode"))
     if not covariates:
         return adjusted.Rows(known(rows), eligible, None, cluster, POSITIVE, NEGATIVE)
@@ -588,8 +594,7 @@ def look_back_windows(s, d):
     e = table(s, d, "events")
     index = e.where("event_type = 'purchase'").select(F.col("event_id").alias("index_id"), "user_id", F.col("ts").alias("index_ts"))
     records = e.where("event_type <> 'purchase'").select("user_id", "ts", "event_type")
-    days = F.datediff("index_ts", "ts")
-    return history.look_back(index, records, "user_id", days, "event_type", (1, 7, 14))
+    return history.look_back(index, records, "user_id", "index_ts", "ts", "event_type", (1, 7, 14))
 
 
 @query
@@ -858,11 +863,11 @@ def rules_matched(s, d):
 
 @query
 def recent_errors(s, d):
-    """Purchases with the errors of the same user in the week before: an equi join with a time range."""
+    """Purchases with the errors of the same user in the week before."""
     e = table(s, d, "events")
     p = e.where("event_type = 'purchase'").select(F.col("event_id").alias("index_id"), "user_id", F.col("ts").alias("t"))
     x = e.where("event_type = 'error'").select("user_id", "ts", "value")
-    hit = p.join(x, "user_id").where("ts <= t and ts >= t - interval 7 days")
+    hit = history.within(p, x, "user_id", "t", "ts", 7 * 86_400)
     return hit.groupBy("index_id").agg(F.count("*").alias("errors"), F.round(F.median("value"), 6).alias("median_value"), F.max("value").alias("max_value"))
 
 
@@ -979,8 +984,10 @@ def implied_sensitivity(s, d):
 
 @query
 def canonical_edges(s, d):
+    """Edges after three items took other items' names: one for each ordered pair."""
     e = edge_table(s, d)
-    return r6(reports.canonical(e, F.col("n_pos") + F.col("n_neg")).select(*PAIR, "ratio"))
+    names = s.createDataFrame([("Brand#21", "Brand#1"), ("Brand#22", "Brand#2"), ("Brand#23", "Brand#2")], "item string, canonical string")
+    return r6(reports.canonical(e, F.col("n_pos") + F.col("n_neg"), names).select(*PAIR, "ratio", "collapsed"))
 
 
 @query
@@ -1028,6 +1035,13 @@ def pair_dependence(s, d):
     return r6(reports.dependence(c, patterns.edges(c, POSITIVE, NEGATIVE).select(*PAIR, "ratio")))
 
 
+@query
+def mutual_dependence(s, d):
+    """Both directions of every two items within the cells in which both are eligible."""
+    rows = seen(s, d)
+    return r6(reports.mutual_dependence(patterns.branch_counts(known(rows), rows, MIN_SUPPORT, intrinsic(s), mutual=True), POSITIVE, NEGATIVE))
+
+
 @query
 def replication_sensitivity(s, d):
     return reports.label_sensitivity(replication.pooled_over_sites(edge_table(s, d, ("site",))), [25.0, 50.0, 75.0], [1.0, 1.96])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from opportune.functions import effects as E
 from opportune.functions import labels as L
-from opportune.operators import audit, cleaning, descriptive, evaluation, features, history, models, network, patterns, prevalence, replication, reports, resampling
+from opportune.operators import audit, cleaning, descriptive, evaluation, features, models, network, patterns, prevalence, replication, reports, resampling
 from opportune.plans.queries import QUERIES, edge_table, validated_edges
 from opportune.sources import tables
 
@@ -105,7 +105,8 @@ def test_planted_pattern_is_found_and_replicates(spark):
     assert test.p_two_sided < 0.02
     boot = resampling.bootstrap(site.where("upstream = 'up'")).first()
     assert boot.low > 1 and boot.sign_stability == 1
-    thirds = replication.temporal_thirds(o, spark.createDataFrame([("up", "down")], "upstream string, downstream string"), "R", "N").collect()
+    eligible = spark.createDataFrame([(f"s{k}", "x", "2020-2024", i) for k in range(2) for i in ("up", "down")], "site string, stratum string, era string, item string")
+    thirds = replication.temporal_thirds(o, eligible, spark.createDataFrame([("up", "down")], "upstream string, downstream string"), "R", "N").collect()
     assert {r.third for r in thirds} == {"early", "late"} and all(r.ratio > 1 for r in thirds)
 
 
@@ -143,14 +144,6 @@ def test_areas_with_ties_and_one_class(spark):
     assert got["m"].roc_auc == pytest.approx(0.75) and got["one"].roc_auc is None and got["one"].average_precision is None
 
 
-def test_look_back_bounds(spark):
-    index = spark.createDataFrame([(1, "u"), (2, "v")], "index_id int, k string")
-    records = spark.createDataFrame([("u", 0, "a"), ("u", 7, "a"), ("u", -1, "b"), ("u", None, "c")], "k string, d int, v string")
-    got = {r.index_id: r for r in history.look_back(index, records, "k", F.col("d"), "v", (0, 7)).collect()}
-    assert (got[1].records, got[1].distinct_values, got[1].any_0d, got[1].any_7d, got[1].available) == (2, 1, 1, 1, 1)
-    assert (got[2].records, got[2].available, got[2].any_7d) == (0, 0, 0)
-
-
 def test_prevalence_bounds(spark):
     o = spark.createDataFrame(planted(), KIND)
     t = prevalence.summary(prevalence.item_cells(o, o, 1, "R"), 1, 1).where("item = 'up'").first()
@@ -249,17 +242,6 @@ def test_running_sums_over_ranges_equal_plain_ones(spark):
         assert (r.pos, r.neg) == (sum(t for _, t, _ in mine), sum(1 - t for _, t, _ in mine))
 
 
-def test_thirds_split_the_border_day(spark):
-    o = [("s", "u", e, dt.datetime(2020, 1, 1 + e // 7), "g", "e", "up", "R" if e % 3 else "N") for e in range(31)] + [("s", "u", e, dt.datetime(2020, 1, 1 + e // 7), "g", "e", "down", "R") for e in range(0, 31, 2)]
-    pairs = spark.createDataFrame([("up", "down")], "upstream string, downstream string")
-    got = {r.third: (r.n_pos, r.k_pos, r.n_neg, r.k_neg) for r in replication.temporal_thirds(spark.createDataFrame(o, KIND), pairs, "R", "N").collect()}
-    want = {}
-    for third, part in (("early", range(10)), ("late", range(21, 31))):
-        pos, neg = [e for e in part if e % 3], [e for e in part if e % 3 == 0]
-        want[third] = (len(pos), sum(e % 2 == 0 for e in pos), len(neg), sum(e % 2 == 0 for e in neg))
-    assert got == want
-
-
 def test_star_keeps_rows_and_refuses_double_keys(spark):
     base = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
     out = features.star(base, [("d", spark.createDataFrame([(1, 5)], "k int, x int"), ["k"])])
