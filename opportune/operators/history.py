@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,6 +49,95 @@ def within(index: DataFrame, records: DataFrame, key: str, at: str, of: str, sec
     return met.select(*index.columns, *[c for c in records.columns if c != key])
 
 
+@dataclass(frozen=True)
+class History:
+    """Records that a point-in-time star looks back on: their key, day and, for some kinds, a value.
+
+    kind "any": whether there were records within each window of days; "count": how many records and distinct values so far;
+    "first": the value of the key's first record (by day, then value) whenever it is, as with what doesn't change; "worst": the
+    most severe value so far, by `order`; "suppressed": records whose times can't be trusted, which never count as known.
+    strict: only records of days before the index row's count, not those of its own day.
+    """
+
+    name: str
+    frame: DataFrame
+    key: str
+    day: str
+    kind: str = "any"
+    value: str | None = None
+    windows: tuple[int, ...] = ()
+    order: tuple[str, ...] = ()
+    strict: bool = False
+
+
+def point_in_time(index: DataFrame, key: str, day: str, histories: Sequence[History]) -> DataFrame:
+    """index with columns of every history as of its row's day: rows are kept one for one.
+
+    All histories are one tagged union, grouped by key and day with an aggregate for each, and one window runs along a key's days;
+    so any number of histories takes one grouping, one window and one join, and a key has as many rows as the calendar has days.
+    Columns: <name>_<w>d, <name>_available (any); <name>_records, <name>_values, <name>_available (count); <name>,
+    <name>_available (first, worst); <name> null, <name>_available 0 (suppressed). Null keys or days match nothing; an index row
+    without records has 0, or null values; records with a null value count as records, not as a value. Clashing names raise.
+    """
+    k, d, tag, v, fresh = "__key", "__day", "__tag", "__value", "__fresh"
+    kinds = {"any", "count", "first", "worst", "suppressed"}
+    if bad := [h.name for h in histories if h.kind not in kinds]:
+        raise ValueError(f"unknown kind of history: {', '.join(bad)}")
+    none, parts = F.lit(None).cast("string"), []
+    for h in histories:
+        if h.kind == "suppressed":
+            continue
+        value = F.col(h.value).cast("string") if h.value else none
+        rows = h.frame.where(F.col(h.key).isNotNull() & F.col(h.day).isNotNull()).select(F.col(h.key).alias(k), F.to_date(h.day).alias(d), F.lit(h.name).alias(tag), value.alias(v), F.lit(0).alias(fresh))
+        parts.append(rows)
+        if h.kind == "count":  # a value counts on the day that it is first seen
+            firsts = rows.where(F.col(v).isNotNull()).groupBy(k, v).agg(F.min(d).alias(d))
+            parts.append(firsts.select(k, d, F.lit(h.name).alias(tag), v, F.lit(1).alias(fresh)))
+    asked = index.select(F.col(key).alias(k), F.to_date(day).alias(d)).where(f"{k} is not null and {d} is not null")
+    parts.append(asked.distinct().select(k, d, F.lit(None).cast("string").alias(tag), none.alias(v), F.lit(0).alias(fresh)))
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    rank = lambda h: F.coalesce(*[F.when(F.col(v) == o, F.lit(len(h.order) - i)) for i, o in enumerate(h.order)])
+    aggs = [F.max(F.col(tag).isNull()).alias("__asked")]
+    for i, h in enumerate(histories):
+        mine = F.col(tag) == h.name
+        if h.kind in ("any", "count"):
+            aggs.append(F.count(F.when(mine & (F.col(fresh) == 0), 1)).alias(f"__n{i}"))
+        if h.kind == "count":
+            aggs.append(F.sum(F.when(mine, F.col(fresh)).otherwise(0)).alias(f"__f{i}"))
+        if h.kind == "first":
+            aggs.append(F.min(F.when(mine & F.col(v).isNotNull(), F.col(v))).alias(f"__v{i}"))
+        if h.kind == "worst":
+            aggs.append(F.max(F.when(mine, rank(h))).alias(f"__r{i}"))
+    days = union.groupBy(k, d).agg(*aggs)
+    every = Window.partitionBy(k).orderBy(d)
+    out = {}
+    for i, h in enumerate(histories):
+        upto = every.rowsBetween(Window.unboundedPreceding, -1 if h.strict else 0)
+        if h.kind == "any":
+            last = F.max(F.when(F.col(f"__n{i}") > 0, F.col(d))).over(upto)
+            out |= {f"{h.name}_{w}d": F.coalesce((F.datediff(F.col(d), last) <= w).cast("int"), F.lit(0)) for w in h.windows}
+            out[f"{h.name}_available"] = last.isNotNull().cast("int")
+        elif h.kind == "count":
+            n = F.coalesce(F.sum(f"__n{i}").over(upto), F.lit(0))
+            out |= {f"{h.name}_records": n, f"{h.name}_values": F.coalesce(F.sum(f"__f{i}").over(upto), F.lit(0)), f"{h.name}_available": (n > 0).cast("int")}
+        elif h.kind == "first":
+            first = F.min(F.when(F.col(f"__v{i}").isNotNull(), F.struct(d, f"__v{i}"))).over(Window.partitionBy(k))[f"__v{i}"]
+            out |= {h.name: first, f"{h.name}_available": first.isNotNull().cast("int")}
+        elif h.kind == "worst":
+            most = F.max(f"__r{i}").over(upto)
+            out |= {h.name: F.coalesce(*[F.when(most == len(h.order) - j, F.lit(o)) for j, o in enumerate(h.order)]), f"{h.name}_available": most.isNotNull().cast("int")}
+        else:
+            out |= {h.name: none, f"{h.name}_available": F.lit(0)}
+    if clash := set(index.columns) & set(out):
+        raise ValueError(f"index has columns of these names: {', '.join(sorted(clash))}")
+    state = days.select(k, d, "__asked", *[c.alias(n) for n, c in out.items()]).where("__asked").drop("__asked")
+    rows = index.withColumns({k: F.col(key), d: F.to_date(day)}).join(state, [k, d], "left").drop(k, d)
+    zero = [n for n in out if n.endswith(("_available", "_records", "_values")) or any(n == f"{h.name}_{w}d" for h in histories for w in h.windows)]
+    return rows.select(*index.columns, *out).fillna(0, zero)
+
+
 def active(start: Column, end: Column, lenient: bool = False) -> Column:
     """Was a condition active at the index? start and end in days before it; lenient: an unknown start counts as started."""
     started = (start.isNull() | (start >= 0)) if lenient else F.coalesce(start >= 0, F.lit(False))

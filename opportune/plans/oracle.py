@@ -289,8 +289,11 @@ STAR = """star AS (SELECT o_orderkey, o_custkey, o_totalprice::DOUBLE AS o_total
   LEFT JOIN (SELECT user_id AS u, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1) e ON e.u = o_custkey)"""
 # the training part's edges: availability and counts from its rows alone
 TRAIN = edges().replace("JOIN part ON l_partkey = p_partkey)", "JOIN part ON l_partkey = p_partkey WHERE r_name NOT IN ('ASIA', 'EUROPE'))")
-MATRIX = AVAIL + """, n AS (SELECT episode, count(*) - 1 AS ctx_others FROM obs GROUP BY episode),
-m AS (SELECT u.episode, u.item AS upstream, a.item AS downstream, (u.outcome = 'R')::INT AS up_positive, (d.episode IS NOT NULL)::INT AS target, ctx_others, CASE WHEN u.site IN ('ASIA', 'EUROPE') THEN 'test' ELSE 'train' END AS split
+MATRIX = AVAIL + """, past AS (SELECT a.o_orderkey AS episode, max(a.o_orderpriority = '1-URGENT')::INT AS ctx_urgent, coalesce(max(date_diff('day', b.o_orderdate::DATE, a.o_orderdate::DATE) <= 90), false)::INT AS ctx_prior_90d,
+    coalesce(max(date_diff('day', b.o_orderdate::DATE, a.o_orderdate::DATE) <= 365), false)::INT AS ctx_prior_365d
+  FROM orders a LEFT JOIN orders b ON b.o_custkey = a.o_custkey AND b.o_orderdate::DATE < a.o_orderdate::DATE GROUP BY a.o_orderkey),
+n AS (SELECT obs.episode, count(*) - 1 AS ctx_others, any_value(ctx_urgent) AS ctx_urgent, any_value(ctx_prior_90d) AS ctx_prior_90d, any_value(ctx_prior_365d) AS ctx_prior_365d FROM obs JOIN past USING (episode) GROUP BY obs.episode),
+m AS (SELECT u.episode, u.item AS upstream, a.item AS downstream, (u.outcome = 'R')::INT AS up_positive, (d.episode IS NOT NULL)::INT AS target, ctx_others, ctx_urgent, ctx_prior_90d, ctx_prior_365d, CASE WHEN u.site IN ('ASIA', 'EUROPE') THEN 'test' ELSE 'train' END AS split
   FROM obs u JOIN avail a ON a.site = u.site AND a.stratum = u.stratum AND a.era = u.era AND a.item <> u.item AND a.is_available AND NOT a.is_intrinsic
   LEFT JOIN obs d ON d.episode = u.episode AND d.item = a.item JOIN n ON n.episode = u.episode),
 te AS (SELECT * FROM (WITH """ + TRAIN + """ SELECT upstream, downstream, ln(ratio) AS pattern_log_ratio, (n_pos + n_neg)::DOUBLE AS pattern_support FROM edges)),
@@ -354,7 +357,15 @@ SELECT *, round(((k_pos + 0.5) / (n_pos + 1)) / ((k_neg + 0.5) / (n_neg + 1)), 6
     "page_rank": page_rank_sql(),
     "covariate_star": f"WITH {STAR} SELECT * REPLACE (round(o_totalprice, 6) AS o_totalprice, round(balance, 6) AS balance, round(lines_quantity::DOUBLE, 6) AS lines_quantity) FROM star",
     "covariate_coverage": f"WITH {STAR}" + " UNION ALL ".join(f" SELECT '{n}' AS dimension, count(*) AS rows, count(*) FILTER ({n}_known) AS matched, count(*) FILTER (NOT {n}_known) AS unmatched FROM star" for n in ("customer", "lines", "events")),
-    "pair_feature_matrix": f"WITH {MATRIX} SELECT upstream, downstream, split, count(*) AS rows, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("target", "up_positive", "ctx_others", "pattern_log_ratio", "pattern_support")) + " FROM matrix GROUP BY ALL",
+    "covariates_at_time": """WITH i AS (SELECT event_id, user_id, ts::DATE AS d FROM events WHERE event_type = 'purchase'),
+j AS (SELECT i.event_id, i.user_id, e.event_type AS t, date_diff('day', e.ts::DATE, i.d) AS days, e.ts::DATE AS ed FROM i LEFT JOIN events e ON e.user_id = i.user_id)
+SELECT event_id, user_id, coalesce(max(days <= 1) FILTER (t = 'error' AND days >= 0), false)::INT AS errors_1d, coalesce(max(days <= 7) FILTER (t = 'error' AND days >= 0), false)::INT AS errors_7d,
+  coalesce(max(days <= 14) FILTER (t = 'error' AND days >= 0), false)::INT AS errors_14d, (count(*) FILTER (t = 'error' AND days >= 0) > 0)::INT AS errors_available,
+  coalesce(max(days <= 7) FILTER (t = 'purchase' AND days > 0), false)::INT AS before_7d, (count(*) FILTER (t = 'purchase' AND days > 0) > 0)::INT AS before_available,
+  count(*) FILTER (days >= 0) AS all_records, count(DISTINCT t) FILTER (days >= 0) AS all_values, (count(*) FILTER (days >= 0) > 0)::INT AS all_available, arg_min(t, (ed, t)) AS first_kind, 1 AS first_kind_available,
+  CASE max(CASE t WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 END) FILTER (days >= 0) WHEN 3 THEN 'error' WHEN 2 THEN 'purchase' WHEN 1 THEN 'click' END AS worst, 1 AS worst_available, NULL::VARCHAR AS views, 0 AS views_available
+FROM j GROUP BY ALL""",
+    "pair_feature_matrix": f"WITH {MATRIX} SELECT upstream, downstream, split, count(*) AS rows, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("target", "up_positive", "ctx_others", "ctx_urgent", "ctx_prior_90d", "ctx_prior_365d", "pattern_log_ratio", "pattern_support")) + " FROM matrix GROUP BY ALL",
     "pair_feature_rows": f"WITH {MATRIX} SELECT episode, upstream, downstream, target, up_positive, round(pattern_log_ratio, 6) AS pattern_log_ratio, pattern_support FROM matrix WHERE up_positive = 1",
     "screened_edges": f"""WITH {edges()}, free AS (SELECT * FROM (WITH {counts().replace(" AND NOT g.is_intrinsic", "")}, rate AS (SELECT upstream, downstream, sum(tested_n) / sum(support_n) AS p, sum(support_n) AS n FROM counts GROUP BY ALL)
   SELECT x.upstream, x.downstream FROM rate x JOIN rate y ON y.upstream = x.downstream AND y.downstream = x.upstream WHERE x.p >= 0.145 AND y.p >= 0.145 AND x.n >= 25 AND y.n >= 25))

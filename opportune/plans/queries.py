@@ -918,6 +918,22 @@ def covariate_coverage(s, d):
     return features.coverage(order_star(s, d), ["customer", "lines", "events"])
 
 
+@query
+def covariates_at_time(s, d):
+    """Every purchase with what its user's records said until then: errors and clicks by window, all records, first and worst kinds."""
+    e = table(s, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    of = lambda t: e.where(F.col("event_type") == t)
+    index = of("purchase").select("event_id", "user_id", "ts")
+    H = history.History
+    return history.point_in_time(
+        index, "user_id", "ts",
+        [
+            H("errors", of("error"), "user_id", "ts", windows=(1, 7, 14)), H("before", of("purchase"), "user_id", "ts", windows=(7,), strict=True), H("all", e, "user_id", "ts", "count", "event_type"),
+            H("first_kind", e, "user_id", "ts", "first", "event_type"), H("worst", e, "user_id", "ts", "worst", "event_type", order=("error", "purchase", "click")), H("views", of("view"), "user_id", "ts", "suppressed"),
+        ],
+    ).drop("ts")
+
+
 def pair_matrix(s, d):
     """Pair rows with context, and with pattern features from the sites of the training part alone."""
     rows = seen(s, d)
@@ -927,7 +943,9 @@ def pair_matrix(s, d):
     train = ~F.col("site").isin("ASIA", "EUROPE")
     part = rows.where(train)
     e = patterns.edges(patterns.branch_counts(known(part), part, MIN_SUPPORT, intrinsic(s)), POSITIVE, NEGATIVE)
-    context = o.groupBy("episode").agg((F.count("*") - 1).alias("ctx_others"))
+    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("episode"), "o_custkey", "o_orderdate", (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("ctx_urgent"))
+    past = history.point_in_time(orders, "o_custkey", "o_orderdate", [history.History("ctx_prior", orders, "o_custkey", "o_orderdate", windows=(90, 365), strict=True)])
+    context = o.groupBy("episode").agg((F.count("*") - 1).alias("ctx_others")).join(past.drop("o_custkey", "o_orderdate"), "episode", "left")
     m = m.join(context, "episode").withColumn("ctx_site", F.col("site")).withColumn("split", F.when(train, "train").otherwise("test"))
     return features.with_pattern_features(m, e)
 
@@ -936,7 +954,7 @@ def pair_matrix(s, d):
 def pair_feature_matrix(s, d):
     """Means of the full feature set over pair rows, by pair and split."""
     m = features.feature_set(pair_matrix(s, d), "full", [*PAIR, "split"])
-    means = [F.avg(c).alias(c) for c in ("target", "up_positive", "ctx_others", "pattern_log_ratio", "pattern_support")]
+    means = [F.avg(c).alias(c) for c in ("target", "up_positive", "ctx_others", "ctx_urgent", "ctx_prior_90d", "ctx_prior_365d", "pattern_log_ratio", "pattern_support")]
     return r6(m.groupBy(*PAIR, "split").agg(F.count("*").alias("rows"), *means))
 
 

@@ -196,3 +196,41 @@ def test_a_range_join_makes_rows_in_proportion_to_matches(spark):
     assert "__bucket" in text and "CartesianProduct" not in text and "NestedLoop" not in text
     candidates = index.where("t is not null").withColumn("b", F.explode(F.array(*[F.floor(F.col("t").cast("double") / 3600) - k for k in (0, 1)]))).join(records.withColumn("b", F.floor(F.col("ts").cast("double") / 3600)), ["user", "b"]).count()
     assert candidates <= 2 * 7 * 1000  # 200 million pairs of the user's rows
+
+
+def test_histories_at_a_time_equal_plain_ones(spark):
+    r = random.Random(6)
+    day = lambda k: None if k is None else dt.datetime(2020, 1, 1) + dt.timedelta(days=k, hours=r.randrange(24))
+    index = [(k, r.choice(["u", "v", "w", None]), r.choice([None, *range(20)]), "z") for k in range(50)]
+    index += index[:3]
+    records = [(r.choice(["u", "v", None]), r.choice([None, *range(-5, 25)]), r.choice(["x", "y", None, "z"])) for _ in range(90)]
+    left = spark.createDataFrame([(i, k, day(d), z) for i, k, d, z in index], "id int, k string, t timestamp, v string").repartition(3)
+    right = spark.createDataFrame([(k, day(d), v) for k, d, v in records], "key string, at timestamp, v string").repartition(3)
+    H = history.History
+    of = [
+        H("a", right, "key", "at", windows=(0, 7)), H("b", right, "key", "at", windows=(3,), strict=True), H("c", right, "key", "at", "count", "v"), H("f", right, "key", "at", "first", "v"),
+        H("w", right, "key", "at", "worst", "v", order=("y", "x")), H("s", right, "key", "at", "suppressed"),
+    ]
+    got = history.point_in_time(left, "k", "t", of)
+    want = []
+    for i, k, d, z in index:
+        mine = [(d - e, v) for key, e, v in records if None not in (k, d, e) and key == k]
+        past = [(x, v) for x, v in mine if x >= 0]
+        flag = lambda w, low: int(any(low <= x <= w for x, _ in mine))
+        values = {v for _, v in past if v}
+        first = min(((-x, v) for x, v in mine if v), default=(None, None))[1]
+        worst = next((o for o in ("y", "x") if o in values), None)
+        want.append((i, k, z, flag(0, 0), flag(7, 0), int(bool(past)), flag(3, 1), flag(9999, 1), len(past), len(values), int(bool(past)), first, int(first is not None), worst, int(worst is not None), None, 0))
+    assert sorted(map(repr, map(tuple, got.drop("t").collect()))) == sorted(map(repr, want))
+    assert history.point_in_time(left.limit(0), "k", "t", of).count() == 0
+    with pytest.raises(ValueError, match="columns of these names"):
+        history.point_in_time(left.withColumn("f", F.lit(1)), "k", "t", of)
+    with pytest.raises(ValueError, match="unknown kind"):
+        history.point_in_time(left, "k", "t", [H("q", right, "key", "at", "median")])
+
+
+def test_histories_take_one_grouping_and_one_window(spark):
+    left = spark.createDataFrame([(1, "u", dt.datetime(2020, 1, 1))], "id int, k string, t timestamp")
+    many = [history.History(f"h{k}", left, "k", "t", windows=(7,)) for k in range(8)]
+    text = history.point_in_time(left, "k", "t", many)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join ") == 1 and text.count("Window [") <= 2
