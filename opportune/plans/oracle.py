@@ -357,6 +357,8 @@ SELECT *, round(((k_pos + 0.5) / (n_pos + 1)) / ((k_neg + 0.5) / (n_neg + 1)), 6
     "page_rank": page_rank_sql(),
     "covariate_star": f"WITH {STAR} SELECT * REPLACE (round(o_totalprice, 6) AS o_totalprice, round(balance, 6) AS balance, round(lines_quantity::DOUBLE, 6) AS lines_quantity) FROM star",
     "covariate_coverage": f"WITH {STAR}" + " UNION ALL ".join(f" SELECT '{n}' AS dimension, count(*) AS rows, count(*) FILTER ({n}_known) AS matched, count(*) FILTER (NOT {n}_known) AS unmatched FROM star" for n in ("customer", "lines", "events")),
+    "published_tables": f"""WITH {RAW} SELECT 'statuses' AS name, 'ok' AS state, 1 AS version, count(*) AS rows FROM orders UNION ALL SELECT 'segments', 'ok', 1, count(*) FROM customer
+UNION ALL SELECT 'observations', 'ok', 1, count(DISTINCT (episode, item)) FROM raw UNION ALL SELECT 'missing', 'unpublished', NULL, NULL""",
     "covariates_at_time": """WITH i AS (SELECT event_id, user_id, ts::DATE AS d FROM events WHERE event_type = 'purchase'),
 j AS (SELECT i.event_id, i.user_id, e.event_type AS t, date_diff('day', e.ts::DATE, i.d) AS days, e.ts::DATE AS ed FROM i LEFT JOIN events e ON e.user_id = i.user_id)
 SELECT event_id, user_id, coalesce(max(days <= 1) FILTER (t = 'error' AND days >= 0), false)::INT AS errors_1d, coalesce(max(days <= 7) FILTER (t = 'error' AND days >= 0), false)::INT AS errors_7d,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ..functions import effects as E
 from ..functions import labels as L
 from ..operators import adjusted, audit, cleaning, descriptive, evaluation, features, history, models, network, opportunity, patterns, prevalence, replication, reports, resampling
 from ..operators.patterns import PAIR
-from ..sources import tables
+from ..sources import published, tables
 from .roles import MIN_SUPPORT, NEGATIVE, POSITIVE, categories, intrinsic, known, observations, resolved, seen, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1112,6 +1113,19 @@ def merged_shards(s, d):
     return r6(tables.merged_shards([e.where(part == k) for k in range(3)], e, PAIR).select(*PAIR, "ratio"))
 
 
+@query
+def published_tables(s, d):
+    """Orders by status, customers by segment and the items' edges, published with manifests, and what an inventory of them says."""
+    base = f"{tables.checkpoint_root(s)}/opportune/published-{uuid.uuid4().hex}"
+    fs, path = tables.file_system(s, base)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    frames = {"statuses": table(s, d, "orders").select("o_orderkey", "o_orderstatus"), "segments": table(s, d, "customer").select("c_custkey", "c_mktsegment"), "observations": seen(s, d)}
+    for name, frame in frames.items():
+        published.publish(frame, base, name)
+    return published.inventory(s, base, [*frames, "missing"]).select("name", "state", "version", "rows")
+
+
 @query
 def projected_scan(s, d):
     """Two columns and a predicate that reach the scan."""
