@@ -30,7 +30,7 @@ def availability_exposure(all_seen: DataFrame, thin: int) -> DataFrame:
 
 
 def quartiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Count, mean and exact quartiles (linear interpolation)."""
+    """Count, mean and exact quartiles (linear interpolation) of a number with few distinct values; see ranges.quantiles for others."""
     p = [F.percentile(value, q).alias(name) for name, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))]
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), *p)
 

@@ -6,29 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-#: Ranges of scores that running sums are formed in.
-RANGES = 4096
+from ..sources.tables import written
+from . import ranges
 
 
 def score_counts(df: DataFrame, target: str, score: str, by: list[str]) -> DataFrame:
     """Positives and negatives at each distinct score, with running sums from the top: all that areas and thresholds need.
 
-    Sums are formed in two steps, so that no task orders all scores of a group: within each of RANGES ranges of [0, 1] (scores
-    outside go to the first or last), and over the ranges' totals, which are RANGES rows for each group at most.
+    Sums are formed within ranges of scores that follow the data and over the ranges, so that no task orders all scores of a group
+    or a crowded stretch of them.
     """
-    per = df.where(F.col(target).isNotNull() & F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.when(F.col(target) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(target) == 0, 1).otherwise(0)).alias("n"))
-    per = per.withColumn("__range", F.greatest(F.lit(0), F.least(F.lit(RANGES - 1), F.floor(F.col(score) * RANGES))).cast("int"))
-    totals = per.groupBy(*by, "__range").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    above, whole = Window.partitionBy(*by).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    totals = totals.select(*[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)], F.col("__range").alias("__r"), zero(F.sum("p").over(above)).alias("__p"), zero(F.sum("n").over(above)).alias("__n"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"))
-    same = F.col("__range") == F.col("__r")
-    for k, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"__by{k}"))
-    down = Window.partitionBy(*by, "__range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    out = per.join(totals, same).withColumns({"tp": F.col("__p") + F.sum("p").over(down), "fp": F.col("__n") + F.sum("n").over(down)})
-    return out.select(*by, score, "p", "n", "tp", "fp", "pos", "neg")
+    known = df.where(F.col(target).isNotNull() & F.col(score).isNotNull())
+    per = written(known.groupBy(*by, score).agg(F.sum(F.when(F.col(target) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(target) == 0, 1).otherwise(0)).alias("n")), "scores")
+    out = ranges.running(per, score, by, ["p", "n"], down=True)
+    return out.select(*by, score, "p", "n", F.col("p_upto").alias("tp"), F.col("n_upto").alias("fp"), F.col("p_all").alias("pos"), F.col("n_all").alias("neg"))
 
 
 def areas(df: DataFrame, target: str, score: str, by: list[str]) -> DataFrame:

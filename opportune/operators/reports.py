@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import effects as E
+from ..sources.tables import written
+from . import ranges
 from .patterns import PAIR, rates_with_reverse
 
 #: Order of validation labels in reports.
@@ -38,17 +40,30 @@ def direction_conflicts(edges: DataFrame, stored: str) -> DataFrame:
     return edges.agg(F.count("*").alias("edges"), F.count(F.when(~F.col(stored).eqNullSafe(E.direction(F.col("ratio"))), 1)).alias("conflicts"))
 
 
-def thinned(curve: DataFrame, by: Sequence[str], x: str, y: str, step: float) -> DataFrame:
-    """Points of each curve at least `step` apart along its length, the first and the last always.
+def thinned(curve: DataFrame, by: Sequence[str], order: str, x: str, y: str, points: int) -> DataFrame:
+    """About `points` of each curve's points, evenly spaced along its length, the first and the last always; curves with no more stay whole.
 
-    A curve's length so far is a running sum over its points in the order of x; a point stays if it enters another step.
+    A point stays if it enters another of points - 1 equal steps of the curve's length. Lengths are summed within ranges of
+    `order`, a number that no two points of a curve share, and over the ranges, so that no task has a whole curve.
     """
-    order = Window.partitionBy(*by).orderBy(x)
-    dx, dy = F.col(x) - F.lag(x).over(order), F.col(y) - F.lag(y).over(order)
-    out = curve.withColumn("__d", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)))
-    out = out.withColumn("__at", F.floor(F.round(F.sum("__d").over(order.rowsBetween(Window.unboundedPreceding, 0)) / step, 9)))
-    out = out.withColumns({"__before": F.lag("__at").over(order), "__after": F.lead("__at").over(order)})
-    return out.where(F.col("__before").isNull() | F.col("__after").isNull() | (F.col("__at") > F.col("__before"))).drop("__d", "__at", "__before", "__after")
+    columns = curve.columns
+    rows = written(curve.withColumn("__at", F.struct(F.col(order).alias("at"), F.col(x).alias("x"), F.col(y).alias("y"))), "curve")
+    rows = ranges.ranged(rows, order, ranges.borders(rows, order))
+    ends = rows.groupBy(*by, "__range").agg(F.max("__at").alias("last"), F.count("*").alias("n"))
+    over = Window.partitionBy(*by)
+    ends = ends.select(*by, "__range", F.lag("last").over(over.orderBy("__range")).alias("__entry"), F.max("last").over(over).alias("__end"), F.sum("n").over(over).alias("__count"))
+    inside = Window.partitionBy(*by, "__range").orderBy(order)
+    rows = ranges.matched(rows, ends, [*by, "__range"]).withColumn("__back", F.coalesce(F.lag("__at").over(inside), "__entry"))
+    dx, dy = (F.col("__at")[c] - F.col("__back")[c] for c in ("x", "y"))
+    rows = rows.withColumn("__d", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)))
+    lengths = ranges.before_ranges(rows.groupBy(*by, "__range").agg(F.sum("__d").alias("__d")), by, ["__d"])
+    rows = ranges.matched(rows, lengths, [*by, "__range"])
+    step = lambda length: F.floor(F.round(length * (points - 1) / F.nullif(F.col("__d_all"), F.lit(0.0)), 9))
+    upto = F.col("__d_before") + F.sum("__d").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__upto", upto)
+    before = F.coalesce(F.lag("__upto").over(inside), F.col("__d_before"))
+    stays = (F.col("__count") <= points) | F.col("__back").isNull() | (F.col("__at")["at"] == F.col("__end")["at"]) | (step(F.col("__upto")) > F.col("__step_back"))
+    return rows.withColumn("__step_back", step(before)).where(stays).select(columns)
 
 
 def ranked_shifts(summary: DataFrame, n: int) -> DataFrame:

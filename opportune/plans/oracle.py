@@ -386,7 +386,7 @@ SELECT a.upstream, a.downstream, round(a.ratio, 6) AS ratio, round(b.ratio, 6) A
     "direction_conflicts": f"WITH {RET} SELECT count(*) AS edges, count(*) FILTER (upstream = 'Brand#5' AND ratio > 1) AS conflicts FROM ret",
     "thinned_curves": f"""WITH {tilt([k / 4 for k in range(-12, 13)])}, c AS (SELECT item, tilt, round(prevalence, 6) AS prevalence FROM tilted),
 d AS (SELECT *, coalesce(sqrt((tilt - lag(tilt) OVER w) ** 2 + (prevalence - lag(prevalence) OVER w) ** 2), 0) AS d FROM c WINDOW w AS (PARTITION BY item ORDER BY tilt)),
-a AS (SELECT *, floor(round(sum(d) OVER (PARTITION BY item ORDER BY tilt ROWS UNBOUNDED PRECEDING) / 0.6, 9)) AS place FROM d)
+a AS (SELECT *, floor(round(sum(d) OVER (PARTITION BY item ORDER BY tilt ROWS UNBOUNDED PRECEDING) * 8 / sum(d) OVER (PARTITION BY item), 9)) AS place FROM d)
 SELECT item, tilt, prevalence FROM a QUALIFY lag(place) OVER (PARTITION BY item ORDER BY tilt) IS NULL OR lead(place) OVER (PARTITION BY item ORDER BY tilt) IS NULL OR place > lag(place) OVER (PARTITION BY item ORDER BY tilt)""",
     "ranked_prevalence_shifts": f"WITH {CELLS}, r AS (SELECT *, row_number() OVER (ORDER BY round(abs(shift), 9) DESC, eligible DESC, evaluable DESC, item)::INT AS rank FROM prevalence WHERE shift IS NOT NULL) SELECT item, round(shift, 6) AS shift, eligible, evaluable, rank FROM r WHERE rank <= 20",
     "conservative_edges": f"WITH {RET}, b AS (SELECT *, CASE WHEN ratio >= 1 THEN ln(ci_low) ELSE -ln(ci_high) END AS near_bound FROM ret) SELECT upstream, downstream, round(ratio, 6) AS ratio, round(near_bound, 6) AS near_bound FROM b ORDER BY round(b.near_bound, 9) DESC, upstream, downstream LIMIT 30",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import effects as E
 from ..functions import labels as L
-from ..operators import adjusted, audit, cleaning, descriptive, evaluation, features, history, models, network, opportunity, patterns, prevalence, replication, reports, resampling
+from ..operators import adjusted, audit, cleaning, descriptive, evaluation, features, history, models, network, opportunity, patterns, prevalence, ranges, replication, reports, resampling
 from ..operators.patterns import PAIR
 from ..sources import published, tables
 from .roles import MIN_SUPPORT, NEGATIVE, POSITIVE, categories, intrinsic, known, observations, resolved, seen, table
@@ -584,7 +584,7 @@ def cell_sizes(s, d):
 
 @query
 def price_quartiles(s, d):
-    return r6(descriptive.quartiles(table(s, d, "orders"), "o_totalprice", ["o_orderpriority"]))
+    return r6(ranges.quantiles(table(s, d, "orders"), "o_totalprice", ["o_orderpriority"], {"q25": 0.25, "median": 0.5, "q75": 0.75}))
 
 
 # ---- history
@@ -1018,7 +1018,7 @@ def direction_conflicts(s, d):
 @query
 def thinned_curves(s, d):
     curve = prevalence.tilt_curve(prevalence.summary(cells(s, d)), [k / 4 for k in range(-12, 13)])
-    return r6(reports.thinned(r6(curve), ["item"], "tilt", "prevalence", 0.6))
+    return r6(reports.thinned(r6(curve), ["item"], "tilt", "tilt", "prevalence", 9))
 
 
 @query
