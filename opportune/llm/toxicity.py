@@ -28,8 +28,8 @@ from .common import prepare, chunks, written
 
 #: Most labelled documents of each class that the lexicon is learned from.
 SAMPLE = 8_000
-#: Most candidate terms, terms and exception phrases of a lexicon.
-CANDIDATES, TERMS, EXCEPTIONS = 20_000, 512, 512
+#: Most candidate terms that the driver takes from the sample, and most characters of a lexicon, which is broadcast: beyond them learning raises.
+CANDIDATES, LEXICON_CHARS = 2_000_000, 16_000_000
 #: Lengths of word beginnings that may become terms.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: How much more frequent a term must be in toxic documents.
@@ -243,7 +243,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     At most `sample` documents of each class are used: of near copies the one of the least hash, and of documents that share an
     id as many as that leaves room for. Labels that are null or have no document don't count, repeated labels count once and 1
     goes before 0; without documents of both classes (an empty table, say) the lexicon is empty and scores 0. The result doesn't
-    depend on how the rows are dealt out.
+    depend on how the rows are dealt out. No term or phrase that qualifies is left out: too many for the driver or a broadcast raise ValueError.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -268,14 +268,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     total = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"))
     support = max(5, math.ceil(0.005 * held[1]))
     toxic = total(rows.where("toxic = 1").mapInPandas(_count_terms(), "term string, n bigint"), "term").where(F.col("n") >= support)
-    in_toxic = {r["term"]: r["n"] for r in toxic.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
+    in_toxic = {r["term"]: r["n"] for r in toxic.limit(CANDIDATES + 1).collect()}
+    if len(in_toxic) > CANDIDATES:
+        raise ValueError(f"over {CANDIDATES} terms in the sample: take a smaller one")
     wanted = spark.sparkContext.broadcast(frozenset(in_toxic))
     in_clean = {r["term"]: r["n"] for r in total(rows.where("toxic = 0").mapInPandas(_count_terms(wanted), "term string, n bigint"), "term").collect()}
     lexicon = Lexicon(_choose(in_toxic, in_clean, held[1], held[0]))
     sent = spark.sparkContext.broadcast(lexicon)
     phrases = rows.mapInPandas(_count_phrases(sent), "term string, toxic int, n bigint").groupBy("term").pivot("toxic", [0, 1]).agg(F.sum("n")).fillna(0, ["0", "1"])
-    phrases = phrases.where((F.col("0") >= 3) & (F.col("0") * held[1] > F.col("1") * held[0])).orderBy(F.desc("0"), "term").limit(EXCEPTIONS)
-    lexicon.exceptions = [r["term"] for r in phrases.collect()]
+    phrases = phrases.where((F.col("0") >= 3) & (F.col("0") * held[1] > F.col("1") * held[0]))
+    lexicon.exceptions = sorted(r["term"] for r in phrases.select("term").limit(CANDIDATES + 1).collect())
+    if len(lexicon.exceptions) > CANDIDATES or sum(map(len, [*lexicon.terms, *lexicon.exceptions])) > LEXICON_CHARS:
+        raise ValueError("the lexicon is too large to broadcast: take a smaller sample")
     sent = spark.sparkContext.broadcast(lexicon)
     got = rows.mapInPandas(_features_of(sent), "toxic int, a double, b double").toPandas()  # at most 2 * sample rows
     got = got.sort_values(["toxic", "a", "b"])  # sums don't depend on the order of the tasks
@@ -304,7 +308,7 @@ def _choose(in_toxic: dict, in_clean: dict, n_toxic: int, n_clean: int) -> dict[
     best_longer: dict[str, int] = {}  # beginnings of chosen terms to the most documents of such a term
     for weak, _, term, weight in sorted(rated, key=lambda r: (r[0], -r[1], -len(r[2]), r[2])):
         covered = any(term[:k] in out for k in range(2, len(term)))
-        if not covered and best_longer.get(term, 0) < (1 if weak else 0.8 * in_toxic[term]) and len(out) < TERMS:
+        if not covered and best_longer.get(term, 0) < (1 if weak else 0.8 * in_toxic[term]):
             out[term] = weight
             for k in range(2, len(term)):
                 best_longer[term[:k]] = max(best_longer.get(term[:k], 0), in_toxic[term])
@@ -314,7 +318,7 @@ def _choose(in_toxic: dict, in_clean: dict, n_toxic: int, n_clean: int) -> dict[
 def score(df: DataFrame, lexicon: Lexicon, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
     """df with a struct (score double in [0, 1], matches int) of each whole text; null counts as empty. Map-only.
 
-    The lexicon (at most TERMS terms and EXCEPTIONS phrases) is broadcast. Repeated rows and null ids are scored like others; an
+    The lexicon (at most LEXICON_CHARS characters, see learn) is broadcast. Repeated rows and null ids are scored like others; an
     empty table gives no rows. A column of df that has the output's name is replaced.
     """
     prepare(df.sparkSession)
