@@ -163,16 +163,16 @@ def _probes(index, probes: int):
         centroids, cells = index.value.centroids, index.value.cells
         n = min(probes, len(centroids))
         for batch in batches:
-            every, every_id = np.stack(batch["vector"].to_numpy()).astype(np.float64), batch["vec_id"].to_numpy()
+            every, every_id, every_no = np.stack(batch["vector"].to_numpy()).astype(np.float64), batch["vec_id"].to_numpy(), batch["query_no"].to_numpy()
             for rows in slices(len(every), len(centroids)):
-                x, ids = every[rows], every_id[rows]
+                x, ids, numbers = every[rows], every_id[rows], every_no[rows]
                 best = np.argpartition(-(x @ centroids.T), n - 1, axis=1)[:, :n].ravel().astype(np.int32)
                 row, cell = np.repeat(np.arange(len(x)), n), cells[best]
                 order = np.lexsort((cell, row))
                 row, cell, best = row[order], cell[order], best[order]
                 starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])])
                 raw = np.array([v.tobytes() for v in x], object)
-                yield pd.DataFrame({"cell": cell[starts].astype("int32"), "query_id": ids[row[starts]], "query": raw[row[starts]], "lists": [part.tobytes() for part in np.split(best, starts[1:])]})
+                yield pd.DataFrame({"cell": cell[starts].astype("int32"), "query_id": ids[row[starts]], "query_no": numbers[row[starts]], "query": raw[row[starts]], "lists": [part.tobytes() for part in np.split(best, starts[1:])]})
 
     return probe
 
@@ -241,9 +241,9 @@ def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def merged(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
     """The k best rows of each query; ties go to the smaller id."""
     rows = pd.concat(found, ignore_index=True)
-    order = np.lexsort((rows["vec_id"], -rows["score"], rows["query_id"]))
+    order = np.lexsort((rows["vec_id"], -rows["score"], rows["query_no"], rows["query_id"]))
     rows = rows.iloc[order]
-    return rows[(rows.groupby("query_id").cumcount() < k).to_numpy()]
+    return rows[(rows.groupby(["query_id", "query_no"]).cumcount() < k).to_numpy()]
 
 
 def _search(index, k: int, rerank: int):
@@ -261,7 +261,7 @@ def _search(index, k: int, rerank: int):
                 ids = [np.frombuffer(e["ids"], np.int64) for e in block]
                 sizes = np.array([len(i) for i in ids])
                 flat, at = np.concatenate(ids), np.cumsum(sizes) - sizes
-                query_ids = np.array([e["query_id"] for e in queries])
+                query_ids, query_nos = (np.array([e[name] for e in queries]) for name in ("query_id", "query_no"))
                 q = np.frombuffer(b"".join(e["query"] for e in queries)).reshape(len(queries), dim)
                 asked = [np.frombuffer(e["lists"], np.int32) for e in queries]
                 asker, asked = np.repeat(np.arange(len(q)), [len(a) for a in asked]), np.concatenate(asked)
@@ -284,18 +284,20 @@ def _search(index, k: int, rerank: int):
                 top = min(rerank, len(block))
                 best = np.argpartition(-near, top - 1, axis=1)[:, :top]
                 exact = inner_products(q[:, None, :], x[best])
-                out_q, out_v, out_s = [], [], []
+                out_q, out_n, out_v, out_s = [], [], [], []
                 for r in range(len(q)):
                     entry = best[r]
                     score = np.repeat(exact[r], sizes[entry])
                     who = np.concatenate([flat[at[e] : at[e] + sizes[e]] for e in entry])
-                    other = who != query_ids[r]
+                    # the query's own row is that of its id and its vector
+                    other = (who != query_ids[r]) | np.repeat((x[entry] != q[r]).any(1), sizes[entry])
                     score, who = score[other], who[other]
                     order = np.lexsort((who, -score))[:k]
                     out_q.append(np.full(len(order), query_ids[r]))
+                    out_n.append(np.full(len(order), query_nos[r]))
                     out_v.append(who[order])
                     out_s.append(score[order])
-                held.append(pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)}))
+                held.append(pd.DataFrame({"query_id": np.concatenate(out_q), "query_no": np.concatenate(out_n), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)}))
                 size += len(held[-1])
                 if size > HELD:
                     held = [merged(held, k)]
@@ -314,7 +316,8 @@ def search(df: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", ve
 
     Nearest: largest inner product, exact on the original vectors; ties go to the smaller id. Rows whose vector is null, zero, holds
     null or non-finite components or has another length than most take no part, nor do rows with a null id; equal rows count
-    once. Fewer rows than k: all of them. No rows: no result. Other columns are ignored. probes: lists read for a query; as
+    once. Rows that share an id but not a vector are queries of their own, each with its list of k under that id, and neighbours of
+    each other. Fewer rows than k: all of them. No rows: no result. Other columns are ignored. probes: lists read for a query; as
     many as probes_wanted measures where it is None.
     """
     spark = df.sparkSession
@@ -330,16 +333,16 @@ def search(df: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", ve
     blocks_of = lists.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = lists.join(F.broadcast(blocks_of), "cell").withColumn("part", F.col("salt") % F.col("blocks"))  # MOST_LISTS rows at most
     blocks = dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("list", "ids", "along", "length", "codes", "vector")).alias("block"))
-    asked = rows.where(is_query)
+    asked = rows.where(is_query).withColumn("query_no", F.xxhash64("vector"))
     if probes is None:
         probes = probes_wanted(index, lists, asked, k)
-    asked = asked.mapInPandas(_probes(sent, probes), "cell int, query_id bigint, query binary, lists binary")
+    asked = asked.mapInPandas(_probes(sent, probes), "cell int, query_id bigint, query_no bigint, query binary, lists binary")
     asked = written(asked, "probes")
     chunks_of = asked.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     asked = asked.join(F.broadcast(chunks_of), "cell").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")))
-    queries = asked.groupBy("cell", "chunk").agg(F.collect_list(F.struct("query_id", "query", "lists")).alias("queries"))
+    queries = asked.groupBy("cell", "chunk").agg(F.collect_list(F.struct("query_id", "query_no", "query", "lists")).alias("queries"))
     # a chunk goes to each block of its cell; so a dense cell's work is dealt out over its blocks, not done under one key
     queries = queries.join(F.broadcast(blocks_of), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    found = blocks.join(queries, ["cell", "part"]).select("block", "queries").mapInPandas(_search(sent, k, rerank), "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = blocks.join(queries, ["cell", "part"]).select("block", "queries").mapInPandas(_search(sent, k, rerank), "query_id bigint, query_no bigint, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_no").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
