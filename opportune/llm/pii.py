@@ -9,15 +9,18 @@ format's index range, rotated so that no value maps to itself). So, for one key
 
 `collisions` checks both properties over a whole table.
 
-Types: email, ip, card (Luhn-valid; the surrogate is too), iban (check digits hold), phone, ssn, key and secret, name. Given names
-are those of a list, by gender and script, as written or in capitals. A capitalised word after a given name or a title is a family
+Types: email, ip, card (Luhn-valid; the surrogate is too), iban (check digits hold), phone, ssn, passport, birth (a date after
+words that say so; the surrogate is a date in the same writing), key and secret (also the password of a URL), name. Numbers after
+"version" are no addresses, names of saints and institutions no persons. Given names are those of a list, by gender and script, as written or in capitals. A capitalised word after a given name or a title is a family
 name (initials and particles may stand between; hyphens and apostrophes belong to it), and so is every later or earlier mention of
-that word in the same text, so that no mention is left beside its surrogate. A family name keeps its script, its vowels' and
+that word in the same text, so that no mention is left beside its surrogate; so are the capitalised words after CUES. A family
+name keeps its script, its vowels' and
 consonants' places, and Slavic and Greek endings that tell gender. Names that are on no list and follow none stay: a limit.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import re
 from collections.abc import Iterator
@@ -40,7 +43,11 @@ GIVEN_NAMES = {
     ("greek", "m"): "Γεώργιος Δημήτριος Ιωάννης Κωνσταντίνος Νικόλαος".split(),
 }
 # Titles that a family name follows.
-TITLES = ["Mr", "Mr.", "Mrs", "Mrs.", "Ms", "Ms.", "Dr.", "Prof.", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora"]
+TITLES = ["Mr", "Mr.", "Mrs", "Mrs.", "Ms", "Ms.", "Dr", "Dr.", "Prof", "Prof.", "Professor", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora"]
+# Words that a full name follows, words before a saint's name, words after a name that make it an institution's.
+CUES = ["my name is", "My name is", "name:", "Name:", "NAME:"]
+SAINTS = ("Saint ", "St. ", "St ", "San ", "Santa ", "Sankt ", "Sainte ")
+INSTITUTION = re.compile(r"[ \xa0](?:University|College|Institute|School|Hospital|Street|Road|Avenue|Lane|Square|Airport|County|Inc|Ltd|LLC|GmbH|Corp)(?![\w])", re.IGNORECASE)
 # Words that a secret follows.
 SECRET_WORDS = ["password", "passwd", "secret", "token", "api_key", "apikey", "api-key"]
 
@@ -58,8 +65,16 @@ EMAIL = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]{1,64})@((?:[A-Za-z0-9-]{1,63
 NUMBERS = re.compile(r"[+(]?\d[\d().\- ]{4,40}\d")
 CARD = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])")
 IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)")
-PHONE = re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)")
+PHONE = re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{2,4} \d{3,4} \d{3,4})(?!\d)")
 SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
+#: A social security number without separators, a passport's number and a date of birth: only after words that say so.
+SAID_SSN = re.compile(r"(?:\bSSN|social security(?: number| no\.?)?)(?: is)?[:# ]{1,3}(\d{9})(?!\d)", re.IGNORECASE)
+PASSPORT = re.compile(r"\bpassport(?: number| no\.?)?(?: is)?[:# ]{1,3}([A-Z]{0,2}\d{6,9})(?![A-Za-z0-9])", re.IGNORECASE)
+BIRTH = re.compile(r"(?:date of birth|\bDOB|\bborn(?: on)?)(?: is)?[: ]{1,3}((?:19|20)\d\d-\d\d-\d\d|\d\d[/.]\d\d[/.](?:19|20)\d\d)(?!\d)", re.IGNORECASE)
+URL_SECRET = re.compile(r"://[^\s/:@]{1,64}:([^\s/@]{4,200})@")
+VERSION = re.compile(r"(?:version|release|build|ver\.?|\bv\.?) ?$", re.IGNORECASE)
+#: First and last day of a surrogate date of birth.
+BIRTH_DAYS = (dt.date(1900, 1, 1), dt.date(2029, 12, 31))
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(AKIA|ASIA)([A-Z0-9]{16})(?![A-Za-z0-9])")
 SECRET = re.compile(r"(?:password|passwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/.~-]{6,200})", re.IGNORECASE)
@@ -67,6 +82,8 @@ SECRET = re.compile(r"(?:password|passwd|secret|token|api[_-]?key)[\"']?\s{0,3}[
 NAME = r"[^\W\d_]{2,40}(?:(?!['’][sS](?!\w))['’\-][^\W\d_]{1,40}){0,3}"
 #: What follows a given name or a title: initials, particles, the family name.
 FAMILY = re.compile(rf"[ \t\xa0]{{1,3}}(?:[^\W\d_]\.[ \t\xa0]{{0,3}}){{0,3}}(?:(?:van|von|der|den|de|del|della|di|la|le|du|dos|da|bin|ibn|al)[ \t\xa0]){{0,3}}((?:[OD]['’])?{NAME})(?![\w])")
+#: Two words of a full name.
+FULL = re.compile(rf"[ \t\xa0]{{1,3}}({NAME})[ \t\xa0]{{1,3}}(?:[^\W\d_]\.[ \t\xa0]{{0,3}}){{0,3}}((?:[OD]['’])?{NAME})(?![\w])")
 WORDS = re.compile(rf"(?<![\w'’\-])(?:[OD]['’])?{NAME}(?![\w])")
 
 
@@ -190,6 +207,21 @@ class Surrogates:
     def _ssn(self, value: str) -> str:
         return _written_as(value, self.spelled("ssn", value.replace("-", ""), [DIGITS] * 9))
 
+    def _passport(self, value: str) -> str:
+        return self._plain("passport", value)
+
+    def _birth(self, value: str) -> str:
+        day_first = value[2] in "/."
+        at = (value[6:], value[3:5], value[:2]) if day_first else value.split("-")
+        first, last = BIRTH_DAYS
+        days = (last - first).days + 1
+        try:
+            day = (dt.date(*map(int, at)) - first).days
+        except ValueError:  # no day of the calendar
+            return self._plain("birth", value)
+        new = first + dt.timedelta(self._permutation("birth", days)(day % days))
+        return f"{new.day:02d}{value[2]}{new.month:02d}{value[5]}{new.year}" if day_first else new.isoformat()
+
     def _key(self, value: str) -> str:
         return value[:4] + self.spelled("key", value[4:], [LOWER + DIGITS] * (len(value) - 4)).upper()
 
@@ -255,6 +287,8 @@ def _anchor_words():
                     _anchors.add_word(form, ("given", len(form) - 1))
         for title in TITLES:
             _anchors.add_word(title + " ", ("title", len(title)))
+        for cue in CUES:
+            _anchors.add_word(cue + " ", ("cue", len(cue)))
         for word in SECRET_WORDS:
             for form in {word, word.upper(), word.capitalize()}:
                 _anchors.add_word(form, ("secret", len(form) - 1))
@@ -269,6 +303,8 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     if "@" in text:
         found += [(*m.span(), "email") for m in EMAIL.finditer(text)]
+    if "://" in text:
+        found += [(*m.span(1), "secret") for m in URL_SECRET.finditer(text)]
     names: list[tuple[int, int, str]] = []
     for end, (kind, size) in _anchor_words().iter(text):
         start = end - size
@@ -278,7 +314,10 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         elif kind == "secret":
             if m := SECRET.match(text, start):
                 found.append((*m.span(1), "secret"))
-        elif start == 0 or not text[start - 1].isalnum():
+        elif kind == "cue":
+            if m := FULL.match(text, end):
+                names += [(*m.span(k), "given" if _is_given(m[k]) else "family") for k in (1, 2) if m[k][0].isupper()] if m[1][0].isupper() and m[2][0].isupper() else []
+        elif (start == 0 or not text[start - 1].isalnum()) and not text.endswith(SAINTS, max(0, start - 8), start):
             stop = end + 1 if kind == "given" else end
             if kind == "given":
                 if stop < len(text) and (text[stop].isalnum() or text[stop] == "_"):
@@ -288,12 +327,16 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                 names.append((*m.span(1), "family"))
     if families := {text[a:b].lower() for a, b, kind in names if kind == "family"}:
         # the other mentions of a family name in this text
-        names += [(*m.span(), "family") for m in WORDS.finditer(text) if m[0][0].isupper() and m[0].lower() in families]
+        names += [(*m.span(), "family") for m in WORDS.finditer(text) if m[0][0].isupper() and m[0].lower() in families and not INSTITUTION.match(text, m.end())]
     if "0" <= max(text, default="") and NUMBERS.search(text):
         for kind, pattern, valid in (("iban", IBAN, _valid_iban), ("card", CARD, lambda v: not luhn(re.sub(r"\D", "", v))), ("ip", IP, None), ("ssn", SSN, None), ("phone", PHONE, lambda v: 8 <= sum(map(str.isdigit, v)) <= 15)):
-            found += [(*m.span(), kind) for m in pattern.finditer(text) if valid is None or valid(m[0])]
+            found += [(*m.span(), kind) for m in pattern.finditer(text) if (valid is None or valid(m[0])) and not (kind == "ip" and VERSION.search(text[max(0, m.start() - 10) : m.start()]))]
+    low = text.lower()
+    for kind, pattern, words in (("ssn", SAID_SSN, ("ssn", "social security")), ("passport", PASSPORT, ("passport",)), ("birth", BIRTH, ("birth", "dob", "born"))):
+        if any(w in low for w in words):
+            found += [(*m.span(1), kind) for m in pattern.finditer(text)]
     found += names
-    order = {kind: k for k, kind in enumerate(("email", "key", "secret", "iban", "card", "ip", "ssn", "phone", "given", "family"))}
+    order = {kind: k for k, kind in enumerate(("secret", "email", "key", "iban", "card", "ip", "ssn", "passport", "birth", "phone", "given", "family"))}
     out: list[tuple[int, int, str]] = []
     for entity in sorted(found, key=lambda e: (e[0], order[e[2]], -e[1])):
         if not out or entity[0] >= out[-1][1]:

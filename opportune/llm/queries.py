@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 import warnings
 from collections.abc import Callable
 
@@ -80,11 +81,18 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+_own_key: list[bytes] = []
+
+
 def pii_key() -> bytes:
-    """The surrogates' key, from OPPORTUNE_PII_KEY; where it is unset, a public one for tests, with a warning: its surrogates can be inverted."""
-    if not (key := os.environ.get("OPPORTUNE_PII_KEY")):
-        warnings.warn("OPPORTUNE_PII_KEY is unset: surrogates under the public test key can be inverted by anyone", stacklevel=2)
-    return (key or "public test key").encode()
+    """The surrogates' key, from OPPORTUNE_PII_KEY; where it is unset, one drawn for this process, with a warning: nobody can invert
+    its surrogates, and those of two processes don't match."""
+    if key := os.environ.get("OPPORTUNE_PII_KEY"):
+        return key.encode()
+    if not _own_key:
+        warnings.warn("OPPORTUNE_PII_KEY is unset: surrogates of this process won't match those of another", stacklevel=2)
+        _own_key.append(secrets.token_bytes(32))
+    return _own_key[0]
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +135,8 @@ WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHER
 ok AS (SELECT * FROM v WHERE len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
 usual AS (SELECT len(x) AS n FROM ok GROUP BY 1 ORDER BY count(*) DESC, n LIMIT 1), u AS (SELECT * FROM ok WHERE len(x) = (SELECT n FROM usual)),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])), lambda a, b: a + b) AS score
-      FROM u q JOIN u c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
+             , q.x FROM u q JOIN u c ON NOT (c.vec_id = q.vec_id AND c.x = q.x) WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id, x ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
 
 
 #: Records' types from the pages themselves.
