@@ -184,6 +184,15 @@ def test_odd_vectors_take_no_part(spark):
     assert ann.search(df.limit(0), "true").count() == 0
 
 
+def test_rows_that_share_an_id_are_queries_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, [1.0, 1.0]), (20, [1.0, 0.0]), (0, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in ann.search(df, "vec_id = 0", k=2).collect())
+    assert got == [(0, 1, 1, 2.0), (0, 1, 2, 3.0), (0, 2, 3, 1.0), (0, 2, 3, 1.0)]
+    every = sorted(tuple(r) for r in ann.search(df, "vec_id = 0", k=9).collect())
+    assert len(every) == 10 and sum(r[2] == 0 for r in every) == 2  # each of the two is a neighbour of the other
+
+
 # ---- decontamination
 
 

@@ -160,6 +160,26 @@ def test_license_scan_runs_no_python(spark):
     assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_no_term_or_phrase_is_left_out_for_room(spark, monkeypatch):
+    """A lexicon has as many terms and exceptions as qualify; one that can't be broadcast raises."""
+    random.seed(4)
+    letters = lambda k: "".join(chr(97 + k // 26**i % 26) for i in (2, 1, 0))
+    bad = [f"{letters(k)}zq{letters(k * 7 % 17_000)}" for k in range(700)]
+    rows = []
+    for k in range(1200):
+        words = [f"{letters(random.randrange(5000))}w" for _ in range(8)]
+        rows.append((k, " ".join(words + (random.sample(bad, 60) if k % 2 else [f"{random.choice(bad)} fine{k % 3}"] if k % 5 == 0 else [])), k % 2))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    assert len(lexicon.terms) > 512
+    monkeypatch.setattr(toxicity, "LEXICON_CHARS", 100)
+    with pytest.raises(ValueError, match="too large"):
+        toxicity.learn(docs, labels)
+    monkeypatch.setattr(toxicity, "CANDIDATES", 10)
+    with pytest.raises(ValueError, match="over 10 terms"):
+        toxicity.learn(docs, labels)
+
+
 # ---- personal data
 
 
@@ -281,6 +301,56 @@ def test_tables_with_odd_rows(spark):
     assert pii.pseudonymise(df.limit(0), b"k").count() == 0
 
 
+SAID = [
+    ("call 020 7946 0958 now", "phone", "020 7946 0958"), ("my SSN is 219099999.", "ssn", "219099999"), ("social security number: 219099999", "ssn", "219099999"), ("passport no. AB1234567, issued", "passport", "AB1234567"),
+    ("date of birth: 1984-02-29", "birth", "1984-02-29"), ("DOB 31/12/1999", "birth", "31/12/1999"), ("born on 04.07.2001 there", "birth", "04.07.2001"), ("born 30.02.2001 there", "birth", "30.02.2001"), ("see https://bob:hunter22@host.example.com/x", "secret", "hunter22"),
+    ("Dr Smith left", "family", "Smith"), ("Professor Weber left", "family", "Weber"), ("My name is Ahmed Khan.", "family", "Ahmed"), ("name: Priya R. Patel", "family", "Patel"), ("host 8.8.4.4 is up", "ip", "8.8.4.4"),
+]
+NOT_SAID = ["Saint Paul is a city", "on St. John street", "version 1.2.3.4 is out", "v1.2.3.4", "code 219099999 is no number of a person", "1984-02-29 was a day", "my name is a secret", "passport to 1234567 joys"]
+
+
+@pytest.mark.parametrize("text, kind, value", SAID)
+def test_entities_after_words_that_say_so(text, kind, value):
+    found = [(k, text[a:b]) for a, b, k in pii.entities(text)]
+    assert (kind, value) in found
+    new = pii.Surrogates(b"key").of(kind, value)
+    assert new != value and (kind == "ip" or len(new) == len(value) and [c.isdigit() for c in new] == [c.isdigit() for c in value])
+
+
+@pytest.mark.parametrize("text", NOT_SAID)
+def test_what_only_looks_like_personal_data_stays(text):
+    assert pii.replace(text, pii.Surrogates(b"key"))[0] == text
+
+
+def test_dates_of_birth_stay_apart_and_are_days():
+    import datetime as dt
+
+    s = pii.Surrogates(b"key")
+    days = [(dt.date(1950, 1, 1) + dt.timedelta(k)).isoformat() for k in range(0, 20_000, 7)]
+    new = [s.of("birth", d) for d in days]
+    assert len({*new}) == len(days) and all(dt.date.fromisoformat(n) for n in new)
+    y, m, d = s.of("birth", "1984-02-29").split("-")
+    assert s.of("birth", "29/02/1984") == f"{d}/{m}/{y}"  # one day, one surrogate, in either writing
+
+
+def test_institutions_keep_a_familys_name():
+    new, log = pii.replace("Mr Brown studied at Brown University; Brown left.", pii.Surrogates(b"key"))
+    assert "Brown University" in new and len(log) == 2 and new.count("Brown") == 1
+
+
+def test_a_key_that_is_not_set_is_drawn(monkeypatch):
+    monkeypatch.delenv("OPPORTUNE_PII_KEY", raising=False)
+    monkeypatch.setattr(queries, "_own_key", [])
+    with pytest.warns(UserWarning, match="OPPORTUNE_PII_KEY"):
+        key = queries.pii_key()
+    assert len(key) == 32 and queries.pii_key() == key
+    monkeypatch.setattr(queries, "_own_key", [])
+    with pytest.warns(UserWarning):
+        assert queries.pii_key() != key
+    monkeypatch.setenv("OPPORTUNE_PII_KEY", "mine")
+    assert queries.pii_key() == b"mine"
+
+
 def test_query_equals_plain_replacement_without_collisions(spark):
     s = pii.Surrogates(queries.pii_key())
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(1500).collect()}

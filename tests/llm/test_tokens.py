@@ -196,6 +196,43 @@ def test_packing_is_dense(spark):
     assert r.t / (r.n * packing.LENGTH) > 0.9
 
 
+def plain_fills(sizes, length):
+    """Tokens of each row of best-fit decreasing, looking at every open row."""
+    fills = []
+    for size in sorted(sizes, reverse=True):
+        fit = [k for k, f in enumerate(fills) if f + size <= length]
+        if fit:
+            best = max(fit, key=lambda k: fills[k])
+            fills[best] += size
+        else:
+            fills.append(size)
+    return sorted(fills)
+
+
+def test_registered_packing_equals_plain_packing_of_the_librarys_ids(spark, library):
+    packed = queries.op4_packed_ids(spark, DATA)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got, by_task = {}, {}
+    for r in packed.collect():
+        ids = np.frombuffer(r.input_ids, "<u2").reshape(r.n_rows, packing.LENGTH)
+        place = np.frombuffer(r.position_ids, "<u2").reshape(r.n_rows, packing.LENGTH)
+        for k, (cuts, docs, parts) in enumerate(zip(r.cu_seqlens, r.doc_ids, r.parts)):
+            assert cuts[0] == 0 and cuts[-1] <= packing.LENGTH
+            by_task.setdefault(r.matrix_id >> 32, []).append(cuts)
+            for doc, part, a, b in zip(docs, parts, cuts, cuts[1:]):
+                assert place[k, a:b].tolist() == list(range(b - a)) and (doc, part) not in got
+                got[doc, part] = ids[k, a:b].tolist()
+    want = {}
+    for doc, text in texts.items():
+        ids = library.encode(text, add_special_tokens=False).ids
+        want |= {(doc, k): ids[at : at + packing.LENGTH] for k, at in enumerate(range(0, len(ids), packing.LENGTH))}
+    assert got == want
+    for rows in by_task.values():
+        sizes = [b - a for cuts in rows for a, b in zip(cuts, cuts[1:])]
+        assert sum(sizes) < packing.WINDOW  # one window
+        assert sorted(cuts[-1] for cuts in rows) == plain_fills(sizes, packing.LENGTH)
+
+
 def test_write(spark, tmp_path):
     packing.write(packing.pack(odd_table(spark), WORD, length=64), str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() > 0
