@@ -3,9 +3,9 @@
 Texts are words: lower case, ASCII punctuation dropped; a character of a script without spaces is a word. Seeds are the items'
 word triples, in a row or with one word left out between (SHAPES), so a copy has seeds even if every third word was changed, or
 one was put in after every second. Rarity decides where a seed counts: a copy of an item of n different words that must have k
-of them in common has one of the item's n - k + 1 rarest (a prefix filter, exact), so an item's seeds are looked at only in
-stretches of text in which one of its rarest words stands. An opening that thousands of items share costs nothing elsewhere, and
-no seed is left out for being frequent. Documents are scanned in one map-only pass; only passages around seeds leave it, with the
+of them in common has one of the item's n - k + 1 rarest (a prefix filter, exact), so where many items hold a stretch's seeds,
+only those are looked at of which one of the rarest words stands there. An opening that thousands of items share costs nothing
+elsewhere, and no seed is left out for being frequent. Documents are scanned in one map-only pass; only passages around seeds leave it, with the
 items that they share seeds and enough words with. Pairs are aligned word by word, so edited and paraphrased copies score by
 what they kept.
 
@@ -35,6 +35,8 @@ SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 SEED = 3
 #: Most seeds of the items that are searched for in one scan.
 BLOCK = 1_000_000
+#: Owners of a stretch's seeds up to which all of them are looked at.
+FEW = 20_000
 #: Numbers in each table of the alignments that advance together; bounds a worker's memory.
 CELLS = 1 << 19
 #: Alignment: points of an equal word, cost of another word, cost of a missing or added word.
@@ -140,33 +142,20 @@ class Seeds:
         """(first, past last, items): pieces of a document with seeds of those items and enough of their words; at: places of the seeds found.
 
         The document is taken in stretches that overlap by what an alignment may span, three times the longest item: each alignment
-        is whole in one. Only items of which a stretch has a rare word are looked at there, and as many at a time as have CELLS places.
+        is whole in one. Where a stretch's seeds have over FEW owners, only items of which it has a rare word are looked at, and as
+        many at a time as have CELLS places; others couldn't have enough words, so nothing depends on it but the cost.
         """
         step = 3 * self.margin
         for start in range(0, max(1, len(words) - step), step):
             part = slice(*np.searchsorted(at, [start, start + 2 * step]))
             if part.stop == part.start:
                 continue
-            here = {w for w in words[max(0, start - self.margin) : start + 2 * step + self.margin + SEED + 1]}
-            lists = [self.rare[w] for w in here if w in self.rare]
-            if not lists:
-                continue
-            items = np.unique(np.concatenate(lists))
-            own, number = np.unique(seed[part], return_inverse=True)
-            order = np.argsort(number, kind="stable")  # places by seed
-            places, first = at[part][order], np.searchsorted(number[order], np.arange(len(own) + 1))
-            k, item = self.owned(own, items)
-            by_item = np.argsort(item, kind="stable")
-            k, item = k[by_item], item[by_item]
-            total = np.cumsum(first[k + 1] - first[k])
-            spans, low = [], 0
-            while low < len(k):
-                high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + CELLS, "right")))
-                if high < len(k):  # an item's seeds stay together, if it hasn't more places than CELLS itself
-                    whole = int(np.searchsorted(item, item[high]))
-                    high = whole if whole > low else int(np.searchsorted(item, item[high], "right"))
-                spans += self._spans(words, items[item[low:high]], *gather(places, first[k[low:high]], first[k[low:high] + 1] - first[k[low:high]]))
-                low = high
+            first = self.starts[seed[part]]
+            sizes = self.starts[seed[part] + 1] - first
+            if sizes.sum() <= FEW:
+                spans = self._spans(words, gather(self.owners, first, sizes)[0], np.repeat(at[part], sizes))
+            else:
+                spans = self._rare_spans(words, start, start + 2 * step, at[part], seed[part])
             piece: tuple[int, int, set[int]] | None = None
             for lo, hi, mine in sorted(spans):
                 if piece is not None and lo <= piece[1]:
@@ -179,12 +168,33 @@ class Seeds:
             if piece is not None:
                 yield piece[0], piece[1], sorted(piece[2])
 
-    def _spans(self, words: list[bytes], item: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int]]:
-        """Runs of an item's places within margin of each other, with margin words around them, that have enough of the item's words.
+    def _rare_spans(self, words: list[bytes], start: int, stop: int, at: np.ndarray, seed: np.ndarray) -> list[tuple[int, int, int]]:
+        """The spans of the items of which words[start:stop] and what is around it has a rare word."""
+        here = {*words[max(0, start - self.margin) : stop + self.margin + SEED + 1]}
+        lists = [self.rare[w] for w in here if w in self.rare]
+        if not lists:
+            return []
+        items = np.unique(np.concatenate(lists))
+        own, number = np.unique(seed, return_inverse=True)
+        order = np.argsort(number, kind="stable")  # places by seed
+        places, first = at[order], np.searchsorted(number[order], np.arange(len(own) + 1))
+        k, item = self.owned(own, items)
+        by_item = np.argsort(item, kind="stable")
+        k, item = k[by_item], item[by_item]
+        sizes = first[k + 1] - first[k]
+        total = np.cumsum(sizes)
+        spans, low = [], 0
+        while low < len(k):
+            high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + CELLS, "right")))
+            if high < len(k):  # an item's seeds stay together, if it hasn't more places than CELLS itself
+                whole = int(np.searchsorted(item, item[high]))
+                high = whole if whole > low else int(np.searchsorted(item, item[high], "right"))
+            spans += self._spans(words, np.repeat(items[item[low:high]], sizes[low:high]), gather(places, first[k[low:high]], sizes[low:high])[0])
+            low = high
+        return spans
 
-        place: of each entry of item, `sizes` of them.
-        """
-        owner = np.repeat(item, sizes)
+    def _spans(self, words: list[bytes], owner: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int]]:
+        """Runs of an item's places within margin of each other, with margin words around them, that have enough of the item's words."""
         order = np.lexsort((place, owner))
         owner, place = owner[order], place[order]
         edges = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (np.diff(place) > self.margin), True])

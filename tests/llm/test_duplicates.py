@@ -228,9 +228,10 @@ def leak_tables(spark):
     return spark.createDataFrame([(*d, "z") for d in docs], "doc_id long, text string, item_id string"), spark.createDataFrame(bench, "item_id long, text string")
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK, 50])
-def test_leaks_equal_full_alignment(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, few", [(decontaminate.BLOCK, decontaminate.FEW), (50, 0)])
+def test_leaks_equal_full_alignment(spark, monkeypatch, block, few):
     monkeypatch.setattr(decontaminate, "BLOCK", block)
+    monkeypatch.setattr(decontaminate, "FEW", few)
     docs, bench = leak_tables(spark)
     got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(docs, bench).collect()}
     want = {}
@@ -313,8 +314,9 @@ def test_a_seed_that_thousands_of_items_share_costs_little(monkeypatch):
     at = np.flatnonzero(np.isin(h, seeds.hashes))
     seed = np.searchsorted(seeds.hashes, h[at])
     found = []
-    for cells in (decontaminate.CELLS, 1000):
+    for cells, few in ((decontaminate.CELLS, decontaminate.FEW), (1000, 0)):
         monkeypatch.setattr(decontaminate, "CELLS", cells)
+        monkeypatch.setattr(decontaminate, "FEW", few)
         tracemalloc.start()
         found.append([*seeds.passages(words, places[at], seed)])
         assert tracemalloc.get_traced_memory()[1] < 40e6  # all places of all items: 15 million
