@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import small
 from .opportunity import CELL
 
 
@@ -98,6 +99,23 @@ def difference_by_level(df: DataFrame, group: str, covariate: str) -> DataFrame:
     return p.withColumn("difference", F.abs(F.col("p1") - F.col("p0")) / F.nullif(pooled, F.lit(0.0)))
 
 
+def balance_by_item(all_seen: DataFrame, covariate: str) -> DataFrame:
+    """(item, covariate, level, p1, p0, difference): shares of a category among episodes that show an item and those that don't, for every item.
+
+    all_seen: one row for each episode and item. Counts by item and level and by level alone say it all; null levels don't count.
+    """
+    rows = all_seen.where(F.col(covariate).isNotNull())
+    total = rows.groupBy(covariate).agg(F.countDistinct("episode").alias("n"))
+    shown = rows.groupBy("item", covariate).agg(F.count("*").alias("a"))
+    grid = rows.select("item").distinct().crossJoin(small(total)).join(shown, ["item", covariate], "left").fillna(0, ["a"])  # items x levels
+    own = Window.partitionBy("item")
+    p1 = F.col("a") / F.nullif(F.sum("a").over(own), F.lit(0))
+    p0 = (F.col("n") - F.col("a")) / F.nullif(F.sum(F.col("n") - F.col("a")).over(own), F.lit(0))
+    out = grid.select("item", F.lit(covariate).alias("covariate"), F.col(covariate).alias("level"), p1.alias("p1"), p0.alias("p0"))
+    pooled = F.sqrt((F.col("p1") * (1 - F.col("p1")) + F.col("p0") * (1 - F.col("p0"))) / 2)
+    return out.withColumn("difference", F.abs(F.col("p1") - F.col("p0")) / F.nullif(pooled, F.lit(0.0)))
+
+
 def level_correlations(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson correlation of every two levels' indicators of two categories, from counts (phi)."""
     n = df.agg(F.count("*").alias("n"))

@@ -64,7 +64,7 @@ def cell_states(observations: DataFrame, min_support: int, intrinsic: DataFrame
     """
     items = observations.select("item").distinct()
     sizes = observations.groupBy(*CELL).agg(F.countDistinct("episode").alias("episodes"))
-    state = sizes.crossJoin(F.broadcast(items)).join(availability(observations, min_support, intrinsic).drop("is_eligible", "is_intrinsic"), [*CELL, "item"], "left")
+    state = sizes.crossJoin(small(items)).join(availability(observations, min_support, intrinsic).drop("is_eligible", "is_intrinsic"), [*CELL, "item"], "left")
     state = state.fillna({"support": 0, "is_available": False})
     named = intrinsic.select("stratum", "item", F.lit(True).alias("is_intrinsic")).distinct() if intrinsic is not None else None
     state = state.join(named, ["stratum", "item"], "left") if named is not None else state.withColumn("is_intrinsic", F.lit(False))

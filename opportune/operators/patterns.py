@@ -6,6 +6,8 @@ eligible downstream items. Only pairs that were both observed in an episode are
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,6 +118,21 @@ def compared(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
     return x.join(y, PAIR, "full_outer").withColumn("presence", presence).withColumn("log_difference", F.log(f"ratio_{left}") - F.log(f"ratio_{right}"))
 
 
+def compared_scopes(edge_table: DataFrame, scope: str, scopes: Sequence[str]) -> DataFrame:
+    """Every two scopes' edges side by side: (pair, first, second, ratio_first, ratio_second, presence, log_difference).
+
+    An edge goes to each two scopes that its own is one of, and one grouping puts the two together. scopes: all names, in order.
+    """
+    two = [(a, b) for i, a in enumerate(scopes) for b in scopes[i + 1 :]]
+    sides = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second")) for a, b in two])
+    mine = F.filter(sides, lambda s: (s["first"] == F.col(scope)) | (s["second"] == F.col(scope)))
+    rows = edge_table.select(*PAIR, scope, "ratio", F.inline(mine))
+    pick = lambda side: F.max(F.when(F.col(scope) == F.col(side), F.col("ratio"))).alias(f"ratio_{side}")
+    out = rows.groupBy(*PAIR, "first", "second").agg(pick("first"), pick("second"))
+    presence = F.when(F.col("ratio_second").isNull(), "first_only").when(F.col("ratio_first").isNull(), "second_only").otherwise("shared")
+    return out.withColumns({"presence": presence, "log_difference": F.log("ratio_first") - F.log("ratio_second")})
+
+
 def threshold_grid(edge_table: DataFrame, totals: list[int], branches: list[int], events: list[int]) -> DataFrame:
     """Edges that pass, and their mean ratio, at each combination of gates. The grid is a handful of literal rows."""
     spark = edge_table.sparkSession

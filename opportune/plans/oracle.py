@@ -136,10 +136,11 @@ b AS (SELECT *, CASE WHEN n < 3 THEN 'undifferentiated' WHEN r <= 1 + (n - 1) /
 SELECT asymmetry_bin, count(*) AS edges, round(avg(abs(asymmetry)), 6) AS mean_asymmetry, round(median(ratio), 6) AS median_ratio FROM b GROUP BY ALL""",
     "top_paths": f"WITH {PATHS} SELECT a, b, c, round(path_ratio, 6) AS path_ratio, min_support, path_rank::INT AS path_rank FROM top",
     "path_flows": f"WITH {PATHS}, s AS (SELECT 1 AS stage, a AS source, b AS target, min_support FROM top UNION ALL SELECT 2, b, c, min_support FROM top) SELECT stage, source, target, count(*) AS paths, sum(min_support)::BIGINT AS flow FROM s GROUP BY ALL",
-    "edges_site_comparison": f"""WITH {edges(', site')}, x AS (SELECT * FROM edges WHERE passes_support AND ratio > 1 AND site = 'ASIA'), y AS (SELECT * FROM edges WHERE passes_support AND ratio > 1 AND site = 'EUROPE')
-SELECT coalesce(x.upstream, y.upstream) AS upstream, coalesce(x.downstream, y.downstream) AS downstream, round(x.ratio, 6) AS ratio_asia, round(y.ratio, 6) AS ratio_europe,
-CASE WHEN y.ratio IS NULL THEN 'asia_only' WHEN x.ratio IS NULL THEN 'europe_only' ELSE 'shared' END AS presence, round(ln(x.ratio) - ln(y.ratio), 6) AS log_difference
-FROM x FULL JOIN y ON x.upstream = y.upstream AND x.downstream = y.downstream""",
+    "edges_site_comparison": f"""WITH {edges(', site')}, u AS (SELECT upstream, downstream, site, ratio FROM edges WHERE passes_support AND ratio > 1), s AS (SELECT DISTINCT r_name AS site FROM region),
+two AS (SELECT a.site AS first, b.site AS second FROM s a JOIN s b ON a.site < b.site), keys AS (SELECT DISTINCT upstream, downstream, first, second FROM u JOIN two ON u.site IN (first, second))
+SELECT k.upstream, k.downstream, first, second, round(x.ratio, 6) AS ratio_first, round(y.ratio, 6) AS ratio_second, CASE WHEN y.ratio IS NULL THEN 'first_only' WHEN x.ratio IS NULL THEN 'second_only' ELSE 'shared' END AS presence,
+  round(ln(x.ratio) - ln(y.ratio), 6) AS log_difference
+FROM keys k LEFT JOIN u x ON x.upstream = k.upstream AND x.downstream = k.downstream AND x.site = first LEFT JOIN u y ON y.upstream = k.upstream AND y.downstream = k.downstream AND y.site = second""",
     "edge_threshold_grid": f"""WITH {edges()}, a(min_total) AS (VALUES (25), (500), (1500), (2500)), b(min_branch) AS (VALUES (5), (700), (900)), c(min_events) AS (VALUES (5), (200), (300))
 SELECT min_total, min_branch, min_events, count(*) FILTER (ok) AS edges, round(coalesce(avg(ratio) FILTER (ok), 0), 6) AS mean_ratio
 FROM (SELECT *, n_pos + n_neg >= min_total AND n_pos >= min_branch AND n_neg >= min_branch AND k_pos + k_neg >= min_events AS ok FROM edges CROSS JOIN a CROSS JOIN b CROSS JOIN c) GROUP BY ALL""",
@@ -275,8 +276,10 @@ SELECT x.upstream, x.downstream, round(max(y.p), 6) AS max_companion, round(avg(
     "rules_matched": f"""WITH {edges()} SELECT upstream, downstream, round(ratio, 6) AS ratio, (upstream, downstream) IN (VALUES ('Brand#1', 'Brand#3'), ('Brand#2', 'Brand#3'), ('Brand#9', 'Brand#4')) AS in_rule FROM edges WHERE downstream IN ('Brand#3', 'Brand#4', 'Brand#5')""",
     "recent_errors": """SELECT p.event_id AS index_id, count(*) AS errors, round(median(x.value), 6) AS median_value, max(x.value) AS max_value FROM events p JOIN events x ON x.user_id = p.user_id AND x.event_type = 'error' AND x.ts <= p.ts AND x.ts >= p.ts - INTERVAL 7 DAY
 WHERE p.event_type = 'purchase' GROUP BY ALL""",
-    "selection_balance": f"""WITH {RAW}, e AS (SELECT episode, stratum, bool_or(item = 'Brand#5') AS g FROM raw GROUP BY ALL), c AS (SELECT stratum AS level, count(*) FILTER (g) AS a, count(*) FILTER (NOT g) AS b FROM e GROUP BY ALL), p AS (SELECT level, a / sum(a) OVER () AS p1, b / sum(b) OVER () AS p0 FROM c)
-SELECT 'stratum' AS covariate, level, round(p1, 6) AS p1, round(p0, 6) AS p0, round(abs(p1 - p0) / nullif(sqrt((p1 * (1 - p1) + p0 * (1 - p0)) / 2), 0), 6) AS difference FROM p""",
+    "selection_balance": f"""WITH {RAW}, e AS (SELECT DISTINCT episode, stratum FROM raw), i AS (SELECT DISTINCT item FROM raw), has AS (SELECT DISTINCT episode, item FROM raw),
+c AS (SELECT i.item, e.stratum AS level, count(h.episode) AS a, count(*) - count(h.episode) AS b FROM e CROSS JOIN i LEFT JOIN has h ON h.episode = e.episode AND h.item = i.item GROUP BY ALL),
+p AS (SELECT item, level, a / sum(a) OVER (PARTITION BY item) AS p1, b / sum(b) OVER (PARTITION BY item) AS p0 FROM c)
+SELECT item, 'stratum' AS covariate, level, round(p1, 6) AS p1, round(p0, 6) AS p0, round(abs(p1 - p0) / nullif(sqrt((p1 * (1 - p1) + p0 * (1 - p0)) / 2), 0), 6) AS difference FROM p""",
     "stage_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in ("customer", "orders", "lineitem", "part")),
     "identifiability_panel": f"""WITH {GRID} SELECT g.site, g.item, count(*) AS eligible, count(o.outcome) AS known, count(*) FILTER (o.outcome IN ('R', 'A')) AS positive
 FROM grid g LEFT JOIN obs o ON o.episode = g.episode AND o.item = g.item WHERE g.is_available AND NOT g.is_intrinsic GROUP BY ALL""",
@@ -301,6 +304,10 @@ matrix AS (SELECT m.*, coalesce(pattern_log_ratio, 0) AS pattern_log_ratio, coal
 IMPLIED = """, rule(item, implied) AS (VALUES ('Brand#1', 'Brand#11'), ('Brand#2', 'Brand#12'), ('Brand#3', 'Brand#13')),
 both_obs AS (SELECT *, false AS is_implied FROM obs UNION ALL SELECT o.site, o.unit, o.episode, o.time, o.stratum, o.era, implied, o.outcome, true FROM obs o JOIN rule USING (item)
   WHERE NOT EXISTS (SELECT 1 FROM obs x WHERE x.episode = o.episode AND x.item = implied))"""
+OBS_IMPLIED = RAW.replace("raw AS", "raw0 AS", 1) + """, obs0 AS (SELECT site, unit, episode, time, stratum, era, item, min(outcome) AS outcome FROM raw0 GROUP BY ALL HAVING count(DISTINCT outcome) = 1),
+rule(item, implied) AS (VALUES ('Brand#1', 'Brand#11'), ('Brand#2', 'Brand#12'), ('Brand#3', 'Brand#13')),
+added AS (SELECT o.site, o.unit, o.episode, o.time, o.stratum, o.era, implied AS item, o.outcome FROM obs0 o JOIN rule USING (item) WHERE NOT EXISTS (SELECT 1 FROM obs0 x WHERE x.episode = o.episode AND x.item = implied)),
+raw AS (SELECT site, unit, episode, time, stratum, era, item, outcome FROM raw0 UNION ALL FROM added), obs AS (FROM obs0 UNION ALL FROM added)"""
 PATTERNS = counts(", site, stratum") + """ SELECT upstream, downstream, (outcome = 'R')::INT AS exposed, site, stratum, support_n AS n, tested_n AS events FROM counts WHERE outcome IN ('R', 'N')"""
 SUMS = GRID + """, pairs AS (SELECT u.item AS upstream, g.item AS downstream, (u.outcome = 'R')::INT AS e, (o.episode IS NOT NULL)::INT AS y, c.c_acctbal::DOUBLE AS balance, r.o_totalprice::DOUBLE AS price,
     (r.o_orderpriority = '1-URGENT')::INT AS urgent, u.site, u.stratum, year(u.time)::VARCHAR AS year
@@ -372,6 +379,9 @@ FROM j GROUP BY ALL""",
     "screened_edges": f"""WITH {edges()}, free AS (SELECT * FROM (WITH {counts().replace(" AND NOT g.is_intrinsic", "")}, rate AS (SELECT upstream, downstream, sum(tested_n) / sum(support_n) AS p, sum(support_n) AS n FROM counts GROUP BY ALL)
   SELECT x.upstream, x.downstream FROM rate x JOIN rate y ON y.upstream = x.downstream AND y.downstream = x.upstream WHERE x.p >= 0.145 AND y.p >= 0.145 AND x.n >= 25 AND y.n >= 25))
 SELECT upstream, downstream, round(ratio, 6) AS ratio, passes_support FROM edges WHERE (upstream, downstream) NOT IN (SELECT (upstream, downstream) FROM free) AND (downstream, upstream) NOT IN (SELECT (upstream, downstream) FROM free)""",
+    "implied_sensitivity": f"""SELECT coalesce(x.upstream, y.upstream) AS upstream, coalesce(x.downstream, y.downstream) AS downstream, round(x.ratio, 6) AS ratio_observed, round(y.ratio, 6) AS ratio_implied,
+CASE WHEN y.ratio IS NULL THEN 'observed_only' WHEN x.ratio IS NULL THEN 'implied_only' ELSE 'shared' END AS presence, round(ln(x.ratio) - ln(y.ratio), 6) AS log_difference
+FROM (WITH {edges()} SELECT upstream, downstream, ratio FROM edges) x FULL JOIN (WITH {edges().replace(OBS, OBS_IMPLIED, 1)} SELECT upstream, downstream, ratio FROM edges) y ON x.upstream = y.upstream AND x.downstream = y.downstream""",
     "implied_outcomes": f"WITH {OBS}{IMPLIED} SELECT item, is_implied, count(*) AS rows, count(*) FILTER (outcome = 'R') AS positives FROM both_obs GROUP BY ALL",
     "canonical_edges": f"""WITH {edges()}, alias(item, canonical) AS (VALUES ('Brand#21', 'Brand#1'), ('Brand#22', 'Brand#2'), ('Brand#23', 'Brand#2')),
 named AS (SELECT coalesce(a.canonical, e.upstream) AS upstream, coalesce(b.canonical, e.downstream) AS downstream, e.upstream AS u, e.downstream AS d, ratio, n_pos + n_neg AS n FROM edges e LEFT JOIN alias a ON a.item = e.upstream LEFT JOIN alias b ON b.item = e.downstream)

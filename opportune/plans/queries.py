@@ -135,9 +135,9 @@ def path_flows(s, d):
 
 @query
 def edges_site_comparison(s, d):
-    e = edge_table(s, d, ("site",)).where("passes_support")
-    pick = lambda x: e.where(F.col("site") == x)
-    return r6(patterns.compared(pick("ASIA").where("ratio > 1"), pick("EUROPE").where("ratio > 1"), "asia", "europe"))
+    """Escalating edges of every two sites side by side."""
+    e = edge_table(s, d, ("site",)).where("passes_support and ratio > 1")
+    return r6(patterns.compared_scopes(e, "site", SITES))
 
 
 @query
@@ -874,10 +874,8 @@ def recent_errors(s, d):
 
 @query
 def selection_balance(s, d):
-    """Strata of episodes with an item against those without it."""
-    rows = observations(s, d)
-    e = rows.select("episode", "stratum").distinct().join(rows.where("item = 'Brand#5'").select("episode", F.lit(True).alias("g")).distinct(), "episode", "left").withColumn("g", F.coalesce("g", F.lit(False)))
-    return r6(descriptive.difference_by_level(e, "g", "stratum"))
+    """Strata of episodes with an item against those without it, for every item."""
+    return r6(descriptive.balance_by_item(seen(s, d), "stratum"))
 
 
 @query
@@ -997,7 +995,7 @@ def implied_sensitivity(s, d):
     rows = seen(s, d)
     make = lambda o, every: patterns.edges(patterns.branch_counts(o, every, MIN_SUPPORT, intrinsic(s)), POSITIVE, NEGATIVE)
     with_them = implied_rows(s, d).drop("is_implied")
-    every = rows.unionByName(with_them).dropDuplicates(["episode", "item"]) if set(rows.columns) == set(with_them.columns) else rows
+    every = rows.unionByName(with_them).dropDuplicates(["episode", "item"])  # other columns raise
     return r6(patterns.compared(make(known(rows), rows), make(with_them, every), "observed", "implied"))
 
 
