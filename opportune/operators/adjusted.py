@@ -95,7 +95,7 @@ class Rows:
         self.dense = len(numbers) + len(components)
         each = flat.select("episode", "eligible", F.col("results.number").alias("shown"), F.inline("results"), F.array(*scaled, *[F.col(c) for c in components]).cast("array<double>").alias("x"), F.array(*codes).cast("array<int>").alias("levels"))
         each = each.where(F.col("outcome").isin(positive, negative))
-        each = each.select(F.col("number").alias("up"), (F.col("outcome") == positive).cast("int").alias("exposed"), "cluster", F.pmod(F.xxhash64("episode"), F.lit(64)).cast("int").alias("salt"), "x", "levels", "eligible", "shown")
+        each = each.select(F.col("number").alias("up"), (F.col("outcome") == positive).cast("int").alias("exposed"), "cluster", F.pmod(F.xxhash64("episode"), F.lit(64)).cast("int").alias("salt"), F.xxhash64("episode", "number").alias("row_hash"), "x", "levels", "eligible", "shown")
         self.frame = written(each.repartition("up", "salt").sortWithinPartitions("up", "cluster"), "model_rows")
         self.width = len(self.columns)
 
@@ -472,3 +472,98 @@ def contributions(rows: Rows, ridge: float = RIDGE) -> DataFrame:
     sums = summed(rows, items, 1 + len(names), add)
     each = F.inline(F.array(*[F.struct(F.lit(n).alias("domain"), (F.col("sums")[k + 1] / F.col("sums")[0]).alias("importance")) for k, n in enumerate(names)]))
     return rows.named(sums).select(*PAIR, each)
+
+
+#: Most rows that the reference point of contributions is averaged over, most rows that are explained, and how far contributions may be from adding up.
+BACKGROUND, EXPLAINED, ADDITIVITY = 500, 1_000, 1e-8
+_TABLES = {
+    "features": "up int, model int, feature string, domain string, mean_absolute double, mean double, rank int",
+    "domains": "up int, model int, domain string, mean_absolute double, rank int",
+    "rows": "up int, model int, row_hash bigint, feature string, domain string, value double, contribution double",
+    "models": "up int, model int, rows bigint, background int, explained int, features int, expected_log_odds double, largest_error double, adds_up boolean",
+}
+
+
+def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """Uniform 64-bit numbers of row hashes (SplitMix64), other ones for each salt."""
+    with np.errstate(over="ignore"):
+        z = hashes.astype(np.uint64) + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def explanations(rows: Rows, table: str, ridge: float = RIDGE, background: int = BACKGROUND, explained: int = EXPLAINED) -> DataFrame:
+    """Linear contributions (SHAP values of independent columns) of sampled rows of every pair with an estimate, as one of _TABLES.
+
+    A column's contribution to a row's log odds is its coefficient times its distance from the background's mean. The background
+    is the pair's `background` rows of the smallest hashes, the explained rows are the `explained` of the smallest hashes of
+    another kind, fewer if the pair has fewer; so samples are the same however rows are dealt out, and parts' samples merge. A
+    first cut keeps hashes that can be among the smallest (by the pair's known number of rows), so that what is gathered for an
+    upstream item is bounded by the samples. features: by column; domains: a covariate's levels added within a row; rows: the
+    explained rows themselves; models: sizes, the expected log odds, and whether contributions add up within ADDITIVITY.
+    """
+    width, dense, items = rows.width, rows.dense, len(rows.items)
+    columns, domains = rows.columns, [c.split("=")[0] for c in rows.columns]
+    models: dict[int, list] = {}
+    for r in fitted(rows, (ridge,)).where("status = 'ok'").select("up", "model", "n", "width", "matrix", "beta").toLocalIterator():
+        models.setdefault(r["up"], []).append((r["model"], r["n"], np.asarray(r["matrix"]).reshape(width, r["width"]), np.asarray(r["beta"])))
+    shared = rows.frame.sparkSession.sparkContext.broadcast(models)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for up, x, allowed, _, part in _parts(batch, width, dense, items, items):
+                mine = shared.value.get(up)
+                if not mine:
+                    continue
+                hashes = part.column(part.schema.names.index("row_hash")).to_numpy()
+                keep = np.zeros(len(x), bool)
+                for salt, size in ((1, background), (2, explained)):
+                    place = _mixed(hashes, salt).astype(float) / 2.0**64
+                    # the k smallest of n uniform numbers are below this, but for one case in billions; then the sample is as much smaller
+                    limit = np.full(items, -1.0)
+                    limit[[m for m, *_ in mine]] = [(size + 7 * size**0.5 + 20) / n for _, n, *_ in mine]
+                    keep |= ((place[:, None] < limit) & (allowed > 0)).any(1)
+                some = np.flatnonzero(keep)
+                if len(some):
+                    listed = [np.flatnonzero(a).astype(np.int32) for a in allowed[some]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), up, np.int32)), pa.array(hashes[some]), pa.array(list(x[some]), pa.list_(pa.float64())), pa.array(listed, pa.list_(pa.int32()))], ["up", "row_hash", "x", "eligible"])
+
+    def explain(data: pa.Table) -> pa.Table:
+        up = data["up"][0].as_py()
+        hashes = data["row_hash"].to_numpy()
+        x = np.stack(data["x"].to_pylist())
+        allowed = np.zeros((len(x), items), bool)
+        for k, listed in enumerate(data["eligible"].to_pylist()):
+            allowed[k, listed] = True
+        order = {salt: np.lexsort((hashes, _mixed(hashes, salt))) for salt in (1, 2)}
+        out: list[tuple] = []
+        for model, n, matrix, beta in sorted(shared.value[up], key=lambda m: m[0]):
+            base, own = (order[salt][allowed[order[salt], model]][:size] for salt, size in ((1, background), (2, explained)))
+            z, mean = x[own] @ matrix, (x[base] @ matrix).mean(0)
+            part = (z - mean) * beta
+            expected = float(mean @ beta)
+            source = [int(np.flatnonzero(matrix[1:, k])[0]) + 1 if k else 0 for k in range(len(beta))]  # the column that each of the model's is of
+            named = [(columns[j], domains[j]) for j in source]
+            if table == "models":
+                error = float(np.abs(expected + part.sum(1) - z @ beta).max())
+                out.append((up, model, n, len(base), len(own), len(beta) - 1, expected, error, error <= ADDITIVITY))
+            elif table == "features":
+                size = np.abs(part).mean(0)
+                ranks = {k: r + 1 for r, k in enumerate(sorted(range(1, len(beta)), key=lambda k: (-size[k], named[k][0])))}
+                out += [(up, model, *named[k], float(size[k]), float(part[:, k].mean()), ranks[k]) for k in range(1, len(beta))]
+            elif table == "domains":
+                size = {d: float(np.abs(part[:, [k for k in range(1, len(beta)) if named[k][1] == d]].sum(1)).mean()) for d in dict.fromkeys(d for _, d in named[1:])}
+                out += [(up, model, d, size[d], r + 1) for r, d in enumerate(sorted(size, key=lambda d: (-size[d], d)))]
+            else:
+                out += [(up, model, int(hashes[own[r]]), *named[k], float(z[r, k]), float(part[r, k])) for r in range(len(own)) for k in range(1, len(beta))]
+        kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+        fields = [c.split() for c in _TABLES[table].split(", ")]
+        values = zip(*out) if out else [[] for _ in fields]
+        return pa.table([pa.array(list(v), kinds[t]) for v, (_, t) in zip(values, fields)], names=[c for c, _ in fields])
+
+    sampled = rows.frame.mapInArrow(cut, "up int, row_hash bigint, x array<double>, eligible array<int>")
+    out = sampled.groupBy("up").applyInArrow(explain, _TABLES[table])
+    return rows.named(out).select(*PAIR, *[c for c in out.columns if c not in ("up", "model")])

@@ -413,6 +413,18 @@ def adjusted_contributions(s, d):
     return adjusted.contributions(model_rows(s, d))
 
 
+@query
+def adjusted_explanations(s, d):
+    """What the columns of each pair's adjusted model contribute to the log odds of its sampled rows."""
+    return r6(adjusted.explanations(model_rows(s, d), "features"))
+
+
+@query
+def adjusted_explanation_checks(s, d):
+    """Sizes of the samples behind the contributions, and whether these add up."""
+    return adjusted.explanations(model_rows(s, d), "models").drop("largest_error")
+
+
 @query
 def unit_bootstrap(s, d):
     return resampling.unit_bootstrap(model_rows(s, d, covariates=False))
