@@ -72,7 +72,7 @@ RANGES = 4096
 def estimator(kind: str, target: str, features: str, weight: str, width: int, trees: int, rounds: int, seed: int):
     """The Spark ML classifier of a kind: logistic_regression, random_forest, boosted_trees or neural_network. An unknown kind raises.
 
-    The network takes no weights, so its classes aren't balanced.
+    The network takes no weights; see `balanced`.
     """
     from pyspark.ml import classification as C
 
@@ -88,10 +88,22 @@ def estimator(kind: str, target: str, features: str, weight: str, width: int, tr
     raise ValueError(f"no classifier {kind}")
 
 
+def balanced(df: DataFrame, target: str, share: float) -> DataFrame:
+    """df with the rows of its rarer class repeated until both weigh about the same, for estimators without weights; share: that of class 1.
+
+    A row is repeated by the whole part of the classes' ratio, and once more if the hash of its columns is in the rest; so the
+    result, at most twice df's rows, is the same however rows are dealt out.
+    """
+    rare, ratio = (1, (1 - share) / share) if share < 0.5 else (0, share / (1 - share))
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(1_000_000)) / 1_000_000
+    times = F.when(F.col(target) == rare, F.lit(int(ratio)) + (part < ratio - int(ratio)).cast("int")).otherwise(1)
+    return df.withColumn("__again", F.explode(F.array_repeat(F.lit(0), times))).drop("__again")
+
+
 def classifier(
     df: DataFrame, target: str, numbers: Sequence[str], categories: Sequence[str], split: str, kind: str = "logistic_regression", trees: int = 200, rounds: int = 150, seed: int = 42
 ) -> DataFrame:
-    """Scores of a classifier fitted on the rows with split 'train', balanced by class weights, for all rows (Spark ML).
+    """Scores of a classifier fitted on the rows with split 'train', balanced by class weights (the network by repeated rows), for all rows (Spark ML).
 
     A training part of one class raises. Levels of categories that training lacks have a column of their own; null numbers raise.
     """
@@ -108,7 +120,8 @@ def classifier(
     steps += [VectorAssembler(inputCols=[*numbers, *[f"__v_{c}" for c in categories]], outputCol="__r"), StandardScaler(inputCol="__r", outputCol="__x", withMean=False)]
     prepared = Pipeline(stages=steps).fit(train)
     width = prepared.stages[-1].std.size
-    fitted = estimator(kind, target, "__x", "__w", width, trees, rounds, seed).fit(prepared.transform(train))
+    rows = balanced(train, target, share) if kind == "neural_network" else train
+    fitted = estimator(kind, target, "__x", "__w", width, trees, rounds, seed).fit(prepared.transform(rows))
     probability = fitted.getOrDefault("probabilityCol")
     return fitted.transform(prepared.transform(weighted)).select(*df.columns, vector_to_array(probability)[1].alias("score"))
 

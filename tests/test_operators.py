@@ -303,6 +303,16 @@ def test_every_query_without_sql_runs(spark):
         assert len(out.collect()) > 0, name
 
 
+@pytest.mark.parametrize("share", [0.1, 0.37, 0.5, 0.93])
+def test_balanced_rows_weigh_the_same(spark, share):
+    df = spark.range(20_000).selectExpr("id", f"cast(id < {int(20_000 * share)} as int) as t", "id % 7 as x")
+    got = {n: models.balanced(df.repartition(n), "t", share) for n in (1, 5)}
+    one, many = ({tuple(r) for r in g.groupBy("id", "t").count().collect()} for g in got.values())
+    assert one == many and len(one) == 20_000
+    by_class = [sum(n for _, t, n in one if t == k) for k in (0, 1)]
+    assert by_class[0] == pytest.approx(by_class[1], rel=0.03) and max(by_class) == pytest.approx(20_000 * max(share, 1 - share))
+
+
 @pytest.mark.parametrize("kind", ["logistic_regression", "random_forest", "boosted_trees", "neural_network"])
 def test_classifiers_find_a_planted_signal(spark, kind):
     rows = [(float(k % 97), "ab"[k % 2], int((k % 97 > 48) != (k % 19 == 0)), ("train", "validation", "test")[k % 3]) for k in range(1800)] + [(5.0, "new", 0, "test")]
