@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import labels as L
+
 
 def clean_text(df: DataFrame, null_tokens: Sequence[str] = ("Null", "NULL"), upper: Sequence[str] = ()) -> DataFrame:
     """String columns: null tokens to null, then trimmed (a padded token stays text), listed columns in upper case."""
@@ -95,3 +97,19 @@ def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     sides = x.withColumn("__l", F.lit(1)).withColumn("__r", F.lit(0)).unionByName(y.withColumn("__l", F.lit(0)).withColumn("__r", F.lit(1)))
     merged = sides.groupBy(*keys).agg(F.max("__l").alias("l"), F.max("__r").alias("r"))
     return merged.agg(F.count(F.when(F.expr("l = 1 and r = 0"), 1)).alias("only_left"), F.count(F.when(F.expr("l = 0 and r = 1"), 1)).alias("only_right"), F.count(F.when(F.expr("l = 1 and r = 1"), 1)).alias("shared"))
+
+
+def by_entity(df: DataFrame, label: str, scope: str, rules: list[tuple[str, str]], default: str, primary: Sequence[str], excluded: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """df's rows whose label is of a primary entity type and not on the list of excluded labels; and what was left out.
+
+    A label's type is that of the first keyword of rules that it holds; a null label is MISSING_LABEL and never primary. Excluded
+    labels are compared after normalising. What was left out: (scope, label, entity_type, rows), nulls as '<missing>'.
+    """
+    kind = F.when(F.col(label).isNull(), "MISSING_LABEL").otherwise(L.keyword_class(F.col(label), rules, default))
+    barred = F.lit(False)
+    for other in excluded:
+        barred = barred | (L.normalise_label(F.col(label)) == L.normalise_label(F.lit(other)))
+    typed = df.withColumn("__type", kind).withColumn("__stays", F.coalesce(F.col("__type").isin(*primary) & F.col(label).isNotNull() & ~barred, F.lit(False)))
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("<missing>")).alias(c)
+    out = typed.where(~F.col("__stays")).groupBy(named(scope), named(label), F.col("__type").alias("entity_type")).agg(F.count("*").alias("rows"))
+    return typed.where("__stays").drop("__type", "__stays"), out

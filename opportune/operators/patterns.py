@@ -104,9 +104,14 @@ def top_paths(edge_table: DataFrame, n: int) -> DataFrame:
     return best.withColumn("path_rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def flows(paths: DataFrame) -> DataFrame:
-    """Each path as two stages, summed by source and target."""
+def flows(paths: DataFrame, edge_table: DataFrame | None = None, n: int = 30) -> DataFrame:
+    """Each path as two stages, summed by source and target. Without any path, the n strongest edges of edge_table are the only stage."""
     stages = paths.select(F.inline(F.array(F.struct(F.lit(1).alias("stage"), F.col("a").alias("source"), F.col("b").alias("target"), "min_support"), F.struct(F.lit(2).alias("stage"), F.col("b").alias("source"), F.col("c").alias("target"), "min_support"))))
+    if edge_table is not None:
+        support = F.col("n_pos") + F.col("n_neg")
+        single = edge_table.orderBy(F.desc("ratio"), support.desc(), *PAIR).limit(n).select(F.lit(1).alias("stage"), F.col("upstream").alias("source"), F.col("downstream").alias("target"), support.alias("min_support"))
+        none = paths.agg((F.count("*") == 0).alias("__none"))  # one row
+        stages = stages.unionByName(single.crossJoin(F.broadcast(none)).where("__none").drop("__none"))
     return stages.groupBy("stage", "source", "target").agg(F.count("*").alias("paths"), F.sum("min_support").alias("flow"))
 
 

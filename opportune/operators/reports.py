@@ -146,6 +146,21 @@ def label_sensitivity(rows: DataFrame, i2_limits: Sequence[float], z_limits: Seq
     return wide.select(F.inline(F.array(*[F.struct(F.lit(float(i)).alias("i2_limit"), F.lit(float(z)).alias("z_limit"), F.col(f"c{k}").alias("replicated")) for k, (i, z) in enumerate(cells)])))
 
 
+def bundling_bands(labelled: DataFrame, counts: DataFrame, primary: float, stricter: float, min_support: int = 25) -> DataFrame:
+    """(band, validation_status, pairs): retained pairs that a stricter screen for bundling would leave out, and those that it would keep.
+
+    A pair is left out at a threshold if both directions' rates reach it, with min_support episodes in each. A retained pair that
+    the primary threshold leaves out makes the query fail: the screen wasn't applied.
+    """
+    rate = counts.groupBy(*PAIR).agg((F.sum("tested_n") / F.sum("support_n")).alias("__p"), F.sum("support_n").alias("__n"))
+    back = rate.select(F.col("downstream").alias("upstream"), F.col("upstream").alias("downstream"), F.col("__p").alias("__q"), F.col("__n").alias("__m"))
+    out = lambda t: F.coalesce((F.col("__p") >= t) & (F.col("__q") >= t) & (F.col("__n") >= min_support) & (F.col("__m") >= min_support), F.lit(False))
+    rows = labelled.select(*PAIR, "validation_status").join(rate, PAIR, "left").join(back, PAIR, "left")
+    message = F.concat(F.lit("a retained pair meets the primary screen: "), "upstream", F.lit(", "), "downstream")
+    band = F.when(out(primary), F.raise_error(message).cast("string")).when(out(stricter), "stricter_only").otherwise("kept")
+    return rows.groupBy(band.alias("band"), "validation_status").agg(F.count("*").alias("pairs"))
+
+
 def concordance(crude: Column, adjusted: Column, low: Column, high: Column) -> Column:
     """How an adjusted odds ratio bears on the crude ratio: unavailable, concordant, attenuated (the interval holds 1) or reversed."""
     same = F.signum(F.log(crude)) == F.signum(F.log(adjusted))

@@ -408,6 +408,13 @@ SELECT s.site, count(e.ratio) AS edges, count(*) FILTER (e.ratio > 1) AS above,
 x AS (SELECT e.upstream, e.downstream, e.ratio, abs(ln((x.k + 0.5) / (x.n + 1)) - ln((y.k + 0.5) / (y.n + 1))) AS timing_asymmetry, least(x.k / x.n, y.k / y.n) AS bundling, least(x.n, y.n) / greatest(x.n, y.n) AS support_ratio
   FROM edges e JOIN rate x USING (upstream, downstream) JOIN rate y ON y.upstream = e.downstream AND y.downstream = e.upstream)
 SELECT upstream, downstream, round(ratio, 6) AS ratio, round(timing_asymmetry, 6) AS timing_asymmetry, round(bundling, 6) AS bundling, round(support_ratio, 6) AS support_ratio, CASE WHEN bundling >= 0.8 THEN 'bundled' WHEN bundling >= 0.5 THEN 'partly_bundled' ELSE 'separate' END AS grade FROM x""",
+    "bundling_sensitivity": f"""WITH {LABELS}, r AS (SELECT upstream, downstream, sum(tested_n) / sum(support_n) AS p, sum(support_n) AS n FROM counts GROUP BY ALL),
+b AS (SELECT x.upstream, x.downstream, coalesce(x.p >= 0.145 AND y.p >= 0.145 AND x.n >= 25 AND y.n >= 25, false) AS out FROM r x LEFT JOIN r y ON y.upstream = x.downstream AND y.downstream = x.upstream)
+SELECT CASE WHEN out THEN 'stricter_only' ELSE 'kept' END AS band, validation_status, count(*) AS pairs FROM labelled JOIN b USING (upstream, downstream) GROUP BY ALL""",
+    "excluded_entities": """WITH p AS (SELECT p_brand, CASE WHEN p_size % 9 <> 0 THEN p_name END AS name FROM part),
+t AS (SELECT p_brand, name, CASE WHEN name IS NULL THEN 'MISSING_LABEL' WHEN contains(lower(name), 'widget') THEN 'WIDGET' WHEN contains(lower(name), 'ring') THEN 'RING' WHEN contains(lower(name), 'gear') THEN 'GEAR' ELSE 'OTHER' END AS k FROM p),
+m AS (SELECT *, coalesce(k IN ('RING', 'OTHER') AND upper(trim(name)) <> 'SMALL RING', false) AS stays FROM t)
+SELECT p_brand, coalesce(name, '<missing>') AS name, k AS entity_type, count(*) AS rows FROM m WHERE NOT stays GROUP BY ALL UNION ALL SELECT p_brand, '(kept)', 'PRIMARY', count(*) FROM m WHERE stays GROUP BY ALL""",
     "replication_sensitivity": f"WITH {POOL}, a(i2_limit) AS (VALUES (25.0::DOUBLE), (50.0::DOUBLE), (75.0::DOUBLE)), b(z_limit) AS (VALUES (1.0::DOUBLE), (1.96::DOUBLE)) SELECT i2_limit, z_limit, count(*) FILTER (i2 <= i2_limit AND abs(z) >= z_limit) AS replicated FROM a CROSS JOIN b LEFT JOIN tail ON true GROUP BY ALL",
     "availability_sensitivity": " UNION ALL ".join(
         f"SELECT {m}::INT AS min_support, edges, mean_ratio FROM (WITH {edges().replace(f'>= {MIN_SUPPORT} AS is_available', f'>= {m} AS is_available')} SELECT count(*) AS edges, round(coalesce(avg(ratio), 0), 6) AS mean_ratio FROM edges WHERE passes_support)" for m in (1, MIN_SUPPORT, 2 * MIN_SUPPORT)

@@ -130,7 +130,8 @@ def top_paths(s, d):
 
 @query
 def path_flows(s, d):
-    return patterns.flows(patterns.top_paths(patterns.retained(edge_table(s, d)), 50))
+    e = patterns.retained(edge_table(s, d))
+    return patterns.flows(patterns.top_paths(e, 50), e)
 
 
 @query
@@ -444,6 +445,15 @@ def clean_labels(s, d):
     return p.select("p_partkey", L.normalise_label(F.concat(F.lit("  "), "p_name", F.lit(" \t "), "p_type")).alias("label"), L.safe_name(F.concat("p_brand", F.lit(" / "), "p_name")).alias("safe"))
 
 
+@query
+def excluded_entities(s, d):
+    """Parts whose names aren't of a primary type or are on a list, by brand; and how many stay, as a row of their own."""
+    p = table(s, d, "part").select("p_brand", F.when(F.col("p_size") % 9 != 0, F.col("p_name")).alias("name"))
+    kept, out = cleaning.by_entity(p, "name", "p_brand", [("widget", "WIDGET"), ("ring", "RING"), ("gear", "GEAR")], "OTHER", ["RING", "OTHER"], [" Small  Ring"])
+    stay = kept.groupBy("p_brand").agg(F.count("*").alias("rows")).select("p_brand", F.lit("(kept)").alias("name"), F.lit("PRIMARY").alias("entity_type"), "rows")
+    return out.unionByName(stay)
+
+
 @query
 def null_tokens(s, d):
     p = table(s, d, "part").select("p_partkey", F.when(F.col("p_size") % 5 == 0, "NULL").when(F.col("p_size") % 5 == 1, "  x ").when(F.col("p_size") % 5 == 2, " Null ").otherwise(F.col("p_name")).alias("name"))
@@ -1076,6 +1086,14 @@ def replication_sensitivity(s, d):
     return reports.label_sensitivity(replication.pooled_over_sites(edge_table(s, d, ("site",))), [25.0, 50.0, 75.0], [1.0, 1.96])
 
 
+@query
+def bundling_sensitivity(s, d):
+    """Labels of retained edges by whether a stricter screen for bundling would leave them out."""
+    rows = seen(s, d)
+    c = patterns.branch_counts(known(rows), rows, MIN_SUPPORT, intrinsic(s))
+    return reports.bundling_bands(replication.label(validated_edges(s, d)), c, 0.5, 0.145)
+
+
 @query
 def availability_sensitivity(s, d):
     """Edges and their mean ratio at other least supports of availability."""

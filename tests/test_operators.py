@@ -355,3 +355,27 @@ def test_calibration_pools_neighbours(spark):
     for r in models.calibrated(raw, "target", "score", "split").collect():
         assert abs(r.score - (want[r.raw] if r.raw in want else blocks[-1][2])) < 1e-9
     assert models.calibrated(df.where("split = 'test'"), "target", "score", "split").count() == 2
+
+
+def test_rows_by_entity_type(spark):
+    rows = [("p", "Cefoxitin Screen"), ("p", "cefazolin"), ("q", None), (None, " CEFAZOLIN "), ("q", "odd  drug"), ("q", "ODD DRUG"), ("q", "")]
+    kept, out = cleaning.by_entity(spark.createDataFrame(rows, "site string, label string"), "label", "site", [("screen", "SCREEN")], "AST", ["AST"], ["odd drug"])
+    assert sorted((r.site or "-", r.label) for r in kept.collect()) == [("-", " CEFAZOLIN "), ("p", "cefazolin"), ("q", "")]
+    assert sorted(tuple(r) for r in out.collect()) == [("p", "Cefoxitin Screen", "SCREEN", 1), ("q", "<missing>", "MISSING_LABEL", 1), ("q", "ODD DRUG", "AST", 1), ("q", "odd  drug", "AST", 1)]
+
+
+def test_flows_fall_back_to_single_edges(spark):
+    edges = spark.createDataFrame([("a", "b", 3.0, 10, 5), ("c", "d", 2.0, 7, 7), ("e", "f", 0.5, 9, 9)], "upstream string, downstream string, ratio double, n_pos int, n_neg int")
+    paths = spark.createDataFrame([("a", "b", "c", 6.0, 4)], "a string, b string, c string, path_ratio double, min_support int")
+    assert sorted((r.stage, r.source, r.target, r.flow) for r in patterns.flows(paths, edges).collect()) == [(1, "a", "b", 4), (2, "b", "c", 4)]
+    assert sorted((r.stage, r.source, r.target, r.flow) for r in patterns.flows(paths.limit(0), edges, 2).collect()) == [(1, "a", "b", 15), (1, "c", "d", 14)]
+    assert patterns.flows(paths.limit(0)).count() == 0
+
+
+def test_bundling_bands_fail_on_pairs_that_were_to_be_screened(spark):
+    labelled = spark.createDataFrame([("a", "b", "robust"), ("b", "a", "mixed"), ("a", "c", "robust")], "upstream string, downstream string, validation_status string")
+    counts = spark.createDataFrame([("a", "b", "R", 100, 70), ("b", "a", "R", 100, 60), ("a", "c", "R", 100, 90), ("c", "a", "R", 10, 9)], "upstream string, downstream string, outcome string, support_n int, tested_n int")
+    got = {(r.band, r.validation_status): r.pairs for r in reports.bundling_bands(labelled, counts, 0.95, 0.55).collect()}
+    assert got == {("stricter_only", "robust"): 1, ("stricter_only", "mixed"): 1, ("kept", "robust"): 1}
+    with pytest.raises(Exception, match="meets the primary screen"):
+        reports.bundling_bands(labelled, counts, 0.6, 0.55).collect()
