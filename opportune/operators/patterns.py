@@ -177,19 +177,21 @@ def degrees(edge_table: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.sum(F.col("w") * F.col("o")).alias("out_weight"), F.sum(F.col("w") * F.col("i")).alias("in_weight"))
 
 
+def gathered(observations: DataFrame) -> DataFrame:
+    """(episode, items): an episode's items, no more than there are items, so that they can be paired in place after one shuffle."""
+    return observations.groupBy("episode").agg(F.collect_list("item").alias("items"))
+
+
 def panel_size(observations: DataFrame) -> DataFrame:
     """For each upstream item: mean, median, 90 % point and share of two or more other items observed in its episodes."""
-    sizes = observations.groupBy("episode").agg((F.count("*") - 1).alias("others"))
-    joined = observations.select("episode", F.col("item").alias("upstream")).join(sizes, "episode")
-    return joined.groupBy("upstream").agg(F.avg("others").alias("mean_panel"), F.median("others").alias("median_panel"), F.percentile("others", 0.9).alias("q90_panel"), F.avg((F.col("others") >= 2).cast("int")).alias("share_two_more"))
+    rows = gathered(observations).select(F.explode("items").alias("upstream"), (F.size("items") - 1).alias("others"))
+    return rows.groupBy("upstream").agg(F.avg("others").alias("mean_panel"), F.median("others").alias("median_panel"), F.percentile("others", 0.9).alias("q90_panel"), F.avg((F.col("others") >= 2).cast("int")).alias("share_two_more"))
 
 
 def overlap(observations: DataFrame) -> DataFrame:
     """Jaccard overlap of the episodes of each two items, from counts; no set is ever built."""
     own = observations.groupBy("item").agg(F.count("*").alias("n"))
-    a = observations.select("episode", F.col("item").alias("a"))
-    b = observations.select("episode", F.col("item").alias("b"))
-    both = a.join(b, "episode").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    both = gathered(observations).select("items", F.explode("items").alias("a")).select("a", F.explode("items").alias("b")).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     out = both.join(own.select(F.col("item").alias("a"), F.col("n").alias("n_a")), "a").join(own.select(F.col("item").alias("b"), F.col("n").alias("n_b")), "b")
     return out.select("a", "b", "shared", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"))
 

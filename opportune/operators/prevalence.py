@@ -69,8 +69,10 @@ def crossings(curve: DataFrame, thresholds: list[float]) -> DataFrame:
 
 def enrichment(observations: DataFrame, pairs: DataFrame, positive: str) -> DataFrame:
     """For each pair: share of positive upstream results among episodes that show the downstream item, less the share among all."""
-    up = observations.select("episode", F.col("item").alias("upstream"), (F.col("outcome") == positive).cast("int").alias("is_pos"))
-    every = up.groupBy("upstream").agg(F.avg("is_pos").alias("share_all"))
-    down = observations.select("episode", F.col("item").alias("downstream"))
-    shown = up.join(down, "episode").where("upstream <> downstream").groupBy("upstream", "downstream").agg(F.avg("is_pos").alias("share_shown"), F.count("*").alias("episodes"))
+    is_pos = (F.col("outcome") == positive).cast("int")
+    every = observations.groupBy(F.col("item").alias("upstream")).agg(F.avg(is_pos).alias("share_all"))
+    # an episode's items are gathered once and paired in place
+    together = observations.groupBy("episode").agg(F.collect_list(F.struct(F.col("item").alias("upstream"), is_pos.alias("is_pos"))).alias("results"))
+    paired = together.select("results", F.inline("results")).select("upstream", "is_pos", F.explode("results.upstream").alias("downstream"))
+    shown = paired.where("upstream <> downstream").groupBy("upstream", "downstream").agg(F.avg("is_pos").alias("share_shown"), F.count("*").alias("episodes"))
     return shown.join(pairs.select("upstream", "downstream").distinct(), ["upstream", "downstream"], "left_semi").join(every, "upstream").withColumn("enrichment", F.col("share_shown") - F.col("share_all"))
