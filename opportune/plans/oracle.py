@@ -304,6 +304,18 @@ matrix AS (SELECT m.*, coalesce(pattern_log_ratio, 0) AS pattern_log_ratio, coal
 IMPLIED = """, rule(item, implied) AS (VALUES ('Brand#1', 'Brand#11'), ('Brand#2', 'Brand#12'), ('Brand#3', 'Brand#13')),
 both_obs AS (SELECT *, false AS is_implied FROM obs UNION ALL SELECT o.site, o.unit, o.episode, o.time, o.stratum, o.era, implied, o.outcome, true FROM obs o JOIN rule USING (item)
   WHERE NOT EXISTS (SELECT 1 FROM obs x WHERE x.episode = o.episode AND x.item = implied))"""
+STEPS = 12  # shortest paths of more steps don't occur among 25 items
+
+
+def shortest() -> str:
+    """Shortest paths between any two nodes of the graph l(upstream, downstream), level by level: (source, node, steps, paths)."""
+    out = "nodes AS MATERIALIZED (SELECT upstream AS node FROM l UNION SELECT downstream FROM l), p0 AS MATERIALIZED (SELECT node AS source, node, 0 AS steps, 1.0::DOUBLE AS paths FROM nodes), s0 AS MATERIALIZED (FROM p0)"
+    for k in range(1, STEPS):
+        out += f""", p{k} AS MATERIALIZED (SELECT source, downstream AS node, {k} AS steps, sum(paths) AS paths FROM p{k - 1} JOIN l ON upstream = node
+  WHERE (source, downstream) NOT IN (SELECT (source, node) FROM s{k - 1}) GROUP BY ALL), s{k} AS MATERIALIZED (FROM s{k - 1} UNION ALL FROM p{k})"""
+    return out
+
+
 OBS_IMPLIED = RAW.replace("raw AS", "raw0 AS", 1) + """, obs0 AS (SELECT site, unit, episode, time, stratum, era, item, min(outcome) AS outcome FROM raw0 GROUP BY ALL HAVING count(DISTINCT outcome) = 1),
 rule(item, implied) AS (VALUES ('Brand#1', 'Brand#11'), ('Brand#2', 'Brand#12'), ('Brand#3', 'Brand#13')),
 added AS (SELECT o.site, o.unit, o.episode, o.time, o.stratum, o.era, implied AS item, o.outcome FROM obs0 o JOIN rule USING (item) WHERE NOT EXISTS (SELECT 1 FROM obs0 x WHERE x.episode = o.episode AND x.item = implied)),
@@ -408,6 +420,10 @@ SELECT s.site, count(e.ratio) AS edges, count(*) FILTER (e.ratio > 1) AS above,
 x AS (SELECT e.upstream, e.downstream, e.ratio, abs(ln((x.k + 0.5) / (x.n + 1)) - ln((y.k + 0.5) / (y.n + 1))) AS timing_asymmetry, least(x.k / x.n, y.k / y.n) AS bundling, least(x.n, y.n) / greatest(x.n, y.n) AS support_ratio
   FROM edges e JOIN rate x USING (upstream, downstream) JOIN rate y ON y.upstream = e.downstream AND y.downstream = e.upstream)
 SELECT upstream, downstream, round(ratio, 6) AS ratio, round(timing_asymmetry, 6) AS timing_asymmetry, round(bundling, 6) AS bundling, round(support_ratio, 6) AS support_ratio, CASE WHEN bundling >= 0.8 THEN 'bundled' WHEN bundling >= 0.5 THEN 'partly_bundled' ELSE 'separate' END AS grade FROM x""",
+    "betweenness": f"""WITH {edges()}, l AS MATERIALIZED (SELECT DISTINCT upstream, downstream FROM edges WHERE ratio > 1.1 AND upstream <> downstream), {shortest()},
+through AS (SELECT a.node, sum(a.paths * b.paths / c.paths) AS d FROM s{STEPS - 1} a JOIN s{STEPS - 1} b ON b.source = a.node JOIN s{STEPS - 1} c ON c.source = a.source AND c.node = b.node AND c.steps = a.steps + b.steps
+  WHERE a.source <> a.node AND b.node <> a.node AND a.source <> b.node GROUP BY ALL)
+SELECT n.node, round(coalesce(d, 0) * CASE WHEN (SELECT count(*) FROM nodes) > 2 THEN 1.0::DOUBLE / (((SELECT count(*) FROM nodes) - 1) * ((SELECT count(*) FROM nodes) - 2)) ELSE 1 END, 6) AS betweenness FROM nodes n LEFT JOIN through t ON t.node = n.node""",
     "bundling_sensitivity": f"""WITH {LABELS}, r AS (SELECT upstream, downstream, sum(tested_n) / sum(support_n) AS p, sum(support_n) AS n FROM counts GROUP BY ALL),
 b AS (SELECT x.upstream, x.downstream, coalesce(x.p >= 0.145 AND y.p >= 0.145 AND x.n >= 25 AND y.n >= 25, false) AS out FROM r x LEFT JOIN r y ON y.upstream = x.downstream AND y.downstream = x.upstream)
 SELECT CASE WHEN out THEN 'stricter_only' ELSE 'kept' END AS band, validation_status, count(*) AS pairs FROM labelled JOIN b USING (upstream, downstream) GROUP BY ALL""",
