@@ -74,6 +74,8 @@ class Rows:
         value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in [*numbers, *components]}
         level = {c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for c in categories}
         flat = flat.select("episode", "eligible", "results", *[v.alias(c) for c, v in (value | level).items()])
+        if covariates is not None:  # read for each category's levels, for the moments and for the rows
+            flat = written(flat, "covariates")
         self.levels = {}
         for c in categories:
             found = [r[0] for r in flat.select(c).distinct().limit(LEVELS + 1).collect()]
