@@ -234,3 +234,26 @@ def test_histories_take_one_grouping_and_one_window(spark):
     many = [history.History(f"h{k}", left, "k", "t", windows=(7,)) for k in range(8)]
     text = history.point_in_time(left, "k", "t", many)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Join ") == 1 and text.count("Window [") <= 2
+
+
+def test_thirds_broadcast_eligible_items_and_not_the_counts_by_day(spark, monkeypatch):
+    observations = [("p", "u", e, dt.datetime(2020, 1, 1) + dt.timedelta(days=e % 40), "s", "t", item, "RN"[(e + k) % 2]) for e in range(200) for k, item in enumerate("ab")]
+    o = spark.createDataFrame(observations, KIND)
+    eligible = spark.createDataFrame([("p", "s", "t", "a"), ("p", "s", "t", "b")], CELL_KIND)
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a")], "upstream string, downstream string")
+    hinted, keep = {}, replication.written
+    monkeypatch.setattr(replication, "written", lambda df, name: (hinted.__setitem__(name, df), keep(df, name))[1])
+    out = replication.temporal_thirds(o, eligible, pairs, "R", "N")
+    # both joins to the counts by day have a side that a count found to be small; Spark has no choice left
+    joins = [x for x in hinted["days"]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert len(joins) == 3 and all("rightHint=(strategy=broadcast)" in x for x in joins), joins
+    assert out.count() == 4
+
+
+def test_a_side_that_is_not_small_is_merged(spark):
+    from opportune.sources.tables import small
+
+    left, right = spark.range(50).withColumn("x", F.lit("x")), spark.range(50)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan(left.join(small(right, 10), "id"))
+    assert "BroadcastHashJoin" in plan(left.join(small(right), "id"))
