@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.tables import small
-from .opportunity import CELL
+from .opportunity import CELL, item_bit, item_bits
 
 
 def by_scope(df: DataFrame, scope: str, aggs: list[Column], all_label: str = "all_sites") -> DataFrame:
@@ -138,9 +138,10 @@ def frequent(df: DataFrame, value: str, coverage: float) -> DataFrame:
 
 
 def flags_of(df: DataFrame, key: str, value: str, values: list[str]) -> DataFrame:
-    """Key by value, 0 or 1, for given values."""
-    wide = df.where(F.col(value).isin(values)).groupBy(key).pivot(value, values).agg(F.max(F.lit(1)))
-    return df.select(key).distinct().join(wide, key, "left").fillna(0)
+    """Key by value, 0 or 1, for given values, from one grouping; rows without a key have a row of zeros."""
+    bits = item_bits(value, values)
+    wide = df.groupBy(key).agg(*bits) if bits else df.select(key).distinct()
+    return wide.select(key, *[F.when(F.col(key).isNull(), 0).otherwise(item_bit(k)).alias(v) for k, v in enumerate(values)])
 
 
 def study_period(df: DataFrame, time: str) -> DataFrame:

@@ -379,3 +379,48 @@ def test_bundling_bands_fail_on_pairs_that_were_to_be_screened(spark):
     assert got == {("stricter_only", "robust"): 1, ("stricter_only", "mixed"): 1, ("kept", "robust"): 1}
     with pytest.raises(Exception, match="meets the primary screen"):
         reports.bundling_bands(labelled, counts, 0.6, 0.55).collect()
+
+
+def test_pair_rows_form_in_place(spark):
+    from opportune.operators import features, opportunity
+
+    rows = [(1, "p", "s", "t", "a", "R"), (1, "p", "s", "t", "b", "N"), (2, "p", "s", "t", "a", "N"), (3, "q", "s", "t", "a", "R"), (3, "q", "s", "t", None, "R")]
+    o = spark.createDataFrame(rows, "episode int, site string, stratum string, era string, item string, outcome string")
+    e = spark.createDataFrame([("p", "s", "t", i) for i in "abc"] + [("q", "s", "t", "b")], "site string, stratum string, era string, item string")
+    context = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "episode int, ctx int")
+    out = features.pair_rows(o, e, opportunity.CELL, "R", context)
+    got = sorted((r["episode"], r["upstream"], r["downstream"], r["up_positive"], r["target"], r["ctx"]) for r in out.collect())
+    assert got == [(1, "a", "b", 1, 1, 5), (1, "a", "c", 1, 0, 5), (1, "b", "a", 0, 1, 5), (1, "b", "c", 0, 0, 5), (2, "a", "b", 0, 0, 6), (2, "a", "c", 0, 0, 6), (3, "a", "b", 1, 0, 7)]
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+    assert "Join" not in above  # nothing is joined to rows of pairs, so they are never shuffled
+
+
+def test_flags_of_more_items_than_a_number_has_bits_take_one_grouping(spark):
+    from opportune.operators import descriptive, opportunity
+
+    items = [f"i{k}" for k in range(130)]
+    df = spark.createDataFrame([(1, "i0"), (1, "i61"), (2, "i62"), (2, "i129"), (2, "i129"), (3, None), (None, "i5"), (4, "other")], "episode int, item string")
+    flags = descriptive.flags_of(df, "episode", "item", items)
+    assert {r["episode"]: [i for i in items if r[i]] for r in flags.collect()} == {1: ["i0", "i61"], 2: ["i62", "i129"], 3: [], None: [], 4: []}
+    matrix = opportunity.testing_matrix(df.where("episode is not null"), items)
+    assert {r["episode"]: [i for i in items if r[f"tested__{i}"]] for r in matrix.collect()} == {1: ["i0", "i61"], 2: ["i62", "i129"], 4: []}
+    for made in (flags, matrix):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate [") == 1 and "Join" not in plan
+
+
+def test_marked_results_group_lines_before_they_meet_orders(spark, tmp_path):
+    from opportune.plans import roles
+
+    put = lambda name, rows, kind: spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("lineitem", [(1, 1, "R"), (1, 1, "N"), (1, 2, "A"), (1, 3, None), (2, 2, "R"), (2, 2, "R"), (9, 1, "R")], "l_orderkey long, l_partkey long, l_returnflag string")
+    put("part", [(1, "x"), (2, "y"), (3, "z")], "p_partkey long, p_brand string")
+    put("orders", [(1, 7, dt.date(1996, 1, 1)), (1, 7, dt.date(1996, 1, 1)), (2, 7, dt.date(1997, 1, 1)), (3, 8, None)], "o_orderkey long, o_custkey long, o_orderdate date")
+    put("customer", [(7, 0, "S")], "c_custkey long, c_nationkey int, c_mktsegment string")
+    put("nation", [(0, 0)], "n_nationkey int, n_regionkey int")
+    put("region", [(0, "P")], "r_regionkey int, r_name string")
+    out = roles.marked(spark, str(tmp_path))
+    assert sorted((r["episode"], r["item"], r["outcome"] or "", r["site"], r["unit"]) for r in out.collect()) == [(1, "x", "", "P", 7), (1, "y", "A", "P", 7), (1, "z", "", "P", 7), (2, "y", "R", "P", 7)]
+    keys = ["site", "unit", "episode", "time", "stratum", "era", "item"]
+    plain = roles.observations(spark, str(tmp_path)).groupBy(*keys).agg(F.min("outcome").alias("lo"), F.max("outcome").alias("hi")).select(*keys, F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("outcome"))
+    assert out.exceptAll(plain).isEmpty() and plain.exceptAll(out).isEmpty()
