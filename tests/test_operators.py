@@ -326,6 +326,37 @@ def test_classifiers_find_a_planted_signal(spark, kind):
         models.estimator("other", "t", "f", "w", 1, 1, 1, 1)
 
 
+def test_classifiers_prepare_once(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+
+    fits, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, *a: fits.append(1) or fit(self, *a))
+    rows = [(float(k % 97), "ab"[k % 2], int((k % 97 > 48) != (k % 19 == 0)), ("train", "test")[k % 2 * (k % 3 == 0)]) for k in range(400)]
+    df = spark.createDataFrame(rows, "x double, c string, target int, split string")
+    kinds = ["logistic_regression", "random_forest"]
+    both = models.classifiers(df, "target", ["x"], ["c"], "split", kinds, 3, 3)
+    assert list(both) == kinds and len(fits) == 1
+    for kind in kinds:
+        assert both[kind].collect() == models.classifier(df, "target", ["x"], ["c"], "split", kind, 3, 3).collect()
+
+
+def test_counted_outcomes_stand_for_their_rows(spark):
+    """Equal scores keep one calibrated value however they are added up, from rows or from counts."""
+    rows = [(s, int(k % 7 < t), ("validation", "test")[k % 2]) for s, t in ((0.1, 4), (0.3, 2), (0.7, 3), (0.9, 5)) for k in range(int(1000 * s) + 1)] + [(None, 1, "test"), (0.3, None, "test"), (0.5, None, "test")]
+    df = spark.createDataFrame(rows, "score double, target int, split string")
+    counts = evaluation.outcomes(df, "target", "score", ["split"], "rows")
+    assert counts.count() == len({*rows})
+    steps = []
+    for n, weight, given in ((1, None, df), (3, None, df), (5, None, df), (2, "rows", counts)):
+        got = models.calibrated(given.where("score is not null").repartition(n), "target", "score", "split", weight)
+        steps.append(sorted(r[0] for r in got.select("score").distinct().collect()))
+        areas = {r.split: (r.roc_auc, r.average_precision) for r in evaluation.areas(got, "target", "score", ["split"], weight).collect()}
+        first = areas if len(steps) == 1 else first
+        assert {k: pytest.approx(v, rel=1e-12) for k, v in first.items()} == areas
+        # 0.1 and 0.3 are pooled, 0.7 and 0.9 stand alone; 0.5 has no validation row and lies between
+        assert len(steps[-1]) == 4 and steps[-1] == pytest.approx(steps[0], rel=1e-12)
+
+
 def pooled_adjacent(points):
     """Isotonic regression of (score, target) by pooling neighbours, plainly: (least score, greatest score, mean) of each block."""
     blocks = []
